@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fertility
+from . import best_fit, fertility, hilbert_pack, histogram_sort, url_bloom
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,9 +19,26 @@ def op1_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality_digest(_table(spark, sf_dir, "documents"))
 
 
+def op2_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack_best_fit(_table(spark, sf_dir, "documents"))
+
+
+def op3_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram_sort.shards_digest(_table(spark, sf_dir, "documents"))
+
+
+def op8_url_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_bloom.urls_digest(_table(spark, sf_dir, "pages"))
+
+
+def op9_hilbert_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_pack.pieces_digest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_fertility": op1_fertility}
+    found = (op1_fertility, op2_best_fit, op3_histogram_sort, op8_url_bloom, op9_hilbert_pack)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_url_bloom": url_bloom.DIGEST_SQL}
