@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit, fertility, hilbert_pack, histogram_sort, url_bloom
+from . import best_fit, fertility, hilbert_pack, histogram_sort, line_chunks, simhash, url_bloom
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def op3_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_sort.shards_digest(_table(spark, sf_dir, "documents"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components_digest(_table(spark, sf_dir, "documents"))
+
+
 def op8_url_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_bloom.urls_digest(_table(spark, sf_dir, "pages"))
 
@@ -35,10 +39,14 @@ def op9_hilbert_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_pack.pieces_digest(_table(spark, sf_dir, "documents"))
 
 
+def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_chunks.passages_digest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_fertility, op2_best_fit, op3_histogram_sort, op8_url_bloom, op9_hilbert_pack)
+    found = (op1_fertility, op2_best_fit, op3_histogram_sort, op7_simhash, op8_url_bloom, op9_hilbert_pack, op10_line_chunks)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_bloom": url_bloom.DIGEST_SQL}
+    return {"op8_url_bloom": url_bloom.DIGEST_SQL, "op10_line_chunks": line_chunks.DIGEST_SQL}
