@@ -141,21 +141,21 @@ def plain_removal(docs):
     for d in docs:
         chunks = plain_chunks(d[1])
         kept = [c for no, c in enumerate(chunks) if first.get(c, (order(d), no)) == (order(d), no)]
-        out.append((str(d[0]), "\n".join(kept) if d[1] is not None else None, len(chunks), len(chunks) - len(kept)))
+        out.append((str(d[0]), "\n".join(kept) if d[1] is not None else None, len(chunks) - len(kept)))
     return sorted(out, key=str)
 
 
 def test_passages_of_real_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rows = [(str(r.doc_id), r.text, r.n_chunks, r.n_removed) for r in line_chunks.passages_digest(docs).collect()]
+    rows = [(str(r.doc_id), r.text, r.n_removed) for r in line_chunks.passages_digest(docs).collect()]
     assert sorted(rows, key=str) == plain_removal([tuple(r) for r in docs.select("doc_id", "text").collect()])
-    assert sum(r[3] for r in rows) > 50
+    assert sum(r[2] for r in rows) > 50
 
 
 def test_passages_sql_twin(spark):
     con = duckdb.connect()
     con.execute("create view documents as select * from '/root/testdata/sf0.01/documents.parquet'")
-    ours = line_chunks.passages_digest(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).select("doc_id", "text", "n_chunks", "n_removed")
+    ours = line_chunks.passages_digest(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).select("doc_id", "text", "n_removed")
     assert sorted(map(tuple, ours.collect())) == sorted(con.execute(line_chunks.DIGEST_SQL).fetchall())
 
 
@@ -182,7 +182,7 @@ AWKWARD = [
 
 def test_passages_of_awkward_rows(spark):
     rows = line_chunks.passages_digest(cases.docs(spark, AWKWARD)).collect()
-    assert sorted([(str(r.doc_id), r.text, r.n_chunks, r.n_removed) for r in rows], key=str) == plain_removal([r[:2] for r in AWKWARD])
+    assert sorted([(str(r.doc_id), r.text, r.n_removed) for r in rows], key=str) == plain_removal([r[:2] for r in AWKWARD])
     assert line_chunks.passages_digest(cases.empty(spark)).collect() == []
     cleaned = line_chunks.without_repeated(cases.docs(spark, AWKWARD))
     assert cleaned.schema == cases.docs(spark).schema and cleaned.count() == len(AWKWARD)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import size_checked, stored
+from .common import WORD, let, size_checked, stored
 
 #: One boundary in so many lines, on average; a power of two up to 16.
 LINES_PER_CHUNK = 4
@@ -23,35 +23,45 @@ LAST_ID = 2**63 - 1
 _BOUNDARY, _INNER = "B", "C"
 
 
-def _spaces(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
+def _has_spaces(text: Column, count: int) -> Column:
+    """Whether there are at least so many spaces; looks no further than the last of them."""
+    return F.octet_length(F.substring_index(text, " ", count)) < F.octet_length(text)
 
 
-def chunked(docs: DataFrame, text: str, lines_per_chunk: int, passage_words: int) -> DataFrame:
-    """``docs`` with its text cut into an array of chunks, ``chunks``.
+def chunks_of(text: Column, lines_per_chunk: int, passage_words: int) -> Column:
+    """The chunks of a text that is not null.
 
     Joined by line feeds, chunks give the text again. Each line after the first gets a
     mark for joining or cutting, then all are joined and split at the marks for cutting.
     """
-    lines = docs.withColumn("lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1))
-    hashed = lines.withColumn("hashes", F.transform("lines", lambda x: F.md5(x))).withColumn("long", F.transform("lines", lambda x: _spaces(x) >= passage_words))
     last_digits = [f"{d:x}" for d in range(16 // lines_per_chunk)]
 
-    def marked(line: Column, i: Column) -> Column:
-        rolled = F.substring(F.md5(F.concat(F.get("hashes", i - 1), F.get("hashes", i))), -1, 1)
-        cut = rolled.isin(last_digits) | F.get("long", i - 1) | F.get("long", i)
-        return F.when(i == 0, line).otherwise(F.concat(F.when(cut, _BOUNDARY).otherwise(_INNER), line))
+    def cut_between(before: Column, after: Column) -> Column:
+        rolled = F.substring(F.md5(F.concat(before["hash"], after["hash"])), -1, 1)
+        return rolled.isin(last_digits) | before["long"] | after["long"]
 
-    joined = hashed.withColumn("joined", F.array_join(F.transform("lines", marked), "\n"))
-    chunks = F.transform(F.split("joined", "\n" + _BOUNDARY, -1), lambda x: F.replace(x, F.lit("\n" + _INNER), F.lit("\n")))
-    return joined.withColumn("chunks", chunks).drop("lines", "hashes", "long", "joined")
+    def described(line: Column) -> Column:
+        return F.struct(line.alias("line"), F.md5(line).alias("hash"), _has_spaces(line, passage_words).alias("long"))
 
+    def joined(lines: Column) -> Column:
+        def marked(x: Column, i: Column) -> Column:
+            mark = F.when(cut_between(F.get(lines, i - 1), x), _BOUNDARY).otherwise(_INNER)
+            return F.when(i == 0, x["line"]).otherwise(F.concat(mark, x["line"]))
 
-def _passages(chunks: DataFrame, passage_words: int) -> DataFrame:
+        return F.array_join(F.transform(lines, marked), "\n")
+
+    lines = F.transform(F.split(text, "\n", -1), described)
+    parts = F.split(let(lines, joined), "\n" + _BOUNDARY, -1)
+    return F.transform(parts, lambda x: F.replace(x, F.lit("\n" + _INNER), F.lit("\n")))
+
+
+def _passages(docs: DataFrame, lines_per_chunk: int, passage_words: int) -> DataFrame:
     """A row (order, version, no, chunk, hash) for each chunk that may be removed."""
-    rows = chunks.select("order", "version", F.posexplode("chunks").alias("no", "chunk"))
+    # The outer form, as the optimiser would compute the chunks again to leave out empty arrays, of which there are none.
+    chunks = chunks_of(F.coalesce("text", F.lit("")), lines_per_chunk, passage_words)
+    rows = docs.select("order", "version", F.posexplode_outer(chunks).alias("no", "chunk"))
     several = F.instr("chunk", "\n") > 0
-    return rows.filter((several | (_spaces(F.col("chunk")) >= passage_words)) & (F.length(F.trim(F.translate("chunk", "\n\t\r\x0b\x0c", ""))) > 0)).withColumn("hash", F.xxhash64("chunk"))
+    return rows.filter((several | _has_spaces(F.col("chunk"), passage_words)) & F.col("chunk").rlike(WORD)).withColumn("hash", F.xxhash64("chunk"))
 
 
 def remove_repeated_passages(
@@ -62,15 +72,14 @@ def remove_repeated_passages(
     lines_per_chunk: int = LINES_PER_CHUNK,
     passage_words: int = PASSAGE_WORDS,
 ) -> DataFrame:
-    """``docs`` with a struct ``passages``: text, n_chunks and removed (chunk numbers).
+    """``docs`` with a struct ``passages``: text and removed (numbers of chunks).
 
     The first of equal chunks stands in the document of least id, then of least MD5 of
     its text, then at the least place. What is exchanged: a hash for each passage, and
     the bytes of repeated ones. Lists of repeated chunks are broadcast only if measured
     to be small; else the joins shuffle and hot chunks are split.
 
-    A null text stays null, with one chunk of nothing and nothing removed; an empty one
-    likewise. A null id comes after all others. Rows that agree in id and text are one
+    A null or empty text stays so, with nothing removed. A null id comes after all others. Rows that agree in id and text are one
     document, and each keeps what the first keeps. An empty table gives no rows. Other
     columns pass through, whatever their names.
     """
@@ -79,11 +88,11 @@ def remove_repeated_passages(
         F.col(text).alias("text"),
         F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("order"),
     ).withColumn("version", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    passages = _passages(chunked(named.select("text", "order", "version"), "text", lines_per_chunk, passage_words), passage_words)
+    passages = _passages(named, lines_per_chunk, passage_words)
 
     counted = passages.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("order").alias("first"))
     repeated = stored(counted.filter("n > 1").select("hash", "first"), "repeated-hashes")
-    met = passages.join(size_checked(repeated, 16), "hash")
+    met = stored(passages.join(size_checked(repeated, 16), "hash"), "repeated-chunks")
     at = F.struct("version", "no", "chunk")
     firsts = met.filter(F.col("order") == F.col("first")).groupBy("hash").agg(F.min(at).alias("kept"))
     firsts = stored(firsts.select("hash", F.col("kept.version").alias("kept_version"), F.col("kept.no").alias("kept_no"), F.col("kept.chunk").alias("kept_chunk")), "first-chunks")
@@ -93,11 +102,11 @@ def remove_repeated_passages(
 
     measured = removed.select("order", "version", "removed", F.array_join("removed", ",").alias("digits"))
     table = size_checked(measured, 80, ["digits"]).drop("digits")
-    whole = chunked(named, "text", lines_per_chunk, passage_words).join(table, ["order", "version"], "left")
-    whole = whole.withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
-    left = F.array_join(F.filter("chunks", lambda x, i: ~F.array_contains("removed", i)), "\n")
-    text_left = F.when(F.col("text").isNotNull(), F.when(F.size("removed") > 0, left).otherwise(F.col("text")))
-    return whole.select("row.*", F.struct(text_left.alias("text"), F.size("chunks").alias("n_chunks"), "removed").alias("passages"))
+    whole = named.join(table, ["order", "version"], "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    chunks = chunks_of(F.col("text"), lines_per_chunk, passage_words)
+    left = F.array_join(F.filter(chunks, lambda x, i: ~F.array_contains("removed", i)), "\n")
+    text_left = F.when(F.size("removed") > 0, left).otherwise(F.col("text"))
+    return whole.select("row.*", F.struct(text_left.alias("text"), F.col("removed").alias("removed")).alias("passages"))
 
 
 def without_repeated(docs: DataFrame, *, text: str = "text", length: str | None = "n_chars") -> DataFrame:
@@ -113,7 +122,7 @@ def without_repeated(docs: DataFrame, *, text: str = "text", length: str | None
 def passages_digest(docs: DataFrame) -> DataFrame:
     """What is left of each document."""
     found = remove_repeated_passages(docs.select("doc_id", "text"))
-    return found.select("doc_id", "passages.text", "passages.n_chunks", F.size("passages.removed").alias("n_removed"))
+    return found.select("doc_id", "passages.text", F.size("passages.removed").alias("n_removed"))
 
 
 DIGEST_SQL = r"""
@@ -140,10 +149,10 @@ with lines as (
 ), ranked as (
   select *, eligible and dense_rank() over (partition by eligible, chunk order by ord, version, no) > 1 as gone from passages
 ), rebuilt as (
-  select r, string_agg(chunk, chr(10) order by no) filter (where not gone) as kept, count(*) as n_chunks, count(*) filter (where gone) as n_removed
+  select r, string_agg(chunk, chr(10) order by no) filter (where not gone) as kept, count(*) filter (where gone) as n_removed
   from ranked group by r
 )
 select l.doc_id, case when l.text is null then null when b.n_removed = 0 then l.text else coalesce(b.kept, '') end as text,
-  cast(b.n_chunks as integer) as n_chunks, cast(b.n_removed as integer) as n_removed
+  cast(b.n_removed as integer) as n_removed
 from lines l join rebuilt b using (r)
 """
