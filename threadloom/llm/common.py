@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,3 +62,12 @@ def row_key(doc_id: Column, text: Column) -> Column:
     Rows that agree in both are the same document, and get the same result.
     """
     return F.md5(F.concat_ws("\x1f", F.coalesce(doc_id.cast("string"), F.lit("~")), F.coalesce(F.md5(text.cast("binary")), F.lit("~"))))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once for each row.
+
+    A column that a lambda refers to may be put into its body by the optimiser and be
+    computed again for each element; what is bound to a lambda's variable is not.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit, fertility, hilbert_pack, histogram_sort, line_chunks, simhash, url_bloom
+from . import best_fit, disclosure, fertility, hilbert_pack, histogram_sort, line_chunks, ownership, simhash, url_bloom
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,14 @@ def op3_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_sort.shards_digest(_table(spark, sf_dir, "documents"))
 
 
+def op5_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure.personal_digest(_table(spark, sf_dir, "documents"))
+
+
+def op6_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ownership.secrets_digest(_table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components_digest(_table(spark, sf_dir, "documents"))
 
@@ -44,7 +52,7 @@ def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_fertility, op2_best_fit, op3_histogram_sort, op7_simhash, op8_url_bloom, op9_hilbert_pack, op10_line_chunks)
+    found = (op1_fertility, op2_best_fit, op3_histogram_sort, op5_disclosure, op6_ownership, op7_simhash, op8_url_bloom, op9_hilbert_pack, op10_line_chunks)
     return {f.__name__: f for f in found}
 
 
