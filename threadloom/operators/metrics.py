@@ -94,3 +94,33 @@ def estimated_cost(usage: DataFrame, pricing: DataFrame) -> DataFrame:
     joined = usage.join(F.broadcast(pricing), "model", "left")
     cost = ((F.col("input_tokens") - F.col("cached_tokens")) * F.col("input_rate") + F.col("cached_tokens") * F.col("cached_rate") + F.col("output_tokens") * F.col("output_rate")) / 1e6
     return joined.select(*usage.columns, F.round(cost, 6).alias("cost"))
+
+
+def latest_before(events: DataFrame, asked: str, known: str) -> DataFrame:
+    """As-of join within a session: each ``asked`` event with the value of the latest earlier ``known`` one."""
+    earlier = W.partitionBy("session_id").orderBy("ts", "seq").rowsBetween(W.unboundedPreceding, -1)
+    value = F.last(F.when(F.col("operation") == known, F.col("latency")), ignorenulls=True).over(earlier)
+    return events.withColumn("known", value).filter(F.col("operation") == asked).select("session_id", "seq", "known")
+
+
+def after_last(events: DataFrame, mark: str) -> DataFrame:
+    """Events of a session after its last ``mark``, and all of one that has none."""
+    last = F.max(F.when(F.col("operation") == mark, F.struct("ts", "seq"))).over(W.partitionBy("session_id"))
+    return events.withColumn("last", last).filter(F.col("last").isNull() | (F.struct("ts", "seq") > F.col("last"))).select("session_id", "seq")
+
+
+def mode_comparison(runs: DataFrame, modes: list[str]) -> DataFrame:
+    """Counts of each task by mode, side by side, and the first two's difference; null where a mode has none."""
+    found = runs.groupBy("task").pivot("mode", modes).agg(F.count(F.lit(1)))
+    return found.withColumn("difference", F.col(modes[1]) - F.col(modes[0]))
+
+
+def similar_pairs(pairs: DataFrame, band: float) -> DataFrame:
+    """Outcome of each pair: similar within ``band``, else which side is lower; inconclusive if unknown."""
+    d = F.col("difference")
+    return pairs.select("task", F.when(d.isNull(), "inconclusive").when(F.abs(d) <= band, "similar").when(d < 0, "lower").otherwise("higher").alias("outcome"))
+
+
+def suite_aggregates(runs: DataFrame) -> DataFrame:
+    """Runs, known and mean seconds of each mode."""
+    return runs.groupBy("mode").agg(F.count(F.lit(1)).alias("runs"), F.count("seconds").alias("known"), F.round(F.avg("seconds"), 4).alias("mean"), F.min("seconds").alias("least"), F.max("seconds").alias("most"))

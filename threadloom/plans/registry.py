@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, content_hash, token_count
-from ..operators import grading, metrics, packing, relations, retrieval
+from ..operators import graph, grading, metrics, packing, relations, retrieval
 from ..sources import conversations
 from ..streaming import jobs
 
@@ -466,3 +466,156 @@ def session_windows_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("select distinct user_id, event_type from events")
 def repeat_ttl_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.run_once(jobs.first_requests(jobs.event_stream(spark, sf_dir)), "append", "repeats")
+
+
+_EDGES = "e as (select distinct 'p' || l_partkey as src, 's' || l_suppkey as dst from lineitem), seeds as (select 's' || s_suppkey as node from supplier where s_nationkey = 0)"
+_NEAR = f"""
+    with {_EDGES},
+    m1 as (select dst as node, 'dependency' as reason from e where src in (select node from seeds) union all select src, 'consumer' from e where dst in (select node from seeds)),
+    l1 as (select node, max(reason) as reason from m1 where node not in (select node from seeds) group by node),
+    m2 as (select dst as node, 'dependency' as reason from e where src in (select node from l1) union all select src, 'consumer' from e where dst in (select node from l1)),
+    l2 as (select node, max(reason) as reason from m2 where node not in (select node from seeds) and node not in (select node from l1) group by node),
+    near as (select node, 0 as depth, 'explicit' as reason from seeds union all select node, 1, reason from l1 union all select node, 2, reason from l2)
+    """
+
+
+def _parts_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    line = _table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
+    return line, _table(spark, sf_dir, "supplier").filter("s_nationkey = 0").select(F.concat(F.lit("s"), "s_suppkey").alias("node"))
+
+
+@registered(_NEAR + "select node, cast(depth as bigint) as depth, reason from near")
+def neighborhood_2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.neighborhood(*_parts_graph(spark, sf_dir), 2)
+
+
+@registered(
+    _NEAR
+    + """select node, cast(case reason when 'explicit' then 100 when 'dependency' then 40 else 30 end - 10 * depth as bigint) as score,
+      reason || ';distance=' || depth as evidence from near"""
+)
+def structural_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.structural_score(neighborhood_2(spark, sf_dir))
+
+
+@registered(
+    f"""
+    with {_EDGES}, t as (select node, 0 as tier from seeds union all select dst, 2 from e where src in (select node from seeds)
+      union all select src, 3 from e where dst in (select node from seeds))
+    select node, cast(min(tier) as bigint) as tier from t group by node"""
+)
+def structural_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.tiers(*_parts_graph(spark, sf_dir))
+
+
+@registered(
+    """
+    with e as (select distinct 'p' || l_partkey as src, 's' || l_suppkey as dst from lineitem)
+    select src, dst, greatest(count(*) over (partition by src) - 8, 0) as omitted from e qualify row_number() over (partition by src order by dst) <= 8"""
+)
+def visible_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.capped_edges(_parts_graph(spark, sf_dir)[0], 8)
+
+
+@registered(
+    r"""
+    with p as (select regexp_replace(regexp_extract(url, '^[^?#]*', 0), '^[a-z]+://', '') as path from pages),
+    f as (select path, regexp_replace(path, '/[^/]*$', '') as folder, row_number() over (partition by regexp_replace(path, '/[^/]*$', '') order by path) as place from p)
+    select path, folder, place from f where place <= 8"""
+)
+def nearby_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.nearby(_table(spark, sf_dir, "pages").select(_page_path(F.col("url")).alias("path")))
+
+
+@registered("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+def planned_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = _table(spark, sf_dir, "customer").select("c_custkey")
+    return graph.without_match(planned, _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@registered(
+    """
+    with e as (select *, last_value(case when event_type = 'click' then value end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as known from events)
+    select user_id as session_id, event_id as seq, known from e where event_type = 'view'"""
+)
+def ledger_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.latest_before(_traces(spark, sf_dir), "view", "click")
+
+
+@registered(
+    """
+    with e as (select *, max(case when event_type = 'purchase' then {'a': ts, 'b': event_id} end) over (partition by user_id) as last from events)
+    select user_id as session_id, event_id as seq from e where last is null or (ts, event_id) > (last.a, last.b)"""
+)
+def after_last_call(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.after_last(_traces(spark, sf_dir), "purchase")
+
+
+def _order_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("task"), F.col("o_orderstatus").alias("mode"), F.col("o_totalprice").alias("seconds"))
+
+
+@registered(
+    """
+    with c as (select o_custkey as task, nullif(count(*) filter (where o_orderstatus = 'F'), 0) as F, nullif(count(*) filter (where o_orderstatus = 'O'), 0) as O,
+      nullif(count(*) filter (where o_orderstatus = 'P'), 0) as P from orders group by 1)
+    select *, O - F as difference from c"""
+)
+def mode_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.mode_comparison(_order_runs(spark, sf_dir), ["F", "O", "P"])
+
+
+@registered(
+    """
+    with m as (select o_custkey as task, avg(o_totalprice) filter (where o_orderstatus = 'F') as c, avg(o_totalprice) filter (where o_orderstatus = 'O') as t from orders group by 1)
+    select task, case when abs(round(t - c, 6)) <= 10000 then 'similar' when t < c then 'lower' else 'higher' end as outcome from m where c is not null and t is not null"""
+)
+def discovery_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.similar_pairs(paired_compare(spark, sf_dir), 10_000.0)
+
+
+@registered("select o_orderstatus as mode, count(*) as runs, count(o_totalprice) as known, round(avg(o_totalprice), 4) as mean, min(o_totalprice) as least, max(o_totalprice) as most from orders group by 1")
+def suite_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.suite_aggregates(_order_runs(spark, sf_dir))
+
+
+@registered(
+    r"""select page_id, len(regexp_extract_all(html, '<a [^>]*href="[^"]*"')) as links, regexp_extract(html, '<h1>(.*?)</h1>', 1) as heading,
+      len(regexp_extract_all(html, '<script')) as scripts from pages"""
+)
+def page_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    html = F.col("html")
+    return _table(spark, sf_dir, "pages").select(
+        "page_id",
+        F.regexp_count(html, F.lit('<a [^>]*href="[^"]*"')).cast("long").alias("links"),
+        F.regexp_extract(html, "<h1>(.*?)</h1>", 1).alias("heading"),
+        F.regexp_count(html, F.lit("<script")).cast("long").alias("scripts"),
+    )
+
+
+@registered(
+    rf"""select conv_id, role, count(*) as messages, cast(sum(octet_length(encode(text))) as bigint) as bytes, cast(sum({_TOKENS.format("text")}) as bigint) as tokens from conversations group by 1, 2"""
+)
+def payload_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _table(spark, sf_dir, "conversations").groupBy("conv_id", "role")
+    return own.agg(F.count(F.lit(1)).alias("messages"), F.sum(F.octet_length("text")).cast("long").alias("bytes"), F.sum(token_count(F.col("text"))).alias("tokens"))
+
+
+@registered(
+    """
+    with a as (select doc_id, source, sha256(text) as h, sha256(case when lang = 'fr' then upper(text) else text end) as n from documents)
+    select source, count(*) as delivered, count(*) filter (where h <> n) as invalidated from a group by source"""
+)
+def invalidation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = F.when(F.col("lang") == "fr", F.upper("text")).otherwise(F.col("text"))
+    hashes = _table(spark, sf_dir, "documents").select("source", content_hash(F.col("text")).alias("old"), content_hash(now).alias("new"))
+    return hashes.groupBy("source").agg(F.count(F.lit(1)).alias("delivered"), F.count_if(F.col("old") != F.col("new")).alias("invalidated"))
+
+
+@registered(
+    """
+    with d as (select event_id, user_id, event_type, md5(props) as h, lag(md5(props)) over (partition by user_id, event_type order by ts, event_id) as before from events)
+    select event_id as seq, user_id as session_id, event_type as unit_id, case when before is null then 'new' when before = h then 'already_supplied' else 'changed' end as status from d"""
+)
+def ledger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.run_once(jobs.session_ledger(jobs.event_stream(spark, sf_dir)), "append", "ledger")
