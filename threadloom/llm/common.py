@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: A side of a join is broadcast only if its measured payload is at most this many bytes.
 BROADCAST_BYTES = 24 * 1024 * 1024
 
+#: Rows of an Arrow batch: texts may be long, and a batch is held twice on either side.
+BATCH_ROWS = 1000
+
 #: One word: a run of characters that are none of space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -29,6 +32,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches held to BATCH_ROWS rows from now on."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 

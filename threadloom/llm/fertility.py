@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema
 
+from .common import small_batches
 from .tokens import PIECE_VOCABULARY, VOCABULARY, byte_bpe, piece_alphabet, vocabulary_path
 
 
@@ -154,7 +155,7 @@ def fertility_rules(
             columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_SCHEMA)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], schema=pa.schema([*batch.schema, *_SCHEMA]))
 
-    return carried.mapInArrow(judge, T.StructType([*carried.schema, *from_arrow_schema(_SCHEMA)]))
+    return small_batches(carried).mapInArrow(judge, T.StructType([*carried.schema, *from_arrow_schema(_SCHEMA)]))
 
 
 def quality_digest(docs: DataFrame) -> DataFrame:
