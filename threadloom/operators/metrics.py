@@ -124,3 +124,19 @@ def similar_pairs(pairs: DataFrame, band: float) -> DataFrame:
 def suite_aggregates(runs: DataFrame) -> DataFrame:
     """Runs, known and mean seconds of each mode."""
     return runs.groupBy("mode").agg(F.count(F.lit(1)).alias("runs"), F.count("seconds").alias("known"), F.round(F.avg("seconds"), 4).alias("mean"), F.min("seconds").alias("least"), F.max("seconds").alias("most"))
+
+
+def remaining_ranges(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """Ranges of asked lines of each owner that are not known yet; both have owner and line."""
+    return islands(asked.join(known, ["owner", "line"], "left_anti"))
+
+
+def token_savings(units: DataFrame) -> DataFrame:
+    """Tokens of each conversation's whole history and of its selected messages, and what is saved."""
+    found = units.groupBy("conv_id").agg(F.sum("tokens").alias("full_tokens"), F.coalesce(F.sum(F.when(F.col("selected"), F.col("tokens"))), F.lit(0)).alias("selected_tokens"))
+    return found.withColumn("saved", F.col("full_tokens") - F.col("selected_tokens"))
+
+
+def newest(traces: DataFrame, offset: int, limit: int) -> DataFrame:
+    """A page of traces, newest first; ties go by id, so pages neither overlap nor leave gaps."""
+    return traces.orderBy(F.col("ts").desc(), F.col("seq").desc()).offset(offset).limit(limit)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, content_hash, token_count
 from ..operators import graph, grading, metrics, packing, relations, retrieval
-from ..sources import conversations
+from ..sources import conversations, events
 from ..streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -619,3 +619,71 @@ def invalidation(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ledger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.run_once(jobs.session_ledger(jobs.event_stream(spark, sf_dir)), "append", "ledger")
+
+
+@registered(
+    """
+    with s as (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) as step, try_cast(json_extract_string(props, '$.k') as bigint) as k from events)
+    select * from s where k is not null"""
+)
+def event_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.parsed_events(_table(spark, sf_dir, "events"))
+
+
+@registered(
+    r"""
+    with l as (select conv_id, turn, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from conversations)
+    select conv_id, turn, cast(line_no as integer) as line_no, line,
+      last_value(case when ends_with(line, '.') and len(string_split(line, ' ')) <= 3 then line end ignore nulls) over (partition by conv_id, turn order by line_no rows between unbounded preceding and current row) as section
+    from l"""
+)
+def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.sections(_table(spark, sf_dir, "conversations"))
+
+
+@registered(
+    """
+    with a as (select distinct l_orderkey as owner, cast(l_linenumber as bigint) as line from lineitem),
+    d as (select owner, line from a where (owner, line) not in (select l_orderkey, l_linenumber from lineitem where l_linestatus = 'F')),
+    g as (select owner, line, line - row_number() over (partition by owner order by line) as island from d)
+    select owner, min(line) as low, max(line) as high from g group by owner, island"""
+)
+def range_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("owner"), F.col("l_linenumber").cast("long").alias("line"), "l_linestatus")
+    return metrics.remaining_ranges(lines.select("owner", "line").distinct(), lines.filter("l_linestatus = 'F'").select("owner", "line"))
+
+
+@registered(
+    r"""
+    with p as (select page_id, regexp_replace(regexp_extract(url, '^[^?#]*', 0), '^[a-z]+://', '') as path from pages),
+    a as (select page_id, path from p where path not like '%.html'), b as (select page_id, regexp_replace(path, '\.html$', '') as path from p where path like '%.html')
+    select a.page_id as source_id, b.page_id as twin_id from a join b using (path)"""
+)
+def source_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", _page_path(F.col("url")).alias("path"))
+    plain = pages.filter(~F.col("path").endswith(".html")).select(F.col("page_id").alias("source_id"), "path")
+    twins = pages.filter(F.col("path").endswith(".html")).select(F.col("page_id").alias("twin_id"), F.regexp_replace("path", r"\.html$", "").alias("path"))
+    return plain.join(twins, "path").select("source_id", "twin_id")
+
+
+@registered(
+    rf"""
+    select conv_id, cast(sum({_TOKENS.format("text")}) as bigint) as full_tokens, cast(coalesce(sum({_TOKENS.format("text")}) filter (where role = 'assistant'), 0) as bigint) as selected_tokens,
+      cast(sum({_TOKENS.format("text")}) - coalesce(sum({_TOKENS.format("text")}) filter (where role = 'assistant'), 0) as bigint) as saved
+    from conversations group by conv_id"""
+)
+def token_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _table(spark, sf_dir, "conversations").select("conv_id", token_count(F.col("text")).alias("tokens"), (F.col("role") == "assistant").alias("selected"))
+    return metrics.token_savings(own)
+
+
+@registered("select event_id as seq, user_id as session_id from events order by ts desc, event_id desc limit 100 offset 100")
+def trace_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.newest(_traces(spark, sf_dir).select("seq", "session_id", "ts"), 100, 100).select("seq", "session_id")
+
+
+@registered("select o_orderkey, case when o_totalprice is null then 'blocked_incomplete' when o_orderstatus = 'F' then 'success' when o_orderstatus = 'O' then 'incomplete' else 'completed_failure' end as outcome from orders")
+def run_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.col("o_orderstatus")
+    outcome = F.when(F.col("o_totalprice").isNull(), "blocked_incomplete").when(status == "F", "success").when(status == "O", "incomplete").otherwise("completed_failure")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", outcome.alias("outcome"))
