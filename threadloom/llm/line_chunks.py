@@ -4,11 +4,14 @@ A document's lines are cut where a hash rolled over the hashes of two neighbouri
 ends in certain bits, so an insertion shifts boundaries only near itself. A long line is a
 chunk of its own. Chunks that stand in the corpus more than once, of several lines or of a
 passage's length, are removed but for the first, after their bytes have been compared.
+
+Boundaries seldom fall on both ends of a short passage, so ``remove_shared_runs`` finds
+passages of several lines whole, by windows of lines; the pipeline's stage does both.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, let, size_checked, stored
@@ -109,12 +112,109 @@ def remove_repeated_passages(
     return whole.select("row.*", F.struct(text_left.alias("text"), F.col("removed").alias("removed")).alias("passages"))
 
 
+def _line_pairs(docs: DataFrame, passage_words: int) -> DataFrame:
+    """A row (order, version, pair, lines) for each two neighbouring lines with words, and each line that is a passage by itself.
+
+    Lines without words are passed over. ``lines`` has both or the one, as (k, no, digest,
+    words): the place among lines with words and among all, SHA-256 and number of words.
+    """
+
+    def paired(lines: Column) -> Column:
+        def told(x: Column, k: Column) -> Column:
+            return F.struct(k.alias("k"), x["no"].alias("no"), x["digest"].alias("digest"), x["words"].alias("words"))
+
+        def with_next(x: Column, k: Column) -> Column:
+            after = F.get(lines, k + 1)
+            return F.struct(F.xxhash64(x["digest"], after["digest"]).alias("pair"), F.array(told(x, k), told(after, k + 1)).alias("lines"))
+
+        def alone(x: Column, k: Column) -> Column:
+            return F.struct(F.xxhash64(x["digest"]).alias("pair"), F.array(told(x, k)).alias("lines"))
+
+        long = F.filter(F.transform(lines, alone), lambda x: F.get(x["lines"], F.lit(0))["words"] > passage_words)
+        return F.concat(F.transform(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))), with_next), long)
+
+    def described(x: Column, no: Column) -> Column:
+        return F.struct(no.alias("no"), F.unhex(F.sha2(x, 256)).alias("digest"), F.regexp_count(x, F.lit(WORD)).alias("words"))
+
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), described), lambda x: x["words"] > 0)
+    # The outer form for the same reason as above.
+    rows = docs.select("order", "version", F.explode_outer(let(lines, paired)).alias("at"))
+    return rows.filter("at is not null").select("order", "version", "at.pair", "at.lines")
+
+
+def _least_windows(pairs: DataFrame, passage_words: int) -> DataFrame:
+    """(order, version, low, high, id): for each line, the shortest runs of over ``passage_words`` words that begin and that end with it.
+
+    Each line of a longer run lies in one of these that the run holds. Every line has a
+    word, so none has more than ``passage_words`` + 1 lines.
+    """
+    doc = ["order", "version"]
+    lines = pairs.select(*doc, F.explode("lines").alias("x")).select(*doc, "x.*").dropDuplicates([*doc, "k"])
+    lines = lines.withColumn("run", F.col("k") - F.row_number().over(Window.partitionBy(*doc).orderBy("k")))
+    of_run = Window.partitionBy(*doc, "run")
+    lines = lines.withColumn("end", F.sum("words").over(of_run.orderBy("k"))).withColumn("start", F.col("end") - F.col("words"))
+
+    def window(frame: Window) -> Column:
+        return F.struct(
+            F.min("no").over(frame).alias("low"),
+            F.max("no").over(frame).alias("high"),
+            F.sum("words").over(frame).alias("words"),
+            F.collect_list("digest").over(frame).alias("digests"),
+        )
+
+    begun, ended = window(of_run.orderBy("start").rangeBetween(0, passage_words)), window(of_run.orderBy("end").rangeBetween(-passage_words, 0))
+    both = lines.select(*doc, F.array(begun, ended).alias("both")).select(*doc, F.explode("both").alias("x")).filter(F.col("x.words") > passage_words)
+    return both.select(*doc, "x.low", "x.high", F.sha2(F.array_join(F.transform("x.digests", F.hex), ""), 256).alias("id"))
+
+
+def remove_shared_runs(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", passage_words: int = PASSAGE_WORDS) -> DataFrame:
+    """``docs`` with a struct ``runs``: text and removed (numbers of lines).
+
+    Every run of neighbouring lines with over ``passage_words`` words in all that stands at
+    an earlier place too is removed, whatever stands around it. Places are ordered as by
+    ``remove_repeated_passages``. Lines are the same if their bytes have one SHA-256, and
+    lines without words count neither way; those inside a run go with it.
+
+    What is exchanged: a hash for each pair of lines, and digests of the lines of pairs
+    that stand in the corpus more than once. A line of so many words is a run too.
+    """
+    named = docs.select(
+        F.struct("*").alias("row"),
+        F.col(text).alias("text"),
+        F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("order"),
+    ).withColumn("version", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    pairs = _line_pairs(named, passage_words)
+    repeated = stored(pairs.groupBy("pair").count().filter("count > 1").select("pair"), "repeated-pairs")
+    met = pairs.join(size_checked(repeated, 8), "pair")
+    windows = stored(_least_windows(met, passage_words), "windows")
+    at = F.struct("order", "version", "low")
+    firsts = windows.groupBy("id").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter(F.col("first") < F.col("last"))
+    firsts = stored(firsts.select("id", "first"), "first-windows")
+    later = windows.join(size_checked(firsts, 160), "id").filter(at > F.col("first"))
+    gone = later.select("order", "version", F.explode(F.sequence("low", "high")).alias("no"))
+    removed = stored(gone.groupBy("order", "version").agg(F.array_sort(F.collect_set("no")).alias("removed")), "removed-lines")
+
+    measured = removed.select("order", "version", "removed", F.array_join("removed", ",").alias("digits"))
+    table = size_checked(measured, 80, ["digits"]).drop("digits")
+    whole = named.join(table, ["order", "version"], "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+
+    def kept(lines: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
+        return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+
+    text_left = F.when(F.size("removed") > 0, let(F.split("text", "\n", -1), kept)).otherwise(F.col("text"))
+    return whole.select("row.*", F.struct(text_left.alias("text"), F.col("removed").alias("removed")).alias("runs"))
+
+
 def without_repeated(docs: DataFrame, *, text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """The columns of ``docs``, with repeated passages gone from the text.
 
-    Where there is a column of the text's length, it follows.
+    First go the shared runs of lines, then what chunks still repeat. Where there is a
+    column of the text's length, it follows.
     """
-    found = remove_repeated_passages(docs, text=text)
+    runs = remove_shared_runs(docs, text=text)
+    fewer = stored(runs.select(*[F.col("runs.text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]), "without-runs")
+    found = remove_repeated_passages(fewer, text=text)
     new = {text: F.col("passages.text"), **({length: F.length("passages.text").cast(docs.schema[length].dataType)} if length in docs.columns else {})}
     return found.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
