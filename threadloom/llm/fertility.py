@@ -33,14 +33,22 @@ class Band:
     most_bits: float
 
 
-#: By language code, then by script, then "": the first that is there holds.
+#: By language code, then by script, then "": the first that is there holds. The least
+#: characters per token and bits of the four languages are the 0.5% quantiles, rounded down
+#: to hundredths, of the 3,243 documents at sf0.1 that are labelled good and pass the base
+#: rules; all else is wide. "Other" has letters mostly of scripts not listed, "" has none.
 BANDS: Mapping[str, Band] = {
+    "en": Band(2.50, 8.0, 0.20, 5.82, 13.0),
+    "de": Band(2.26, 8.0, 0.20, 5.90, 13.0),
+    "fr": Band(2.05, 8.0, 0.20, 5.74, 13.0),
+    "es": Band(1.96, 8.0, 0.20, 5.74, 13.0),
     "Latin": Band(1.5, 8.0, 0.20, 4.0, 13.0),
     "Greek": Band(0.5, 6.0, 0.30, 3.5, 13.0),
     "Cyrillic": Band(0.5, 6.0, 0.30, 3.5, 13.0),
     "Arabic": Band(0.4, 5.0, 0.50, 3.0, 13.0),
     "Han": Band(0.3, 3.0, 0.60, 3.0, 13.0),
-    "": Band(0.3, 8.0, 0.60, 3.0, 13.0),
+    "Other": Band(0.3, 8.0, 0.60, 3.0, 13.0),
+    "": Band(2.0, 4.0, 0.05, 6.0, 13.0),
 }
 
 #: First and last code point of the letters by which a script is told; the most frequent wins.
@@ -86,11 +94,15 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
 
 
 def script_of(text: str) -> str:
-    """The script with most letters; "" where there is none. A tie goes to the first listed."""
+    """The script with most letters, "Other" for all that are not listed; "" where there is no letter. A tie goes to the first listed."""
     if text.isascii():
         return "Latin" if any(map(str.isalpha, text)) else ""
     points = np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4")
     counts = {name: sum(int(((points >= a) & (points <= b)).sum()) for a, b in ranges) for name, ranges in SCRIPTS.items()}
+    unlisted = points[points >= 0xAA]
+    for a, b in (r for ranges in SCRIPTS.values() for r in ranges):
+        unlisted = unlisted[(unlisted < a) | (unlisted > b)]
+    counts["Other"] = sum(map(str.isalpha, map(chr, unlisted.tolist())))
     best = max(counts, key=counts.__getitem__)
     return best if counts[best] else ""
 
