@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -81,58 +82,71 @@ def test_long_runs_do_not_stall(spark):
     assert {r.doc_id: r.n_hex for r in ownership.secrets_digest(docs).collect()}[6] == 1
 
 
-def revealing(lines_by_doc, rules=disclosure.Disclosure()):  # noqa: B008
-    """(doc, line no, term) -> share, by brute force over lines."""
-    cut = re.compile(r"[\x20\x09-\x0D.,;:!?\"'()\[\]]+")
-    n_e, n_t, both, where = Counter(), Counter(), Counter(), defaultdict(set)
-    total, near = 0, []
-    for doc, text in lines_by_doc:
-        for no, line in enumerate(text.split("\n")):
-            total += 1
-            for t in {t for t in cut.split(line) if len(t) >= 2}:
-                n_t[t] += 1
-            ents = {f"{k}:{v.lower() if k == 'email' else re.sub('[^0-9]', '', v)}" for k, _, _, v in personal(line)}
-            rest = line
-            for p in (EMAIL, IP, CARD, PHONE):
-                rest = p.sub(" ", rest)
-            for e in ents:
+CUT = re.compile(r"[\x20\x09-\x0D.,;:!?\"'()\[\]]+")
+TERM = re.compile(r"[^\x20\x09-\x0D.,;:!?\"'()\[\]]+")
+
+
+def tokens_of(text, rules):
+    """Mentions and the terms that meet none, in order: (start, end, entity or None, term or None)."""
+    spans = [(a, b, f"{k}:{v.lower() if k == 'email' else re.sub('[^0-9]', '', v)}") for k, a, b, v in personal(text)]
+    out = [(a, 0, b, e, None) for a, b, e in spans]
+    for m in TERM.finditer(text):
+        if len(m[0]) >= rules.shortest and not any(a < m.end() and m.start() < b for a, b, _ in spans):
+            out.append((m.start(), 1, m.end(), None, m[0].lower()))
+    return [(a, b, e, t) for a, _, b, e, t in sorted(out, key=lambda x: x[:2])]
+
+
+def revealing(docs, rules=disclosure.Disclosure()):  # noqa: B008
+    """{(doc, start, end): share}, by brute force over the tokens of each text."""
+    n_e, n_t, both = Counter(), Counter(), Counter()
+    where, mentioned = defaultdict(set), defaultdict(set)
+    total = 0
+    for doc, text in docs:
+        said = [t for t in CUT.split(text.lower()) if len(t) >= rules.shortest]
+        total += len(said)
+        n_t.update(said)
+        tokens = tokens_of(text, rules)
+        for i, (_, _, e, _) in enumerate(tokens):
+            if e:
+                around = [t for *_, t in tokens[max(0, i - rules.reach) : i + rules.reach + 1] if t]
                 n_e[e] += 1
-                where[e].add(line)
-                for t in {t for t in cut.split(rest) if len(t) >= 2}:
+                mentioned[doc].add(e)
+                context = tuple(dict.fromkeys(around))
+                where[e].add(context)
+                for t in set(around):
                     both[e, t] += 1
-                    where[e, t].add(line)
-                    near.append((doc, no, e, t))
-    out = {}
-    for doc, no, e, t in near:
-        bits = math.log2(total / n_e[e])
+                    where[e, t].add(context)
+    shares = {}
+    for (e, t), n in both.items():
+        bits = -math.log2(min(1, n_e[e] * 2 * rules.reach / total))
         if len(where[e]) >= rules.contexts and len(where[e, t]) >= rules.contexts and bits >= rules.least_bits:
-            share = math.log2(both[e, t] * total / (n_t[t] * n_e[e])) / bits
-            if share >= rules.generalise:
-                out[doc, no, t] = max(share, out.get((doc, no, t), 0))
+            shares[e, t] = 1 + math.log2(min(1, n / n_t[t])) / bits
+    out = {}
+    for doc, text in docs:
+        for a, b, _, t in tokens_of(text, rules):
+            share = max((shares.get((e, t), 0) for e in mentioned[doc]), default=0)
+            if t and share >= rules.generalise:
+                out[doc, a, b] = share
     return out
 
 
 def test_terms_that_reveal_an_entity(spark):
     pick = random.Random(8)
     word = lambda: f"w{pick.randrange(60)}"
-    docs = [(i, "\n".join(" ".join(word() for _ in range(8)) for _ in range(6))) for i in range(120)]
-    for i in range(5):
-        docs.append((200 + i, f"first {word()} line\nwrite to Kim.Lee@corp.example.com at zorkville, ask {word()} for quux {word()}\nend"))
+    docs = [(i, "\n".join(" ".join(word() for _ in range(8)) for _ in range(12))) for i in range(150)]
+    for i in range(5):  # one field a line: what reveals the address stands on other lines
+        docs.append((200 + i, f"first {word()} line\n{word()} zorkville\nwrite to Kim.Lee@corp.example.com\nask {word()} for quux {word()}\n" + " ".join(word() for _ in range(20)) + "\nback in Zorkville"))
     docs += [(300 + i, f"{word()} quux {word()}") for i in range(9)]
-    docs += [(400 + i, docs[122][1]) for i in range(4)]
+    docs += [(400 + i, docs[152][1]) for i in range(4)]
     expected = revealing(docs)
-    assert {t for _, _, t in expected} >= {"zorkville"}
+    text_of = dict(docs)
+    assert {text_of[d][a:b] for d, a, b in expected} >= {"zorkville", "Zorkville", "quux"}
     table = cases.docs(spark, [(i, t, "en", "a", 1) for i, t in docs])
     rows = disclosure.sanitise(table).collect()
     assert table.columns + ["personal"] == list(rows[0].asDict())
-    text_of = dict(docs)
     for r in rows:
-        starts, at = [], 0
-        for line in text_of[r.doc_id].split("\n"):
-            starts.append(at)
-            at += len(line) + 1
-        got = {(sum(x <= s.start for x in starts) - 1, s.value, s.kind) for s in r.personal.terms}
-        want = {(no, t, "removed_term" if share >= 0.9 else "general_term") for (doc, no, t), share in expected.items() if doc == r.doc_id}
+        got = {(s.start, s.end, s.value, s.kind) for s in r.personal.terms}
+        want = {(a, b, text_of[doc][a:b], "removed_term" if share >= 0.9 else "general_term") for (doc, a, b), share in expected.items() if doc == r.doc_id}
         assert got == want
         for s in r.personal.terms:
             assert text_of[r.doc_id][s.start : s.end] == s.value
@@ -143,6 +157,26 @@ def test_terms_that_reveal_an_entity(spark):
             assert r.personal.text == text_of[r.doc_id]
 
 
+def test_many_matches_in_one_text_take_seconds(spark):
+    n = 50_000
+    many = "".join(f"to user{i}@mail.example.com now\n" for i in range(n))
+    keys = "".join(f"token: {i:x}Zk3vQ9xLm2Rt8WbN, Ab1Cd2Ef3Gh4Ij5Kl{i:06d}\n" for i in range(n))
+    docs = cases.docs(spark, [(1, many, "en", "a", 1), (2, keys, "en", "a", 1)], partitions=2)
+    begin = time.perf_counter()
+    row = disclosure.sanitise(docs).filter("doc_id = 1").first()
+    assert len(row.personal.base) == n and row.personal.text == "to [EMAIL] now\n" * n
+    row = ownership.find_secrets(docs).filter("doc_id = 2").first()
+    assert len(row.secrets.base) == n and len(row.secrets.tokens) == n
+    assert time.perf_counter() - begin < 120
+
+
+def test_result_columns_replace_those_of_their_name(spark):
+    docs = cases.docs(spark).withColumnsRenamed({"kept": "personal", "hash": "secrets", "key": "row", "spans": "text_key"})
+    for found, name in ((disclosure.sanitise(docs), "personal"), (ownership.find_secrets(docs), "secrets")):
+        assert found.columns == [c for c in docs.columns if c != name] + [name]
+        assert len(found.select("*").collect()) == docs.count()
+
+
 @pytest.mark.parametrize("table", ["noise", "awkward", "real"])
 def test_secrets_against_plain_code(spark, small, table):
     if table == "real":

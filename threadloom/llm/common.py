@@ -1,78 +1,57 @@
-"""Scratch tables, size-checked joins and column names that cannot clash."""
+"""Batches of bounded bytes, row keys, and column names that cannot clash."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only if its measured payload is at most this many bytes.
-BROADCAST_BYTES = 24 * 1024 * 1024
+from ..shared import BROADCAST_BYTES, payload, shared_dir, size_checked, stored
 
-#: Rows of an Arrow batch: texts may be long, and a batch is held twice on either side.
-BATCH_ROWS = 1000
+__all__ = ["BROADCAST_BYTES", "WORD", "beside", "free_name", "let", "payload", "row_key", "scan", "shared_dir", "size_checked", "small_batches", "stored"]
+
+#: Bytes of an Arrow batch, unless one row has more: a batch is held twice on either side.
+BATCH_BYTES = 2 * 1024 * 1024
 
 #: One word: a run of characters that are none of space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and every executor share.
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches held to BATCH_BYTES from now on.
 
-    It is read from ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary folder is made and set for the session.
+    Spark reads this setting when the query runs, so it stays; a session that asks for
+    smaller batches keeps its own.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="threadloom-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, with the session's Arrow batches held to BATCH_ROWS rows from now on."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(conf.get(name).rstrip("b")) <= BATCH_BYTES:
+        conf.set(name, f"{BATCH_BYTES}b")
     return df
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
+def row_key(doc_id: Column, text: Column) -> Column:
+    """Key of a row that has no better one: its id and the hash of its text.
 
-    This cuts the lineage: a lost executor costs only the tasks that it ran, and values
-    such as ``monotonically_increasing_id()`` are fixed once written.
+    Rows that agree in both are the same document, and get the same result.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/threadloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def payload(table: DataFrame, row_bytes: int, texts: Sequence[str] = ()) -> int:
-    """Bytes of a stored table: so many per row, and the length of its text columns."""
-    sizes = [F.coalesce(F.sum(F.octet_length(F.col(c)).cast("long")), F.lit(0)) for c in texts]
-    row = table.agg(F.count(F.lit(1)), *sizes).first()
-    return row[0] * row_bytes + sum(row[1:])
-
+    return F.md5(F.concat_ws("\x1f", F.coalesce(doc_id.cast("string"), F.lit("~")), F.coalesce(F.md5(text.cast("binary")), F.lit("~"))))
 
-def size_checked(table: DataFrame, row_bytes: int, texts: Sequence[str] = (), limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``table``, marked for broadcast if its measured payload is within ``limit``.
 
-    Beyond it the join is left to a shuffle, where adaptive execution splits hot keys.
-    """
-    return F.broadcast(table) if payload(table, row_bytes, texts) <= limit else table.hint("merge")
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def row_key(doc_id: Column, text: Column) -> Column:
-    """Key of a row that has no better one: its id and the hash of its text.
+def beside(docs: DataFrame, result: str, row: str = "row") -> list[Column]:
+    """The columns of ``docs`` out of the struct ``row``, to stand beside a result column.
 
-    Rows that agree in both are the same document, and get the same result.
+    One rule for clashes: an input column that has the result's name is replaced by it.
     """
-    return F.md5(F.concat_ws("\x1f", F.coalesce(doc_id.cast("string"), F.lit("~")), F.coalesce(F.md5(text.cast("binary")), F.lit("~"))))
+    return [F.col(row).getField(c).alias(c) for c in docs.columns if c.lower() != result.lower()]
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -82,3 +61,29 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     computed again for each element; what is bound to a lambda's variable is not.
     """
     return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def scan(values: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """States of a fold over an array, one before each element: ``step(state, x)`` gives the next.
+
+    States are whole numbers. A fold that grows its list at each element copies it each
+    time; here lists grow by blocks of the root of the array's size, so hundreds of
+    thousands of elements take a few seconds.
+    """
+    done, blocks = "array<int>", "array<array<int>>"
+
+    def folded(xs: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(xs))).cast("int")
+
+        def one(acc: Column, x: Column) -> Column:
+            return F.struct(step(acc["state"], x).cast("int").alias("state"), F.concat(acc["done"], F.array(acc["state"])).alias("done"))
+
+        def block(acc: Column, i: Column) -> Column:
+            inner = F.aggregate(F.slice(xs, i * size + 1, size), F.struct(acc["state"].alias("state"), F.array().cast(done).alias("done")), one)
+            return let(inner, lambda b: F.struct(b["state"].alias("state"), F.concat(acc["done"], F.array(b["done"])).alias("done")))
+
+        begin = F.struct(start.cast("int").alias("state"), F.array().cast(blocks).alias("done"))
+        whole = F.aggregate(F.sequence(F.lit(0), F.ceil(F.size(xs) / size).cast("int") - 1), begin, block, lambda acc: F.flatten(acc["done"]))
+        return F.when(F.size(xs) > 0, whole).otherwise(F.array().cast(done))
+
+    return let(values, folded)

@@ -2,22 +2,23 @@
 
 Spans of fixed shape (e-mail, IP address, card, phone) are found in every text. Their
 values are protected entities. How strongly a term reveals one is estimated from the
-corpus, over lines as contexts: with N lines, PMI(t; e) = log2(n(t, e) N / (n(t) n(e))),
-and the entity's information is IC(e) = log2(N / n(e)). Where PMI / IC reaches a
-threshold, knowing the term gives away that share of the entity, and beside the entity the
-term is generalised, or from a higher threshold on removed.
+corpus, over the places of terms: with N places, n(t) of them holding a term t, and m(e)
+within reach of a mention of an entity e, PMI(t; e) = log2(n(t, e) N / (n(t) m(e))), and
+the entity's information is IC(e) = log2(N / m(e)). Where PMI / IC reaches a threshold,
+knowing the term gives away that share of the entity; in every text that mentions the
+entity the term is then generalised, or from a higher threshold on removed.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import size_checked, stored
-from .spans import as_text, count_where, match_spans, replaced, with_kind
+from .common import beside, size_checked, stored
+from .spans import PLACES, as_text, count_where, match_spans, replaced, with_kind
 
 KINDS = ("email", "ip", "card", "phone")
 #: Each is written so that a failed start is not tried again inside the same run, which
@@ -41,7 +42,9 @@ class Disclosure:
 
     generalise: float = 0.7
     remove: float = 0.9
-    #: Distinct lines in which an entity and a term must meet; fewer are no evidence.
+    #: Terms and mentions on either side of a mention that are within its reach.
+    reach: int = 8
+    #: Different surroundings in which an entity and a term must meet; fewer are no evidence.
     contexts: int = 3
     #: Bits that an entity must carry; one that stands everywhere identifies nobody.
     least_bits: float = 6.0
@@ -63,7 +66,7 @@ def luhn(digits: Column) -> Column:
 
 def base_spans(text: Column) -> dict[str, Column]:
     """Places of each kind; matches that fail its further condition are dropped."""
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    none = F.array().cast(PLACES)
     place = {k: match_spans(text, F.lit(PATTERNS[k])) for k in KINDS}
     return {
         "email": F.when(F.contains(text, F.lit("@")), place["email"]).otherwise(none),
@@ -73,69 +76,75 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-def _lines(text: Column) -> Column:
-    """no, start and text of each line."""
-    parts = F.split(text, "\n", -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,line:string>>").alias("found"))
-    step = lambda acc, x: F.struct((acc["at"] + F.length(x) + 1).alias("at"), F.concat(acc["found"], F.array(F.struct(acc["at"].alias("start"), x.alias("line")))).alias("found"))
-    return F.aggregate(parts, start, step, lambda acc: acc["found"])
+def _words(text: Column) -> Column:
+    return F.split(F.lower(text), _CUT + "+", -1)
 
 
-def _terms(line: Column, shortest: int) -> Column:
-    return F.filter(F.array_distinct(F.split(line, _CUT + "+", -1)), lambda t: F.length(t) >= shortest)
+def _entity(s: Column) -> Column:
+    return F.concat_ws(":", s["kind"], F.when(s["kind"] == "email", F.lower(s["value"])).otherwise(_digits(s["value"])))
 
 
-def _quoted(term: Column) -> Column:
-    return F.concat(F.lit("\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+def _tokens(texts: DataFrame, rules: Disclosure) -> DataFrame:
+    """(text_key, times, start, end, entity, value, term): mentions and terms of each text.
+
+    A term that meets a mention is left out: seen from the left, one that starts before
+    the end of an earlier mention; from the right, one that ends behind the start of a later.
+    """
+    mentions = F.transform("base", lambda s: F.struct(s["start"], s["end"], _entity(s).alias("entity"), F.lit(None).cast("string").alias("value")))
+    places = F.filter(match_spans(F.col("text"), F.lit(_NOT_CUT + "+")), lambda p: F.length(p["value"]) >= rules.shortest)
+    terms = F.transform(places, lambda p: F.struct(p["start"], p["end"], F.lit(None).cast("string").alias("entity"), p["value"]))
+    rows = texts.select("text_key", "times", F.explode_outer(F.concat(mentions, terms)).alias("x")).select("text_key", "times", "x.*")
+    mention = F.col("entity").isNotNull()
+    before = W.partitionBy("text_key").orderBy("start", F.col("entity").isNull()).rowsBetween(W.unboundedPreceding, 0)
+    after = W.partitionBy("text_key").orderBy(F.col("start").desc(), F.col("entity").isNull()).rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("upto", F.max(F.when(mention, F.col("end"))).over(before)).withColumn("from", F.min(F.when(mention, F.col("start"))).over(after))
+    apart = mention | ((F.coalesce("upto", F.lit(0)) <= F.col("start")) & (F.coalesce("from", F.lit(2**31 - 1)) >= F.col("end")))
+    return rows.filter(apart).drop("upto", "from").withColumn("term", F.lower("value"))
 
 
 def revealing_terms(found: DataFrame, rules: Disclosure) -> DataFrame | None:
     """(text_key, terms): spans of revealing terms for each distinct text that has some.
 
     ``found`` has text, text_key and base (the base spans). None if no term qualifies.
+    Each mention meets at most twice ``rules.reach`` terms, so pairs grow with the input.
     """
-    near = found.filter(F.size("base") > 0).select("text_key", "text", "base", F.posexplode(_lines(F.col("text"))).alias("no", "at"))
-    inside = F.filter("base", lambda s: (s["start"] >= F.col("at.start")) & (s["end"] <= F.col("at.start") + F.length("at.line")))
-    entity = F.array_distinct(F.transform(inside, lambda s: F.concat_ws(":", s["kind"], F.when(s["kind"] == "email", F.lower(s["value"])).otherwise(_digits(s["value"])))))
-    near = near.select("text_key", "no", F.col("at.start").alias("start"), F.col("at.line").alias("line"), entity.alias("entities")).filter(F.size("entities") > 0)
-    kept = near.groupBy("text_key", "no").agg(F.count(F.lit(1)).alias("times"), *[F.first(c).alias(c) for c in ("start", "line", "entities")])
-    kept = stored(kept, "lines-with-entities")
-
-    plain = reduce(lambda line, k: F.regexp_replace(line, PATTERNS[k], " "), KINDS, F.col("line"))
-    pairs = kept.select("text_key", "no", "times", F.xxhash64("line").alias("context"), F.explode("entities").alias("entity"), _terms(plain, rules.shortest).alias("terms"))
-    entities = pairs.groupBy("entity").agg(F.sum("times").alias("n_entity"), F.count_distinct("context").alias("contexts")).filter(F.col("contexts") >= rules.contexts)
+    texts = found.filter(F.size("base") > 0).groupBy("text_key").agg(F.count(F.lit(1)).alias("times"), F.first("text").alias("text"), F.first("base").alias("base"))
+    texts = stored(texts, "texts-with-entities")
+    near = W.partitionBy("text_key").orderBy("start", F.col("entity").isNull()).rowsBetween(-rules.reach, rules.reach)
+    mentions = _tokens(texts, rules).withColumn("around", F.array_distinct(F.collect_list("term").over(near))).filter("entity is not null")
+    mentions = stored(mentions.select("text_key", "times", "entity", "around", F.xxhash64("around").alias("context")), "mentions")
+
+    entities = mentions.groupBy("entity").agg(F.sum("times").alias("n_entity"), F.count_distinct("context").alias("contexts")).filter(F.col("contexts") >= rules.contexts)
     entities = stored(entities.select("entity", "n_entity"), "entities")
     if not entities.take(1):
         return None
-    met = pairs.join(size_checked(entities, 24, ["entity"]), "entity").withColumn("term", F.explode("terms")).drop("terms")
+    met = mentions.join(size_checked(entities, 24, ["entity"]), "entity").select("entity", "n_entity", "times", "context", F.explode("around").alias("term"))
     together = met.groupBy("entity", "term", "n_entity").agg(F.sum("times").alias("n_both"), F.count_distinct("context").alias("contexts"))
     together = stored(together.filter(F.col("contexts") >= rules.contexts).drop("contexts"), "pairs")
     asked = stored(together.select("term").distinct(), "asked-terms")
 
-    lines = found.select(F.explode(F.split("text", "\n", -1)).alias("line"))
-    total = found.agg(F.sum(F.size(F.split("text", "\n", -1)))).first()[0]
-    counts = lines.select(F.explode(_terms(F.col("line"), rules.shortest)).alias("term")).join(size_checked(asked, 16, ["term"]), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    counts = stored(counts, "term-counts")
-    bits = F.log2(F.lit(float(total)) / F.col("n_entity"))
-    share = F.log2(F.col("n_both") * float(total) / (F.col("n_term") * F.col("n_entity"))) / bits
-    judged = together.join(size_checked(counts, 24, ["term"]), "term").filter((bits >= rules.least_bits) & (share >= rules.generalise))
+    long_enough = lambda t: F.length(t) >= rules.shortest
+    total = float(found.agg(F.sum(F.size(F.filter(_words(F.col("text")), long_enough)))).first()[0] or 1)
+    said = found.select(F.explode_outer(_words(F.col("text"))).alias("term"))
+    counts = stored(said.join(size_checked(asked, 16, ["term"]), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_term")), "term-counts")
+    reached = F.least(F.lit(1.0), F.col("n_entity") * (2.0 * rules.reach) / total)
+    bits = -F.log2(reached)
+    share = 1 + F.log2(F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))) / F.nullif(bits, F.lit(0.0))
+    judged = together.join(size_checked(counts, 24, ["term"]), "term").filter(bits >= rules.least_bits).filter(share >= rules.generalise)
     judged = stored(judged.select("entity", "term", (share >= rules.remove).alias("remove")), "revealing")
     if not judged.take(1):
         return None
-    marked = met.select("text_key", "no", "entity", "term").join(size_checked(judged, 24, ["entity", "term"]), ["entity", "term"])
-    of_line = marked.groupBy("text_key", "no", "term").agg(F.max("remove").alias("remove"))
-    chosen = of_line.groupBy("text_key", "no").agg(*[F.collect_list(F.when(F.col("remove") == flag, _quoted(F.col("term")))).alias(name) for name, flag in (("removed", True), ("general", False))])
-    chosen = stored(chosen, "terms-of-lines")
-    located = kept.join(chosen, ["text_key", "no"])
-
-    def spans(column: str, kind: str, rank: int) -> Column:
-        pattern = F.concat(F.lit(rf"(?<!{_NOT_CUT})(?:"), F.array_join(column, "|"), F.lit(rf")(?!{_NOT_CUT})"))
-        places = F.when(F.size(column) > 0, match_spans(F.col("line"), pattern)).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
-        moved = F.transform(places, lambda p: F.struct((p["start"] + F.col("start")).alias("start"), (p["end"] + F.col("start")).alias("end"), p["value"].alias("value")))
-        return with_kind(moved, kind, rank)
-
-    per_line = located.select("text_key", F.concat(spans("general", "general_term", 4), spans("removed", "removed_term", 5)).alias("terms"))
-    return stored(per_line.groupBy("text_key").agg(F.array_sort(F.flatten(F.collect_list("terms"))).alias("terms")), "term-spans")
+    of_text = mentions.select("text_key", "entity").distinct().join(size_checked(judged, 24, ["entity", "term"]), "entity")
+    chosen = stored(of_text.groupBy("text_key", "term").agg(F.max("remove").alias("remove")), "terms-of-texts")
+    holding = stored(chosen.select("text_key").distinct(), "texts-with-terms")
+    again = texts.join(size_checked(holding, 48), "text_key", "left_semi")
+    located = _tokens(again, rules).filter("term is not null").join(size_checked(chosen, 56, ["term"]), ["text_key", "term"])
+    span = F.struct(
+        F.when(F.col("remove"), 5).otherwise(4).alias("rank"), "start", "end", F.when(F.col("remove"), "removed_term").otherwise("general_term").alias("kind"), "value"
+    )
+    per_text = located.groupBy("text_key").agg(F.collect_list(span).alias("terms"))
+    by_start = F.array_sort(F.transform("terms", lambda s: F.struct(s["start"].alias("at"), s.alias("s"))))
+    return stored(per_text.select("text_key", F.transform(by_start, lambda x: x["s"]).alias("terms")), "term-spans")
 
 
 _NOT_CUT = "[^" + _CUT[1:]
@@ -145,12 +154,15 @@ def sanitise(docs: DataFrame, *, text: str = "text", rules: Disclosure = Disclos
     """``docs`` with a struct ``personal``: base, terms (spans: rank, start, end, kind, value) and text.
 
     ``base`` has the spans of fixed shape by kind and start; ``terms`` those of the
-    method, of kinds general_term and removed_term. ``text`` has a mark for each base span
-    and each generalised term, and no removed term. Counts cover all rows, copies too, but
-    an entity and a term must meet in ``rules.contexts`` different lines.
+    method by start, of kinds general_term and removed_term, wherever they stand in a text
+    that mentions their entity. ``text`` has a mark for each base span and each
+    generalised term, and no removed term. Counts cover all rows, copies too, but an
+    entity and a term must meet in ``rules.contexts`` different surroundings.
 
     A null text counts as empty and stays null in the result. Repeated rows get equal
-    results. An empty table gives no rows. Other columns pass through, whatever their names.
+    results. An empty table gives no rows. A text may have any length and any number of
+    spans: the work grows in proportion. Other columns pass through; one named
+    ``personal`` is replaced.
     """
     found = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     found = found.withColumns({f"at_{k}": v for k, v in base_spans(F.col("text")).items()})
@@ -166,8 +178,8 @@ def sanitise(docs: DataFrame, *, text: str = "text", rules: Disclosure = Disclos
         joined = found.join(size_checked(measured, 64, ["said"]).drop("said"), "text_key", "left").withColumn("terms", F.coalesce("terms", empty))
     shown = {k: f"[{k.upper()}]" for k in KINDS} | {"general_term": "[TERM]", "removed_term": ""}
     clean = F.when(F.size("base") > 0, replaced(F.col("text"), F.concat("base", "terms"), shown)).otherwise(F.col("text"))
-    clean = F.when(F.col(f"row.`{text}`").isNotNull(), clean)
-    return joined.select("row.*", F.struct("base", "terms", clean.alias("text")).alias("personal"))
+    clean = F.when(F.col("row").getField(text).isNotNull(), clean)
+    return joined.select(*beside(docs, "personal"), F.struct("base", "terms", clean.alias("text")).alias("personal"))
 
 
 def personal_digest(docs: DataFrame) -> DataFrame:

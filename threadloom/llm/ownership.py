@@ -13,8 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import size_checked, stored
-from .spans import as_text, count_where, match_spans, with_kind
+from .common import BROADCAST_BYTES, beside, let, scan, size_checked, stored
+from .spans import PLACES, as_text, count_where, match_spans, with_kind
 
 KINDS = ("assign", "access", "hex")
 PATTERNS = {
@@ -42,7 +42,7 @@ def base_places(text: Column) -> dict[str, Column]:
     assign = match_spans(text, F.lit(PATTERNS["assign"]), 2)
     return {
         "assign": F.filter(assign, lambda p: F.length(p["value"]) >= 12),
-        "access": F.when(F.contains(text, F.lit("AKIA")), match_spans(text, F.lit(PATTERNS["access"]))).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>")),
+        "access": F.when(F.contains(text, F.lit("AKIA")), match_spans(text, F.lit(PATTERNS["access"]))).otherwise(F.array().cast(PLACES)),
         "hex": match_spans(text, F.lit(PATTERNS["hex"])),
     }
 
@@ -71,6 +71,32 @@ def candidate_owners(candidates: DataFrame, rules: Ownership) -> DataFrame:
     return owners.groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repos").alias("n_repos"))
 
 
+def _uncovered(spans: Column) -> Column:
+    """Spans by start without the tokens that meet another span.
+
+    A token meets one that starts no later if that ends behind the token's start, and one
+    that starts later if that starts before the token's end: a scan from either side.
+    """
+
+    def kept(xs: Column) -> Column:
+        ends = scan(xs, F.lit(0), lambda at, s: F.when(s["kind"] == "token", at).otherwise(F.greatest(at, s["end"])))
+        starts = scan(F.reverse(xs), F.lit(2**31 - 1), lambda at, s: F.when(s["kind"] == "token", at).otherwise(F.least(at, s["start"])))
+
+        def alone(s: Column, i: Column, before: Column, after: Column) -> Column:
+            return (s["kind"] != "token") | ((s["start"] >= F.get(before, i)) & (s["end"] <= F.get(after, F.size(xs) - 1 - i)))
+
+        return let(ends, lambda before: let(starts, lambda after: F.filter(xs, lambda s, i: alone(s, i, before, after))))
+
+    return let(spans, kept)
+
+
+def candidate_spans(text: Column) -> Column:
+    """All candidates by start, then kind: base spans, and tokens that no base span meets."""
+    base = F.concat(*[F.transform(with_kind(v, k, i), _by_start) for i, (k, v) in enumerate(base_places(text).items())])
+    tokens = F.transform(with_kind(mixed_tokens(text), "token", len(KINDS)), _by_start)
+    return let(base, lambda b: let(tokens, lambda t: F.when(F.size(t) > 0, _uncovered(F.array_sort(F.concat(b, t)))).otherwise(F.array_sort(b))))
+
+
 def find_secrets(
     docs: DataFrame,
     *,
@@ -81,52 +107,52 @@ def find_secrets(
 ) -> DataFrame:
     """``docs`` with a struct ``secrets``: base and tokens (spans with a verdict each).
 
-    A span has rank, start, end, kind, value and class: ``example`` if at least
+    A span has start, rank, end, kind, value and class: ``example`` if at least
     ``rules.example_owners`` owners have the value, ``live`` if one owner has it and it
     looks random, else ``unclear``. ``base`` goes by start, then kind; ``tokens`` has only
     live ones, which the base patterns do not cover.
 
-    A null text counts as empty. Null owners are one owner, and null repositories one
-    repository of theirs. Repeated rows get equal results and count once. An empty table
-    gives no rows. Other columns pass through, whatever their names.
+    Texts are searched once; what is found is counted, and comes back to the rows by the
+    text's hash. A null text counts as empty. Null owners are one owner, and null
+    repositories one repository of theirs. Repeated rows get equal results and count once.
+    A text may have any length and any number of candidates: the work grows in proportion.
+    An empty table gives no rows. Other columns pass through; one named ``secrets`` is
+    replaced.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    found = docs.select(
-        F.struct("*").alias("row"),
-        whole.alias("text"),
+    # Hashed before the candidates are spread, or each of them would hash the whole text again.
+    named = docs.select(
+        F.md5(whole.cast("binary")).alias("text_key"),
         F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"),
         F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in repo]).alias("repo"),
+        whole.alias("text"),
     )
-    found = found.withColumns({f"at_{k}": v for k, v in base_places(F.col("text")).items()} | {"at_token": mixed_tokens(F.col("text"))})
-    base = F.array_sort(F.concat(*[F.transform(with_kind(F.col(f"at_{k}"), k, i), _by_start) for i, k in enumerate(KINDS)]))
-    found = found.withColumn("base", base)
-    covered = lambda t: F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    tokens = F.filter(F.transform(with_kind(F.col("at_token"), "token", len(KINDS)), _by_start), lambda t: ~covered(t))
-    found = found.withColumn("tokens", tokens).drop("at_token", *[f"at_{k}" for k in KINDS])
-    any_found = (F.size("base") > 0) | (F.size("tokens") > 0)
-    # A text without candidates has nothing to look up; a key of its own spreads such rows evenly.
-    own = F.concat(F.lit("-"), F.xxhash64("text").cast("string"), F.lit("-"), F.monotonically_increasing_id().cast("string"))
-    found = found.withColumn("text_key", F.when(any_found, F.md5(F.col("text").cast("binary"))).otherwise(own))
-
-    values = F.array_distinct(F.transform(F.concat("base", "tokens"), lambda s: s["value"]))
-    held = found.filter(any_found).select("text_key", "owner", "repo", F.explode(values).alias("value"))
-    held = stored(held.select("text_key", "owner", "repo", "value", F.md5("value").alias("hash")), "secret-candidates")
+    # The outer form, as the optimiser would search texts again to leave out those without candidates.
+    found = named.select("text_key", "owner", "repo", F.posexplode_outer(candidate_spans(F.col("text"))).alias("no", "s")).filter("s is not null")
+    held = stored(found.select("*", F.md5("s.value").alias("hash")), "secret-candidates")
     counts = candidate_owners(held, rules)
-    values = held.groupBy("hash").agg(F.max(looks_live(F.col("value"), rules).cast("int")).alias("live"))
+    values = held.groupBy("hash").agg(F.max(looks_live(F.col("s.value"), rules).cast("int")).alias("live"))
     verdict = F.when(F.col("n_owners") >= rules.example_owners, "example").when((F.col("n_owners") == 1) & (F.col("live") == 1), "live").otherwise("unclear")
     classed = stored(counts.join(values, "hash").select("hash", verdict.alias("class")), "secret-classes")
-    texts = stored(held.groupBy("text_key", "hash").agg(F.lit(1).alias("one")).drop("one"), "secret-texts")
-    known = texts.join(size_checked(classed, 64), "hash").groupBy("text_key").agg(F.collect_list(F.struct("hash", "class")).alias("known"))
-    known = stored(known.withColumn("known", F.map_from_entries("known")), "secrets-of-texts")
 
-    measured = known.withColumn("n", F.array_join(F.map_keys("known"), "-----------"))
-    joined = found.join(size_checked(measured, 64, ["n"]).drop("n"), "text_key", "left")
+    texts = stored(held.groupBy("text_key", "no").agg(F.first("s").alias("s"), F.first("hash").alias("hash")), "secret-texts")
+    judged = texts.join(size_checked(classed, 64), "hash").filter((F.col("s.kind") != "token") | (F.col("class") == "live"))
+    one = F.struct(*[F.col(f"s.{c}").alias(c) for c in ("start", "rank", "end", "kind", "value")], "class")
+    known = judged.groupBy("text_key").agg(F.array_sort(F.collect_list(one)).alias("spans"), F.sum(F.octet_length("s.value") + 32).alias("bytes"))
+    known = stored(known, "secrets-of-texts")
+
+    small = payload_of(known)
+    named = docs.select(F.struct("*").alias("row"), F.md5(whole.cast("binary")).alias("text_key"))
+    joined = named.join(small, "text_key", "left").withColumn("spans", F.coalesce("spans", F.array().cast(known.schema["spans"].dataType)))
+    base, tokens = F.filter("spans", lambda s: s["kind"] != "token"), F.filter("spans", lambda s: s["kind"] == "token")
+    return joined.select(*beside(docs, "secrets"), F.struct(base.alias("base"), tokens.alias("tokens")).alias("secrets"))
 
-    def judged(s: Column) -> Column:
-        return F.struct(*[s[c].alias(c) for c in ("rank", "start", "end", "kind", "value")], F.element_at("known", F.md5(s["value"])).alias("class"))
 
-    live = F.filter(F.transform("tokens", judged), lambda s: s["class"] == "live")
-    return joined.select("row.*", F.struct(F.transform("base", judged).alias("base"), live.alias("tokens")).alias("secrets"))
+def payload_of(known: DataFrame) -> DataFrame:
+    """``known`` for a join, broadcast if the bytes that it has counted are few."""
+    total = known.agg(F.coalesce(F.sum(F.col("bytes") + 64), F.lit(0))).first()[0]
+    table = known.drop("bytes")
+    return F.broadcast(table) if total <= BROADCAST_BYTES else table.hint("merge")
 
 
 def _by_start(s: Column) -> Column:
@@ -139,5 +165,5 @@ def secrets_digest(docs: DataFrame) -> DataFrame:
     base, tokens = F.col("secrets.base"), F.col("secrets.tokens")
     counts = [count_where(base, "kind", k).alias(f"n_{k}") for k in KINDS]
     classes = [count_where(base, "class", c).alias(f"n_{c}") for c in ("live", "example", "unclear")]
-    every = F.array_sort(F.transform(F.concat(base, tokens), _by_start))
+    every = F.array_sort(F.concat(base, tokens))
     return found.select("doc_id", *counts, F.sha2(as_text(base), 256).alias("base_sha256"), as_text(every).alias("spans"), *classes)
