@@ -8,13 +8,12 @@ wrong encoding, symbol noise, keyboard mash and looped text leave these bands.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema
 
@@ -108,9 +107,12 @@ def script_of(text: str) -> str:
 
 
 def token_figures(text: str, vocabulary: str, pieces: str) -> tuple[int, float | None, float | None, float | None]:
-    """Tokens, characters per token, share of bytes that need byte pieces, entropy in bits.
+    """Tokens, characters per token, byte-fallback share, entropy in bits.
 
-    The last three are null for a text without tokens.
+    The fallback share is that of a text's bytes, white space left out of the count of
+    those spelt, which the piece vocabulary writes byte by byte. As every character that
+    the vocabulary has is a piece of its own, these are the bytes of the characters that
+    it lacks. The last three are null for a text without tokens.
     """
     ids = byte_bpe(vocabulary).ids(text)
     if not len(ids):
@@ -143,43 +145,58 @@ def fertility_rules(
     ``kept`` is false there, and elsewhere true if the text lies within its band.
 
     A null or empty text has no words, so it is ``base_failed``, with null token figures.
-    A null language is judged by script. Tables may be empty, rows may repeat, and other
-    columns pass through; one that has the name of a result column is replaced.
+    A null language, or no column of that name, is judged by script. Tables may be empty,
+    rows may repeat, and a text may have any length. Other columns pass through; one that
+    has the name of a result column is replaced.
     """
     names = [f.name for f in _SCHEMA]
     carried = docs.drop(*names)
-    here, there = vocabulary_path(vocabulary), vocabulary_path(pieces)
-    table = dict(bands)
-    at, by = carried.columns.index(text), carried.columns.index(lang) if lang else None
+    verdict = _judge(carried, text, lang, vocabulary, pieces, bands)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            languages = batch.column(by).to_pylist() if by is not None else [None] * batch.num_rows
-            for value, language in zip(batch.column(at).to_pylist(), languages, strict=True):
-                value = value or ""
-                counts = base_counts(value)
-                figures = token_figures(value, here, there)
-                script = script_of(value)
-                band = table.get(language) or table.get(script) or table[""]
-                failed = counts[0] < 50 or 100 * counts[4] > 50 * counts[0]
-                rows.append((*counts, *figures, script, failed, not failed and within(band, *figures[1:])))
+            rows = verdict(batch)
             columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_SCHEMA)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], schema=pa.schema([*batch.schema, *_SCHEMA]))
 
     return small_batches(carried).mapInArrow(judge, T.StructType([*carried.schema, *from_arrow_schema(_SCHEMA)]))
 
 
+def _judge(docs: DataFrame, text: str, lang: str | None, vocabulary: str, pieces: str, bands: Mapping[str, Band]) -> Callable[[pa.RecordBatch], list[tuple]]:
+    """A function that gives the values of ``_SCHEMA`` for each row of a batch."""
+    here, there = vocabulary_path(vocabulary), vocabulary_path(pieces)
+    table = dict(bands)
+    at = docs.columns.index(text)
+    by = docs.columns.index(lang) if lang in docs.columns else None
+
+    def verdict(batch: pa.RecordBatch) -> list[tuple]:
+        rows = []
+        languages = batch.column(by).to_pylist() if by is not None else [None] * batch.num_rows
+        for value, language in zip(batch.column(at).to_pylist(), languages, strict=True):
+            value = value or ""
+            counts = base_counts(value)
+            figures = token_figures(value, here, there)
+            script = script_of(value)
+            band = table.get(language) or table.get(script) or table[""]
+            failed = counts[0] < 50 or 100 * counts[4] > 50 * counts[0]
+            rows.append((*counts, *figures, script, failed, not failed and within(band, *figures[1:])))
+        return rows
+
+    return verdict
+
+
 def quality_digest(docs: DataFrame) -> DataFrame:
     """The verdict on each document, without its text."""
     found = fertility_rules(docs.select("doc_id", "text", "lang"))
     return found.select("doc_id", *[f.name for f in _SCHEMA])
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with the columns of ``docs``."""
-    names = [f.name for f in _SCHEMA]
-    marked = docs.select("*", F.struct(*docs.columns).alias("_row")) if set(names) & set(docs.columns) else None
-    if marked is None:
-        return fertility_rules(docs).filter("kept").select(*docs.columns)
-    return fertility_rules(marked).filter("kept").select("_row.*")
+def keep_good(docs: DataFrame, *, text: str = "text", lang: str | None = "lang", vocabulary: str = VOCABULARY, pieces: str = PIECE_VOCABULARY, bands: Mapping[str, Band] = BANDS) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with the columns of ``docs``, whatever their names."""
+    verdict = _judge(docs, text, lang, vocabulary, pieces, bands)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([r[-1] for r in verdict(batch)], pa.bool_()))
+
+    return small_batches(docs).mapInArrow(keep, docs.schema)

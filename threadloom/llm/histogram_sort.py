@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import size_checked, stored
+from .common import beside, size_checked, stored
 
 SHARDS = 40
 #: A splitter may miss its target by this share of a shard's bytes, or by one row.
@@ -109,19 +109,21 @@ def histogram_shards(
 ) -> DataFrame:
     """Rows dealt into ``shards`` of nearly equal bytes, in key order.
 
-    Returns the columns ``carry`` (all by default) and, in a struct ``sharding`` that
-    cannot clash with them: size (UTF-8 bytes of the text plus 16), text_crc32, key, shard
+    Returns the columns ``carry`` (all by default; one named ``sharding`` is replaced) and
+    a struct ``sharding``: size (UTF-8 bytes of the text plus 16), text_crc32, key, shard
     and slot. Slots of a shard run from 0 without a gap, in key order.
 
     A null text counts as no bytes, with the CRC of no bytes. Nulls elsewhere pass
     through. Repeated rows get keys of their own, so a group of any size can be cut. A
     row larger than a shard's share makes its shard large and leaves others smaller. An
-    empty table gives no rows.
+    empty table gives no rows. Keys are written once, so a lost executor changes nothing;
+    but equal texts are told apart by their place in the input, so another division of the
+    same rows into files orders these among themselves in another way.
     """
     whole = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
-    row = F.struct("*").alias("row") if carry is None else F.struct(*carry).alias("row")
+    carried = docs if carry is None else docs.select(*carry)
     keyed = docs.select(
-        row,
+        F.struct(*[F.col(f"`{c}`") for c in carried.columns]).alias("row"),
         (F.octet_length(whole) + F.lit(16)).cast("long").alias("size"),
         F.crc32(whole).alias("crc"),
         _sort_key(F.coalesce(F.col(text), F.lit("")), F.monotonically_increasing_id()).alias("key"),
@@ -145,7 +147,7 @@ def histogram_shards(
     counts = stored(counts.select("part", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("first")), "shard-parts")
     numbered = dealt.withColumn("slot", F.row_number().over(W.partitionBy("part").orderBy("key")) - 1)
     return numbered.join(size_checked(counts, 16), "part").select(
-        "row.*",
+        *beside(carried, "sharding"),
         F.struct(
             "size",
             F.col("crc").alias("text_crc32"),

@@ -1,24 +1,27 @@
 """Removal of repeated passages by content-defined chunks of lines.
 
-A document's lines are cut where a hash rolled over the hashes of two neighbouring lines
-ends in certain bits, so an insertion shifts boundaries only near itself. A long line is a
-chunk of its own. Chunks that stand in the corpus more than once, of several lines or of a
-passage's length, are removed but for the first, after their bytes have been compared.
+A document's lines are cut where a hash rolled over the hashes of three neighbouring lines
+ends in certain bits, so an insertion shifts boundaries only near itself. Chunks of several
+lines that stand in the corpus more than once are removed but for the first, after their
+bytes have been compared.
 
 Boundaries seldom fall on both ends of a short passage, so ``remove_shared_runs`` finds
-passages of several lines whole, by windows of lines; the pipeline's stage does both.
+passages of over fifty words whole, by windows of lines: a run of lines, or one line. The
+registered query and the pipeline's stage do both, runs first.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, let, size_checked, stored
+from .common import WORD, beside, let, size_checked, stored
 
-#: One boundary in so many lines, on average; a power of two up to 16.
-LINES_PER_CHUNK = 4
-#: Words (counted by their spaces) above which a line is a passage by itself.
+#: One boundary in so many lines, on average, and the lines that the hash is rolled over.
+LINES_PER_CHUNK, ROLLED_LINES = 4, 3
+#: Words above which a run of lines is a passage.
 PASSAGE_WORDS = 50
 #: What stands for a null id in the order of documents.
 LAST_ID = 2**63 - 1
@@ -26,30 +29,27 @@ LAST_ID = 2**63 - 1
 _BOUNDARY, _INNER = "B", "C"
 
 
-def _has_spaces(text: Column, count: int) -> Column:
-    """Whether there are at least so many spaces; looks no further than the last of them."""
-    return F.octet_length(F.substring_index(text, " ", count)) < F.octet_length(text)
+def _rotated(value: Column, bits: int) -> Column:
+    """A number of 32 bits, rotated to the left."""
+    return F.shiftleft(value, bits).bitwiseOR(F.shiftright(value, 32 - bits)).bitwiseAND(F.lit(0xFFFFFFFF)) if bits else value
 
 
-def chunks_of(text: Column, lines_per_chunk: int, passage_words: int) -> Column:
+def chunks_of(text: Column, lines_per_chunk: int) -> Column:
     """The chunks of a text that is not null.
 
     Joined by line feeds, chunks give the text again. Each line after the first gets a
     mark for joining or cutting, then all are joined and split at the marks for cutting.
+    The rolled hash before a line is a cyclic polynomial over the lines that end there.
     """
-    last_digits = [f"{d:x}" for d in range(16 // lines_per_chunk)]
-
-    def cut_between(before: Column, after: Column) -> Column:
-        rolled = F.substring(F.md5(F.concat(before["hash"], after["hash"])), -1, 1)
-        return rolled.isin(last_digits) | before["long"] | after["long"]
 
     def described(line: Column) -> Column:
-        return F.struct(line.alias("line"), F.md5(line).alias("hash"), _has_spaces(line, passage_words).alias("long"))
+        return F.struct(line.alias("line"), F.conv(F.left(F.md5(line), F.lit(8)), 16, 10).cast("long").alias("hash"))
 
     def joined(lines: Column) -> Column:
         def marked(x: Column, i: Column) -> Column:
-            mark = F.when(cut_between(F.get(lines, i - 1), x), _BOUNDARY).otherwise(_INNER)
-            return F.when(i == 0, x["line"]).otherwise(F.concat(mark, x["line"]))
+            window = [_rotated(F.coalesce(F.get(lines, i - 1 - j)["hash"], F.lit(0).cast("long")), j) for j in range(ROLLED_LINES)]
+            cut = reduce(lambda a, b: a.bitwiseXOR(b), window) % lines_per_chunk == 0
+            return F.when(i == 0, x["line"]).otherwise(F.concat(F.when(cut, _BOUNDARY).otherwise(_INNER), x["line"]))
 
         return F.array_join(F.transform(lines, marked), "\n")
 
@@ -58,13 +58,27 @@ def chunks_of(text: Column, lines_per_chunk: int, passage_words: int) -> Column:
     return F.transform(parts, lambda x: F.replace(x, F.lit("\n" + _INNER), F.lit("\n")))
 
 
-def _passages(docs: DataFrame, lines_per_chunk: int, passage_words: int) -> DataFrame:
+def _left(parts: Column) -> Column:
+    """The parts whose numbers are not in the column ``removed``, joined by line feeds."""
+    numbers = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("removed"))
+    return F.array_join(F.transform(numbers, lambda i: F.get(parts, i)), "\n")
+
+
+def _passages(docs: DataFrame, lines_per_chunk: int) -> DataFrame:
     """A row (order, version, no, chunk, hash) for each chunk that may be removed."""
     # The outer form, as the optimiser would compute the chunks again to leave out empty arrays, of which there are none.
-    chunks = chunks_of(F.coalesce("text", F.lit("")), lines_per_chunk, passage_words)
-    rows = docs.select("order", "version", F.posexplode_outer(chunks).alias("no", "chunk"))
-    several = F.instr("chunk", "\n") > 0
-    return rows.filter((several | _has_spaces(F.col("chunk"), passage_words)) & F.col("chunk").rlike(WORD)).withColumn("hash", F.xxhash64("chunk"))
+    rows = docs.select("order", "version", F.posexplode_outer(chunks_of(F.coalesce("text", F.lit("")), lines_per_chunk)).alias("no", "chunk"))
+    return rows.filter((F.instr("chunk", "\n") > 0) & F.col("chunk").rlike(WORD)).withColumn("hash", F.xxhash64("chunk"))
+
+
+def _named(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """row, text, and what orders documents: their id, then the MD5 of the text."""
+    return docs.select(
+        F.struct("*").alias("row"),
+        F.col(text).alias("text"),
+        F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("order"),
+        F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("version"),
+    )
 
 
 def remove_repeated_passages(
@@ -73,7 +87,6 @@ def remove_repeated_passages(
     text: str = "text",
     doc_id: str = "doc_id",
     lines_per_chunk: int = LINES_PER_CHUNK,
-    passage_words: int = PASSAGE_WORDS,
 ) -> DataFrame:
     """``docs`` with a struct ``passages``: text and removed (numbers of chunks).
 
@@ -82,16 +95,13 @@ def remove_repeated_passages(
     the bytes of repeated ones. Lists of repeated chunks are broadcast only if measured
     to be small; else the joins shuffle and hot chunks are split.
 
-    A null or empty text stays so, with nothing removed. A null id comes after all others. Rows that agree in id and text are one
-    document, and each keeps what the first keeps. An empty table gives no rows. Other
-    columns pass through, whatever their names.
+    A null or empty text stays so, with nothing removed. A null id comes after all others.
+    Rows that agree in id and text are one document, and each keeps what the first keeps.
+    An empty table gives no rows. A text may have any length and any number of lines. Other
+    columns pass through; one named ``passages`` is replaced.
     """
-    named = docs.select(
-        F.struct("*").alias("row"),
-        F.col(text).alias("text"),
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("order"),
-    ).withColumn("version", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    passages = _passages(named, lines_per_chunk, passage_words)
+    named = _named(docs, text, doc_id)
+    passages = _passages(named, lines_per_chunk)
 
     counted = passages.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("order").alias("first"))
     repeated = stored(counted.filter("n > 1").select("hash", "first"), "repeated-hashes")
@@ -106,10 +116,8 @@ def remove_repeated_passages(
     measured = removed.select("order", "version", "removed", F.array_join("removed", ",").alias("digits"))
     table = size_checked(measured, 80, ["digits"]).drop("digits")
     whole = named.join(table, ["order", "version"], "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
-    chunks = chunks_of(F.col("text"), lines_per_chunk, passage_words)
-    left = F.array_join(F.filter(chunks, lambda x, i: ~F.array_contains("removed", i)), "\n")
-    text_left = F.when(F.size("removed") > 0, left).otherwise(F.col("text"))
-    return whole.select("row.*", F.struct(text_left.alias("text"), F.col("removed").alias("removed")).alias("passages"))
+    text_left = F.when(F.size("removed") > 0, let(chunks_of(F.col("text"), lines_per_chunk), _left)).otherwise(F.col("text"))
+    return whole.select(*beside(docs, "passages"), F.struct(text_left.alias("text"), F.col("removed").alias("removed")).alias("passages"))
 
 
 def _line_pairs(docs: DataFrame, passage_words: int) -> DataFrame:
@@ -176,13 +184,10 @@ def remove_shared_runs(docs: DataFrame, *, text: str = "text", doc_id: str = "do
     lines without words count neither way; those inside a run go with it.
 
     What is exchanged: a hash for each pair of lines, and digests of the lines of pairs
-    that stand in the corpus more than once. A line of so many words is a run too.
+    that stand in the corpus more than once. Nulls, repeated rows, long texts and empty
+    tables are taken as by ``remove_repeated_passages``; a column named ``runs`` is replaced.
     """
-    named = docs.select(
-        F.struct("*").alias("row"),
-        F.col(text).alias("text"),
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("order"),
-    ).withColumn("version", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    named = _named(docs, text, doc_id)
     pairs = _line_pairs(named, passage_words)
     repeated = stored(pairs.groupBy("pair").count().filter("count > 1").select("pair"), "repeated-pairs")
     met = pairs.join(size_checked(repeated, 8), "pair")
@@ -198,54 +203,74 @@ def remove_shared_runs(docs: DataFrame, *, text: str = "text", doc_id: str = "do
     table = size_checked(measured, 80, ["digits"]).drop("digits")
     whole = named.join(table, ["order", "version"], "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
 
-    def kept(lines: Column) -> Column:
-        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
-        return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
-
-    text_left = F.when(F.size("removed") > 0, let(F.split("text", "\n", -1), kept)).otherwise(F.col("text"))
-    return whole.select("row.*", F.struct(text_left.alias("text"), F.col("removed").alias("removed")).alias("runs"))
+    text_left = F.when(F.size("removed") > 0, let(F.split("text", "\n", -1), _left)).otherwise(F.col("text"))
+    return whole.select(*beside(docs, "runs"), F.struct(text_left.alias("text"), F.col("removed").alias("removed")).alias("runs"))
 
 
-def without_repeated(docs: DataFrame, *, text: str = "text", length: str | None = "n_chars") -> DataFrame:
+def without_repeated(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", length: str | None = "n_chars") -> DataFrame:
     """The columns of ``docs``, with repeated passages gone from the text.
 
     First go the shared runs of lines, then what chunks still repeat. Where there is a
-    column of the text's length, it follows.
+    column of the text's length, it follows. Odd rows are taken as by
+    ``remove_repeated_passages``; columns of any name stay as they are.
     """
-    runs = remove_shared_runs(docs, text=text)
-    fewer = stored(runs.select(*[F.col("runs.text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]), "without-runs")
-    found = remove_repeated_passages(fewer, text=text)
+    spare = docs.select(F.struct("*").alias("all"), F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"))
+    runs = remove_shared_runs(spare).select("all", F.col("runs.text").alias("text"), "doc_id")
+    found = remove_repeated_passages(stored(runs, "without-runs"))
     new = {text: F.col("passages.text"), **({length: F.length("passages.text").cast(docs.schema[length].dataType)} if length in docs.columns else {})}
-    return found.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    return found.select(*[new[c].alias(c) if c in new else F.col("all").getField(c).alias(c) for c in docs.columns])
 
 
 def passages_digest(docs: DataFrame) -> DataFrame:
-    """What is left of each document."""
-    found = remove_repeated_passages(docs.select("doc_id", "text"))
-    return found.select("doc_id", "passages.text", F.size("passages.removed").alias("n_removed"))
+    """What is left of each document, and how many lines of runs and chunks are gone."""
+    runs = remove_shared_runs(docs.select("doc_id", "text"))
+    fewer = stored(runs.select("doc_id", F.col("runs.text").alias("text"), F.size("runs.removed").alias("n_removed_lines")), "without-runs")
+    found = remove_repeated_passages(fewer)
+    return found.select("doc_id", "passages.text", F.size("passages.removed").alias("n_removed"), "n_removed_lines")
 
 
 DIGEST_SQL = r"""
-with lines as (
+with given as (
   select row_number() over () as r, coalesce(doc_id, 9223372036854775807) as ord, doc_id, text, md5(coalesce(text, '')) as version,
          string_split(coalesce(text, ''), chr(10)) as lines
   from documents
+), every as (
+  select r, ord, version, unnest(lines) as line, generate_subscripts(lines, 1) as i from given
+), worded as (
+  select *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as words from every
+), placed as (
+  select *, sum(words) over (partition by r order by i) as last, sum(words) over (partition by r order by i) - words as first from worded where words > 0
+), windows as (
+  select ord, version, min(i) over w as low, max(i) over w as high, sum(words) over w as n, list(md5(line)) over w as id
+  from placed window w as (partition by r order by first range between current row and 50 following)
+  union all
+  select ord, version, min(i) over w, max(i) over w, sum(words) over w, list(md5(line)) over w
+  from placed window w as (partition by r order by last range between 50 preceding and current row)
+), firsts as (
+  select id, min((ord, version, low)) as place from windows where n > 50 group by id
+), gone_lines as (
+  select distinct ord, version, unnest(generate_series(low, high)) as i from windows join firsts using (id) where n > 50 and (ord, version, low) > place
+), fewer as (
+  select g.r, g.ord, g.doc_id, count(x.i) as n_removed_lines,
+    case when g.text is not null then coalesce(string_agg(e.line, chr(10) order by e.i) filter (where x.i is null), '') end as text
+  from given g join every e using (r) left join gone_lines x on x.ord = g.ord and x.version = g.version and x.i = e.i group by g.r, g.ord, g.doc_id, g.text
+), lines as (
+  select *, md5(coalesce(text, '')) as version, string_split(coalesce(text, ''), chr(10)) as lines from fewer
 ), each as (
-  select r, ord, doc_id, text, version, unnest(lines) as line, generate_subscripts(lines, 1) as i from lines
-), flagged as (
-  select *, md5(line) as h, length(line) - length(replace(line, ' ', '')) >= 50 as long from each
+  select r, ord, version, unnest(lines) as line, generate_subscripts(lines, 1) as i from lines
+), hashed as (
+  select *, cast('0x' || left(md5(line), 8) as bigint) as h from each
+), rolled as (
+  select *, lag(h, 1, 0) over w as a, lag(h, 2, 0) over w as b, lag(h, 3, 0) over w as c from hashed window w as (partition by r order by i)
 ), edges as (
-  select *, case when i > 1 and (right(md5(lag(h) over w || h), 1) in ('0', '1', '2', '3') or lag(long) over w or long) then 1 else 0 end as cut
-  from flagged window w as (partition by r order by i)
+  select *, case when i > 1 and xor(xor(a, ((b << 1) | (b >> 31)) & 4294967295), ((c << 2) | (c >> 30)) & 4294967295) % 4 = 0 then 1 else 0 end as cut from rolled
 ), numbered as (
   select *, sum(cut) over (partition by r order by i) as no from edges
 ), chunks as (
   select r, any_value(ord) as ord, any_value(version) as version, no, string_agg(line, chr(10) order by i) as chunk, count(*) as n_lines
   from numbered group by r, no
 ), passages as (
-  select *, (n_lines > 1 or length(chunk) - length(replace(chunk, ' ', '')) >= 50)
-      and length(trim(translate(chunk, chr(10) || chr(9) || chr(13) || chr(11) || chr(12), ''))) > 0 as eligible
-  from chunks
+  select *, n_lines > 1 and length(trim(translate(chunk, chr(10) || chr(9) || chr(13) || chr(11) || chr(12), ''))) > 0 as eligible from chunks
 ), ranked as (
   select *, eligible and dense_rank() over (partition by eligible, chunk order by ord, version, no) > 1 as gone from passages
 ), rebuilt as (
@@ -253,6 +278,6 @@ with lines as (
   from ranked group by r
 )
 select l.doc_id, case when l.text is null then null when b.n_removed = 0 then l.text else coalesce(b.kept, '') end as text,
-  cast(b.n_removed as integer) as n_removed
+  cast(b.n_removed as integer) as n_removed, cast(l.n_removed_lines as integer) as n_removed_lines
 from lines l join rebuilt b using (r)
 """

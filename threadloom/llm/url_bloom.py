@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, size_checked, stored
+from .common import beside, size_checked, stored
 
 WORDS = 8
 #: Bits of filter for each listed URL.
@@ -38,6 +38,8 @@ RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("
 
 #: Parts of host names that put a page's canonical URL on the list.
 LISTED_NAMES = ("ads-track", "adult", "casino", "pills", "free-bets", "spam")
+#: A title with such a run of symbols puts its page's canonical URL on the list.
+NOISY_TITLE = "<title>[^<]*[#*$%]{3}"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -89,15 +91,16 @@ def bloom_blocks(keys: DataFrame, key: str, blocks: int) -> DataFrame:
 
 
 def judge_urls(pages: DataFrame, listed: DataFrame, *, url: str = "url", rules: Sequence[Rule] = RULES) -> DataFrame:
-    """``pages`` with a struct ``judged``: host, path, rule, listed and verdict.
+    """``pages`` with a struct ``judged``: host, path, rule, possible, listed and verdict.
 
     ``listed`` has one column of canonical URLs; nulls and repeats in it do not count. A
-    rule decides first; elsewhere a listed URL is blocked and any other allowed. The
-    filter and the list are broadcast only if measured to be small; else pages are
+    rule decides first; elsewhere a listed URL is blocked and any other allowed.
+    ``possible`` says that the filter let a URL pass to the exact join. The filter and the list are broadcast only if measured to be small; else pages are
     exchanged by block, and possible hits by canonical URL.
 
     A null URL, or one without ://, has an empty host and path, fits no rule, and is
-    allowed. Empty tables give no rows or list nothing; repeated pages are each judged.
+    allowed. Empty tables give no rows or list nothing; repeated pages are each judged. A
+    URL may have any length. Other columns pass through; one named ``judged`` is replaced.
     """
     name = listed.columns[0]
     keys = stored(listed.select(F.col(name).alias("listed_url")).filter("listed_url is not null").distinct(), "listed")
@@ -109,22 +112,26 @@ def judge_urls(pages: DataFrame, listed: DataFrame, *, url: str = "url", rules:
     row = row.withColumn("canon", canonical(F.col("host"), F.col("path"))).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     row = row.withColumn("block", _block(F.col("canon"), blocks))
     held = [_bit(F.col("canon"), i).bitwiseAND(F.col(f"w{i}")) != 0 for i in range(WORDS)]
-    probed = row.join(size_checked(table, 8 * (WORDS + 1), limit=BROADCAST_BYTES), "block", "left")
+    probed = row.join(size_checked(table, 8 * (WORDS + 1)), "block", "left")
     probed = probed.withColumn("possible", F.coalesce(reduce(Column.__and__, held), F.lit(False)))
     # A page that misses the filter gets a key of its own that no list has, so misses are spread evenly.
-    miss = F.concat(F.lit("\x00"), F.xxhash64("row").cast("string"))
+    miss = F.concat(F.lit("\x00"), F.monotonically_increasing_id().cast("string"))
     probed = probed.withColumn("probe", F.when(F.col("possible"), F.col("canon")).otherwise(miss))
     exact = probed.join(size_checked(keys, 16, ["listed_url"]), F.col("probe") == F.col("listed_url"), "left")
     is_listed = F.col("listed_url").isNotNull()
     verdict = F.coalesce(F.col("rule.verdict"), F.when(is_listed, "block").otherwise("allow"))
-    judged = F.struct("host", "path", F.col("rule.name").alias("rule"), is_listed.alias("listed"), verdict.alias("verdict"))
-    return exact.select("row.*", judged.alias("judged"))
+    judged = F.struct("host", "path", F.col("rule.name").alias("rule"), "possible", is_listed.alias("listed"), verdict.alias("verdict"))
+    return exact.select(*beside(pages, "judged"), judged.alias("judged"))
 
 
-def listed_pages(pages: DataFrame, *, url: str = "url", names: Sequence[str] = LISTED_NAMES) -> DataFrame:
-    """Canonical URLs of the pages whose host has one of ``names`` in it."""
+def listed_pages(pages: DataFrame, *, url: str = "url", html: str = "html", names: Sequence[str] = LISTED_NAMES, noisy: str = NOISY_TITLE) -> DataFrame:
+    """Canonical URLs of the pages whose title is noise, or whose host has one of ``names`` in it.
+
+    A page is listed for what stands on it, so other addresses of the same page (another
+    scheme, host prefix, query or ending) are met by the list although they look clean.
+    """
     host = host_of(F.col(url))
-    found = F.lit(False)
+    found = F.coalesce(F.col(html).rlike(noisy), F.lit(False))
     for name in names:
         found = found | host.contains(name)
     return pages.filter(found).select(canonical(host, path_of(F.col(url))).alias("listed_url"))
@@ -132,16 +139,15 @@ def listed_pages(pages: DataFrame, *, url: str = "url", names: Sequence[str] = L
 
 def urls_digest(pages: DataFrame) -> DataFrame:
     """The verdict on each page, by the standing rules and the list of such pages."""
-    pages = pages.select("page_id", "url")
-    found = judge_urls(pages, listed_pages(pages))
+    found = judge_urls(pages.select("page_id", "url"), listed_pages(pages.select("url", "html")))
     return found.select("page_id", "judged.host", "judged.path", "judged.rule", "judged.listed", "judged.verdict")
 
 
 DIGEST_SQL = r"""
 with cut as (
-  select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages
+  select page_id, html, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages
 ), parts as (
-  select page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+  select page_id, html, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
   from cut
 ), canon as (
@@ -153,7 +159,7 @@ with cut as (
   from parts
 ), listed as (
   select distinct canon from canon
-  where host like '%ads-track%' or host like '%adult%' or host like '%casino%' or host like '%pills%' or host like '%free-bets%' or host like '%spam%'
+  where regexp_matches(html, '<title>[^<]*[#*$%]{3}') or host like '%ads-track%' or host like '%adult%' or host like '%casino%' or host like '%pills%' or host like '%free-bets%' or host like '%spam%'
 )
 select page_id, host, path, rule, l.canon is not null as listed,
   case when rule in ('net/', 'example.com/de/') then 'block' when rule in ('example.net/en/', 'org/fr/') then 'allow'
