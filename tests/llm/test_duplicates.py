@@ -120,13 +120,18 @@ def test_components_of_a_long_path(spark):
 
 
 def plain_chunks(text):
+    """A cut before line i where the hash rolled over lines i-3 to i-1 is divisible by 4."""
     lines = (text or "").split("\n")
+    hashes = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
+    turned = lambda h, j: (h << j | h >> 32 - j) & 0xFFFFFFFF
     chunks = [[lines[0]]]
-    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
-    for before, line in zip(lines, lines[1:], strict=False):
-        if md5(md5(before) + md5(line))[-1] in "0123" or before.count(" ") >= 50 or line.count(" ") >= 50:
+    for i in range(1, len(lines)):
+        rolled = 0
+        for j in range(min(3, i)):
+            rolled ^= turned(hashes[i - 1 - j], j)
+        if rolled % 4 == 0:
             chunks.append([])
-        chunks[-1].append(line)
+        chunks[-1].append(lines[i])
     return ["\n".join(c) for c in chunks]
 
 
@@ -135,7 +140,7 @@ def plain_removal(docs):
     first = {}
     for d in sorted(docs, key=order):
         for no, c in enumerate(plain_chunks(d[1])):
-            if ("\n" in c or c.count(" ") >= 50) and c.strip(" \n\t\r\x0b\x0c"):
+            if "\n" in c and c.strip(" \n\t\r\x0b\x0c"):
                 first.setdefault(c, (order(d), no))
     out = []
     for d in docs:
@@ -145,17 +150,21 @@ def plain_removal(docs):
     return sorted(out, key=str)
 
 
+def removal(docs):
+    return sorted([(str(r.doc_id), r.passages.text, len(r.passages.removed)) for r in line_chunks.remove_repeated_passages(docs).collect()], key=str)
+
+
 def test_passages_of_real_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rows = [(str(r.doc_id), r.text, r.n_removed) for r in line_chunks.passages_digest(docs).collect()]
-    assert sorted(rows, key=str) == plain_removal([tuple(r) for r in docs.select("doc_id", "text").collect()])
+    rows = removal(docs)
+    assert rows == plain_removal([tuple(r) for r in docs.select("doc_id", "text").collect()])
     assert sum(r[2] for r in rows) > 50
 
 
 def test_passages_sql_twin(spark):
     con = duckdb.connect()
     con.execute("create view documents as select * from '/root/testdata/sf0.01/documents.parquet'")
-    ours = line_chunks.passages_digest(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).select("doc_id", "text", "n_removed")
+    ours = line_chunks.passages_digest(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     assert sorted(map(tuple, ours.collect())) == sorted(con.execute(line_chunks.DIGEST_SQL).fetchall())
 
 
@@ -181,8 +190,13 @@ AWKWARD = [
 
 
 def test_passages_of_awkward_rows(spark):
-    rows = line_chunks.passages_digest(cases.docs(spark, AWKWARD)).collect()
-    assert sorted([(str(r.doc_id), r.text, r.n_removed) for r in rows], key=str) == plain_removal([r[:2] for r in AWKWARD])
+    assert removal(cases.docs(spark, AWKWARD)) == plain_removal([r[:2] for r in AWKWARD])
+    many = "\n".join(f"line {i}" for i in range(100_000))
+    (row,) = line_chunks.without_repeated(cases.docs(spark, [(1, many, "en", "a", 1), (2, many + "\nmore", "en", "a", 1)])).filter("doc_id = 2").collect()
+    assert row.text == "more"
+    clashing = cases.docs(spark, AWKWARD).withColumnsRenamed({"kept": "passages", "hash": "runs", "key": "row", "spans": "all"})
+    assert line_chunks.remove_repeated_passages(clashing).columns[-1] == "passages" and line_chunks.without_repeated(clashing).columns == clashing.columns
+    assert len(line_chunks.remove_repeated_passages(clashing).collect()) == len(line_chunks.without_repeated(clashing).collect()) == len(AWKWARD)
     assert line_chunks.passages_digest(cases.empty(spark)).collect() == []
     cleaned = line_chunks.without_repeated(cases.docs(spark, AWKWARD))
     assert cleaned.schema == cases.docs(spark).schema and cleaned.count() == len(AWKWARD)

@@ -1,20 +1,16 @@
 """Each stage on what the one before it kept, against brute force."""
 
 import corpus_pipeline
-from threadloom.llm import fertility, tokens
+from threadloom.llm import fertility
 
 from . import cases
-from .test_duplicates import plain_components, plain_fingerprint, plain_removal
+from .test_bands import brute
+from .test_duplicates import plain_removal
 from .test_latent import words
 from .test_packing import check_pieces
 from .test_packing import exact  # noqa: F401
-
-
-def plain_kept(text, lang):
-    counts = fertility.base_counts(text)
-    figures = fertility.token_figures(text, tokens.vocabulary_path(tokens.VOCABULARY), tokens.vocabulary_path(tokens.PIECE_VOCABULARY))
-    band = fertility.BANDS.get(lang) or fertility.BANDS.get(fertility.script_of(text)) or fertility.BANDS[""]
-    return counts[0] >= 50 and 2 * counts[4] <= counts[0] and fertility.within(band, *figures[1:])
+from .test_near_copies import plain_kept as near_kept
+from .test_shared_runs import plain_runs
 
 
 def test_stages_against_brute_force(spark, small, exact):  # noqa: F811
@@ -25,21 +21,20 @@ def test_stages_against_brute_force(spark, small, exact):  # noqa: F811
     assert list(stages) == ["quality_rules", "line_dedup", "near_dedup", "decontamination", "packing"]
 
     docs = stages["quality_rules"](spark, docs, small)
-    kept = {i: r.text for i, r in plain.items() if plain_kept(r.text, r.lang)}
+    kept = {i: r.text for i, r in plain.items() if brute(r.text, r.lang)[-1]}
     assert {r.doc_id: r.text for r in docs.collect()} == kept and docs.columns == columns
 
     docs = stages["line_dedup"](spark, docs, small)
-    kept = {int(i): t for i, t, _ in plain_removal(list(kept.items()))}
+    kept = {int(i): t for i, t, _ in plain_removal(list(plain_runs(list(kept.items())).items()))}
     assert {r.doc_id: r.text for r in docs.collect()} == kept and docs.columns == columns
 
     docs = stages["near_dedup"](spark, docs, small)
-    fps = {i: plain_fingerprint(t) for i, t in kept.items()}
-    label = plain_components(fps.values())
-    first = {}
-    for i in sorted(kept):
-        first.setdefault(label[fps[i]], i)
-    kept = {i: kept[i] for i in first.values()}
-    assert {r.doc_id: r.text for r in docs.collect()} == kept and docs.columns == columns
+    expected = near_kept(list(kept.items()))
+    found = {r.doc_id: r.text for r in docs.collect()}
+    # No document goes without a near copy that stays; at least nine tenths of the copies go.
+    assert expected <= set(found) and docs.columns == columns and len(set(found) - expected) <= 0.1 * (len(kept) - len(expected))
+    kept = {i: kept[i] for i in found}
+    assert found == kept
 
     docs = stages["decontamination"](spark, docs, small)
     items = [" " + " ".join(words(r.text)) + " " for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]

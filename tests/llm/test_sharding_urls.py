@@ -72,10 +72,11 @@ def plain_verdict(url, listed):
 
 def test_urls_against_plain_code(spark):
     listed = {"b.org/en", "example.com/de", "never.example/x"}
-    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS)], "page_id long, url string, judged string").drop("judged")
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS)], "page_id long, url string, judged string")
     table = spark.createDataFrame([(x,) for x in [*listed, None, "b.org/en"]], "u string")
     rows = url_bloom.judge_urls(pages, table).collect()
-    assert {r.page_id: tuple(r.judged) for r in rows} == {i: plain_verdict(u, listed) for i, u in enumerate(URLS)}
+    assert all(r.judged.possible for r in rows if r.judged.listed)
+    assert {r.page_id: (r.judged.host, r.judged.path, r.judged.rule, r.judged.listed, r.judged.verdict) for r in rows} == {i: plain_verdict(u, listed) for i, u in enumerate(URLS)}
     assert len(rows) == len(URLS)
     assert url_bloom.judge_urls(pages.limit(0), table).count() == 0
     assert url_bloom.judge_urls(pages, table.limit(0)).filter("judged.listed").count() == 0

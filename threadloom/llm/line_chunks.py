@@ -92,8 +92,8 @@ def remove_repeated_passages(
 
     The first of equal chunks stands in the document of least id, then of least MD5 of
     its text, then at the least place. What is exchanged: a hash for each passage, and
-    the bytes of repeated ones. Lists of repeated chunks are broadcast only if measured
-    to be small; else the joins shuffle and hot chunks are split.
+    the bytes of repeated ones. Lists of hashes and of removed chunks are broadcast only if
+    measured to be small.
 
     A null or empty text stays so, with nothing removed. A null id comes after all others.
     Rows that agree in id and text are one document, and each keeps what the first keeps.
@@ -110,7 +110,8 @@ def remove_repeated_passages(
     firsts = met.filter(F.col("order") == F.col("first")).groupBy("hash").agg(F.min(at).alias("kept"))
     firsts = stored(firsts.select("hash", F.col("kept.version").alias("kept_version"), F.col("kept.no").alias("kept_no"), F.col("kept.chunk").alias("kept_chunk")), "first-chunks")
     same_place = (F.col("order") == F.col("first")) & (F.col("version") == F.col("kept_version")) & (F.col("no") == F.col("kept_no"))
-    later = met.join(size_checked(firsts, 56, ["kept_chunk"]), "hash").filter((F.col("chunk") == F.col("kept_chunk")) & ~same_place)
+    # Bytes of chunks always meet by a shuffle, at any size: copies of frequent chunks are split by adaptive execution.
+    later = met.join(firsts.hint("merge"), "hash").filter((F.col("chunk") == F.col("kept_chunk")) & ~same_place)
     removed = stored(later.groupBy("order", "version").agg(F.array_sort(F.collect_set("no")).alias("removed")), "removed-chunks")
 
     measured = removed.select("order", "version", "removed", F.array_join("removed", ",").alias("digits"))

@@ -48,11 +48,15 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     last = max(1, len(words) - width + 1)
     cuts = zip([0, *ends], ends[min(width, len(words)) - 1 :], strict=False)
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a : b - 1], SEED) for (a, b), _ in zip(cuts, range(last), strict=False)], dtype="<u8")
+    return bits_by_majority(np.array([digest(joined[a : b - 1], SEED) for (a, b), _ in zip(cuts, range(last), strict=False)], dtype="<u8"))
+
+
+def bits_by_majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes set; none of no hashes."""
     set_in = np.zeros(BITS, dtype=np.int64)
-    for low in range(0, last, 1 << 16):
+    for low in range(0, len(hashes), 1 << 16):
         set_in += np.unpackbits(hashes[low : low + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * set_in > last, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * set_in > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, *, text: str = "text", width: int = SHINGLE) -> DataFrame:
@@ -252,27 +256,27 @@ def links(values: DataFrame, radius: int = RADIUS) -> DataFrame:
     return small_batches(sorted_rows).mapInArrow(compare, "fp long, root long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, row_bytes: int = 16) -> DataFrame:
     """(node, label): the least node reachable, for each node of the ``edges`` (fp, root).
 
     Labels fall to the least among neighbours and then to their label's label, so the
-    number of rounds grows with the logarithm of the longest path. Each round is written.
+    number of rounds grows with the logarithm of the longest path. Each round is written,
+    and the tables of the one before it are deleted. ``row_bytes`` is the size of a pair
+    of nodes.
     """
     edges = stored(edges.select(F.col("fp").alias("a"), F.col("root").alias("b")).distinct(), "links")
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    label = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")), "labels")
-    while True:
-        known = label.select(F.col("node").alias("b"), "label")
-        offered = both.join(size_checked(known, 16), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("offered"))
+    new = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.col("a").alias("old"), F.least("a", "b").alias("label")), "labels")
+    while new.filter("label <> old").take(1):
+        known = new.select(F.col("node").alias("b"), "label")
+        offered = both.join(size_checked(known, row_bytes), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("offered"))
         offered = stored(offered, "offered")
-        lower = label.join(size_checked(offered, 16), "node", "left").select("node", F.col("label").alias("old"), F.least("label", "offered").alias("label"))
-        lower = stored(lower, "lower")
+        lower = new.select("node", F.col("label").alias("old")).join(size_checked(offered, row_bytes), "node", "left").select("node", "old", F.least("old", "offered").alias("label"))
+        lower = stored(lower, "lower", replaces=[offered, new])
         jump = lower.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = lower.join(size_checked(jump, 16), "label", "left").select("node", "old", F.least("label", "further").alias("label"))
-        new = stored(new, "labels")
-        if not new.filter("label <> old").take(1):
-            return new.select("node", "label")
-        label = new.select("node", "label")
+        jumped = lower.join(size_checked(jump, row_bytes), "label", "left").select("node", "old", F.least("label", "further").alias("label"))
+        new = stored(jumped, "labels", replaces=[lower])
+    return new.select("node", "label")
 
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -284,7 +288,8 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
 
     A text that is null or has no words has fingerprint 0, and links like any other. A
     null id is never the least; a component of null ids alone has a null component_id.
-    Repeated rows each get a row. An empty table gives none.
+    Repeated rows each get a row. An empty table gives none. A text may have any length: a
+    task holds one Arrow batch. Other columns are not used.
     """
     key = row_key(F.col(doc_id), F.col(text)).alias("row_key")
     rows = stored(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), key, F.col(text).alias("text")), width=width), "fingerprints")
@@ -297,19 +302,6 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     return rows.join(size_checked(of_fp, 24), "fp").select("doc_id", "row_key", "fp", "label", "component_id")
 
 
-def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One row of each component: that with the least id, of ties the least row key."""
-    found = near_duplicates(docs, text=text, doc_id=doc_id, width=width, radius=radius)
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
-    kept = stored(found.groupBy("label").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("n")).select("best.row_key"), "kept-rows")
-    named = docs.select(F.struct("*").alias("row"), row_key(F.col(doc_id), F.col(text)).alias("row_key"))
-    chosen = named.join(size_checked(kept, 48), "row_key", "left_semi")
-    repeated = found.join(size_checked(kept, 48), "row_key", "left_semi").groupBy("row_key").count().filter("count > 1")
-    if repeated.take(1):
-        chosen = chosen.dropDuplicates(["row_key"])
-    return chosen.select("row.*")
-
-
 def components_digest(docs: DataFrame) -> DataFrame:
     """Fingerprint and component of each document."""
     found = near_duplicates(docs.select("doc_id", "text"))
