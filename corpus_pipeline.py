@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import fertility, hilbert_pack, latent, line_chunks, simhash
+from threadloom.llm import fertility, hilbert_pack, latent, line_chunks, near_copies
 from threadloom.llm.common import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -23,8 +23,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each SimHash component."""
-    return simhash.keep_one(docs)
+    """The first document of each group of near copies: SimHash candidates, checked shingle by shingle."""
+    return near_copies.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
