@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..shared import size_checked, stored
+
 
 def overview(traces: DataFrame) -> DataFrame:
     """Count, distinct users and latency of each operation; unknown latencies are left out."""
@@ -18,13 +20,27 @@ def overview(traces: DataFrame) -> DataFrame:
     )
 
 
-def percentiles(traces: DataFrame) -> DataFrame:
-    """Nearest-rank P50 and P95 of each operation, from counts of distinct values."""
-    counts = traces.filter("latency is not null").groupBy("operation", "latency").agg(F.count(F.lit(1)).alias("n"))
-    order = W.partitionBy("operation").orderBy("latency")
-    ranked = counts.withColumn("upto", F.sum("n").over(order)).withColumn("total", F.sum("n").over(W.partitionBy("operation")))
-    at = lambda p: F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * p), F.col("latency")))
-    return ranked.groupBy("operation").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), F.sum("n").alias("n"))
+def percentiles(traces: DataFrame, bins: int = 4096) -> DataFrame:
+    """Nearest-rank P50 and P95 of each operation, and how many latencies are known and missing.
+
+    Counts of equal bins tell which bin holds each rank; only the distinct values of those
+    bins are ordered, so no task sees all latencies of a frequent operation.
+    """
+    ranges = traces.groupBy("operation").agg(F.min("latency").alias("low"), F.max("latency").alias("high"), F.count("latency").alias("n"), (F.count(F.lit(1)) - F.count("latency")).alias("missing"))
+    ranges = stored(ranges, "ranges")
+    placed = traces.filter("latency is not null").join(size_checked(ranges.drop("missing"), 48, ["operation"]), "operation")
+    width = F.nullif(F.col("high") - F.col("low"), F.lit(0.0))
+    placed = placed.select("operation", "latency", "n", F.coalesce(F.least(F.lit(bins - 1), F.floor((F.col("latency") - F.col("low")) * bins / width)), F.lit(0)).alias("bin"))
+    counts = stored(placed.groupBy("operation", "bin", "n").agg(F.count(F.lit(1)).alias("size")), "bin-counts")
+    upto = F.sum("size").over(W.partitionBy("operation").orderBy("bin"))
+    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(p).alias("p")) for name, p in (("p50", 0.5), ("p95", 0.95))]))
+    held = counts.withColumn("upto", upto).select("*", asked.alias("q")).withColumn("rank", F.ceil(F.col("n") * F.col("q.p")))
+    held = held.filter((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("size") < F.col("rank")))
+    held = stored(held.select("operation", "bin", F.col("q.name").alias("name"), (F.col("rank") - F.col("upto") + F.col("size")).alias("rank")), "rank-bins")
+    values = placed.join(size_checked(held, 48, ["operation"]), ["operation", "bin"]).groupBy("operation", "name", "rank", "latency").agg(F.count(F.lit(1)).alias("times"))
+    within = values.withColumn("upto", F.sum("times").over(W.partitionBy("operation", "name").orderBy("latency"))).filter(F.col("upto") >= F.col("rank"))
+    found = within.groupBy("operation").agg(*[F.min(F.when(F.col("name") == name, F.col("latency"))).alias(name) for name in ("p50", "p95")])
+    return ranges.select("operation", "n", "missing").join(found, "operation", "left").select("operation", "p50", "p95", "n", "missing")
 
 
 def period_change(traces: DataFrame, end: str, days: int) -> DataFrame:
@@ -67,8 +83,9 @@ def islands(lines: DataFrame) -> DataFrame:
 
 def wait_spans(events: DataFrame, begin: str, finish: str) -> DataFrame:
     """Each ``begin`` event with the seconds to the session's next ``finish``; null if there is none."""
-    later = W.partitionBy("session_id").orderBy("ts", "seq").rowsBetween(1, W.unboundedFollowing)
-    ends = F.first(F.when(F.col("operation") == finish, F.unix_micros("ts")), ignorenulls=True).over(later)
+    # Backwards, the frame only grows: one pass over a session of any length.
+    later = W.partitionBy("session_id").orderBy(F.col("ts").desc(), F.col("seq").desc()).rowsBetween(W.unboundedPreceding, -1)
+    ends = F.last(F.when(F.col("operation") == finish, F.unix_micros("ts")), ignorenulls=True).over(later)
     spans = events.withColumn("wait", F.round((ends - F.unix_micros("ts")) / 1_000_000.0, 3))
     return spans.filter(F.col("operation") == begin).select("session_id", "seq", "wait")
 
@@ -91,7 +108,7 @@ def path_tree(paths: DataFrame) -> DataFrame:
 
 def estimated_cost(usage: DataFrame, pricing: DataFrame) -> DataFrame:
     """Cost of each usage row by model; null where tokens or the price are unknown."""
-    joined = usage.join(F.broadcast(pricing), "model", "left")
+    joined = usage.join(size_checked(pricing, 64, ["model"]), "model", "left")
     cost = ((F.col("input_tokens") - F.col("cached_tokens")) * F.col("input_rate") + F.col("cached_tokens") * F.col("cached_rate") + F.col("output_tokens") * F.col("output_rate")) / 1e6
     return joined.select(*usage.columns, F.round(cost, 6).alias("cost"))
 

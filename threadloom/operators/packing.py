@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import copy_parts, low_information, near_copy, normalized
+from ..shared import stored
+from .retrieval import weights_with
+from .working_context import DIRECTIVE, PRIORITIES, SECTIONS, TITLE
+
 
-def budget_pack(candidates: DataFrame, budget: int, most: int = 1000) -> DataFrame:
+def budget_pack(candidates: DataFrame, budget: int) -> DataFrame:
     """Greedy packing: each candidate in rank order is taken if it still fits.
 
     One that does not fit is skipped, and later smaller ones may fit, so a running sum
     would be wrong; the walk is a fold over the query's candidates, which search bounds
-    by its top k. ``candidates`` has query_id, unit_id, rank and cost; at most ``most``
-    ranks of a query are walked, and later ones are reported as ``below_cut``.
+    by its top k. ``candidates`` has query_id, unit_id, rank and cost.
     """
-    near = candidates.filter(F.col("rank") <= most)
     walk = F.array_sort(F.collect_list(F.struct("rank", "unit_id", "cost")))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<unit_id:bigint,rank:bigint,cost:bigint,status:string>>").alias("done"))
 
@@ -24,10 +30,142 @@ def budget_pack(candidates: DataFrame, budget: int, most: int = 1000) -> DataFra
         row = F.struct(x["unit_id"].cast("long").alias("unit_id"), x["rank"].cast("long").alias("rank"), x["cost"].cast("long").alias("cost"), F.when(fits, "selected").otherwise("does_not_fit").alias("status"))
         return F.struct((acc["used"] + F.when(fits, x["cost"]).otherwise(0)).cast("long").alias("used"), F.concat(acc["done"], F.array(row)).alias("done"))
 
-    packed = near.groupBy("query_id").agg(F.aggregate(walk, start, step, lambda acc: acc["done"]).alias("done"))
-    rows = packed.select("query_id", F.explode("done").alias("d")).select("query_id", "d.*")
-    late = candidates.filter(F.col("rank") > most).select("query_id", F.col("unit_id").cast("long").alias("unit_id"), F.col("rank").cast("long").alias("rank"), F.col("cost").cast("long").alias("cost"), F.lit("below_cut").alias("status"))
-    return rows.unionByName(late)
+    packed = candidates.groupBy("query_id").agg(F.aggregate(walk, start, step, lambda acc: acc["done"]).alias("done"))
+    return packed.select("query_id", F.explode("done").alias("d")).select("query_id", "d.*")
+
+
+#: Tokens of the title and directive, of the mark between blocks of a section, and of each heading.
+FRAME_TOKENS, BETWEEN_TOKENS = len(re.findall(r"\w+|[^\w\s]", f"{TITLE} {DIRECTIVE}")), 3
+HEADING_TOKENS = {s: len(re.findall(r"\w+|[^\w\s]", s)) for s in SECTIONS}
+
+
+def compile_pack(candidates: DataFrame, units: DataFrame, edges: DataFrame, history: DataFrame, budget: int, level: str = "pack", weights: Mapping[str, int] | None = None) -> DataFrame:
+    """A status for each candidate of each query, and what the rules saw.
+
+    ``candidates`` has query_id, unit_id, score and lexical_only; ``units`` unit_id,
+    source_type, content, content_hash, cost, priority and section; ``edges`` kind, src_id,
+    dst_id and heuristic; ``history`` query_id, unit_id, content_hash and level of what a
+    query's session has had. The first rule that applies holds:
+
+    * superseded: a candidate supersedes or updates it by an edge that is no heuristic;
+    * below_floor: a message found by words alone scores under max(2, min(30, 0.65 best));
+    * low_information: a message that only acknowledges;
+    * referenced: the session has it, unchanged, at this level;
+    * near_duplicate: what the session has, or what is kept so far, is nearly the same text;
+    * selected, or does_not_fit what is left of the budget.
+
+    Known units lose ``redundancy`` points, later units of one content hash
+    ``duplicate_content``. The walk is in order of priority, score and id, by a fold over a
+    query's candidates, of which search gives its top k.
+    """
+    own = weights_with(weights)
+    found = candidates.join(units.select("unit_id", "source_type", "content", "content_hash", "cost", "priority", "section"), "unit_id")
+    had = history.select("query_id", "unit_id", F.col("content_hash").alias("had_hash"), F.col("level").alias("had_level"))
+    same = F.col("had_hash") == F.col("content_hash")
+    known = found.select("query_id", "unit_id", "content_hash").join(had, ["query_id", "unit_id"]).groupBy("query_id", "unit_id")
+    known = known.agg(F.max(same & (F.col("had_level") == level)).alias("known"), (~F.max(same)).alias("invalidated"))
+    found = found.join(known, ["query_id", "unit_id"], "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("known", "invalidated")})
+    by_hash = W.partitionBy("query_id", "content_hash").orderBy(F.col("score").desc(), "unit_id")
+    repeated = F.row_number().over(by_hash) > 1
+    score = F.round(F.col("score") + F.when(F.col("known"), own["redundancy"]).otherwise(0) + F.when(repeated, own["duplicate_content"]).otherwise(0), 3)
+    found = stored(found.withColumn("score", score), "pack-candidates")
+
+    newer = edges.filter("kind in ('supersedes', 'updates') and not heuristic").select("src_id", "dst_id").distinct()
+    matched = found.select("query_id", F.col("unit_id").alias("src_id"))
+    replaced = newer.join(matched, "src_id").groupBy("query_id", F.col("dst_id").alias("unit_id")).agg(F.max("src_id").alias("superseded_by"))
+    owners = newer.select(F.col("src_id").alias("unit_id")).distinct().withColumn("owner", F.lit(True))
+    plain = (F.col("source_type") == "message") & F.col("lexical_only")
+    best = F.max(F.when(plain, F.col("score"))).over(W.partitionBy("query_id"))
+    judged = found.join(replaced, ["query_id", "unit_id"], "left").join(owners, "unit_id", "left")
+    judged = judged.withColumn("floor", F.round(F.greatest(F.lit(2.0), F.least(F.lit(30.0), 0.65 * F.coalesce(best, F.lit(0.0)))), 3))
+    rule = (
+        F.when(F.col("superseded_by").isNotNull(), "superseded")
+        .when(plain & ~F.col("known") & (F.col("score") < F.col("floor")) & F.col("owner").isNull(), "below_floor")
+        .when((F.col("source_type") == "message") & low_information(F.col("content")), "low_information")
+        .when(F.col("known"), "referenced")
+    )
+    rank = F.array_position(F.array(*[F.lit(p) for p in PRIORITIES]), F.col("priority"))
+    heading = F.create_map(*[F.lit(x) for pair in HEADING_TOKENS.items() for x in pair])[F.col("section")]
+    row = F.struct(rank.alias("rank"), (-F.col("score")).alias("by_score"), "unit_id", rule.alias("rule"), "cost", "section", heading.cast("long").alias("heading"), copy_parts(normalized(F.col("content"))).alias("parts"))
+    # The session's unchanged units count as kept from the start, whatever their level.
+    current = units.select("unit_id", "content_hash", copy_parts(normalized(F.col("content"))).alias("parts"))
+    seen = history.select("query_id", "unit_id", "content_hash").distinct().join(current, ["unit_id", "content_hash"])
+    seen = seen.groupBy("query_id").agg(F.collect_list(F.struct("unit_id", "parts")).alias("seen"))
+    walks = judged.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("walk")).join(seen, "query_id", "left")
+
+    kept_type = "array<struct<unit_id:string,parts:struct<said:string,n:int,words:array<string>,triples:array<string>>>>"
+    done_type = "array<struct<unit_id:string,status:string,duplicate_of:string,place:bigint>>"
+    start = F.struct(
+        F.lit(0).cast("long").alias("used"),
+        F.array().cast("array<string>").alias("sections"),
+        F.coalesce("seen", F.array().cast(kept_type)).cast(kept_type).alias("kept"),
+        F.array().cast(done_type).alias("done"),
+    )
+
+    def step(acc: Column, x: Column) -> Column:
+        alike = F.filter(acc["kept"], lambda k: (k["unit_id"] != x["unit_id"]) & near_copy(k["parts"], x["parts"]))
+        copy = F.when(x["rule"].isNull(), F.get(alike, F.lit(0))["unit_id"])
+        frame = F.when(acc["used"] == 0, FRAME_TOKENS).otherwise(0) + F.when(F.array_contains(acc["sections"], x["section"]), BETWEEN_TOKENS).otherwise(x["heading"])
+        total = acc["used"] + x["cost"] + frame
+        status = F.coalesce(x["rule"], F.when(copy.isNotNull(), "near_duplicate"), F.when(total <= budget, "selected").otherwise("does_not_fit"))
+        taken, holds = status == "selected", status.isin("selected", "referenced")
+        one = F.struct(x["unit_id"].cast("string").alias("unit_id"), x["parts"].alias("parts"))
+        out = F.struct(x["unit_id"].cast("string").alias("unit_id"), status.alias("status"), copy.alias("duplicate_of"), F.size(acc["done"]).cast("long").alias("place"))
+        return F.struct(
+            F.when(taken, total).otherwise(acc["used"]).cast("long").alias("used"),
+            F.when(taken, F.array_union(acc["sections"], F.array(x["section"]))).otherwise(acc["sections"]).alias("sections"),
+            F.when(holds, F.concat(acc["kept"], F.array(one))).otherwise(acc["kept"]).cast(kept_type).alias("kept"),
+            F.concat(acc["done"], F.array(out)).cast(done_type).alias("done"),
+        )
+
+    packed = walks.select("query_id", F.explode(F.aggregate("walk", start, step, lambda acc: acc["done"])).alias("d")).select("query_id", "d.*")
+    facts = judged.select("query_id", "unit_id", "score", "floor", "priority", "section", "cost", "known", "invalidated", "superseded_by")
+    return packed.join(facts, ["query_id", "unit_id"])
+
+
+def near_duplicates(candidates: DataFrame, units: DataFrame) -> DataFrame:
+    """(query_id, a, b): candidates of one query that are nearly the same text, a before b.
+
+    Compared within a query's candidates, of which search gives its top k.
+    """
+    found = candidates.join(units.select("unit_id", copy_parts(normalized(F.col("content"))).alias("parts")), "unit_id")
+    listed = found.groupBy("query_id").agg(F.collect_list(F.struct("unit_id", "parts")).alias("all"))
+
+    def later(x: Column) -> Column:
+        alike = F.filter("all", lambda y: (y["unit_id"] > x["unit_id"]) & near_copy(x["parts"], y["parts"]))
+        return F.transform(alike, lambda y: F.struct(x["unit_id"].alias("a"), y["unit_id"].alias("b")))
+
+    return listed.select("query_id", F.explode(F.flatten(F.transform("all", later))).alias("p")).select("query_id", "p.a", "p.b")
+
+
+def pack_metrics(packed: DataFrame, budget: int) -> DataFrame:
+    """Tokens of each query's candidates by what became of them."""
+    tokens = lambda status: F.coalesce(F.sum(F.when(F.col("status") == status, F.col("cost"))), F.lit(0))
+    return packed.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("candidate_units"),
+        F.sum("cost").alias("candidate_tokens"),
+        tokens("selected").alias("selected_tokens"),
+        tokens("referenced").alias("previously_supplied_tokens"),
+        F.coalesce(F.sum(F.when(F.col("invalidated"), F.col("cost"))), F.lit(0)).alias("invalidated_tokens"),
+        tokens("near_duplicate").alias("duplicate_tokens"),
+        tokens("below_floor").alias("low_relevance_tokens"),
+        tokens("low_information").alias("low_information_tokens"),
+        tokens("superseded").alias("superseded_tokens"),
+        F.round(tokens("selected") / budget, 4).alias("utilisation"),
+    )
+
+
+def pack_lists(packed: DataFrame) -> DataFrame:
+    """Ids of each query's candidates by outcome, in the order of the walk."""
+    ids = lambda *status: F.transform(F.array_sort(F.collect_list(F.when(F.col("status").isin(*status), F.struct("place", "unit_id")))), lambda x: x["unit_id"])
+    left_out = ("superseded", "below_floor", "low_information", "near_duplicate", "does_not_fit")
+    return packed.groupBy("query_id").agg(ids("selected").alias("included"), ids("referenced").alias("referenced"), ids(*left_out).alias("omitted"))
+
+
+def deliveries(packed: DataFrame, units: DataFrame, level: str = "pack") -> DataFrame:
+    """Ledger rows of what was delivered in full."""
+    taken = packed.filter("status = 'selected'").select("query_id", "unit_id", "priority", "cost")
+    return taken.join(units.select("unit_id", "content_hash"), "unit_id").select("query_id", "unit_id", "content_hash", F.lit(level).alias("level"), F.col("cost").alias("token_count"), "priority")
 
 
 def selection_metrics(packed: DataFrame, budget: int) -> DataFrame:

@@ -2,26 +2,71 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Weight that a relation gives to the other end.
-RELATION_WEIGHTS = {"follows": 6, "member_of": 2, "contains": 1}
-
+from ..shared import size_checked, stored
+from .retrieval import weights_with
+
+#: The signal that a relation's kind gives to its other end; other kinds give none.
+RELATION_SIGNALS = {
+    "imports": "direct_import",
+    "depends_on": "direct_import",
+    "references_symbol": "referenced_symbol",
+    "references": "related_unit",
+    "related_to": "related_unit",
+    "related_test": "related_test",
+    "tested_by": "related_test",
+    "consumed_by": "consumer",
+    "decision_for": "related_unit",
+    "constraint_for": "related_unit",
+    "updates": "decision_context",
+    "contradicts": "decision_context",
+    "supersedes": "final_state",
+    "cochanged": "cochanged",
+}
+#: Files of one commit that are paired with each other, in order of path.
+PAIRED_FILES = 50
+
+
+def one_hop(seeds: DataFrame, edges: DataFrame, weights: Mapping[str, int] | None = None) -> DataFrame:
+    """(unit_id, kind, signal, weight) of the units that an edge joins to a seed, seeds left out.
+
+    ``edges`` has owner, nth, kind, src_id and dst_id. Of several edges to one unit the
+    first counts, by owner and then by number; edges of kinds without a signal do not.
+    """
+    own = weights_with(weights)
+    signal = F.create_map(*[F.lit(x) for pair in RELATION_SIGNALS.items() for x in pair])
+    typed = edges.filter(F.col("kind").isin(*RELATION_SIGNALS))
+    ids = stored(seeds.select("unit_id").distinct(), "seeds")
+    small = lambda name: size_checked(ids, 32, ["unit_id"]).withColumnRenamed("unit_id", name)
+    out = typed.join(small("src_id"), "src_id", "left_semi").select(F.col("dst_id").alias("unit_id"), "owner", "nth", "kind")
+    back = typed.join(small("dst_id"), "dst_id", "left_semi").select(F.col("src_id").alias("unit_id"), "owner", "nth", "kind")
+    met = out.unionByName(back).join(small("unit_id"), "unit_id", "left_anti")
+    first = met.groupBy("unit_id").agg(F.min_by("kind", F.struct("owner", "nth")).alias("kind")).withColumn("signal", signal[F.col("kind")])
+    return first.withColumn("weight", F.create_map(*[F.lit(x) for pair in own.items() for x in pair])[F.col("signal")].cast("long"))
+
+
+def resolved(values: DataFrame, units: DataFrame) -> DataFrame:
+    """(value, unit_id): a unit's id, else the last unit of that source id, else of the part before "::".
+
+    ``units`` has unit_id, source_id and nth, the order of units.
+    """
+    by_source = units.groupBy(F.col("source_id").alias("key")).agg(F.max_by("unit_id", "nth").alias("found"))
+    own = units.select(F.col("unit_id").alias("value"), F.col("unit_id").alias("own"))
+    whole = by_source.select(F.col("key").alias("value"), F.col("found").alias("whole"))
+    head = by_source.select(F.col("key").alias("head"), F.col("found").alias("part"))
+    asked = values.select("value").distinct().withColumn("head", F.substring_index("value", "::", 1))
+    return asked.join(own, "value", "left").join(whole, "value", "left").join(head, "head", "left").select("value", F.coalesce("own", "whole", "part").alias("unit_id"))
 
-def one_hop(seeds: DataFrame, edges: DataFrame, weights: dict[str, int] | None = None) -> DataFrame:
-    """(unit_id, kind, weight) of the units that an edge joins to a seed, seeds left out.
 
-    Of several edges the one of highest weight counts, then the first by name.
-    """
-    weights = weights or RELATION_WEIGHTS
-    out = edges.join(seeds.select(F.col("unit_id").alias("src_id")), "src_id", "left_semi").select(F.col("dst_id").alias("unit_id"), "kind")
-    back = edges.join(seeds.select(F.col("unit_id").alias("dst_id")), "dst_id", "left_semi").select(F.col("src_id").alias("unit_id"), "kind")
-    weight = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
-    met = out.unionByName(back).join(seeds.select("unit_id"), "unit_id", "left_anti").withColumn("weight", F.coalesce(weight[F.col("kind")], F.lit(0)))
-    best = met.groupBy("unit_id").agg(F.max("weight").alias("weight"))
-    return met.join(best, ["unit_id", "weight"]).groupBy("unit_id", "weight").agg(F.min("kind").alias("kind")).select("unit_id", "kind", "weight")
+def explicit_targets(targets: DataFrame, units: DataFrame) -> DataFrame:
+    """(query_id, unit_id, weight) of units that a target names by id, source id or path; it adds 100 once."""
+    keys = units.select("unit_id", F.explode(F.array_distinct(F.array("unit_id", "source_id", "path"))).alias("target"))
+    return keys.join(targets, "target").select("query_id", "unit_id").distinct().withColumn("weight", F.lit(100).cast("long"))
 
 
 def superseded(messages: DataFrame) -> DataFrame:
@@ -37,21 +82,31 @@ def copies(docs: DataFrame) -> DataFrame:
     return hashed.join(classes, "content_hash").select("doc_id", "content_hash", "first_id", "n_copies")
 
 
-def cochanges(changes: DataFrame, least: int = 2) -> DataFrame:
-    """(a, b, times) of pairs of files in one commit; ``changes`` has commit and file."""
-    own = changes.distinct()
-    pairs = own.select("commit", F.col("file").alias("a")).join(own.select("commit", F.col("file").alias("b")), "commit").filter("a < b")
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") >= least)
+def cochanges(changes: DataFrame, least: int = 2, most: int = PAIRED_FILES) -> DataFrame:
+    """(a, b, times) of pairs of files in one commit; ``changes`` has commit and file.
+
+    The first ``most`` files of a commit by path are paired, so a commit gives a bounded
+    number of pairs; there is an edge either way where a pair met ``least`` times.
+    """
+    order = W.partitionBy("commit").orderBy("file")
+    own = changes.distinct().withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most).drop("nth")
+    files = own.groupBy("commit").agg(F.array_sort(F.collect_list("file")).alias("files"))
+    later = lambda x, i: F.transform(F.slice(F.col("files"), i + 2, most), lambda y: F.struct(x.alias("a"), y.alias("b")))
+    pairs = files.select(F.explode(F.flatten(F.transform("files", later))).alias("p"))
+    return pairs.groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") >= least)
 
 
 def distances(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(node, distance) of all nodes within ``depth`` steps of a seed; edges go both ways."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    seen = seeds.select("node", F.lit(0).cast("long").alias("distance")).distinct()
-    frontier = seen
+    """(node, distance) of all nodes within ``depth`` steps of a seed; edges go both ways.
+
+    Each level is written, so none is computed again for the next.
+    """
+    both = stored(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
+    seen = frontier = stored(seeds.select("node", F.lit(0).cast("long").alias("distance")).distinct(), "level-0")
     for step in range(1, depth + 1):
-        met = both.join(frontier.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
-        frontier = met.join(seen, "node", "left_anti").withColumn("distance", F.lit(step).cast("long"))
+        ends = size_checked(frontier.select("node"), 24, ["node"]).withColumnRenamed("node", "src")
+        met = both.join(ends, "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        frontier = stored(met.join(seen.select("node"), "node", "left_anti").withColumn("distance", F.lit(step).cast("long")), f"level-{step}")
         seen = seen.unionByName(frontier)
     return seen
 

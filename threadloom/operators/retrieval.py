@@ -2,51 +2,117 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import query_terms, words
+from ..shared import size_checked, stored
 
 TOP_K = 30
-TERM_WEIGHT, PHRASE_WEIGHT = 10, 20
-#: Rows up to which the query side is broadcast; beyond, the join is by term.
-FEW_QUERIES = 100_000
-
-
-def _small(table: DataFrame) -> DataFrame:
-    """``table`` for broadcast, if a bounded look finds it small enough."""
-    few = table.limit(FEW_QUERIES + 1).count() <= FEW_QUERIES
-    return F.broadcast(table) if few else table
-
+#: A query of more words than this is dropped where a unit only echoes it.
+ECHO_WORDS = 4
+#: Phrases that one pass over the texts looks for.
+PHRASE_BLOCK = 500
+
+#: What each signal adds to a score.
+WEIGHTS: Mapping[str, int] = {
+    "explicit": 100,
+    "referenced_symbol": 75,
+    "direct_import": 70,
+    "consumer": 65,
+    "related_test": 60,
+    "branch_modified": 40,
+    "working_modified": 20,
+    "cochanged": 30,
+    "same_module": 20,
+    "path_proximity": 5,
+    "recent_access": 5,
+    "graph_distance": -10,
+    "redundancy": -35,
+    "duplicate_content": -18,
+    "exact_phrase": 30,
+    "lexical_overlap": 10,
+    "conversation_membership": 12,
+    "message_adjacency": 18,
+    "decision_context": 28,
+    "final_state": 55,
+    "related_unit": 5,
+}
+
+
+def weights_with(overrides: Mapping[str, int] | None = None) -> dict[str, int]:
+    """The weights, some of them replaced; only known names and whole numbers up to 1000 either way."""
+    for name, value in (overrides or {}).items():
+        if name not in WEIGHTS or not isinstance(value, int) or isinstance(value, bool) or abs(value) > 1000:
+            raise ValueError(f"not a weight: {name}={value!r}")
+    return {**WEIGHTS, **(overrides or {})}
+
+
+def holding(texts: DataFrame, key: str, text: str, phrases: DataFrame, name: str, phrase: str) -> DataFrame:
+    """(key, name) of the texts that hold a phrase, wherever it stands.
+
+    The phrases are a stated set: they are read in blocks of PHRASE_BLOCK, and each block
+    is held against all texts in one pass without a shuffle. Empty ones hold nowhere.
+    """
 
-def postings(units: DataFrame, asked: DataFrame) -> DataFrame:
-    """(unit_id, length, term, tf) for the terms that some query asks for."""
-    found = units.select("unit_id", F.length("content").alias("length"), F.explode(words(F.col("content"))).alias("term"))
-    return found.join(_small(asked), "term", "left_semi").groupBy("unit_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    def blocks() -> Iterator[list]:
+        asked = phrases.select(F.col(name).alias("n"), F.col(phrase).alias("p")).filter("p <> ''")
+        count = -(-asked.count() // PHRASE_BLOCK)
+        for i in range(count):
+            yield asked.filter(F.pmod(F.xxhash64("n", "p"), F.lit(count)) == i).collect()
+
+    found = texts.select(key, F.lit(None).cast(phrases.schema[name].dataType).alias(name)).limit(0)
+    for block in blocks():
+        if block:
+            every = F.array(*[F.struct(F.lit(r.n).alias("n"), F.lit(r.p).alias("p")) for r in block])
+            met = F.filter(every, lambda x: F.contains(F.col(text), x["p"]))
+            found = found.unionByName(texts.select(key, F.explode(met).alias("x")).select(key, F.col("x.n").cast(phrases.schema[name].dataType).alias(name)))
+    return found
 
 
-def search(units: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
+def search(units: DataFrame, queries: DataFrame, k: int = TOP_K, weights: Mapping[str, int] | None = None) -> DataFrame:
     """The ``k`` best units of each query: query_id, unit_id, score, terms, rank.
 
     ``units`` has unit_id and content, ``queries`` query_id and query. A term adds
-    min(10, idf tf / (1 + 0.25 length / 100)), rounded to three places, with idf =
-    1 + (N - df + 0.5) / (df + 0.5); a unit that holds the whole query gets
-    PHRASE_WEIGHT more. A unit that is the query echoed (over four words) is dropped.
+    min(10, idf tf / (1 + 0.25 words / 100)) times the weight of lexical_overlap over 10,
+    rounded to three places, with idf = 1 + (N - df + 0.5) / (df + 0.5). A unit that holds
+    the whole query, as it stands, gets the weight of exact_phrase more, terms or not; but
+    one that holds a query of over ECHO_WORDS words is an echo and is dropped. All matching
+    units are scored, and ranked once. A query without terms finds nothing.
     """
-    terms = queries.select("query_id", F.explode(query_terms(F.col("query"))).alias("term"))
-    found = postings(units, terms.select("term").distinct())
+    own = weights_with(weights)
+    asked = queries.select("query_id", F.trim(F.lower("query")).alias("query"))
+    asked = asked.withColumn("terms", query_terms(F.col("query"))).filter(F.size("terms") > 0)
+    asked = stored(asked.withColumn("echo", F.size(F.split("query", r"\s+")) > ECHO_WORDS), "queries")
+    terms = stored(asked.select("query_id", F.explode("terms").alias("term")), "query-terms")
+
+    said = words(F.col("content"))
+    found = units.select("unit_id", F.size(said).alias("length"), F.explode(said).alias("term"))
+    found = found.join(size_checked(stored(terms.select("term").distinct(), "asked-terms"), 24, ["term"]), "term", "left_semi")
+    postings = stored(found.groupBy("unit_id", "length", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
     total = units.count()
-    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = stored(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequencies")
     idf = 1 + (F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5)
-    gain = F.round(F.least(F.lit(10.0), idf * F.col("tf") / (1 + 0.25 * F.col("length") / 100)) * TERM_WEIGHT / 10, 3)
-    scored = found.join(F.broadcast(df), "term").join(_small(terms), "term").groupBy("query_id", "unit_id").agg(F.sum(gain).alias("lexical"), F.count(F.lit(1)).alias("terms"))
-    best = scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.round("lexical", 3).desc(), "unit_id"))).filter(F.col("rank") <= 4 * k)
-    near = best.join(queries, "query_id").join(units.select("unit_id", "content"), "unit_id")
-    phrase = F.contains(F.lower("content"), F.lower("query"))
-    scored = near.withColumn("phrase", phrase).select("query_id", "unit_id", F.round(F.col("lexical") + F.when(F.col("phrase"), PHRASE_WEIGHT).otherwise(0), 3).alias("score"), "terms")
+    gain = F.round(own["lexical_overlap"] * F.least(F.lit(10.0), idf * F.col("tf") / (1 + 0.25 * F.col("length") / 100)) / 10, 3)
+    weighed = postings.join(size_checked(df, 24, ["term"]), "term").select("unit_id", "term", gain.alias("gain"))
+    scored = weighed.join(size_checked(terms, 24, ["term"]), "term").groupBy("query_id", "unit_id").agg(F.sum("gain").alias("lexical"), F.count(F.lit(1)).alias("terms"))
+
+    # An echo has all words of its query but, cut short, the first and the last.
+    long = asked.filter("echo").select("query_id", "query", F.size("terms").alias("wanted"))
+    near = scored.join(size_checked(stored(long, "long-queries"), 32, ["query"]), "query_id").filter(F.col("terms") >= F.col("wanted") - 2)
+    near = stored(near.select("query_id", "unit_id", "query"), "near-echoes")
+    echoes = units.select("unit_id", F.lower("content").alias("said")).join(size_checked(near, 32, ["query"]), "unit_id").filter(F.contains("said", "query"))
+    echoes = stored(echoes.select("query_id", "unit_id"), "echoes")
+    phrases = holding(units.filter(F.size(said) > 0).select("unit_id", F.lower("content").alias("said")), "unit_id", "said", asked.filter("not echo"), "query_id", "query")
+    both = scored.join(size_checked(echoes, 16), ["query_id", "unit_id"], "left_anti").join(phrases.withColumn("phrase", F.lit(True)), ["query_id", "unit_id"], "full_outer")
+    score = F.round(F.coalesce("lexical", F.lit(0.0)) + F.when(F.col("phrase"), own["exact_phrase"]).otherwise(0), 3)
+    ranked = both.select("query_id", "unit_id", score.alias("score"), F.coalesce("terms", F.lit(0)).alias("terms"))
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "unit_id")
-    return scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
+    return ranked.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
 
 
 def relevance_floor(found: DataFrame) -> DataFrame:
@@ -60,18 +126,40 @@ def contained(gold: DataFrame, texts: DataFrame, anchor: int = 3) -> DataFrame:
     """(item_id, doc_id) where an item's text stands in a document's.
 
     Any document with the passage has the item's second to fourth words as whole words,
-    so these anchor an equi join; the exact test follows. An item of fewer words is
-    compared with all documents, for which such items must be few.
+    so these anchor an equi join of ids, without texts; the exact test follows on the texts
+    that are met. Items of fewer words are held against all texts in blocks.
     """
     cut = r"[\x20\x09-\x0D]+"
     items = gold.select("item_id", F.col("text").alias("item"), F.split("text", cut).alias("w"))
-    long = items.filter(F.size("w") > anchor + 1).select("item_id", "item", F.array_join(F.slice("w", 2, anchor), " ").alias("anchor"))
-    short = items.filter(F.size("w") <= anchor + 1).filter("item <> ''").select("item_id", "item")
+    long = stored(items.filter(F.size("w") > anchor + 1).select("item_id", "item", F.array_join(F.slice("w", 2, anchor), " ").alias("anchor")), "anchored-items")
+    short = items.filter(F.size("w") <= anchor + 1).select("item_id", "item")
+    anchors = stored(long.select("anchor").distinct(), "anchors")
     w = F.split("text", cut)
-    grams = texts.select("doc_id", "text", w.alias("w")).filter(F.size("w") >= anchor)
+    grams = texts.select("doc_id", w.alias("w")).filter(F.size("w") >= anchor)
     spread = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - anchor + 1), lambda i: F.array_join(F.slice("w", i, anchor), " ")))
-    met = grams.select("doc_id", "text", F.explode(spread).alias("anchor")).join(_small(long), "anchor").filter(F.contains("text", "item"))
-    found = met.select("item_id", "doc_id")
-    if short.take(1):
-        found = found.unionByName(texts.join(_small(short), F.contains("text", "item")).select("item_id", "doc_id"))
-    return found
+    met = grams.select("doc_id", F.explode(spread).alias("anchor")).join(size_checked(anchors, 24, ["anchor"]), "anchor", "left_semi")
+    met = stored(met.join(size_checked(long.select("item_id", "anchor"), 32, ["anchor"]), "anchor").select("item_id", "doc_id").distinct(), "met-anchors")
+    pairs = stored(met.join(size_checked(long.select("item_id", "item"), 24, ["item"]), "item_id"), "candidate-passages")
+    found = texts.select("doc_id", "text").join(size_checked(pairs, 24, ["item"]), "doc_id").filter(F.contains("text", "item")).select("item_id", "doc_id").distinct()
+    return found.unionByName(holding(texts, "doc_id", "text", short, "item_id", "item").select("item_id", "doc_id").distinct())
+
+
+def repository_scores(files: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, path, score) of files with a score: each term adds 10 if the path has it, 8 if a symbol's
+    name does, and its occurrences in the text up to 5; the whole query in the text adds 10.
+
+    ``files`` has path, symbols (names in lower case, joined) and content; queries are a
+    stated set, held against all files in one pass.
+    """
+    asked = queries.select("query_id", F.lower("query").alias("query"), query_terms(F.col("query")).alias("terms")).collect()
+    path, said = F.lower("path"), F.lower("content")
+
+    def times(text, term: str):
+        return F.floor((F.length(text) - F.length(F.replace(text, F.lit(term), F.lit("")))) / len(term))
+
+    def score(query) -> object:
+        parts = [F.when(F.contains(path, F.lit(t)), 10).otherwise(0) + F.when(F.contains(F.col("symbols"), F.lit(t)), 8).otherwise(0) + F.least(F.lit(5), times(said, t)) for t in query.terms]
+        return reduce(lambda a, b: a + b, parts, F.when(F.contains(said, F.lit(query.query)), 10).otherwise(0)).cast("long")
+
+    rows = F.array(*[F.struct(F.lit(q.query_id).alias("query_id"), score(q).alias("score")) for q in asked if q.terms])
+    return files.select("path", F.explode(rows).alias("x")).select("x.query_id", "path", "x.score").filter("score > 0")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, content_hash, token_count
 from ..operators import graph, grading, metrics, packing, relations, retrieval
+from ..operators.working_context import DIRECTIVE, NOTICE, SECTIONS, TITLE, Wording, prioritised, rendered
+from ..shared import stored
 from ..sources import conversations, events
 from ..streaming import jobs
 
@@ -68,7 +70,7 @@ def conversation_units(spark: SparkSession, sf_dir: str) -> DataFrame:
                       lag(turn) over (partition by conv_id order by turn) as before from conversations)
     select 'member_of' as kind, unit as src_id, whole as dst_id from m
     union all select 'contains', whole, unit from m
-    union all select 'follows', unit, 'conversation:' || conv_id || '/message:' || before from m where before is not null"""
+    union all select 'follows', 'conversation:' || conv_id || '/message:' || before, unit from m where before is not null"""
 )
 def conversation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.edges(_table(spark, sf_dir, "conversations"))
@@ -100,25 +102,34 @@ def _searched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
-_SEARCH = rf"""
-    with q as (select item_id as query_id, text as query from benchmark where item_id % 50 = 0),
-    terms as (select distinct query_id, unnest({_WORDS.format("query")}) as term from q),
-    asked as (select * from terms where term not in ({_STOP})),
-    tokens as (select doc_id, length(text) as len, unnest({_WORDS.format("text")}) as term from documents),
-    postings as (select doc_id, len, term, count(*) as tf from tokens where term in (select term from asked) group by all),
+
+
+def _search_sql(units: str, queries: str) -> str:
+    """CTEs up to ``found``: the best 30 of ``units`` (unit_id, content) for each of ``queries`` (query_id, query)."""
+    return rf"""
+    with recursive u as ({units}), asked as ({queries}),
+    t as (select * from (select distinct query_id, unnest({_WORDS.format("query")}) as term from asked) where term not in ({_STOP})),
+    q as (select query_id, trim(lower(query)) as query, len(string_split_regex(trim(query), '\s+')) > 4 as echo from asked where query_id in (select query_id from t)),
+    spoken as (select unit_id, {_WORDS.format("content")} as w from u),
+    tokens as (select unit_id, len(w) as len, unnest(w) as term from spoken),
+    postings as (select unit_id, len, term, count(*) as tf from tokens where term in (select term from t) group by all),
     df as (select term, count(*) as df from postings group by term),
-    total as (select cast(count(*) as double) as n from documents),
+    total as (select cast(count(*) as double) as n from u),
     lexical as (
-      select a.query_id, p.doc_id, count(*) as terms,
-        sum(round(least(10.0, (1 + (n - df + 0.5) / (df + 0.5)) * tf / (1 + 0.25 * len / 100)) * 10 / 10, 3)) as lexical
-      from postings p join df using (term) join asked a using (term) cross join total group by all
-    ), best as (select *, row_number() over (partition by query_id order by round(lexical, 3) desc, doc_id) as r from lexical),
-    scored as (
-      select b.query_id, b.doc_id as unit_id, b.terms, round(b.lexical + case when contains(lower(d.text), lower(q.query)) then 20 else 0 end, 3) as score
-      from best b join q using (query_id) join documents d on d.doc_id = b.doc_id where b.r <= 120
+      select query_id, unit_id, count(*) as terms, sum(round(10 * least(10.0, (1 + (n - df + 0.5) / (df + 0.5)) * tf / (1 + 0.25 * len / 100)) / 10, 3)) as lexical
+      from postings join df using (term) join t using (term) cross join total group by all
+    ), met as (
+      select q.query_id, u.unit_id, lexical, terms, echo, contains(lower(content), query) as phrase
+      from q cross join u left join lexical l on l.query_id = q.query_id and l.unit_id = u.unit_id where len({_WORDS.format("content")}) > 0
+    ), scored as (
+      select query_id, unit_id, coalesce(terms, 0) as terms, round(coalesce(lexical, 0) + case when phrase then 30 else 0 end, 3) as score
+      from met where not (phrase and echo) and (lexical is not null or phrase)
     ), ranked as (select *, row_number() over (partition by query_id order by score desc, unit_id) as rank from scored),
     found as (select query_id, unit_id, score, terms, rank from ranked where rank <= 30)
-"""
+    """
+
+
+_SEARCH = _search_sql("select doc_id as unit_id, text as content from documents", "select item_id as query_id, text as query from benchmark where item_id % 50 = 0")
 
 
 @registered(_SEARCH + "select * from found")
@@ -141,7 +152,7 @@ def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PACK = (
-    _SEARCH.replace("with q as", "with recursive q as")
+    _SEARCH
     + rf""", priced as (select f.query_id, f.unit_id, f.rank, cast({_TOKENS.format("d.text")} as bigint) as cost from found f join documents d on d.doc_id = f.unit_id),
     walk as (
       select query_id, unit_id, rank, cost, cost <= {BUDGET} as taken, case when cost <= {BUDGET} then cost else 0 end as used from priced where rank = 1
@@ -154,7 +165,7 @@ _PACK = (
 
 
 @registered(_PACK + "select query_id, unit_id, rank, cost, case when taken then 'selected' else 'does_not_fit' end as status from walk")
-def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+def budget_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packed(spark, sf_dir)
 
 
@@ -163,10 +174,201 @@ def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     + f"""select query_id, cast(sum(cost) as bigint) as candidate_tokens, cast(coalesce(sum(cost) filter (where taken), 0) as bigint) as selected_tokens,
       count(*) filter (where taken) as selected_units, round(coalesce(sum(cost) filter (where taken), 0) / {BUDGET}, 4) as utilisation from walk group by query_id"""
 )
-def pack_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def budget_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.selection_metrics(_packed(spark, sf_dir), BUDGET)
 
 
+#: Wording of priorities and sections that the invented prose of the tables has.
+WORDING = Wording(critical=("(?i) the of ", "(?i) to the "), required="(?i) de la | in the ", constraint="(?i) die der ", implementation="(?i) et la ", decision="(?i) la de ")
+
+
+def _message_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Messages as units with metadata, typed edges, queries, and what each query's session has had."""
+    messages = _table(spark, sf_dir, "conversations").withColumn("unit_id", conversations.message_name(F.col("conv_id"), F.col("turn")))
+    edges = relations.superseded(messages.drop("unit_id")).filter("superseded_by is not null and turn % 5 = 0")
+    edges = edges.select(
+        F.lit("supersedes").alias("kind"),
+        conversations.message_name(F.col("conv_id"), F.col("superseded_by")).alias("src_id"),
+        conversations.message_name(F.col("conv_id"), F.col("turn")).alias("dst_id"),
+        (F.col("turn") == 5).alias("heuristic"),
+    )
+    units = messages.select(
+        "unit_id",
+        F.lit("message").alias("source_type"),
+        F.col("text").alias("content"),
+        content_hash(F.col("text")).alias("content_hash"),
+        token_count(F.col("text")).alias("cost"),
+        F.when(F.col("turn") % 11 == 10, "superseded").alias("state"),
+        F.when((F.col("conv_id") % 7 == 3) & (F.col("turn") == 1), "Required").alias("declared"),
+        (F.col("role") == "system").alias("critical"),
+        F.when(F.col("turn") % 13 == 5, "prior_work").alias("category"),
+    )
+    units = prioritised(units, edges.select(F.col("src_id").alias("unit_id"), "kind"), WORDING)
+    queries = messages.filter("conv_id % 50 = 0 and turn = 0").select(F.col("conv_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("query"))
+    had = messages.filter("(turn * 31 + conv_id) % 9 = 0").select(
+        (F.col("conv_id") - F.col("conv_id") % 50).alias("query_id"),
+        "unit_id",
+        F.when(F.col("turn") % 2 == 0, content_hash(F.col("text"))).otherwise("old").alias("content_hash"),
+        F.when(F.col("turn") % 4 == 2, "map").otherwise("pack").alias("level"),
+    )
+    return units, edges, queries, had
+
+
+_UNIT = "'conversation:' || conv_id || '/message:' || turn"
+_NORMAL = r"array_to_string(regexp_extract_all(replace(lower(regexp_replace({0}, '(?m)^[ \t]*>[ \t]?', '', 'g')), 'ß', 'ss'), '[\p{{L}}\p{{N}}_]+'), ' ')"
+_MESSAGES = _search_sql(f"select {_UNIT} as unit_id, text as content from conversations", "select conv_id as query_id, array_to_string(string_split(text, ' ')[1:3], ' ') as query from conversations where conv_id % 50 = 0 and turn = 0")
+_SECTION_CASE = "case " + " ".join(f"when section = '{x}' then {packing.HEADING_TOKENS[x]}" for x in SECTIONS) + " end"
+_PRIORITY = rf""", newer as (
+      select {_UNIT} as dst_id, 'conversation:' || conv_id || '/message:' || lead(turn) over (partition by conv_id, role order by turn) as src_id, turn from conversations
+    ), superseding as (select * from newer where src_id is not null and turn % 5 = 0),
+    m as (
+      select *, {_UNIT} as unit_id, {_UNIT} in (select src_id from superseding) as owner, contains(lower(text), ' the of ') and contains(lower(text), ' to the ') as boundary from conversations
+    ), levelled as (
+      select *, case when turn % 11 = 10 then ['informational', 'explicit_superseded_state'] when conv_id % 7 = 3 and turn = 1 then ['required', 'explicit_priority_metadata']
+          when role = 'system' then ['critical', 'explicit_critical_metadata'] when boundary then ['critical', 'explicit_rule_text']
+          when contains(lower(text), ' de la ') or contains(lower(text), ' in the ') then ['required', 'deterministic_mandatory_language'] else ['supporting', 'default_supporting_context'] end as p,
+        case when boundary and turn % 11 <> 10 then (select count(*) filter (where boundary) from m) - 1 else 0 end as corroborated from m
+    ), placed as (
+      select *, p[1] as priority, p[2] as priority_reason, case when turn % 11 = 10 then ['SUPERSEDED / DO NOT USE', 'explicit_metadata']
+          when p[1] in ('critical', 'required') then ['CRITICAL CURRENT CONSTRAINTS', 'deterministic_priority'] when turn % 13 = 5 then ['RELEVANT PRIOR WORK', 'explicit_metadata']
+          when owner then ['CURRENT DECISIONS', 'explicit_relationship'] when contains(lower(text), ' die der ') then ['CRITICAL CURRENT CONSTRAINTS', 'deterministic_rule']
+          when contains(lower(text), ' et la ') then ['CURRENT IMPLEMENTATION STATE', 'deterministic_rule'] when contains(lower(text), ' la de ') then ['CURRENT DECISIONS', 'deterministic_rule']
+          else ['RELEVANT CONTEXT', 'source_default'] end as s from levelled
+    ), meta as (
+      select unit_id, text as content, sha256(text) as content_hash, cast({_TOKENS.format("text")} as bigint) as cost, priority, priority_reason, corroborated, s[1] as section, s[2] as section_rule,
+        {_NORMAL.format("text")} as said from placed
+    )"""
+_FLOOR = "round(greatest(2.0, least(30.0, 0.65 * coalesce(max(score) over (partition by query_id), 0))), 3)"
+_ALIKE = """k.said <> '' and c.said <> '' and (contains(k.said, c.said) or contains(c.said, k.said) or (least(len(string_split(k.said, ' ')), len(string_split(c.said, ' '))) >= 8 and (
+        len(list_intersect(k.w, c.w)) >= 0.7 * len(list_distinct(list_concat(k.w, c.w))) or (len(k.t) + len(c.t) > 0 and len(list_intersect(k.t, c.t)) >= 0.88 * len(list_distinct(list_concat(k.t, c.t)))))))"""
+_SETS = """list_distinct(string_split(said, ' ')) as w,
+        case when len(string_split(said, ' ')) > 2 then list_distinct(list_transform(range(1, len(string_split(said, ' ')) - 1), lambda i: array_to_string(string_split(said, ' ')[i : i + 2], ' '))) else [] end as t"""
+_COMPILE = (
+    _MESSAGES
+    + _PRIORITY
+    + rf""", had as (
+      select conv_id - conv_id % 50 as query_id, {_UNIT} as unit_id, case when turn % 2 = 0 then sha256(text) else 'old' end as content_hash, case when turn % 4 = 2 then 'map' else 'pack' end as level
+      from conversations where (turn * 31 + conv_id) % 9 = 0
+    ), c0 as (
+      select f.query_id, f.unit_id, f.score as raw, meta.*, h.unit_id is not null and h.content_hash = meta.content_hash and h.level = 'pack' as known, h.unit_id is not null and h.content_hash <> meta.content_hash as invalidated
+      from found f join meta using (unit_id) left join had h on h.query_id = f.query_id and h.unit_id = f.unit_id
+    ), c1 as (
+      select *, round(raw - case when known then 35 else 0 end - case when row_number() over (partition by query_id, content_hash order by raw desc, unit_id) > 1 then 18 else 0 end, 3) as score from c0
+    ), c2 as (
+      select c1.*, {_FLOOR} as floor, (select max(s.src_id) from superseding s join c1 x on x.unit_id = s.src_id where x.query_id = c1.query_id and s.dst_id = c1.unit_id and s.turn <> 5) as superseded_by,
+        unit_id in (select src_id from superseding where turn <> 5) as owner from c1
+    ), c as (
+      select *, {_SECTION_CASE} as heading, {_SETS},
+        case when superseded_by is not null then 'superseded' when not known and score < floor and not owner then 'below_floor'
+          when said <> '' and len(string_split(said, ' ')) <= 3 and len(list_filter(string_split(said, ' '), lambda x: x not in ('ok', 'okay', 'thanks', 'thank', 'understood', 'noted', 'confirmed', 'yes', 'sure', 'great'))) = 0 then 'low_information'
+          when known then 'referenced' end as rule,
+        row_number() over (partition by query_id order by list_position(['critical', 'required', 'supporting', 'informational'], priority), -score, unit_id) as pos from c2
+    ), seen as (
+      select query_id, list({{'unit_id': unit_id, 'said': said, 'w': w, 't': t}}) as kept from (select distinct had.query_id, meta.unit_id, said, {_SETS} from had join meta using (unit_id, content_hash)) group by query_id
+    ), walk as (
+      select c.query_id, cast(0 as bigint) as pos, '' as unit_id, cast(0 as bigint) as used, cast([] as varchar[]) as sections,
+        coalesce(any_value(seen.kept), cast([] as struct(unit_id varchar, said varchar, w varchar[], t varchar[])[])) as kept, '' as status, cast(null as varchar) as duplicate_of
+      from c left join seen using (query_id) group by c.query_id
+      union all
+      select query_id, pos, unit_id, case when status = 'selected' then total else used end, case when status = 'selected' and not list_contains(sections, section) then list_append(sections, section) else sections end,
+        case when status in ('selected', 'referenced') then list_append(kept, {{'unit_id': unit_id, 'said': said, 'w': w, 't': t}}) else kept end, status, duplicate_of
+      from (
+        select *, coalesce(rule, case when duplicate_of is not null then 'near_duplicate' end, case when total <= {BUDGET} then 'selected' else 'does_not_fit' end) as status
+        from (
+          select c.query_id, c.pos, c.unit_id, c.section, c.said, c.w, c.t, c.rule, p.used, p.sections, p.kept,
+            p.used + c.cost + case when p.used = 0 then {packing.FRAME_TOKENS} else 0 end + case when list_contains(p.sections, c.section) then {packing.BETWEEN_TOKENS} else c.heading end as total,
+            case when c.rule is null then list_filter(p.kept, lambda k: k.unit_id <> c.unit_id and {_ALIKE})[1].unit_id end as duplicate_of
+          from walk p join c on c.query_id = p.query_id and c.pos = p.pos + 1
+        )
+      )
+    ), packed as (
+      select w.query_id, w.unit_id, w.status, w.duplicate_of, w.pos - 1 as place, c.score, c.floor, c.priority, c.section, c.cost, c.known, c.invalidated, c.superseded_by, c.content, c.content_hash
+      from walk w join c using (query_id, pos)
+    )
+    """
+)
+
+
+@registered(_MESSAGES + "select * from found")
+def message_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units, _, queries, _ = _message_parts(spark, sf_dir)
+    return retrieval.search(units.select("unit_id", "content"), queries)
+
+
+@registered(_MESSAGES + _PRIORITY + "select unit_id, priority, priority_reason, corroborated, section, section_rule from meta")
+def context_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _message_parts(spark, sf_dir)[0].select("unit_id", "priority", "priority_reason", "corroborated", "section", "section_rule")
+
+
+def _compiled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    units, edges, queries, had = _message_parts(spark, sf_dir)
+    units = stored(units, "units")
+    found = retrieval.search(units.select("unit_id", "content"), queries).withColumn("lexical_only", F.lit(True))
+    packed = packing.compile_pack(found.select("query_id", "unit_id", "score", "lexical_only"), units, edges, had, BUDGET)
+    return stored(packed, "packed"), units
+
+
+@registered(_COMPILE + "select * exclude (content, content_hash) from packed")
+def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _compiled(spark, sf_dir)[0]
+
+
+@registered(
+    _COMPILE
+    + f"""select query_id, count(*) as candidate_units, cast(sum(cost) as bigint) as candidate_tokens, cast(coalesce(sum(cost) filter (where status = 'selected'), 0) as bigint) as selected_tokens,
+      cast(coalesce(sum(cost) filter (where status = 'referenced'), 0) as bigint) as previously_supplied_tokens, cast(coalesce(sum(cost) filter (where invalidated), 0) as bigint) as invalidated_tokens,
+      cast(coalesce(sum(cost) filter (where status = 'near_duplicate'), 0) as bigint) as duplicate_tokens, cast(coalesce(sum(cost) filter (where status = 'below_floor'), 0) as bigint) as low_relevance_tokens,
+      cast(coalesce(sum(cost) filter (where status = 'low_information'), 0) as bigint) as low_information_tokens, cast(coalesce(sum(cost) filter (where status = 'superseded'), 0) as bigint) as superseded_tokens,
+      round(coalesce(sum(cost) filter (where status = 'selected'), 0) / {BUDGET}, 4) as utilisation from packed group by query_id"""
+)
+def pack_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_metrics(_compiled(spark, sf_dir)[0], BUDGET)
+
+
+@registered(
+    _COMPILE
+    + """select query_id, coalesce(list(unit_id order by place) filter (where status = 'selected'), []) as included, coalesce(list(unit_id order by place) filter (where status = 'referenced'), []) as referenced,
+      coalesce(list(unit_id order by place) filter (where status not in ('selected', 'referenced')), []) as omitted from packed group by query_id"""
+)
+def pack_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_lists(_compiled(spark, sf_dir)[0])
+
+
+@registered(_COMPILE + "select query_id, unit_id, content_hash, 'pack' as level, cost as token_count, priority from packed where status = 'selected'")
+def pack_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.deliveries(*_compiled(spark, sf_dir))
+
+
+_ORDERED = ", ".join(f"'{x}'" for x in SECTIONS)
+
+
+@registered(
+    _COMPILE
+    + rf""", sections as (
+      select query_id, list_position([{_ORDERED}], section) as nth, section || chr(10) || string_agg(content, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by place) as block from packed where status = 'selected' group by query_id, section
+      union all select distinct query_id, 9, 'CONTEXT DELTA' || chr(10) || '{NOTICE}' from packed where status = 'referenced' and priority in ('critical', 'required')
+    ) select query_id, '{TITLE}' || chr(10) || chr(10) || '{DIRECTIVE}' || chr(10) || chr(10) || string_agg(block, chr(10) || chr(10) order by nth) as context from sections group by query_id"""
+)
+def rendered_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed, units = _compiled(spark, sf_dir)
+    taken = packed.filter("status in ('selected', 'referenced')").join(units.select("unit_id", "content"), "unit_id")
+    chosen = F.col("status") == "selected"
+    notice = ~chosen & F.col("priority").isin("critical", "required")
+    return rendered(taken.select("query_id", "section", "place", F.when(chosen, F.col("content")).alias("content"), notice.alias("notice")))
+
+
+@registered(
+    _search_sql("select doc_id as unit_id, text as content from documents", "select item_id as query_id, array_to_string(string_split(text, ' ')[1:2], ' ') as query from benchmark where item_id % 50 = 0")
+    + rf""", c as (select query_id, unit_id, said, {_SETS} from (select query_id, unit_id, {_NORMAL.format("text")} as said from found join documents on doc_id = unit_id))
+    select k.query_id, k.unit_id as a, c.unit_id as b from c k join c on k.query_id = c.query_id and k.unit_id < c.unit_id where {_ALIKE}"""
+)
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit_id"), F.col("text").alias("content"))
+    items = _table(spark, sf_dir, "benchmark").filter(F.col("item_id") % 50 == 0)
+    queries = items.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("query"))
+    return packing.near_duplicates(retrieval.search(units, queries).select("query_id", "unit_id"), units)
+
+
 @registered("select b.item_id, d.doc_id from benchmark b join documents d on contains(d.text, b.text) where b.text <> ''")
 def passage_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.contained(_table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents"))
@@ -194,23 +396,56 @@ def classify_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grading.classified(_table(spark, sf_dir, "documents").select("doc_id", "text"), RULES).drop("text")
 
 
+#: What the return flag of an order line stands for as a relation; one kind gives no signal.
+_KINDS = {"A": "depends_on", "N": "related_to", "R": "follows"}
+
+
 @registered(
     """
-    with e as (select conv_id, turn, lag(turn) over (partition by conv_id order by turn) as before from conversations),
-    seeds as (select 'conversation:' || conv_id || '/message:' || turn as u from conversations where role = 'system'),
-    edges as (
-      select 'member_of' as kind, 2 as w, 'conversation:' || conv_id || '/message:' || turn as s, 'conversation:' || conv_id as d from e
-      union all select 'contains', 1, 'conversation:' || conv_id, 'conversation:' || conv_id || '/message:' || turn from e
-      union all select 'follows', 6, 'conversation:' || conv_id || '/message:' || turn, 'conversation:' || conv_id || '/message:' || before from e where before is not null
-    ), met as (
-      select d as unit_id, kind, w from edges where s in (select u from seeds) union all select s, kind, w from edges where d in (select u from seeds)
-    )
-    select unit_id, arg_min(kind, (-w, kind)) as kind, max(w) as weight from met where unit_id not in (select u from seeds) group by unit_id"""
+    with e as (select 'p' || l_partkey as owner, l_orderkey * 10 + l_linenumber as nth, case l_returnflag when 'A' then 'depends_on' when 'N' then 'related_to' else 'follows' end as kind,
+                      'p' || l_partkey as s, 's' || l_suppkey as d from lineitem),
+    seeds as (select 's' || s_suppkey as u from supplier where s_nationkey = 0),
+    met as (select d as unit_id, owner, nth, kind from e where s in (select u from seeds) union all select s, owner, nth, kind from e where d in (select u from seeds)),
+    f as (select unit_id, arg_min(kind, (owner, nth)) as kind from met where kind <> 'follows' and unit_id not in (select u from seeds) group by unit_id)
+    select unit_id, kind, case kind when 'depends_on' then 'direct_import' else 'related_unit' end as signal, cast(case kind when 'depends_on' then 70 else 5 end as bigint) as weight from f"""
 )
 def relation_one_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair])[F.col("l_returnflag")]
+    part = F.concat(F.lit("p"), "l_partkey")
+    edges = _table(spark, sf_dir, "lineitem").select(part.alias("owner"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("nth"), kind.alias("kind"), part.alias("src_id"), F.concat(F.lit("s"), "l_suppkey").alias("dst_id"))
+    seeds = _table(spark, sf_dir, "supplier").filter("s_nationkey = 0").select(F.concat(F.lit("s"), "s_suppkey").alias("unit_id"))
+    return relations.one_hop(seeds, edges)
+
+
+def _sourced(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = _table(spark, sf_dir, "conversations")
-    seeds = conversations.units(messages.filter("role = 'system'")).filter("source_type = 'message'").select("unit_id")
-    return relations.one_hop(seeds, conversations.edges(messages))
+    name = conversations.message_name(F.col("conv_id"), F.col("turn"))
+    return messages.select(name.alias("unit_id"), F.concat(F.lit("src"), "conv_id").alias("source_id"), F.concat(F.lit("logs/"), "role").alias("path"), F.col("turn").alias("nth"), "conv_id", "turn")
+
+
+@registered(
+    f"""
+    with u as (select {_UNIT} as unit_id, 'src' || conv_id as source_id, turn from conversations), l as (select source_id, arg_max(unit_id, turn) as found from u group by source_id),
+    v as (select distinct case when turn % 7 = 6 then 'none' || turn when turn % 3 = 0 then {_UNIT} when turn % 3 = 1 then 'src' || conv_id else 'src' || conv_id || '::' || turn end as value from conversations)
+    select value, coalesce(u.unit_id, a.found, b.found) as unit_id from v left join u on u.unit_id = value left join l a on a.source_id = value left join l b on b.source_id = split_part(value, '::', 1)"""
+)
+def endpoint_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units, turn = _sourced(spark, sf_dir), F.col("turn")
+    value = F.when(turn % 7 == 6, F.concat(F.lit("none"), "turn")).when(turn % 3 == 0, F.col("unit_id")).when(turn % 3 == 1, F.col("source_id")).otherwise(F.concat("source_id", F.lit("::"), "turn"))
+    return relations.resolved(units.select(value.alias("value")), units)
+
+
+@registered(
+    f"""
+    with t as (select conv_id as query_id, unnest(['src' || (conv_id + 1), 'conversation:' || conv_id || '/message:1', 'logs/system']) as target from conversations where conv_id % 50 = 0 and turn = 0),
+    u as (select {_UNIT} as unit_id, 'src' || conv_id as source_id, 'logs/' || role as path from conversations)
+    select distinct query_id, unit_id, cast(100 as bigint) as weight from t join u on target in (unit_id, source_id, path)"""
+)
+def explicit_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = _sourced(spark, sf_dir)
+    first = units.filter("conv_id % 50 = 0 and turn = 0")
+    named = F.array(F.concat(F.lit("src"), F.col("conv_id") + 1), F.concat(conversations.conversation_name(F.col("conv_id")), F.lit("/message:1")), F.lit("logs/system"))
+    return relations.explicit_targets(first.select(F.col("conv_id").alias("query_id"), F.explode(named).alias("target")), units)
 
 
 @registered("select conv_id, turn, role, lead(turn) over (partition by conv_id, role order by turn) as superseded_by from conversations")
@@ -320,7 +555,7 @@ def trace_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.overview(_traces(spark, sf_dir))
 
 
-@registered("select event_type as operation, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95, count(value) as n from events where value is not null group by 1")
+@registered("select event_type as operation, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95, count(value) as n, count(*) - count(value) as missing from events group by 1")
 def stage_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.percentiles(_traces(spark, sf_dir))
 
@@ -489,23 +724,140 @@ def neighborhood_2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.neighborhood(*_parts_graph(spark, sf_dir), 2)
 
 
+_TYPED = """
+    with recursive line as (
+      select distinct case when l_returnflag = 'R' and l_linestatus = 'F' and l_linenumber = 1 then 'related_test' when l_returnflag = 'R' then 'cochanged' when l_returnflag = 'A' then 'imports' else 'references_symbol' end as kind,
+        l_partkey, l_suppkey, l_linenumber % 2 as way from lineitem
+    ), ends as (
+      select kind, p_type || '/' || p_brand || '/p' || p_partkey as p, 'suppliers/' || s_nationkey || '/s' || s_suppkey as s, way
+      from line join part on p_partkey = l_partkey join supplier on s_suppkey = l_suppkey
+    ), e as (select distinct kind, case when way = 0 then p else s end as src, case when way = 0 then s else p end as dst from ends),
+    files as (
+      select p_type || '/' || p_brand || '/p' || p_partkey as node, p_type || '/' || p_brand as folder, p_name as content_hash from part
+      union all select 'suppliers/' || s_nationkey || '/s' || s_suppkey, 'suppliers/' || s_nationkey, s_name from supplier
+    ), targets as (select node from files where folder = 'suppliers/0' or node in (select p_type || '/' || p_brand || '/p' || p_partkey from part where p_partkey % 97 = 5)),
+    changed as (select p_type || '/' || p_brand || '/p' || p_partkey as node, case when p_size % 2 = 0 then 'branch' else 'working' end as scope from part where p_size % 10 < 2)
+    """
+
+
+def _typed_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Files, typed edges, targets and changed files from parts, suppliers and order lines."""
+    part, supplier = _table(spark, sf_dir, "part"), _table(spark, sf_dir, "supplier")
+    part = part.withColumn("folder", F.concat("p_type", F.lit("/"), "p_brand")).withColumn("node", F.concat("folder", F.lit("/p"), "p_partkey"))
+    supplier = supplier.withColumn("folder", F.concat(F.lit("suppliers/"), "s_nationkey")).withColumn("node", F.concat("folder", F.lit("/s"), "s_suppkey"))
+    files = part.select("node", "folder", F.col("p_name").alias("content_hash")).unionByName(supplier.select("node", "folder", F.col("s_name").alias("content_hash")))
+    flag = F.col("l_returnflag")
+    kind = F.when((flag == "R") & (F.col("l_linestatus") == "F") & (F.col("l_linenumber") == 1), "related_test").when(flag == "R", "cochanged").when(flag == "A", "imports").otherwise("references_symbol")
+    line = _table(spark, sf_dir, "lineitem").select(kind.alias("kind"), "l_partkey", "l_suppkey", (F.col("l_linenumber") % 2).alias("way")).distinct()
+    ends = line.join(part.select(F.col("p_partkey").alias("l_partkey"), F.col("node").alias("p")), "l_partkey").join(supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("node").alias("s")), "l_suppkey")
+    edges = ends.select("kind", F.when(F.col("way") == 0, F.col("p")).otherwise(F.col("s")).alias("src"), F.when(F.col("way") == 0, F.col("s")).otherwise(F.col("p")).alias("dst")).distinct()
+    targets = supplier.filter("s_nationkey = 0").select("node").unionByName(part.filter("p_partkey % 97 = 5").select("node"))
+    changed = part.filter("p_size % 10 < 2").select("node", F.when(F.col("p_size") % 2 == 0, "branch").otherwise("working").alias("scope"))
+    return files, stored(edges, "typed-edges"), targets, changed
+
+
 @registered(
-    _NEAR
-    + """select node, cast(case reason when 'explicit' then 100 when 'dependency' then 40 else 30 end - 10 * depth as bigint) as score,
-      reason || ';distance=' || depth as evidence from near"""
+    _TYPED
+    + """, both_ways as (select src, dst from e union select dst, src from e),
+    walk as (select node, 0 as distance from targets union select b.dst, w.distance + 1 from walk w join both_ways b on b.src = w.node where w.distance < 2),
+    near as (select node, min(distance) as distance from walk group by node),
+    tested as (select distinct dst as node from e where kind = 'related_test'),
+    steps as (select folder, unnest(list_distinct(string_split(folder, '/'))) as part from (select distinct folder from files)),
+    close as (select folder, least(3, max(n)) as n from (select a.folder, b.folder as other, count(*) as n from steps a join steps b using (part) where b.folder in (select folder from files where node in (select node from targets)) group by 1, 2) group by 1),
+    signals as (
+      select node, 'explicit' as signal, 100 as w from targets
+      union all select distinct dst, 'referenced_symbol', 75 from e where kind = 'references_symbol' and src in (select node from targets)
+      union all select distinct dst, 'direct_import', 70 from e where kind = 'imports' and src in (select node from targets)
+      union all select distinct src, 'consumer', 65 from e where kind in ('imports', 'references_symbol') and dst in (select node from targets) and src not in (select node from tested)
+      union all select node, 'related_test', 60 from tested
+      union all select distinct dst, 'cochanged', 30 from e where kind = 'cochanged'
+      union all select node, case when scope = 'branch' then 'branch_modified' else 'working_modified' end, case when scope = 'branch' then 40 else 20 end from changed
+      union all select node, 'same_module', 20 from files where folder in (select folder from files where node in (select node from targets))
+      union all select node, 'path_proximity', 5 * n from files join close using (folder)
+      union all select node, 'graph_distance', -10 * distance from near where distance > 0
+      union all select node, 'duplicate_content', -18 from (select node, row_number() over (partition by content_hash order by node) as r from files) where r > 1
+    ) select node, cast(sum(w) as bigint) as score, string_agg(signal || '=' || w, ';' order by signal || '=' || w) as evidence from signals group by node"""
 )
 def structural_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.structural_score(neighborhood_2(spark, sf_dir))
+    files, edges, targets, changed = _typed_graph(spark, sf_dir)
+    return graph.structural_score(files, edges, targets, changed, relations.distances(edges, targets, 2))
 
 
 @registered(
-    f"""
-    with {_EDGES}, t as (select node, 0 as tier from seeds union all select dst, 2 from e where src in (select node from seeds)
-      union all select src, 3 from e where dst in (select node from seeds))
-    select node, cast(min(tier) as bigint) as tier from t group by node"""
+    _TYPED
+    + """, t as (
+      select node, 0 as tier from targets union all select dst, 1 from e where kind = 'references_symbol' and src in (select node from targets)
+      union all select dst, 2 from e where kind = 'imports' and src in (select node from targets)
+      union all select src, 3 from e where kind in ('imports', 'references_symbol') and dst in (select node from targets)
+      union all select dst, 4 from e where kind = 'related_test' and src in (select node from targets) union all select node, 5 from changed
+      union all select dst, 6 from e where kind = 'cochanged' and src in (select node from targets)
+      union all select node, 7 from files where folder in (select folder from files where node in (select node from targets))
+    ) select node, cast(min(tier) as bigint) as tier from t group by node"""
 )
 def structural_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.tiers(*_parts_graph(spark, sf_dir))
+    files, edges, targets, changed = _typed_graph(spark, sf_dir)
+    return graph.tiers(edges, targets, changed, files)
+
+
+#: Page graph: a page's heading words are its symbols, its links modules, its link texts names.
+_PAGES = r"""
+    with p as (select page_id, regexp_replace(regexp_extract(url, '^[^?#]*', 0), '^[a-z]+://', '') as path, html from pages),
+    files as (select distinct path as file, regexp_replace(path, '/[^/]*$', '') as folder from p),
+    declared as (select distinct path as file, unnest(list_distinct(regexp_extract_all(lower(regexp_extract(html, '<h1>([^<]*)</h1>', 1)), '[a-z]{6,}'))) as symbol from p),
+    links as (select distinct path as file, unnest(regexp_extract_all(html, '<a href="/([^"]*)">', 1)) as module from p),
+    wanted as (select file, module, unnest([regexp_replace(file, '/.*$', '') || '/' || module, module]) as path from links),
+    mentioned as (select distinct path as file, unnest(regexp_extract_all(lower(html), '[a-z]{6,}')) as name from p),
+    resolved as (select w.file, w.module, count(distinct f.file) as n, min(f.file) as target from wanted w left join files f on f.file = w.path group by 1, 2),
+    single as (select symbol, min(file) as home from declared group by symbol having count(*) = 1),
+    g as (
+      select 'contains' as kind, folder as src, file as dst from files union all select 'defines', file, file || '::' || symbol from declared
+      union all select distinct case when n = 1 then 'imports' else 'imports_external' end, file, case when n = 1 then target else 'module:' || module end from resolved
+      union all select 'references_symbol', m.file, home || '::' || name from mentioned m join single s on s.symbol = m.name where home <> m.file
+    )
+    """
+
+
+def _page_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    pages = _table(spark, sf_dir, "pages").select(_page_path(F.col("url")).alias("file"), "html")
+    files = pages.select("file", F.regexp_replace("file", "/[^/]*$", "").alias("folder")).distinct()
+    heading = F.lower(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1))
+    declared = pages.select("file", F.explode(F.array_distinct(F.regexp_extract_all(heading, F.lit("[a-z]{6,}"), F.lit(0)))).alias("symbol")).distinct()
+    links = pages.select("file", F.explode(F.regexp_extract_all("html", F.lit('<a href="/([^"]*)">'), F.lit(1))).alias("module")).distinct()
+    wanted = links.select("file", "module", F.explode(F.array(F.concat(F.regexp_replace("file", "/.*$", ""), F.lit("/"), "module"), "module")).alias("path"))
+    mentioned = pages.select("file", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("html"), F.lit("[a-z]{6,}"), F.lit(0)))).alias("name"))
+    return files, declared, wanted, mentioned
+
+
+@registered(_PAGES + "select * from g")
+def code_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.build_graph(*_page_tables(spark, sf_dir))
+
+
+@registered(_PAGES + "select kind, count(*) as n, count(distinct src) as sources, count(distinct dst) as targets from g group by kind")
+def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_graph(spark, sf_dir).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("src").alias("sources"), F.count_distinct("dst").alias("targets"))
+
+
+@registered(
+    _PAGES
+    + r""", n as (select distinct node from (select src as node from g union all select dst from g)), shown as (select node from n order by node limit 200),
+    inner_edges as (select kind, src, dst from g where src in (select node from shown) and dst in (select node from shown))
+    select *, (select count(*) from n) > 200 as truncated from (select * from inner_edges order by kind, src, dst limit 400)"""
+)
+def graph_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.preview(stored(code_graph(spark, sf_dir), "code-graph"))
+
+
+@registered(
+    _NEAR
+    + """select count(*) as files, count(*) filter (where depth = 1 and reason = 'consumer') as direct_consumers, cast(coalesce(sum(t.tokens), 0) as bigint) as source_tokens,
+      (select count(*) from (select distinct 's' || l_suppkey as file, l_returnflag as symbol from lineitem) where file in (select node from near)) as symbols
+    from near left join (select 'p' || p_partkey as node, p_size as tokens from part) t using (node)"""
+)
+def inspect_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _table(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("node"), F.col("p_size").cast("long").alias("tokens"))
+    declared = _table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("file"), F.col("l_returnflag").alias("symbol")).distinct()
+    return graph.manifest(neighborhood_2(spark, sf_dir), files, declared)
 
 
 @registered(

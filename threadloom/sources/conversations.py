@@ -50,16 +50,16 @@ def units(messages: DataFrame) -> DataFrame:
 
 
 def edges(messages: DataFrame) -> DataFrame:
-    """member_of and contains between messages and conversations; follows between turns."""
+    """member_of and contains between messages and conversations; follows from a message to the next."""
     order = W.partitionBy("conv_id").orderBy("turn")
     named = messages.select("conv_id", message_name(F.col("conv_id"), F.col("turn")).alias("unit"), F.lag("turn").over(order).alias("before"))
     whole = conversation_name(F.col("conv_id"))
     kinds = F.array(
         F.struct(F.lit("member_of").alias("kind"), F.col("unit").alias("src_id"), whole.alias("dst_id")),
         F.struct(F.lit("contains").alias("kind"), whole.alias("src_id"), F.col("unit").alias("dst_id")),
-        F.struct(F.lit("follows").alias("kind"), F.col("unit").alias("src_id"), message_name(F.col("conv_id"), F.col("before")).alias("dst_id")),
+        F.struct(F.lit("follows").alias("kind"), message_name(F.col("conv_id"), F.col("before")).alias("src_id"), F.col("unit").alias("dst_id")),
     )
-    return named.select(F.explode(kinds).alias("e")).select("e.*").filter("dst_id is not null")
+    return named.select(F.explode(kinds).alias("e")).select("e.*").filter("src_id is not null")
 
 
 def transcript(messages: DataFrame) -> DataFrame:
