@@ -1 +1,5 @@
 """Registered queries and their SQL twins."""
+
+from . import registry, runs
+
+__all__ = ["registry", "runs"]

@@ -683,24 +683,41 @@ def estimate_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.estimated_cost(usage, pricing)
 
 
-@registered("select date_trunc('day', ts) as window_start, event_type, count(*) as n, round(avg(value), 6) as mean_value from events group by 1, 2")
+@registered("select date_trunc('day', ts) as window_start, event_type, count(*) as n, round(avg(value), 6) as mean_value from events group by 1, 2 having date_trunc('day', ts) + interval 1 day <= (select max(ts) from events) - interval 10 minutes")
 def trace_windows_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.run_once(jobs.trace_windows(jobs.event_stream(spark, sf_dir)), "complete", "windows")
+    return jobs.run_once(jobs.trace_windows(jobs.event_stream(spark, sf_dir)), "append", "windows")
 
 
 @registered(
     """
     with s as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 6 hours then 0 else 1 end as start from events),
     r as (select user_id, ts, sum(start) over (partition by user_id order by ts) as run from s)
-    select user_id, min(ts) as session_start, count(*) as n from r group by user_id, run"""
+    select user_id, min(ts) as session_start, count(*) as n from r group by user_id, run having max(ts) + interval 6 hours <= (select max(ts) from events) - interval 10 minutes"""
 )
 def session_windows_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.run_once(jobs.session_windows(jobs.event_stream(spark, sf_dir)), "complete", "sessions")
+    return jobs.run_once(jobs.session_windows(jobs.event_stream(spark, sf_dir)), "append", "sessions")
 
 
-@registered("select distinct user_id, event_type from events")
+@registered(
+    """
+    with recursive e as (select event_id, user_id, event_type, epoch_us(ts) as us, row_number() over (partition by user_id, event_type order by ts, event_id) as r from events),
+    walk as (
+      select event_id, user_id, event_type, r, us as held, true as kept from e where r = 1
+      union all select e.event_id, e.user_id, e.event_type, e.r, case when e.us - w.held >= 300000000 then e.us else w.held end, e.us - w.held >= 300000000
+      from walk w join e on e.user_id = w.user_id and e.event_type = w.event_type and e.r = w.r + 1
+    ) select event_id, user_id, event_type from walk where kept"""
+)
 def repeat_ttl_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.run_once(jobs.first_requests(jobs.event_stream(spark, sf_dir)), "append", "repeats")
+    return jobs.first_requests(jobs.event_stream(spark, sf_dir))
+
+
+@registered(
+    """
+    select b.user_id as session_id, b.event_id as begun, f.event_id as finished, round((epoch_us(f.ts) - epoch_us(b.ts)) / 1000000.0, 3) as wait
+    from events b join events f on b.user_id = f.user_id and f.ts > b.ts and f.ts <= b.ts + interval 1 hour where b.event_type = 'view' and f.event_type = 'click'"""
+)
+def wait_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.run_once(jobs.stream_waits(jobs.event_stream(spark, sf_dir), "view", "click"), "append", "waits")
 
 
 _EDGES = "e as (select distinct 'p' || l_partkey as src, 's' || l_suppkey as dst from lineitem), seeds as (select 's' || s_suppkey as node from supplier where s_nationkey = 0)"
@@ -970,7 +987,7 @@ def invalidation(spark: SparkSession, sf_dir: str) -> DataFrame:
     select event_id as seq, user_id as session_id, event_type as unit_id, case when before is null then 'new' when before = h then 'already_supplied' else 'changed' end as status from d"""
 )
 def ledger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.run_once(jobs.session_ledger(jobs.event_stream(spark, sf_dir)), "append", "ledger")
+    return jobs.session_ledger(jobs.event_stream(spark, sf_dir))
 
 
 @registered(
