@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from .common import small_batches
+from .common import arrow_map
 from .tokens import END_ID, VOCABULARY, byte_bpe, vocabulary_path
 
 ROW_LENGTH = 2048
@@ -157,7 +157,7 @@ def pack_best_fit(
             yield from emit(pieces, numbers)
 
     keyed = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
-    return small_batches(keyed).mapInArrow(pack, T.StructType(list(from_arrow_schema(_SCHEMA))))
+    return arrow_map(keyed, pack, T.StructType(list(from_arrow_schema(_SCHEMA))))
 
 
 def write_matrices(packed: DataFrame, path: str) -> None:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import gc
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..shared import BROADCAST_BYTES, payload, shared_dir, size_checked, stored
 
-__all__ = ["BROADCAST_BYTES", "WORD", "beside", "free_name", "let", "payload", "row_key", "scan", "shared_dir", "size_checked", "small_batches", "stored"]
+__all__ = ["BROADCAST_BYTES", "WORD", "arrow_map", "beside", "free_name", "let", "payload", "row_key", "scan", "shared_dir", "size_checked", "stored"]
 
 #: Bytes of an Arrow batch, unless one row has more: a batch is held twice on either side.
 BATCH_BYTES = 2 * 1024 * 1024
@@ -18,16 +21,25 @@ BATCH_BYTES = 2 * 1024 * 1024
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, with the session's Arrow batches held to BATCH_BYTES from now on.
+def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """``df.mapInArrow`` with batches of bounded bytes, in workers that give memory back.
 
-    Spark reads this setting when the query runs, so it stays; a session that asks for
-    smaller batches keeps its own.
+    The session's Arrow batches are held to BATCH_BYTES from now on, as Spark reads the
+    setting when the query runs; a session that asks for smaller batches keeps its own.
+    Workers live on between stages, so Arrow takes its memory from the system, which gets
+    it back after each task.
     """
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if not 0 < int(conf.get(name).rstrip("b")) <= BATCH_BYTES:
         conf.set(name, f"{BATCH_BYTES}b")
-    return df
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        yield from function(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
 
 
 def row_key(doc_id: Column, text: Column) -> Column:

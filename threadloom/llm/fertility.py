@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from .common import small_batches
+from .common import arrow_map
 from .tokens import PIECE_VOCABULARY, VOCABULARY, byte_bpe, piece_alphabet, vocabulary_path
 
 
@@ -159,7 +159,7 @@ def fertility_rules(
             columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_SCHEMA)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], schema=pa.schema([*batch.schema, *_SCHEMA]))
 
-    return small_batches(carried).mapInArrow(judge, T.StructType([*carried.schema, *from_arrow_schema(_SCHEMA)]))
+    return arrow_map(carried, judge, T.StructType([*carried.schema, *from_arrow_schema(_SCHEMA)]))
 
 
 def _judge(docs: DataFrame, text: str, lang: str | None, vocabulary: str, pieces: str, bands: Mapping[str, Band]) -> Callable[[pa.RecordBatch], list[tuple]]:
@@ -199,4 +199,4 @@ def keep_good(docs: DataFrame, *, text: str = "text", lang: str | None = "lang",
         for batch in batches:
             yield batch.filter(pa.array([r[-1] for r in verdict(batch)], pa.bool_()))
 
-    return small_batches(docs).mapInArrow(keep, docs.schema)
+    return arrow_map(docs, keep, docs.schema)

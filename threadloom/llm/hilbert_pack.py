@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, stored
+from .common import arrow_map, stored
 from .tokens import END_ID, VOCABULARY, byte_bpe, vocabulary_path
 
 SEQUENCE = 2048
@@ -103,7 +103,7 @@ def token_table(docs: DataFrame, *, text: str, doc_id: str, vocabulary: str, end
 
     spread = F.shiftrightunsigned(F.xxhash64(doc_id, F.monotonically_increasing_id()), 64 - SPREAD_BITS)
     keyed = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"), spread.alias("spread"))
-    return small_batches(keyed).mapInArrow(read, "doc_id long, spread long, curve long, n_tokens long, ids binary")
+    return arrow_map(keyed, read, "doc_id long, spread long, curve long, n_tokens long, ids binary")
 
 
 def pack_along_curve(
@@ -146,7 +146,7 @@ def pack_along_curve(
 
     def placed(columns: list[str]) -> DataFrame:
         chosen = tokens.select(*columns)
-        return small_batches(chosen).mapInArrow(place, T.StructType([*chosen.schema, T.StructField("range_id", T.IntegerType())]))
+        return arrow_map(chosen, place, T.StructType([*chosen.schema, T.StructField("range_id", T.IntegerType())]))
 
     sums = dict(placed(["key", "n_tokens"]).groupBy("range_id").agg(F.sum("n_tokens")).collect())
     before = np.concatenate([[0], np.cumsum([sums.get(i, 0) for i in range(len(bounds) + 1)])]).tolist()
@@ -170,7 +170,7 @@ def pack_along_curve(
 
     slots = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     exchanged = placed(["doc_id", "key", "ids"]).repartition(max(slots, ranges // 4), "range_id").sortWithinPartitions("range_id", "key", "doc_id")
-    return small_batches(exchanged).mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return arrow_map(exchanged, cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
 def pieces_digest(docs: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, size_checked, small_batches, stored
+from .common import arrow_map, row_key, size_checked, stored
 from .simhash import BITS, LARGE, SEED, SMALL, bits_by_majority, compare_bucket, compare_neighbours, components, fingerprint
 
 
@@ -97,7 +97,7 @@ def described(docs: DataFrame) -> DataFrame:
             "spread": (np.array(spread, dtype=np.uint64).view(np.int64), pa.int64()),
         }
 
-    return small_batches(docs.select("doc_id", "row_key", "text")).mapInArrow(_batches(read), "doc_id long, row_key string, node string, fp long, spread long")
+    return arrow_map(docs.select("doc_id", "row_key", "text"), _batches(read), "doc_id long, row_key string, node string, fp long, spread long")
 
 
 def bit_samples(p: NearCopies) -> list[int]:
@@ -182,7 +182,7 @@ def near_groups(values: DataFrame, p: NearCopies) -> DataFrame:
 
     slots = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = sampled_buckets(values, p).select("bucket", "fp").repartition(slots, "bucket").sortWithinPartitions("bucket")
-    return small_batches(buckets).mapInArrow(compare, "group long, fp long").distinct()
+    return arrow_map(buckets, compare, "group long, fp long").distinct()
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -192,7 +192,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
         found = [shingles(words_of(text), width) for text in batch.column(1).to_pylist()]
         return {"node": (batch.column(0), pa.string()), "n": ([len(x) for x in found], pa.int64()), "shingles": ([x.tobytes() for x in found], pa.binary())}
 
-    return small_batches(docs.select("node", "text")).mapInArrow(_batches(read), "node string, n long, shingles binary")
+    return arrow_map(docs.select("node", "text"), _batches(read), "node string, n long, shingles binary")
 
 
 def verified(members: DataFrame, p: NearCopies) -> DataFrame:
@@ -238,7 +238,7 @@ def verified(members: DataFrame, p: NearCopies) -> DataFrame:
 
     slots = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = members.select("group", "node", "fp", "shingles").repartition(slots, "group").sortWithinPartitions("group")
-    return small_batches(dealt).mapInArrow(check, "fp string, root string")
+    return arrow_map(dealt, check, "fp string, root string")
 
 
 def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", p: NearCopies = NearCopies()) -> DataFrame:  # noqa: B008

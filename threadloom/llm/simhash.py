@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import row_key, size_checked, small_batches, stored
+from .common import arrow_map, row_key, size_checked, stored
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
 BITS = 64
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, *, text: str = "text", width: int = SHINGLE) -
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found)], names=[*rest, "fp"])
 
     schema = T.StructType([f for f in chosen.schema if f.name != text] + [T.StructField("fp", T.LongType())])
-    return small_batches(chosen).mapInArrow(read, schema)
+    return arrow_map(chosen, read, schema)
 
 
 def planes_of(values: np.ndarray) -> np.ndarray:
@@ -253,7 +253,7 @@ def links(values: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     slots = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_rows = bucketed(values, radius).repartition(slots, "bucket").sortWithinPartitions("bucket")
-    return small_batches(sorted_rows).mapInArrow(compare, "fp long, root long")
+    return arrow_map(sorted_rows, compare, "fp long, root long")
 
 
 def components(edges: DataFrame, row_bytes: int = 16) -> DataFrame:
