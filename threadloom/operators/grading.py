@@ -6,30 +6,74 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import light_stems, normalized
+from ..shared import size_checked, stored
 
 
 def term_grader(answers: DataFrame, facts: DataFrame) -> DataFrame:
-    """Facts of each answer whose terms all stand in it, and their share.
+    """(answer_id, facts_met, facts, coverage): facts of the answer's fixture that it states.
 
-    ``answers`` has answer_id and text; ``facts`` fact_id and terms, and is a small
-    table of the grader. Texts and terms are compared in normal form.
+    ``answers`` has fixture, answer_id and text; ``facts`` fixture, fact_id, alternative
+    and terms. A fact is stated if for one of its alternatives all terms stand in the
+    text, in normal form. Answers meet the facts of their own fixture by an equi join.
     """
-    texts = answers.select("answer_id", F.concat(F.lit(" "), normalized(F.col("text")), F.lit(" ")).alias("said"))
-    gold = F.broadcast(facts.select("fact_id", F.transform("terms", normalized).alias("terms")))
-    judged = texts.join(gold).select("answer_id", F.forall("terms", lambda t: F.contains("said", F.concat(F.lit(" "), t, F.lit(" ")))).alias("met"))
-    return judged.groupBy("answer_id").agg(F.count_if("met").alias("facts_met"), F.round(100.0 * F.avg(F.col("met").cast("int")), 2).alias("coverage"))
+    texts = answers.select("fixture", "answer_id", F.concat(F.lit(" "), normalized(F.col("text")), F.lit(" ")).alias("said"))
+    gold = stored(facts.select("fixture", "fact_id", F.transform("terms", normalized).alias("terms")), "facts")
+    judged = texts.join(size_checked(gold.withColumn("t", F.array_join("terms", " ")), 64, ["t"]), "fixture")
+    met = F.forall("terms", lambda t: F.contains("said", F.concat(F.lit(" "), t, F.lit(" "))))
+    facts_met = judged.groupBy("answer_id", "fact_id").agg(F.max(met).alias("met"))
+    return facts_met.groupBy("answer_id").agg(F.count_if("met").alias("facts_met"), F.count(F.lit(1)).alias("facts"), F.round(100.0 * F.avg(F.col("met").cast("int")), 2).alias("coverage"))
+
+
+def section_grader(answers: DataFrame, facts: DataFrame) -> DataFrame:
+    """(answer_id, fact_id, status): present, absent or contradicted, judged section by section.
+
+    Sections are the lines of an answer. A fact is present if one section has all of its
+    wanted stems, and contradicted if one has all of the other stems, which weighs more.
+    ``facts`` has fixture, fact_id, wanted and other, each a list of stems.
+    """
+    lines = answers.select("fixture", "answer_id", F.explode(F.split("text", "\n")).alias("line"))
+    stems = lines.select("fixture", "answer_id", F.array_distinct(light_stems(F.col("line"))).alias("stems"))
+    gold = stored(facts, "section-facts")
+    judged = stems.join(size_checked(gold.withColumn("t", F.array_join(F.concat("wanted", "other"), " ")), 64, ["t"]), "fixture")
+    holds = lambda name: F.size(F.array_except(name, "stems")) == 0
+    found = judged.groupBy("answer_id", "fact_id").agg(F.max(holds("wanted")).alias("present"), F.max(holds("other")).alias("against"))
+    return found.select("answer_id", "fact_id", F.when(F.col("against"), "contradicted").when(F.col("present"), "present").otherwise("absent").alias("status"))
 
 
 def stem_grader(answers: DataFrame, slots: DataFrame) -> DataFrame:
-    """Slots of each answer of which one option stands in it as a light stem.
+    """(answer_id, slots_met, passed): slots of the answer's fixture of which one option is there as a light stem.
 
-    ``slots`` has slot_id and options, ASCII words; it is a small table of the grader.
+    ``slots`` has fixture, slot_id and options, ASCII words.
     """
-    texts = answers.select("answer_id", F.array_distinct(light_stems(F.col("text"))).alias("stems"))
-    judged = texts.join(F.broadcast(slots)).select("answer_id", F.arrays_overlap("stems", "options").alias("met"))
+    texts = answers.select("fixture", "answer_id", F.array_distinct(light_stems(F.col("text"))).alias("stems"))
+    gold = stored(slots, "slots")
+    judged = texts.join(size_checked(gold.withColumn("t", F.array_join("options", " ")), 64, ["t"]), "fixture").select("answer_id", F.arrays_overlap("stems", "options").alias("met"))
     return judged.groupBy("answer_id").agg(F.count_if("met").alias("slots_met"), (F.count_if("met") == F.count(F.lit(1))).alias("passed"))
 
 
+def inconsistent(grades: DataFrame, reported: DataFrame) -> DataFrame:
+    """(answer_id, reason): answers whose reported counts are not those of their grades.
+
+    ``grades`` has answer_id, fact_id and status; ``reported`` answer_id, present and total.
+    """
+    counted = grades.groupBy("answer_id").agg(
+        F.count_if(F.col("status") == "present").alias("n_present"),
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct("fact_id").alias("n_facts"),
+        F.count_if(~F.col("status").isin("present", "absent", "contradicted", "stale_as_current")).alias("odd"),
+    )
+    joined = reported.join(counted, "answer_id", "full_outer")
+    reason = (
+        F.when(F.col("n").isNull(), "no_grades")
+        .when(F.col("total").isNull(), "not_reported")
+        .when(F.col("odd") > 0, "unknown_status")
+        .when(F.col("n_facts") < F.col("n"), "repeated_fact")
+        .when(F.col("n") != F.col("total"), "total")
+        .when(F.col("n_present") != F.col("present"), "present")
+    )
+    return joined.select("answer_id", reason.alias("reason")).filter("reason is not null")
+
+
 def classified(texts: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     """``texts`` with the category and priority of the first rule (pattern, category, priority) that matches."""
     category, priority = F, F

@@ -1,5 +1,5 @@
 """Registered queries and their SQL twins."""
 
-from . import registry, runs
+from . import answers, registry, runs
 
-__all__ = ["registry", "runs"]
+__all__ = ["answers", "registry", "runs"]

@@ -639,37 +639,6 @@ def utilisation_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grading.funnel(flags)
 
 
-@registered(
-    r"""
-    with s as (select conv_id, turn, ' ' || array_to_string(regexp_extract_all(lower(regexp_replace(text, '(?m)^[ \t]*>[ \t]?', '', 'g')), '[\p{L}\p{N}_]+'), ' ') || ' ' as said
-               from conversations where role = 'assistant'),
-    f as (select unnest([['the', 'of'], ['la', 'de'], ['der', 'die'], ['que', 'la', 'en']]) as terms),
-    j as (select conv_id, turn, len(list_filter(terms, lambda t: not contains(replace(said, 'ß', 'ss'), ' ' || t || ' '))) = 0 as met from s cross join f)
-    select conv_id * 1000 + turn as answer_id, count(*) filter (where met) as facts_met, round(100.0 * avg(met::int), 2) as coverage from j group by conv_id, turn"""
-)
-def alternatives_grader(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answers = _table(spark, sf_dir, "conversations").filter("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), "text")
-    facts = spark.createDataFrame([(1, ["the", "of"]), (2, ["la", "de"]), (3, ["der", "die"]), (4, ["que", "la", "en"])], "fact_id int, terms array<string>")
-    return grading.term_grader(answers, facts)
-
-
-@registered(
-    r"""
-    with w as (select conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from conversations where role = 'assistant'),
-    st as (select conv_id, turn, case when w like '%ies' and length(w) > 4 then left(w, length(w) - 3) || 'y'
-             when w like '%s' and not regexp_matches(w, '(ss|us|is)$') and length(w) > 3 then left(w, length(w) - 1) else w end as s from w),
-    g as (select conv_id, turn, list(distinct s) as stems from st group by all),
-    a as (select conv_id, turn, coalesce(stems, []) as stems from conversations left join g using (conv_id, turn) where role = 'assistant'),
-    o as (select unnest([['the', 'la'], ['one', 'de', 'en']]) as options),
-    j as (select conv_id, turn, list_has_any(stems, options) as met from a cross join o)
-    select conv_id * 1000 + turn as answer_id, count(*) filter (where met) as slots_met, bool_and(met) as passed from j group by conv_id, turn"""
-)
-def slot_grader(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answers = _table(spark, sf_dir, "conversations").filter("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), "text")
-    slots = spark.createDataFrame([(1, ["the", "la"]), (2, ["one", "de", "en"])], "slot_id int, options array<string>")
-    return grading.stem_grader(answers, slots)
-
-
 @registered(
     rf"""
     with u as (select conv_id, role as model, sum({_TOKENS.format("text")}) as input_tokens, 0 as cached_tokens, count(*) as output_tokens from conversations group by 1, 2)
