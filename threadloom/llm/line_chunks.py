@@ -77,7 +77,7 @@ def _named(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
         F.struct("*").alias("row"),
         F.col(text).alias("text"),
         F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("order"),
-        F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("version"),
+        F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).alias("version"),
     )
 
 
@@ -173,7 +173,7 @@ def _least_windows(pairs: DataFrame, passage_words: int) -> DataFrame:
 
     begun, ended = window(of_run.orderBy("start").rangeBetween(0, passage_words)), window(of_run.orderBy("end").rangeBetween(-passage_words, 0))
     both = lines.select(*doc, F.array(begun, ended).alias("both")).select(*doc, F.explode("both").alias("x")).filter(F.col("x.words") > passage_words)
-    return both.select(*doc, "x.low", "x.high", F.sha2(F.array_join(F.transform("x.digests", F.hex), ""), 256).alias("id"))
+    return both.select(*doc, "x.low", "x.high", F.unhex(F.sha2(F.array_join(F.transform("x.digests", F.hex), ""), 256)).alias("id"))
 
 
 def remove_shared_runs(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", passage_words: int = PASSAGE_WORDS) -> DataFrame:
@@ -196,7 +196,7 @@ def remove_shared_runs(docs: DataFrame, *, text: str = "text", doc_id: str = "do
     at = F.struct("order", "version", "low")
     firsts = windows.groupBy("id").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter(F.col("first") < F.col("last"))
     firsts = stored(firsts.select("id", "first"), "first-windows")
-    later = windows.join(size_checked(firsts, 160), "id").filter(at > F.col("first"))
+    later = windows.join(size_checked(firsts, 112), "id").filter(at > F.col("first"))
     gone = later.select("order", "version", F.explode(F.sequence("low", "high")).alias("no"))
     removed = stored(gone.groupBy("order", "version").agg(F.array_sort(F.collect_set("no")).alias("removed")), "removed-lines")
 
