@@ -62,11 +62,6 @@ def test_components_of_real_texts(spark):
 def test_components_of_awkward_rows(spark):
     check_components(simhash.components_digest(cases.docs(spark)).collect(), [r[:2] for r in cases.ROWS])
     assert simhash.components_digest(cases.empty(spark)).collect() == []
-    kept = simhash.keep_one(cases.docs(spark))
-    assert kept.columns == cases.docs(spark).columns
-    assert simhash.keep_one(cases.empty(spark)).collect() == []
-    rows = kept.collect()
-    assert len(rows) == simhash.near_duplicates(cases.docs(spark)).select("label").distinct().count()
 
 
 def clustered(seed, count, centres):
