@@ -157,3 +157,9 @@ def token_savings(units: DataFrame) -> DataFrame:
 def newest(traces: DataFrame, offset: int, limit: int) -> DataFrame:
     """A page of traces, newest first; ties go by id, so pages neither overlap nor leave gaps."""
     return traces.orderBy(F.col("ts").desc(), F.col("seq").desc()).offset(offset).limit(limit)
+
+
+def outcomes(runs: DataFrame) -> DataFrame:
+    """The class of each run: blocked before it could start, unfinished, a success or a completed failure."""
+    rule = F.when(F.col("blocked"), "blocked_incomplete").when(F.col("unfinished"), "incomplete").when(F.col("succeeded"), "success").otherwise("completed_failure")
+    return runs.select("run", rule.alias("outcome"))

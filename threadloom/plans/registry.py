@@ -865,10 +865,10 @@ def nearby_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.nearby(_table(spark, sf_dir, "pages").select(_page_path(F.col("url")).alias("path")))
 
 
-@registered("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@registered("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'P' or o_orderpriority like '1%')")
 def planned_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = _table(spark, sf_dir, "customer").select("c_custkey")
-    return graph.without_match(planned, _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return graph.without_match(planned, _table(spark, sf_dir, "orders").filter("o_orderstatus = 'P' or o_orderpriority like '1%'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @registered(
@@ -993,15 +993,16 @@ def range_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     r"""
-    with p as (select page_id, regexp_replace(regexp_extract(url, '^[^?#]*', 0), '^[a-z]+://', '') as path from pages),
-    a as (select page_id, path from p where path not like '%.html'), b as (select page_id, regexp_replace(path, '\.html$', '') as path from p where path like '%.html')
-    select a.page_id as source_id, b.page_id as twin_id from a join b using (path)"""
+    with p as (select page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) as host, regexp_extract(url, '^[a-z]+://[^/?#]*(/[^/?#]*)', 1) as folder from pages),
+    k as (select *, regexp_replace(host, '^(www|m|blog)\.', '') as base, regexp_matches(host, '^(www|m|blog)\.') as test from p),
+    t as (select left(base, 4) as stem, folder, count(*) as n, min(page_id) as twin_id from k where test group by 1, 2)
+    select page_id as source_id, twin_id from k join t on t.folder = k.folder and t.stem = left(k.base, 4) where not test"""
 )
 def source_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "pages").select("page_id", _page_path(F.col("url")).alias("path"))
-    plain = pages.filter(~F.col("path").endswith(".html")).select(F.col("page_id").alias("source_id"), "path")
-    twins = pages.filter(F.col("path").endswith(".html")).select(F.col("page_id").alias("twin_id"), F.regexp_replace("path", r"\.html$", "").alias("path"))
-    return plain.join(twins, "path").select("source_id", "twin_id")
+    url, prefix = F.col("url"), r"^(www|m|blog)\."
+    pages = _table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(url, r"^[a-z]+://([^/?#]*)", 1).alias("host"), F.regexp_extract(url, r"^[a-z]+://[^/?#]*(/[^/?#]*)", 1).alias("folder"))
+    named = pages.select("page_id", "folder", F.left(F.regexp_replace("host", prefix, ""), F.lit(4)).alias("stem"), F.col("host").rlike(prefix).alias("test"))
+    return graph.twins(named)
 
 
 @registered(
@@ -1020,8 +1021,13 @@ def trace_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.newest(_traces(spark, sf_dir).select("seq", "session_id", "ts"), 100, 100).select("seq", "session_id")
 
 
-@registered("select o_orderkey, case when o_totalprice is null then 'blocked_incomplete' when o_orderstatus = 'F' then 'success' when o_orderstatus = 'O' then 'incomplete' else 'completed_failure' end as outcome from orders")
+@registered(
+    """
+    with r as (select o_custkey as run, count(*) filter (where o_orderstatus = 'F') as done, count(*) filter (where o_orderpriority like '1%') as failed, count(*) as n, max(o_totalprice) > 250000 as timed_out from orders group by 1)
+    select run, case when n < 3 then 'blocked_incomplete' when timed_out then 'incomplete' when done > 0 and failed = 0 then 'success' else 'completed_failure' end as outcome from r"""
+)
 def run_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    status = F.col("o_orderstatus")
-    outcome = F.when(F.col("o_totalprice").isNull(), "blocked_incomplete").when(status == "F", "success").when(status == "O", "incomplete").otherwise("completed_failure")
-    return _table(spark, sf_dir, "orders").select("o_orderkey", outcome.alias("outcome"))
+    orders = _table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("run")).agg(
+        F.count_if(F.col("o_orderstatus") == "F").alias("done"), F.count_if(F.col("o_orderpriority").like("1%")).alias("failed"), F.count(F.lit(1)).alias("n"), (F.max("o_totalprice") > 250_000).alias("timed_out")
+    )
+    return metrics.outcomes(orders.select("run", (F.col("n") < 3).alias("blocked"), F.col("timed_out").alias("unfinished"), ((F.col("done") > 0) & (F.col("failed") == 0)).alias("succeeded")))
