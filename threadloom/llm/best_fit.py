@@ -115,7 +115,9 @@ def pack_best_fit(
 
     Each document's ids end with ``end_id``. A null or empty text gives that id alone. An
     empty table gives no rows; repeated rows are packed as often as they stand; a null
-    document id stays null; other columns are not used.
+    document id stays null; other columns are not used. A text may have any length: a task
+    holds one window of tokens and one document. Rows are numbered by task, so another
+    division of the input into files packs and numbers them in another way.
     """
     path = vocabulary_path(vocabulary)
     pad = np.uint32(pad_id)

@@ -126,7 +126,10 @@ def pack_along_curve(
     reaches the driver is a number for each range, of which there are MOST_RANGES at most.
 
     A null or empty text has the end id alone. An empty table gives no rows; repeated rows
-    are packed as often as they stand; a null id stays null; other columns are not used.
+    are packed as often as they stand; a null id stays null; other columns are not used. A
+    text may have any length: a task holds one batch of texts. Tokens are written before
+    they are ordered, so a lost executor changes nothing; but another division of the same
+    rows into files may order equal texts in another way.
     """
     wide = byte_bpe(vocabulary_path(vocabulary)).dtype
     tokens = token_table(docs, text=text, doc_id=doc_id, vocabulary=vocabulary, end_id=end_id)
