@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from threadloom import shared
 from threadloom.functions import text
 from threadloom.operators import grading, metrics, packing, relations, retrieval
+from threadloom.sources import adapters
 
 
 def one(spark, value, column):
@@ -160,3 +161,35 @@ def test_plans_have_no_cross_product(spark, small):
     for name in ("doc_lexical_search", "passage_containment", "exact_duplicates", "cochange_pairs", "import_resolution"):
         plan = queries[name](spark, small)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan, name
+
+
+def test_adapters_sinks_and_pricing(spark, tmp_path):
+    known = adapters.Adapters()
+    known.register("notes", lambda t: t.selectExpr("id as unit_id", "'note' as source_type", "body as content", "md5(body) as content_hash", "1L as token_count"))
+    notes = spark.createDataFrame([("n1", "text")], "id string, body string")
+    assert known.units({"notes": notes}).count() == 1
+    with pytest.raises(ValueError):
+        known.register("notes", lambda t: t)
+    known.register("bad", lambda t: t)
+    with pytest.raises(ValueError):
+        known.units({"bad": notes})
+    runs = []
+    fresh = adapters.Freshness()
+    both = lambda: runs.append("files")
+    fresh.register("repository_file", both)
+    fresh.register("code_symbol", both)
+    fresh.refresh(["repository", "repository_file", "unknown"])
+    assert runs == ["files"]
+    units = spark.createDataFrame([("message",), ("repository_file",), ("note",)], "source_type string")
+    assert {r.source_type for r in adapters.of_source_types(units, ["conversation", "note"]).collect()} == {"message", "note"}
+    rows = [("a", 1.0, 0.1, 2.0), ("b", 1.0, 0.1, 2.0), ("b", 2.0, 0.1, 2.0), (" ", 1.0, 0.1, 2.0), ("c", -1.0, 0.1, 2.0), ("d", None, 0.1, 2.0)]
+    good, bad = adapters.pricing(spark.createDataFrame(rows, "model string, input_rate double, cached_rate double, output_rate double"))
+    assert [r.model for r in good.collect()] == ["a"]
+    assert sorted((r.model, r.reason) for r in bad.collect()) == [(" ", "blank_model"), ("b", "repeated_model"), ("b", "repeated_model"), ("c", "rate"), ("d", "rate")]
+    traces = spark.createDataFrame([(1, "2024-01-01 10:00:00"), (2, "2024-01-02 10:00:00")], "seq long, t string").selectExpr("seq", "timestamp(t) as ts")
+    for _ in range(2):
+        adapters.append_traces(traces, str(tmp_path / "traces"))
+    assert spark.read.parquet(str(tmp_path / "traces")).filter("day = '2024-01-02'").count() == 2
+    adapters.write_report(traces, str(tmp_path / "report"))
+    with pytest.raises(Exception, match="(?i)exist"):
+        adapters.write_report(traces, str(tmp_path / "report"))
