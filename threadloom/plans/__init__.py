@@ -1,5 +1,5 @@
 """Registered queries and their SQL twins."""
 
-from . import answers, registry, runs
+from . import answers, found, registry, runs
 
-__all__ = ["answers", "registry", "runs"]
+__all__ = ["answers", "found", "registry", "runs"]
