@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import light_stems, normalized
@@ -51,6 +52,26 @@ def stem_grader(answers: DataFrame, slots: DataFrame) -> DataFrame:
     return judged.groupBy("answer_id").agg(F.count_if("met").alias("slots_met"), (F.count_if("met") == F.count(F.lit(1))).alias("passed"))
 
 
+def fact_windows(answers: DataFrame, slots: DataFrame, n_slots: int, most: int = 32) -> DataFrame:
+    """(answer_id, fact_id, low, high): the narrowest span of words that has an option of every slot.
+
+    ``slots`` has fixture, fact_id, slot (from 0) and option. Only the places of options are
+    kept; at each, the span back to the latest place of every slot is the narrowest that
+    ends there. Spans of over ``most`` words are left out; of equal ones the first counts.
+    """
+    words = answers.select("fixture", "answer_id", F.posexplode(light_stems(F.col("text"))).alias("at", "option"))
+    gold = stored(slots.distinct(), "fact-slots")
+    places = words.join(size_checked(gold, 48, ["option"]), ["fixture", "option"])
+    order = W.partitionBy("answer_id", "fact_id").orderBy("at", "slot").rowsBetween(W.unboundedPreceding, 0)
+    latest = [F.last(F.when(F.col("slot") == i, F.col("at")), ignorenulls=True).over(order) for i in range(n_slots)]
+    spans = places.select("answer_id", "fact_id", "at", *[x.alias(f"at{i}") for i, x in enumerate(latest)])
+    known = spans.dropna(subset=[f"at{i}" for i in range(n_slots)])
+    low = F.least(*[F.col(f"at{i}") for i in range(n_slots)]) if n_slots > 1 else F.col("at0")
+    narrow = known.withColumn("low", low).filter(F.col("at") - F.col("low") < most)
+    best = narrow.groupBy("answer_id", "fact_id").agg(F.min(F.struct((F.col("at") - F.col("low")).alias("width"), "low", F.col("at").alias("high"))).alias("best"))
+    return best.select("answer_id", "fact_id", "best.low", "best.high")
+
+
 def inconsistent(grades: DataFrame, reported: DataFrame) -> DataFrame:
     """(answer_id, reason): answers whose reported counts are not those of their grades.
 

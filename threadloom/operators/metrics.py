@@ -163,3 +163,19 @@ def outcomes(runs: DataFrame) -> DataFrame:
     """The class of each run: blocked before it could start, unfinished, a success or a completed failure."""
     rule = F.when(F.col("blocked"), "blocked_incomplete").when(F.col("unfinished"), "incomplete").when(F.col("succeeded"), "success").otherwise("completed_failure")
     return runs.select("run", rule.alias("outcome"))
+
+
+def merged_ranges(ranges: DataFrame) -> DataFrame:
+    """(owner, low, high): ranges of each owner, joined where they overlap or touch."""
+    order = W.partitionBy("owner").orderBy("low", "high")
+    before = F.max("high").over(order.rowsBetween(W.unboundedPreceding, -1))
+    begun = ranges.select("owner", "low", "high").distinct().withColumn("begins", F.coalesce((F.col("low") > before + 1).cast("int"), F.lit(1)))
+    islands = begun.withColumn("island", F.sum("begins").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return islands.groupBy("owner", "island").agg(F.min("low").alias("low"), F.max("high").alias("high")).select("owner", "low", "high")
+
+
+def by_condition(traces: DataFrame) -> DataFrame:
+    """Latency and bytes by size class and by whether an operation came first in its session."""
+    first = F.row_number().over(W.partitionBy("session_id", "operation").orderBy("ts", "seq")) == 1
+    marked = traces.withColumn("mode", F.when(first, "cold").otherwise("warm"))
+    return marked.groupBy("size", "mode").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("latency"), 6).alias("mean_latency"), F.sum("bytes").alias("bytes"))

@@ -219,3 +219,22 @@ def activity_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts = F.col("ts").cast("timestamp")
     wanted = (ts >= F.lit("2024-01-05").cast("timestamp")) & (ts < F.lit("2024-01-20").cast("timestamp")) & F.col("event_type").isin("click", "view")
     return _table(spark, sf_dir, "events").filter(wanted).filter(F.contains(said, F.lit("user-1"))).select("event_id")
+
+
+@registered(
+    _GOLD
+    + rf""", slots as (select distinct fixture, item_id as fact_id, i - 1 as slot, list_transform([w[i]], lambda w: {_STEM})[1] as option from gold, unnest([1, 2, 3]) as t(i) where w[i] is not null),
+    st as (select fixture, answer_id, list_transform(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: {_STEM}) as stems from answers),
+    p as (select fixture, answer_id, unnest(stems) as option, generate_subscripts(stems, 1) - 1 as i from st),
+    m as (select answer_id, fact_id, i, slot from p join slots using (fixture, option)),
+    l as (select answer_id, fact_id, i, last_value(case when slot = 0 then i end ignore nulls) over o as a, last_value(case when slot = 1 then i end ignore nulls) over o as b, last_value(case when slot = 2 then i end ignore nulls) over o as c
+      from m window o as (partition by answer_id, fact_id order by i, slot rows between unbounded preceding and current row)),
+    s as (select answer_id, fact_id, least(a, b, c) as low, i as high from l where a is not null and b is not null and c is not null and i - least(a, b, c) < 32),
+    k as (select *, row_number() over (partition by answer_id, fact_id order by high - low, low, high) as r from s)
+    select answer_id, fact_id, cast(low as integer) as low, cast(high as integer) as high from k where r = 1"""
+)
+def fact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers, gold = _answers(spark, sf_dir)
+    stems = light_stems(F.array_join(F.slice("w", 1, 3), " "))
+    slots = gold.select("fixture", F.col("item_id").alias("fact_id"), F.posexplode(stems).alias("slot", "option"))
+    return grading.fact_windows(answers, slots, 3)

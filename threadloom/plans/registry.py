@@ -339,6 +339,16 @@ def pack_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.deliveries(*_compiled(spark, sf_dir))
 
 
+@registered(
+    _COMPILE
+    + """select query_id, unit_id, section, m.section_rule, p.priority, m.priority_reason, m.corroborated + 1 as corroboration from packed p join (select unit_id, section_rule, priority_reason, corroborated from meta) m using (unit_id) where status = 'selected'"""
+)
+def pack_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed, units = _compiled(spark, sf_dir)
+    told = units.select("unit_id", "section_rule", "priority_reason", (F.col("corroborated") + 1).alias("corroboration"))
+    return packed.filter("status = 'selected'").select("query_id", "unit_id", "section", "priority").join(told, "unit_id")
+
+
 _ORDERED = ", ".join(f"'{x}'" for x in SECTIONS)
 
 

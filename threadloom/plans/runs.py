@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import observation
+from ..operators import metrics, observation
 from .registry import _table, registered
 
 _OPS = {"view": "read", "click": "search", "signup": "map", "purchase": "pack", "error": "expand"}
@@ -135,3 +135,47 @@ def session_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     order, click = F.struct("ts", "event_id"), F.col("event_type") == "click"
     first, last = F.min_by("value", F.when(click, order)), F.max_by("value", F.when(click, order))
     return events.groupBy(F.col("user_id").alias("session")).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), first.alias("first_click"), last.alias("last_click"))
+
+
+@registered(
+    """
+    with r as (select distinct l_orderkey as owner, cast(l_linenumber * 3 as bigint) as low, cast(l_linenumber * 3 + floor(l_quantity) % 5 as bigint) as high from lineitem),
+    b as (select *, case when low > max(high) over (partition by owner order by low, high rows between unbounded preceding and 1 preceding) + 1 then 1
+        when max(high) over (partition by owner order by low, high rows between unbounded preceding and 1 preceding) is null then 1 else 0 end as begins from r),
+    i as (select *, sum(begins) over (partition by owner order by low, high rows between unbounded preceding and current row) as island from b)
+    select owner, min(low) as low, max(high) as high from i group by owner, island"""
+)
+def merged_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = _table(spark, sf_dir, "lineitem")
+    low = (F.col("l_linenumber") * 3).cast("long")
+    return metrics.merged_ranges(line.select(F.col("l_orderkey").alias("owner"), low.alias("low"), (low + F.floor("l_quantity") % 5).cast("long").alias("high")))
+
+
+@registered(
+    """
+    with a as (select distinct l_orderkey as owner, cast(l_linenumber as bigint) as line from lineitem),
+    k as (select distinct l_orderkey as owner, cast(l_linenumber as bigint) as line from lineitem join orders on o_orderkey = l_orderkey where l_linestatus = 'F' and o_orderstatus <> 'P'),
+    d as (select * from a where (owner, line) not in (select owner, line from k)),
+    g as (select owner, line, line - row_number() over (partition by owner order by line) as island from d)
+    select owner, min(line) as low, max(line) as high from g group by owner, island"""
+)
+def valid_range_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("owner"), F.col("l_linenumber").cast("long").alias("line"), "l_linestatus")
+    # A delivery counts only while what it hangs on still holds.
+    holds = _table(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("owner"))
+    known = line.filter("l_linestatus = 'F'").join(holds, "owner", "left_semi").select("owner", "line")
+    return metrics.remaining_ranges(line.select("owner", "line").distinct(), known)
+
+
+@registered(
+    """
+    with e as (select *, row_number() over (partition by user_id, event_type order by ts, event_id) = 1 as first from events)
+    select case when event_id % 3 = 0 then 'small' else 'large' end as size, case when first then 'cold' else 'warm' end as mode, count(*) as n, round(avg(value), 6) as mean_latency, cast(sum(length(props)) as bigint) as bytes from e group by 1, 2"""
+)
+def latency_by_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _table(spark, sf_dir, "events")
+    traces = events.select(
+        F.col("user_id").alias("session_id"), F.col("event_type").alias("operation"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("latency"),
+        F.length("props").cast("long").alias("bytes"), F.when(F.col("event_id") % 3 == 0, "small").otherwise("large").alias("size"),
+    )
+    return metrics.by_condition(traces)
