@@ -112,7 +112,7 @@ def remove_repeated_passages(
     same_place = (F.col("order") == F.col("first")) & (F.col("version") == F.col("kept_version")) & (F.col("no") == F.col("kept_no"))
     # Bytes of chunks always meet by a shuffle, at any size: copies of frequent chunks are split by adaptive execution.
     later = met.join(firsts.hint("merge"), "hash").filter((F.col("chunk") == F.col("kept_chunk")) & ~same_place)
-    removed = stored(later.groupBy("order", "version").agg(F.array_sort(F.collect_set("no")).alias("removed")), "removed-chunks")
+    removed = stored(later.groupBy("order", "version").agg(F.array_sort(F.collect_set("no")).alias("removed")), "removed-chunks", replaces=[repeated, met, firsts])
 
     measured = removed.select("order", "version", "removed", F.array_join("removed", ",").alias("digits"))
     table = size_checked(measured, 80, ["digits"]).drop("digits")
@@ -198,7 +198,7 @@ def remove_shared_runs(docs: DataFrame, *, text: str = "text", doc_id: str = "do
     firsts = stored(firsts.select("id", "first"), "first-windows")
     later = windows.join(size_checked(firsts, 112), "id").filter(at > F.col("first"))
     gone = later.select("order", "version", F.explode(F.sequence("low", "high")).alias("no"))
-    removed = stored(gone.groupBy("order", "version").agg(F.array_sort(F.collect_set("no")).alias("removed")), "removed-lines")
+    removed = stored(gone.groupBy("order", "version").agg(F.array_sort(F.collect_set("no")).alias("removed")), "removed-lines", replaces=[repeated, windows, firsts])
 
     measured = removed.select("order", "version", "removed", F.array_join("removed", ",").alias("digits"))
     table = size_checked(measured, 80, ["digits"]).drop("digits")

@@ -277,7 +277,7 @@ def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", p:
     label = components(verified(dealt.join(sets, "node"), p), row_bytes=64)
 
     labelled = nodes.join(size_checked(label.withColumnRenamed("label", "leader"), 64), "node", "left").withColumn("leader", F.coalesce("leader", "node"))
-    labelled = stored(labelled, "labelled-nodes")
+    labelled = stored(labelled, "labelled-nodes", replaces=[values, groups, members, asked, sets, heavy])
     best = labelled.groupBy("leader").agg(F.min("rank").alias("best"), F.sum("rows").alias("rows")).filter("rows > 1")
     best = stored(best.select("leader", F.col("best.row_key").alias("best")), "best-rows")
     of_node = stored(labelled.join(size_checked(best, 64), "leader").select("node", "best"), "best-of-nodes")
