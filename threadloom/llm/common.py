@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..shared import BROADCAST_BYTES, payload, shared_dir, size_checked, stored
 
-__all__ = ["BROADCAST_BYTES", "WORD", "arrow_map", "beside", "free_name", "let", "payload", "row_key", "scan", "shared_dir", "size_checked", "stored"]
+__all__ = ["BROADCAST_BYTES", "WORD", "arrow_map", "beside", "let", "payload", "row_key", "scan", "shared_dir", "size_checked", "stored"]
 
 #: Bytes of an Arrow batch, unless one row has more: a batch is held twice on either side.
 BATCH_BYTES = 2 * 1024 * 1024
@@ -50,14 +50,6 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.md5(F.concat_ws("\x1f", F.coalesce(doc_id.cast("string"), F.lit("~")), F.coalesce(F.md5(text.cast("binary")), F.lit("~"))))
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """``name``, lengthened until ``df`` has no such column."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def beside(docs: DataFrame, result: str, row: str = "row") -> list[Column]:
     """The columns of ``docs`` out of the struct ``row``, to stand beside a result column.
 
