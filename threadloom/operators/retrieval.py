@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -52,25 +52,26 @@ def weights_with(overrides: Mapping[str, int] | None = None) -> dict[str, int]:
     return {**WEIGHTS, **(overrides or {})}
 
 
+def stated_blocks(table: DataFrame) -> Iterator[list]:
+    """The rows of a stated set, such as queries, in blocks of about PHRASE_BLOCK, one after the other."""
+    count = -(-table.count() // PHRASE_BLOCK)
+    for i in range(count):
+        if block := table.filter(F.pmod(F.xxhash64(*table.columns), F.lit(count)) == i).collect():
+            yield block
+
+
 def holding(texts: DataFrame, key: str, text: str, phrases: DataFrame, name: str, phrase: str) -> DataFrame:
     """(key, name) of the texts that hold a phrase, wherever it stands.
 
-    The phrases are a stated set: they are read in blocks of PHRASE_BLOCK, and each block
-    is held against all texts in one pass without a shuffle. Empty ones hold nowhere.
+    The phrases are a stated set: they are read in blocks, and each block is held against
+    all texts in one pass without a shuffle. Empty ones hold nowhere.
     """
-
-    def blocks() -> Iterator[list]:
-        asked = phrases.select(F.col(name).alias("n"), F.col(phrase).alias("p")).filter("p <> ''")
-        count = -(-asked.count() // PHRASE_BLOCK)
-        for i in range(count):
-            yield asked.filter(F.pmod(F.xxhash64("n", "p"), F.lit(count)) == i).collect()
-
-    found = texts.select(key, F.lit(None).cast(phrases.schema[name].dataType).alias(name)).limit(0)
-    for block in blocks():
-        if block:
-            every = F.array(*[F.struct(F.lit(r.n).alias("n"), F.lit(r.p).alias("p")) for r in block])
-            met = F.filter(every, lambda x: F.contains(F.col(text), x["p"]))
-            found = found.unionByName(texts.select(key, F.explode(met).alias("x")).select(key, F.col("x.n").cast(phrases.schema[name].dataType).alias(name)))
+    kind = phrases.schema[name].dataType
+    found = texts.select(key, F.lit(None).cast(kind).alias(name)).limit(0)
+    for block in stated_blocks(phrases.select(F.col(name).alias("n"), F.col(phrase).alias("p")).filter("p <> ''")):
+        every = F.array(*[F.struct(F.lit(r.n).alias("n"), F.lit(r.p).alias("p")) for r in block])
+        met = F.filter(every, lambda x: F.contains(F.col(text), x["p"]))
+        found = found.unionByName(texts.select(key, F.explode(met).alias("x")).select(key, F.col("x.n").cast(kind).alias(name)))
     return found
 
 
@@ -148,18 +149,21 @@ def repository_scores(files: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, path, score) of files with a score: each term adds 10 if the path has it, 8 if a symbol's
     name does, and its occurrences in the text up to 5; the whole query in the text adds 10.
 
-    ``files`` has path, symbols (names in lower case, joined) and content; queries are a
-    stated set, held against all files in one pass.
+    ``files`` has path, symbols (names in lower case, joined) and content. Queries are a
+    stated set, held against all files block by block.
     """
-    asked = queries.select("query_id", F.lower("query").alias("query"), query_terms(F.col("query")).alias("terms")).collect()
     path, said = F.lower("path"), F.lower("content")
 
-    def times(text, term: str):
-        return F.floor((F.length(text) - F.length(F.replace(text, F.lit(term), F.lit("")))) / len(term))
+    def times(term: str) -> Column:
+        return F.floor((F.length(said) - F.length(F.replace(said, F.lit(term), F.lit("")))) / len(term))
 
-    def score(query) -> object:
-        parts = [F.when(F.contains(path, F.lit(t)), 10).otherwise(0) + F.when(F.contains(F.col("symbols"), F.lit(t)), 8).otherwise(0) + F.least(F.lit(5), times(said, t)) for t in query.terms]
-        return reduce(lambda a, b: a + b, parts, F.when(F.contains(said, F.lit(query.query)), 10).otherwise(0)).cast("long")
+    def score(query: Row) -> Column:
+        parts = [F.when(F.contains(path, F.lit(t)), 10).otherwise(0) + F.when(F.contains("symbols", F.lit(t)), 8).otherwise(0) + F.least(F.lit(5), times(t)) for t in query.terms]
+        return reduce(Column.__add__, parts, F.when(F.contains(said, F.lit(query.query)), 10).otherwise(0)).cast("long")
 
-    rows = F.array(*[F.struct(F.lit(q.query_id).alias("query_id"), score(q).alias("score")) for q in asked if q.terms])
-    return files.select("path", F.explode(rows).alias("x")).select("x.query_id", "path", "x.score").filter("score > 0")
+    asked = queries.select("query_id", F.trim(F.lower("query")).alias("query"), query_terms(F.col("query")).alias("terms")).filter(F.size("terms") > 0)
+    found = files.select(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), "path", F.lit(0).cast("long").alias("score")).limit(0)
+    for block in stated_blocks(asked):
+        rows = F.array(*[F.struct(F.lit(q.query_id).alias("query_id"), score(q).alias("score")) for q in block])
+        found = found.unionByName(files.select("path", F.explode(rows).alias("x")).select("x.query_id", "path", "x.score"))
+    return found.filter("score > 0")

@@ -7,10 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, context_id, in_scope, low_information
-from ..operators import lookups, packing
+from ..operators import lookups, packing, retrieval
 from ..sources import conversations
 from ..streaming import jobs
-from .registry import _PAGES, _UNIT, _WORDS, _page_path, _page_tables, _table, code_graph, registered
+from .registry import _PAGES, _STOP, _UNIT, _WORDS, _page_path, _page_tables, _table, code_graph, registered
 
 _ENDINGS = ", ".join(f"'{e}'" for e in lookups.ENDINGS)
 
@@ -197,3 +197,20 @@ def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = F.when(F.col("turn") % 5 == 0, F.upper("text")).otherwise(F.col("text"))
     old = messages.filter("conv_id % 3 <> 1").select("unit_id", content_hash(F.col("text")).alias("content_hash"))
     return packing.change_classes(old, messages.filter("conv_id % 3 <> 2").select("unit_id", content_hash(now).alias("content_hash")), "unit_id").groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+
+
+@registered(
+    rf"""
+    with p as (select page_id as path_id, regexp_replace(regexp_extract(url, '^[^?#]*', 0), '^[a-z]+://', '') || '#' || page_id as path, lower(html) as said, lower(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) as symbols from pages),
+    q as (select item_id as query_id, lower(array_to_string(string_split(text, ' ')[1:3], ' ')) as query from benchmark where item_id % 50 = 0),
+    t as (select * from (select query_id, unnest(list_distinct({_WORDS.format("query")})) as term from q) where term not in ({_STOP})),
+    s as (
+      select query_id, path, sum(case when contains(lower(path), term) then 10 else 0 end + case when contains(symbols, term) then 8 else 0 end + least(5, (length(said) - length(replace(said, term, ''))) // length(term))) as n
+      from t cross join p group by 1, 2
+    ) select query_id, path, cast(n + case when contains(said, query) then 10 else 0 end as bigint) as score from s join q using (query_id) join p using (path) where n + case when contains(said, query) then 10 else 0 end > 0"""
+)
+def repository_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    files = pages.select(F.concat(_page_path(F.col("url")), F.lit("#"), "page_id").alias("path"), F.lower(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)).alias("symbols"), F.col("html").alias("content"))
+    items = _table(spark, sf_dir, "benchmark").filter(F.col("item_id") % 50 == 0)
+    return retrieval.repository_scores(files, items.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("query")))
