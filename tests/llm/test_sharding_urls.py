@@ -98,6 +98,11 @@ def test_filter_has_no_false_negative_and_few_positives(spark):
 def test_urls_by_hash_join_when_the_list_is_large(spark, monkeypatch):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     small = {tuple(r) for r in url_bloom.urls_digest(pages).collect()}
-    monkeypatch.setattr(url_bloom, "BROADCAST_BYTES", -1)
     monkeypatch.setattr(url_bloom, "size_checked", lambda table, *a, **b: table.hint("merge"))
     assert {tuple(r) for r in url_bloom.urls_digest(pages).collect()} == small
+
+
+def test_a_column_with_the_result_s_name_is_replaced(spark):
+    docs = cases.docs(spark).withColumnsRenamed({"kept": "sharding", "hash": "row", "key": "part", "spans": "slot"})
+    found = histogram_sort.histogram_shards(docs, shards=4)
+    assert found.columns == [c for c in docs.columns if c != "sharding"] + ["sharding"] and len(found.collect()) == len(cases.ROWS)
