@@ -15,12 +15,13 @@ COLUMNS = {
     7: ["doc_id", "fingerprint", "component_id"],
     8: ["page_id", "host", "path", "rule", "verdict"],
     9: ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+    11: ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
 }
 
 
-def test_ten_queries_with_the_contracts_columns(spark, small):
+def test_queries_with_the_contracts_columns(spark, small):
     found = {int(name.split("_")[0][2:]): q for name, q in queries.queries().items()}
-    assert sorted(found) == list(range(1, 11))
+    assert sorted(found) == list(range(1, 12))
     for n, columns in COLUMNS.items():
         assert set(columns) <= set(found[n](spark, small).columns), n
 

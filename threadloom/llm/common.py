@@ -29,9 +29,10 @@ def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
     Workers live on between stages, so Arrow takes its memory from the system, which gets
     it back after each task.
     """
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(conf.get(name).rstrip("b")) <= BATCH_BYTES:
-        conf.set(name, f"{BATCH_BYTES}b")
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    asked = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < asked <= BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.set_memory_pool(pa.system_memory_pool())
