@@ -17,12 +17,13 @@ COLUMNS = {
     9: ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
     11: ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
     12: ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
+    13: ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
 }
 
 
 def test_queries_with_the_contracts_columns(spark, small):
     found = {int(name.split("_")[0][2:]): q for name, q in queries.queries().items()}
-    assert sorted(found) == list(range(1, 13))
+    assert sorted(found) == list(range(1, 14))
     for n, columns in COLUMNS.items():
         assert set(columns) <= set(found[n](spark, small).columns), n
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit, disclosure, fertility, hilbert_pack, histogram_sort, latent, line_chunks, ownership, simhash, url_bloom, warc, whitening
+from . import alignment, best_fit, disclosure, fertility, hilbert_pack, histogram_sort, latent, line_chunks, ownership, simhash, url_bloom, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,8 +64,12 @@ def op12_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archives_digest(_table(spark, sf_dir, "pages"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_digest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_fertility, op2_best_fit, op3_histogram_sort, op4_latent, op5_disclosure, op6_ownership, op7_simhash, op8_url_bloom, op9_hilbert_pack, op10_line_chunks, op11_lanczos, op12_revisits)
+    found = (op1_fertility, op2_best_fit, op3_histogram_sort, op4_latent, op5_disclosure, op6_ownership, op7_simhash, op8_url_bloom, op9_hilbert_pack, op10_line_chunks, op11_lanczos, op12_revisits, op13_alignment)
     return {f.__name__: f for f in found}
 
 

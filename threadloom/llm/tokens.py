@@ -63,11 +63,16 @@ class ByteBpe:
         special = {x["content"] for x in described["added_tokens"]}
         byte_of = _byte_of()
         ranks = {bytes(byte_of[c] for c in token): rank for token, rank in described["model"]["vocab"].items() if token not in special}
+        self._bytes = {rank: token for token, rank in ranks.items()} | {x["id"]: x["content"].encode() for x in described["added_tokens"]}
         self._fast = tiktoken.Encoding("plain", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         wide = self._exact.get_vocab_size() > 1 << 16
         self.size = self._exact.get_vocab_size()
         self._code, self.dtype = ("I", np.dtype("<u4")) if wide else ("H", np.dtype("<u2"))
 
+    def token_bytes(self) -> list[bytes]:
+        """The bytes that each id stands for."""
+        return [self._bytes.get(i, b"") for i in range(self.size)]
+
     def encode(self, text: str) -> list[int]:
         if _not_plain.search(text):
             return self._exact.encode(text, add_special_tokens=False).ids
