@@ -210,6 +210,20 @@ def test_examples_and_live_secrets(spark):
     assert [(s.kind, s.start, s.end) for s in found[13].tokens] == [("token", 4, 25)] and not found[13].base
 
 
+def test_repositories_tell_reused_and_copied_values(spark):
+    """One owner in one or two repositories; two owners in few, and in eight."""
+    rows = [(1, "token: Zk3vQ9xLm2Rt8WbN", "en", "a", 1), (2, "token: Qk3vQ9xLm2Rt8WbM", "en", "a", 1), (3, "token: Qk3vQ9xLm2Rt8WbM", "de", "a", 1)]
+    rows += [(4, "token: Tk3vQ9xLm2Rt8WbT", "en", "a", 1), (5, "token: Tk3vQ9xLm2Rt8WbT", "en", "b", 1)]
+    rows += [(10 + i, "token: Vk3vQ9xLm2Rt8WbV", f"l{i % 4}", "ab"[i // 4], 1) for i in range(8)]
+    docs = cases.docs(spark, rows + rows)
+    found = {r.doc_id: r.secrets.base[0] for r in ownership.find_secrets(docs).collect()}
+    assert {i: (found[i]["class"], found[i].n_owners, found[i].n_repos) for i in (1, 2, 3, 4, 5, 10)} == {
+        1: ("live", 1, 1), 2: ("live", 1, 2), 3: ("live", 1, 2), 4: ("unclear", 2, 2), 5: ("unclear", 2, 2), 10: ("example", 2, 8),
+    }
+    told = {r.doc_id: (r.n_reused, r.owners_repos) for r in ownership.secrets_digest(docs).collect()}
+    assert told[1] == (0, "1:1") and told[3] == (1, "1:2") and told[17] == (0, "2:8")
+
+
 def test_empty_tables(spark):
     assert disclosure.personal_digest(cases.empty(spark)).collect() == []
     assert ownership.secrets_digest(cases.empty(spark)).collect() == []

@@ -2,8 +2,8 @@
 
 Candidates of fixed shape are found in every text, and beside them long tokens of mixed
 characters. A candidate's hash is counted over the corpus by distinct repositories and
-owners: what many owners have is a copied example, what one owner has and looks random is
-likely live.
+owners: what many owners or many repositories of several owners have is a copied example;
+what one owner has and looks random is likely live, in one repository or reused in several.
 """
 
 from __future__ import annotations
@@ -28,9 +28,11 @@ TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+"
 
 @dataclass(frozen=True)
 class Ownership:
-    """From how many owners on a candidate is an example, and what looks live."""
+    """From how many owners or repositories on a candidate is an example, and what looks live."""
 
     example_owners: int = 3
+    #: So many repositories make an example of what at least two owners have.
+    example_repos: int = 8
     shortest: int = 12
     distinct_characters: int = 8
     #: Words that mark a placeholder, in any case.
@@ -107,10 +109,13 @@ def find_secrets(
 ) -> DataFrame:
     """``docs`` with a struct ``secrets``: base and tokens (spans with a verdict each).
 
-    A span has start, rank, end, kind, value and class: ``example`` if at least
-    ``rules.example_owners`` owners have the value, ``live`` if one owner has it and it
-    looks random, else ``unclear``. ``base`` goes by start, then kind; ``tokens`` has only
-    live ones, which the base patterns do not cover.
+    A span has start, rank, end, kind, value, class, n_owners and n_repos. Its class is
+    ``example`` if at least ``rules.example_owners`` owners have the value, or two owners in
+    at least ``rules.example_repos`` repositories; ``live`` if one owner has it and it looks
+    random; else ``unclear``. A live one with several repositories is reused by its owner.
+    ``base`` goes by start, then kind; ``tokens`` has only live ones, which the base
+    patterns do not cover. A repository is told by the columns ``repo``; the default,
+    source and language, stands in for tables that have no better one.
 
     Texts are searched once; what is found is counted, and comes back to the rows by the
     text's hash. A null text counts as empty. Null owners are one owner, and null
@@ -132,13 +137,14 @@ def find_secrets(
     held = stored(found.select("*", F.md5("s.value").alias("hash")), "secret-candidates")
     counts = candidate_owners(held, rules)
     values = held.groupBy("hash").agg(F.max(looks_live(F.col("s.value"), rules).cast("int")).alias("live"))
-    verdict = F.when(F.col("n_owners") >= rules.example_owners, "example").when((F.col("n_owners") == 1) & (F.col("live") == 1), "live").otherwise("unclear")
-    classed = stored(counts.join(values, "hash").select("hash", verdict.alias("class")), "secret-classes")
+    copied = (F.col("n_owners") >= rules.example_owners) | ((F.col("n_owners") > 1) & (F.col("n_repos") >= rules.example_repos))
+    verdict = F.when(copied, "example").when((F.col("n_owners") == 1) & (F.col("live") == 1), "live").otherwise("unclear")
+    classed = stored(counts.join(values, "hash").select("hash", verdict.alias("class"), "n_owners", "n_repos"), "secret-classes")
 
     texts = stored(held.groupBy("text_key", "no").agg(F.first("s").alias("s"), F.first("hash").alias("hash")), "secret-texts")
-    judged = texts.join(size_checked(classed, 64), "hash").filter((F.col("s.kind") != "token") | (F.col("class") == "live"))
-    one = F.struct(*[F.col(f"s.{c}").alias(c) for c in ("start", "rank", "end", "kind", "value")], "class")
-    known = judged.groupBy("text_key").agg(F.array_sort(F.collect_list(one)).alias("spans"), F.sum(F.octet_length("s.value") + 32).alias("bytes"))
+    judged = texts.join(size_checked(classed, 80), "hash").filter((F.col("s.kind") != "token") | (F.col("class") == "live"))
+    one = F.struct(*[F.col(f"s.{c}").alias(c) for c in ("start", "rank", "end", "kind", "value")], "class", "n_owners", "n_repos")
+    known = judged.groupBy("text_key").agg(F.array_sort(F.collect_list(one)).alias("spans"), F.sum(F.octet_length("s.value") + 48).alias("bytes"))
     known = stored(known, "secrets-of-texts")
 
     small = payload_of(known)
@@ -160,10 +166,12 @@ def _by_start(s: Column) -> Column:
 
 
 def secrets_digest(docs: DataFrame) -> DataFrame:
-    """Counts, places and classes of secrets in each document."""
+    """Counts, places and classes of secrets in each document, and the owners and repositories that have each."""
     found = find_secrets(docs.select("doc_id", "text", "source", "lang"))
     base, tokens = F.col("secrets.base"), F.col("secrets.tokens")
     counts = [count_where(base, "kind", k).alias(f"n_{k}") for k in KINDS]
     classes = [count_where(base, "class", c).alias(f"n_{c}") for c in ("live", "example", "unclear")]
     every = F.array_sort(F.concat(base, tokens))
-    return found.select("doc_id", *counts, F.sha2(as_text(base), 256).alias("base_sha256"), as_text(every).alias("spans"), *classes)
+    reused = F.size(F.filter(every, lambda s: (s["class"] == "live") & (s["n_repos"] > 1))).cast("long")
+    reach = F.array_join(F.transform(every, lambda s: F.concat_ws(":", s["n_owners"].cast("string"), s["n_repos"].cast("string"))), ",")
+    return found.select("doc_id", *counts, F.sha2(as_text(base), 256).alias("base_sha256"), as_text(every).alias("spans"), *classes, reused.alias("n_reused"), reach.alias("owners_repos"))
