@@ -50,9 +50,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over ``documents``; each is written and read again."""
+    """All stages in turn over ``documents``; each is written and read again, and goes once the next one is there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     *before, (_, pack) = STAGES
     for name, stage in before:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = stored(stage(spark, docs, sf_dir), name, replaces=[docs])
     return pack(spark, docs, sf_dir)
