@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -25,20 +27,81 @@ def term_grader(answers: DataFrame, facts: DataFrame) -> DataFrame:
     return facts_met.groupBy("answer_id").agg(F.count_if("met").alias("facts_met"), F.count(F.lit(1)).alias("facts"), F.round(100.0 * F.avg(F.col("met").cast("int")), 2).alias("coverage"))
 
 
-def section_grader(answers: DataFrame, facts: DataFrame) -> DataFrame:
-    """(answer_id, fact_id, status): present, absent or contradicted, judged section by section.
+def headed_sections(answers: DataFrame, headings: Sequence[str]) -> DataFrame:
+    """(fixture, answer_id, sections, whole): stems of each headed section, and of the whole answer where it has no heading.
+
+    A heading is a line that has only one of ``headings``, whatever marks and case it is
+    written in; what stands below it, down to the next one, is its section, and what stands
+    above the first belongs to none. Sections under one heading are read as one.
+    """
+    plain = lambda c: F.trim(F.regexp_replace(F.upper(c), "[^A-Z0-9 ]", ""))
+    bare = F.regexp_replace("line", r"^[ #>*_`:\\-]+|[ #>*_`:\\-]+$", "")
+    names = F.create_map(*[x for h in headings for x in (plain(F.lit(h)), F.lit(h))])
+    lines = answers.select("fixture", "answer_id", F.posexplode(F.split("text", r"\r\n|[\n\r]")).alias("no", "line"))
+    headed = lines.withColumn("own", F.try_element_at(names, plain(bare)))
+    above = W.partitionBy("fixture", "answer_id").orderBy("no").rowsBetween(W.unboundedPreceding, 0)
+    placed = headed.withColumn("section", F.last("own", ignorenulls=True).over(above)).filter("section is not null and own is null")
+    listed = placed.groupBy("fixture", "answer_id", "section").agg(F.array_sort(F.collect_list(F.struct("no", "line"))).alias("lines"))
+    said = listed.select("fixture", "answer_id", "section", light_stems(F.array_join(F.transform("lines", lambda x: x["line"]), " ")).alias("stems"))
+    known = said.groupBy("fixture", "answer_id").agg(F.map_from_entries(F.collect_list(F.struct("section", "stems"))).alias("sections"))
+    met = headed.groupBy("fixture", "answer_id").agg(F.count("own").alias("n_headings"))
+    whole = answers.select("fixture", "answer_id", "text").join(met.filter("n_headings = 0").select("fixture", "answer_id"), ["fixture", "answer_id"])
+    whole = whole.select("fixture", "answer_id", light_stems(F.col("text")).alias("whole"))
+    return met.select("fixture", "answer_id").join(known, ["fixture", "answer_id"], "left").join(whole, ["fixture", "answer_id"], "left")
+
+
+def section_grader(answers: DataFrame, facts: DataFrame, headings: Sequence[str]) -> DataFrame:
+    """(answer_id, fact_id, critical, status): present, absent or contradicted, judged in the fact's own section.
+
+    ``facts`` has fixture, fact_id, section, critical, acceptable (alternatives, each a list
+    of phrases) and contradictions (phrases). A fact is contradicted if a contradiction
+    stands in its section word after word, as stems, and else present if all stems of one
+    alternative are there, in any order. An answer without headings is judged as a whole.
+    """
+    gold = stored(facts.select("fixture", "fact_id", "section", "critical", _stem_sets("acceptable").alias("wanted"), _stem_phrases("contradictions").alias("against")), "section-facts")
+    judged = headed_sections(answers, headings).join(size_checked(gold.withColumn("t", F.to_json(F.struct("wanted", "against"))), 64, ["t"]), "fixture")
+    found = judged.select("answer_id", "fact_id", "critical", "wanted", "against", _section_stems().alias("stems"))
+    present = F.exists("wanted", lambda v: (F.size(v) > 0) & (F.size(F.array_except(v, "stems")) == 0))
+    against = F.exists("against", lambda p: F.contains(F.array_join("stems", " "), p))
+    return found.select("answer_id", "fact_id", "critical", F.when(against, "contradicted").when(present, "present").otherwise("absent").alias("status"))
+
+
+def stale_claims_made(answers: DataFrame, stale: DataFrame, headings: Sequence[str]) -> DataFrame:
+    """(answer_id, item_id): outdated propositions that an answer states in their section.
+
+    ``stale`` has fixture, item_id, section and patterns; all stems of one pattern state it.
+    """
+    gold = stored(stale.select("fixture", "item_id", "section", _stem_sets("patterns", nested=False).alias("wanted")), "stale-items")
+    judged = headed_sections(answers, headings).join(size_checked(gold.withColumn("t", F.to_json("wanted")), 64, ["t"]), "fixture")
+    found = judged.select("answer_id", "item_id", "wanted", _section_stems().alias("stems"))
+    return found.filter(F.exists("wanted", lambda v: (F.size(v) > 0) & (F.size(F.array_except(v, "stems")) == 0))).select("answer_id", "item_id")
+
+
+def section_verdicts(grades: DataFrame, stale: DataFrame, least: float) -> DataFrame:
+    """(answer_id, coverage, critical_missing, stale, passed): coverage in percent, and ids that keep an answer from passing.
 
-    Sections are the lines of an answer. A fact is present if one section has all of its
-    wanted stems, and contradicted if one has all of the other stems, which weighs more.
-    ``facts`` has fixture, fact_id, wanted and other, each a list of stems.
+    ``grades`` is what ``section_grader`` gives, ``stale`` what ``stale_claims_made`` does.
+    An answer passes with ``least`` percent of the facts, all critical ones and no stale claim.
     """
-    lines = answers.select("fixture", "answer_id", F.explode(F.split("text", "\n")).alias("line"))
-    stems = lines.select("fixture", "answer_id", F.array_distinct(light_stems(F.col("line"))).alias("stems"))
-    gold = stored(facts, "section-facts")
-    judged = stems.join(size_checked(gold.withColumn("t", F.array_join(F.concat("wanted", "other"), " ")), 64, ["t"]), "fixture")
-    holds = lambda name: F.size(F.array_except(name, "stems")) == 0
-    found = judged.groupBy("answer_id", "fact_id").agg(F.max(holds("wanted")).alias("present"), F.max(holds("other")).alias("against"))
-    return found.select("answer_id", "fact_id", F.when(F.col("against"), "contradicted").when(F.col("present"), "present").otherwise("absent").alias("status"))
+    missing = F.collect_set(F.when(F.col("critical") & (F.col("status") != "present"), F.col("fact_id")))
+    coverage = F.round(100.0 * F.count_if(F.col("status") == "present") / F.count(F.lit(1)), 2)
+    own = grades.groupBy("answer_id").agg(coverage.alias("coverage"), F.array_sort(missing).alias("critical_missing"))
+    outdated = stale.groupBy("answer_id").agg(F.array_sort(F.collect_set("item_id")).alias("stale"))
+    both = own.join(outdated, "answer_id", "left").withColumn("stale", F.coalesce("stale", F.array().cast(outdated.schema["stale"].dataType)))
+    return both.withColumn("passed", (F.col("coverage") >= least) & (F.size("critical_missing") == 0) & (F.size("stale") == 0))
+
+
+def _section_stems() -> Column:
+    none = F.array().cast("array<string>")
+    return F.coalesce("whole", F.try_element_at("sections", "section"), none)
+
+
+def _stem_sets(alternatives: str, nested: bool = True) -> Column:
+    return F.transform(alternatives, lambda v: F.array_distinct(light_stems(F.array_join(v, " ") if nested else v)))
+
+
+def _stem_phrases(phrases: str) -> Column:
+    return F.transform(phrases, lambda p: F.array_join(light_stems(p), " "))
 
 
 def stem_grader(answers: DataFrame, slots: DataFrame) -> DataFrame:

@@ -86,7 +86,8 @@ def cochanges(changes: DataFrame, least: int = 2, most: int = PAIRED_FILES) -> D
     """(a, b, times) of pairs of files in one commit; ``changes`` has commit and file.
 
     The first ``most`` files of a commit by path are paired, so a commit gives a bounded
-    number of pairs; there is an edge either way where a pair met ``least`` times.
+    number of pairs; a pair that met ``least`` times has one row, the first by name as a,
+    and stands for an edge either way.
     """
     order = W.partitionBy("commit").orderBy("file")
     own = changes.distinct().withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most).drop("nth")

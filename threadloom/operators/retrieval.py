@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import query_terms, words
+from ..functions.text import WORD, let, query_terms, words
 from ..shared import size_checked, stored
 
 TOP_K = 30
@@ -92,7 +91,9 @@ def search(units: DataFrame, queries: DataFrame, k: int = TOP_K, weights: Mappin
     terms = stored(asked.select("query_id", F.explode("terms").alias("term")), "query-terms")
 
     said = words(F.col("content"))
-    found = units.select("unit_id", F.size(said).alias("length"), F.explode(said).alias("term"))
+    # The length goes with each word: beside the words it would be counted again for each of them.
+    counted = let(said, lambda w: F.transform(w, lambda x: F.struct(F.size(w).alias("length"), x.alias("term"))))
+    found = units.select("unit_id", F.explode(counted).alias("w")).select("unit_id", "w.length", "w.term")
     found = found.join(size_checked(stored(terms.select("term").distinct(), "asked-terms"), 24, ["term"]), "term", "left_semi")
     postings = stored(found.groupBy("unit_id", "length", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
     total = units.count()
@@ -108,7 +109,7 @@ def search(units: DataFrame, queries: DataFrame, k: int = TOP_K, weights: Mappin
     near = stored(near.select("query_id", "unit_id", "query"), "near-echoes")
     echoes = units.select("unit_id", F.lower("content").alias("said")).join(size_checked(near, 32, ["query"]), "unit_id").filter(F.contains("said", "query"))
     echoes = stored(echoes.select("query_id", "unit_id"), "echoes")
-    phrases = holding(units.filter(F.size(said) > 0).select("unit_id", F.lower("content").alias("said")), "unit_id", "said", asked.filter("not echo"), "query_id", "query")
+    phrases = holding(units.filter(F.col("content").rlike(WORD)).select("unit_id", F.lower("content").alias("said")), "unit_id", "said", asked.filter("not echo"), "query_id", "query")
     both = scored.join(size_checked(echoes, 16), ["query_id", "unit_id"], "left_anti").join(phrases.withColumn("phrase", F.lit(True)), ["query_id", "unit_id"], "full_outer")
     score = F.round(F.coalesce("lexical", F.lit(0.0)) + F.when(F.col("phrase"), own["exact_phrase"]).otherwise(0), 3)
     ranked = both.select("query_id", "unit_id", score.alias("score"), F.coalesce("terms", F.lit(0)).alias("terms"))
@@ -145,25 +146,44 @@ def contained(gold: DataFrame, texts: DataFrame, anchor: int = 3) -> DataFrame:
     return found.unionByName(holding(texts, "doc_id", "text", short, "item_id", "item").select("item_id", "doc_id").distinct())
 
 
-def repository_scores(files: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, path, score) of files with a score: each term adds 10 if the path has it, 8 if a symbol's
-    name does, and its occurrences in the text up to 5; the whole query in the text adds 10.
+def _grams(word: Column, most: int = 3) -> Column:
+    """The distinct pieces of a word of one to ``most`` characters."""
+    none = F.array().cast("array<string>")
 
-    ``files`` has path, symbols (names in lower case, joined) and content. Queries are a
-    stated set, held against all files block by block.
-    """
-    path, said = F.lower("path"), F.lower("content")
+    def of_length(n: int) -> Column:
+        pieces = F.transform(F.sequence(F.lit(1), F.length(word) - n + 1), lambda i: F.substring(word, i, F.lit(n)))
+        return F.when(F.length(word) >= n, pieces).otherwise(none)
 
-    def times(term: str) -> Column:
-        return F.floor((F.length(said) - F.length(F.replace(said, F.lit(term), F.lit("")))) / len(term))
+    return F.array_distinct(F.concat(*[of_length(n) for n in range(1, most + 1)]))
 
-    def score(query: Row) -> Column:
-        parts = [F.when(F.contains(path, F.lit(t)), 10).otherwise(0) + F.when(F.contains("symbols", F.lit(t)), 8).otherwise(0) + F.least(F.lit(5), times(t)) for t in query.terms]
-        return reduce(Column.__add__, parts, F.when(F.contains(said, F.lit(query.query)), 10).otherwise(0)).cast("long")
 
-    asked = queries.select("query_id", F.trim(F.lower("query")).alias("query"), query_terms(F.col("query")).alias("terms")).filter(F.size("terms") > 0)
-    found = files.select(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), "path", F.lit(0).cast("long").alias("score")).limit(0)
-    for block in stated_blocks(asked):
-        rows = F.array(*[F.struct(F.lit(q.query_id).alias("query_id"), score(q).alias("score")) for q in block])
-        found = found.unionByName(files.select("path", F.explode(rows).alias("x")).select("x.query_id", "path", "x.score"))
-    return found.filter("score > 0")
+def repository_scores(files: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, path, score) of files with a score: each word of a query adds 10 if the path has it, 8 if a symbol's
+    name does, and its occurrences in the text up to 5; the whole query in the text, as it stands, adds 10.
+
+    ``files`` has path, symbols (names in lower case, joined) and content. All words of a
+    query count, as often as it has them. A word stands inside one word of a text wherever
+    it stands, so words of queries meet the distinct words of all files once, by their
+    first letters, and files meet queries by equi joins from there.
+    """
+    asked = stored(queries.select("query_id", F.lower("query").alias("query"), words(F.col("query")).alias("terms")).filter(F.size("terms") > 0), "asked-files")
+    terms = stored(asked.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times")), "file-terms")
+    none = F.array().cast("array<struct<field:int,word:string>>")
+    marked = lambda name, field: F.coalesce(F.transform(words(F.col(name)), lambda x: F.struct(F.lit(field).alias("field"), x.alias("word"))), none)
+    each = F.concat(*[marked(name, field) for field, name in enumerate(("path", "symbols", "content"))])
+    spoken = files.select("path", F.explode(each).alias("w")).select("path", "w.field", "w.word")
+
+    keyed = stored(terms.select("term", F.substring("term", 1, 3).alias("gram")).distinct(), "term-grams")
+    pieces = spoken.select("word").distinct().select("word", F.explode(_grams(F.col("word"))).alias("gram"))
+    held = pieces.join(size_checked(keyed, 32, ["term"]), "gram").filter(F.contains("word", F.col("term")))
+    times = F.floor((F.length("word") - F.length(F.replace("word", F.col("term"), F.lit("")))) / F.length("term"))
+    inside = stored(held.select("word", "term", times.alias("n")), "terms-in-words")
+
+    met = spoken.join(size_checked(inside, 40, ["word", "term"]), "word").groupBy("path", "term")
+    has = lambda field: F.max(F.when(F.col("field") == field, 1).otherwise(0))
+    text = F.least(F.lit(5), F.coalesce(F.sum(F.when(F.col("field") == 2, F.col("n"))), F.lit(0)))
+    gains = met.agg((10 * has(0) + 8 * has(1) + text).alias("gain"))
+    lexical = gains.join(size_checked(terms, 40, ["term"]), "term").groupBy("query_id", "path").agg(F.sum(F.col("gain") * F.col("times")).alias("lexical"))
+    phrases = holding(files.select("path", F.lower("content").alias("said")), "path", "said", asked, "query_id", "query").distinct()
+    both = lexical.join(phrases.withColumn("phrase", F.lit(10)), ["query_id", "path"], "full_outer")
+    return both.select("query_id", "path", (F.coalesce("lexical", F.lit(0)) + F.coalesce("phrase", F.lit(0))).cast("long").alias("score"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, light_stems, query_terms, token_count
 from ..operators import grading, projection
+from ..shared import stored
 from ..sources import conversations
 from .registry import _NORMAL, _STOP, _TOKENS, _UNIT, _WORDS, _table, registered
 
@@ -42,17 +43,61 @@ def alternatives_grader(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grading.term_grader(answers, gold.select("fixture", F.col("item_id").alias("fact_id"), F.explode(alternatives).alias("terms")))
 
 
-@registered(
+#: Headings of the answers that conversations are read as: one for each role.
+HEADINGS = ("User", "Assistant", "System notes")
+_ROLE_HEADING = {"user": "## USER:", "assistant": "  **Assistant**", "system": "> system notes -"}
+_SECTIONS = (
     _GOLD
-    + rf""", facts as (select fixture, item_id as fact_id, list_transform(list_slice(w, 1, 2), lambda w: {_STEM}) as wanted, list_transform(list_slice(w, 4, 4), lambda w: {_STEM}) as other from gold),
-    lines as (select fixture, answer_id, list_transform(regexp_extract_all(lower(unnest(string_split(text, chr(10)))), '[a-z0-9]+'), lambda w: {_STEM}) as stems from answers),
-    j as (select answer_id, fact_id, bool_or(list_has_all(stems, wanted)) as present, bool_or(list_has_all(stems, other)) as against from lines join facts using (fixture) group by 1, 2)
-    select answer_id, fact_id, case when against then 'contradicted' when present then 'present' else 'absent' end as status from j"""
+    + rf""", parts as (
+      select conv_id % {FIXTURES} as fixture, conv_id as answer_id, case when conv_id % 7 = 6 then 'None' when role = 'user' then 'User' when role = 'assistant' then 'Assistant' else 'System notes' end as section,
+        string_agg(replace(text, chr(10), ' '), ' ' order by turn) as said from conversations group by 1, 2, 3
+    ), stems as (
+      select fixture, answer_id, section, list_transform(regexp_extract_all(lower(said), '[a-z0-9]+'), lambda w: {_STEM}) as stems, array_to_string(list_transform(regexp_extract_all(lower(said), '[a-z0-9]+'), lambda w: {_STEM}), ' ') as joined from parts
+    ), facts as (
+      select fixture, item_id as fact_id, case item_id % 3 when 0 then 'User' when 1 then 'Assistant' else 'System notes' end as section, item_id % 4 = 0 as critical,
+        [list_transform(list_slice(w, 1, 3), lambda w: {_STEM}), list_transform(list_slice(w, 4, 5), lambda w: {_STEM})] as wanted, array_to_string(list_transform(list_slice(w, 2, 3), lambda w: {_STEM}), ' ') as against,
+        list_transform(list_slice(w, 6, 7), lambda w: {_STEM}) as outdated from gold
+    ), judged as (
+      select p.answer_id, f.*, s.stems, coalesce(s.joined, '') as joined from (select distinct fixture, answer_id from parts) p join facts f using (fixture) left join stems s on s.answer_id = p.answer_id and s.section in (f.section, 'None')
+    ), grades as (
+      select answer_id, fact_id, critical, case when contains(joined, against) then 'contradicted' when stems is not null and len(list_filter(wanted, lambda v: len(v) > 0 and list_has_all(stems, v))) > 0 then 'present' else 'absent' end as status from judged
+    ), outdated as (select answer_id, fact_id as item_id from judged where fact_id % 5 = 0 and stems is not null and len(outdated) > 0 and list_has_all(stems, outdated))
+    """
 )
+
+
+def _headed_answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Conversations as answers with a section for each role, one in seven without headings; facts and stale items."""
+    heading = F.create_map(*[F.lit(x) for pair in _ROLE_HEADING.items() for x in pair])[F.col("role")]
+    block = F.when(F.col("conv_id") % 7 == 6, F.col("text")).otherwise(F.concat(heading, F.lit("\n"), "text"))
+    parts = _table(spark, sf_dir, "conversations").select("conv_id", F.when(F.col("conv_id") % 7 == 6, "").otherwise(F.col("role")).alias("role"), "turn", block.alias("block"))
+    answers = parts.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "block"))), lambda x: x["block"]), "\n").alias("text"))
+    answers = answers.select((F.col("conv_id") % FIXTURES).alias("fixture"), F.col("conv_id").alias("answer_id"), "text")
+    gold, item = _answers(spark, sf_dir)[1], F.col("item_id")
+    section = F.when(item % 3 == 0, "User").when(item % 3 == 1, "Assistant").otherwise("System notes")
+    phrase = lambda low, n: F.array_join(F.slice("w", low, n), " ")
+    acceptable = F.array(F.array(phrase(1, 2), phrase(3, 1)), F.array(phrase(4, 2)))
+    facts = gold.select("fixture", item.alias("fact_id"), section.alias("section"), (item % 4 == 0).alias("critical"), acceptable.alias("acceptable"), F.array(phrase(2, 2)).alias("contradictions"))
+    stale = gold.filter(item % 5 == 0).select("fixture", "item_id", section.alias("section"), F.array(phrase(6, 2)).alias("patterns"))
+    return answers, facts, stale
+
+
+@registered(_SECTIONS + "select answer_id, fact_id, critical, status from grades")
 def section_grader(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answers, gold = _answers(spark, sf_dir)
-    stems = lambda low, n: light_stems(F.array_join(F.slice("w", low, n), " "))
-    return grading.section_grader(answers, gold.select("fixture", F.col("item_id").alias("fact_id"), stems(1, 2).alias("wanted"), stems(4, 1).alias("other")))
+    answers, facts, _ = _headed_answers(spark, sf_dir)
+    return grading.section_grader(answers, facts, HEADINGS)
+
+
+@registered(
+    _SECTIONS
+    + """, own as (select answer_id, round(100.0 * count(*) filter (where status = 'present') / count(*), 2) as coverage, coalesce(list_sort(list(fact_id) filter (where critical and status <> 'present')), []) as critical_missing from grades group by 1),
+    s as (select answer_id, list_sort(list(distinct item_id)) as stale from outdated group by 1)
+    select answer_id, coverage, critical_missing, coalesce(stale, []) as stale, coverage >= 20 and len(critical_missing) = 0 and stale is null as passed from own left join s using (answer_id)"""
+)
+def section_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers, facts, stale = _headed_answers(spark, sf_dir)
+    answers = stored(answers, "headed-answers")
+    return grading.section_verdicts(grading.section_grader(answers, facts, HEADINGS), grading.stale_claims_made(answers, stale, HEADINGS), 20.0)
 
 
 @registered(

@@ -10,7 +10,7 @@ from ..functions.text import content_hash, context_id, in_scope, low_information
 from ..operators import lookups, packing, retrieval
 from ..sources import conversations
 from ..streaming import jobs
-from .registry import _PAGES, _STOP, _UNIT, _WORDS, _page_path, _page_tables, _table, code_graph, registered
+from .registry import _PAGES, _UNIT, _WORDS, _page_path, _page_tables, _table, code_graph, registered
 
 _ENDINGS = ", ".join(f"'{e}'" for e in lookups.ENDINGS)
 
@@ -113,7 +113,7 @@ def invalidated_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(
     """
     with f as (select source as query_id, cast(doc_id as varchar) as path, doc_id % 8 as tier, doc_id % 137 as score, n_chars as tokens from documents),
-    o as (select *, row_number() over (partition by query_id order by case when tier <> 0 then 1 else 0 end, tier, round(score / greatest(1, tokens), 6) desc, path) as place from f)
+    o as (select *, row_number() over (partition by query_id order by case when tier <> 0 then 1 else 0 end, tier, score::double / greatest(1, tokens) desc, score desc, path) as place from f)
     select * from o where place <= 20"""
 )
 def repository_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +146,7 @@ def path_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(f"""select {_UNIT} as unit_id, 'ctx_' || sha256(to_json({{'conv_id': conv_id, 'role': role, 'turn': turn}})) as context_id from conversations""")
 def context_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = _table(spark, sf_dir, "conversations")
-    return messages.select(conversations.message_name(F.col("conv_id"), F.col("turn")).alias("unit_id"), context_id(F.col("conv_id"), F.col("role"), F.col("turn")).alias("context_id"))
+    return messages.select(conversations.message_name(F.col("conv_id"), F.col("turn")).alias("unit_id"), context_id(turn=F.col("turn"), role=F.col("role"), conv_id=F.col("conv_id")).alias("context_id"))
 
 
 @registered(
@@ -176,15 +176,21 @@ def invalidation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     """
-    with s as (select user_id as run, event_id as step, case event_type when 'view' then 'map' when 'click' then 'search' when 'purchase' then 'dependencies' when 'error' then 'expand' else 'other' end as op, ts,
-        'f' || (cast(json_extract_string(props, '$.k') as bigint) % 25) as file from events),
-    c as (select *, lag(op) over o as before, lag(op, 2) over o as before2 from s window o as (partition by run order by ts, step))
-    select run, step, 'map_then_search' as pattern from c where op = 'search' and before = 'map' union all select run, step, 'multiple_expands' from c where op = 'expand' and before = 'expand' and before2 = 'expand'"""
+    with s as (select user_id as run, event_id as step, case event_type when 'view' then 'map' when 'click' then 'search' when 'purchase' then 'pack' when 'error' then 'expand' else 'dependencies' end as op, ts,
+        case when event_type <> 'view' or event_id % 3 = 0 then 'f' || (cast(json_extract_string(props, '$.k') as bigint) % 25) end as target, cast(json_extract_string(props, '$.k') as bigint) as known, event_id % 120 as full_ from events),
+    c as (select *, lag(op) over o as before, lag(target) over o as target_before, lag(op, 2) over o as before2, row_number() over o as r, list({'op': op, 'target': target}) over (partition by run order by ts, step rows between 20 preceding and 1 preceding) as held from s window o as (partition by run order by ts, step)),
+    p as (
+      select run, step, unnest([case when op = 'search' and before = 'map' and target_before is null then 'map_then_search' end, case when op = 'dependencies' and list_contains(held, {'op': op, 'target': target}) then 'repeated_dependencies' end,
+        case when op = 'pack' and list_contains(held, {'op': op, 'target': target}) then 'pack_after_same_source' end, case when full_ > 0 and known / full_ >= 0.75 then 'mostly_known_context' end,
+        case when op = 'expand' and before = 'expand' and before2 = 'expand' then 'multiple_expands' end]) as pattern from c
+    ) select * from p where pattern is not null"""
 )
 def live_patterns_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = F.create_map(*[F.lit(x) for pair in {"view": "map", "click": "search", "purchase": "dependencies", "error": "expand", "signup": "other"}.items() for x in pair])
-    calls = jobs.event_stream(spark, sf_dir).select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), "ts", named[F.col("event_type")].alias("op"))
-    return jobs.live_patterns(calls)
+    named = F.create_map(*[F.lit(x) for pair in {"view": "map", "click": "search", "purchase": "pack", "error": "expand", "signup": "dependencies"}.items() for x in pair])
+    k = F.get_json_object("props", "$.k").cast("long")
+    target = F.when((F.col("event_type") != "view") | (F.col("event_id") % 3 == 0), F.concat(F.lit("f"), k % 25))
+    calls = jobs.event_stream(spark, sf_dir).select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), "ts", named[F.col("event_type")].alias("op"), target.alias("target"), k.alias("known_tokens"), (F.col("event_id") % 120).alias("full_tokens"))
+    return jobs.run_once(jobs.live_patterns(calls), "append", "patterns")
 
 
 @registered(
@@ -202,8 +208,8 @@ def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(
     rf"""
     with p as (select page_id as path_id, regexp_replace(regexp_extract(url, '^[^?#]*', 0), '^[a-z]+://', '') || '#' || page_id as path, lower(html) as said, lower(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) as symbols from pages),
-    q as (select item_id as query_id, lower(array_to_string(string_split(text, ' ')[1:3], ' ')) as query from benchmark where item_id % 50 = 0),
-    t as (select * from (select query_id, unnest(list_distinct({_WORDS.format("query")})) as term from q) where term not in ({_STOP})),
+    q as (select item_id as query_id, lower(array_to_string(string_split(text, ' ')[1:4], ' ') || case when item_id % 100 = 0 then ' the of ' else '' end || string_split(text, ' ')[1]) as query from benchmark where item_id % 50 = 0),
+    t as (select query_id, unnest({_WORDS.format("query")}) as term from q),
     s as (
       select query_id, path, sum(case when contains(lower(path), term) then 10 else 0 end + case when contains(symbols, term) then 8 else 0 end + least(5, (length(said) - length(replace(said, term, ''))) // length(term))) as n
       from t cross join p group by 1, 2
@@ -213,4 +219,6 @@ def repository_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     files = pages.select(F.concat(_page_path(F.col("url")), F.lit("#"), "page_id").alias("path"), F.lower(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)).alias("symbols"), F.col("html").alias("content"))
     items = _table(spark, sf_dir, "benchmark").filter(F.col("item_id") % 50 == 0)
-    return retrieval.repository_scores(files, items.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("query")))
+    w = F.split("text", " ")
+    query = F.concat(F.array_join(F.slice(w, 1, 4), " "), F.when(F.col("item_id") % 100 == 0, " the of ").otherwise(""), w[0])
+    return retrieval.repository_scores(files, items.select(F.col("item_id").alias("query_id"), query.alias("query")))

@@ -687,7 +687,7 @@ def session_windows_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     ) select event_id, user_id, event_type from walk where kept"""
 )
 def repeat_ttl_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.first_requests(jobs.event_stream(spark, sf_dir))
+    return jobs.run_once(jobs.first_requests(jobs.event_stream(spark, sf_dir)), "append", "repeats")
 
 
 @registered(
@@ -962,11 +962,11 @@ def invalidation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     """
-    with d as (select event_id, user_id, event_type, md5(props) as h, lag(md5(props)) over (partition by user_id, event_type order by ts, event_id) as before from events)
-    select event_id as seq, user_id as session_id, event_type as unit_id, case when before is null then 'new' when before = h then 'already_supplied' else 'changed' end as status from d"""
+    with d as (select event_id, user_id, event_type, row_number() over (partition by user_id, event_type, md5(props) order by ts, event_id) as nth, row_number() over (partition by user_id, event_type order by ts, event_id) as unit_nth from events)
+    select event_id as seq, user_id as session_id, event_type as unit_id, case when nth > 1 then 'already_supplied' when unit_nth > 1 then 'invalidated' else 'new' end as status from d"""
 )
 def ledger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.session_ledger(jobs.event_stream(spark, sf_dir))
+    return jobs.run_once(jobs.session_ledger(jobs.event_stream(spark, sf_dir)), "append", "ledger")
 
 
 @registered(
