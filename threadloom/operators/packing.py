@@ -39,13 +39,23 @@ FRAME_TOKENS, BETWEEN_TOKENS = len(re.findall(r"\w+|[^\w\s]", f"{TITLE} {DIRECTI
 HEADING_TOKENS = {s: len(re.findall(r"\w+|[^\w\s]", s)) for s in SECTIONS}
 
 
+#: Candidates of a query that are walked at once; a walk goes on from block to block.
+WALK_BLOCK = 256
+#: Units of a session's history that count.
+HISTORY = 1000
+
+_KEPT = "array<struct<at:bigint,unit_id:string,parts:struct<said:string,n:int,words:array<string>,triples:array<string>>>>"
+_DONE = "array<struct<unit_id:string,status:string,duplicate_of:string,place:bigint>>"
+
+
 def compile_pack(candidates: DataFrame, units: DataFrame, edges: DataFrame, history: DataFrame, budget: int, level: str = "pack", weights: Mapping[str, int] | None = None) -> DataFrame:
     """A status for each candidate of each query, and what the rules saw.
 
-    ``candidates`` has query_id, unit_id, score and lexical_only; ``units`` unit_id,
-    source_type, content, content_hash, cost, priority and section; ``edges`` kind, src_id,
-    dst_id and heuristic; ``history`` query_id, unit_id, content_hash and level of what a
-    query's session has had. The first rule that applies holds:
+    ``candidates`` has query_id, unit_id, score, lexical_only and, if signals or targets
+    were asked for, decided; ``units`` unit_id, source_type, content, content_hash, cost,
+    priority and section; ``edges`` kind, src_id, dst_id and heuristic; ``history``
+    query_id, unit_id, content_hash and level of what a query's session has had, and seq
+    where its order is known: the last HISTORY rows count. The first rule that applies holds:
 
     * superseded: a candidate supersedes or updates it by an edge that is no heuristic;
     * below_floor: a message found by words alone scores under max(2, min(30, 0.65 best));
@@ -55,11 +65,15 @@ def compile_pack(candidates: DataFrame, units: DataFrame, edges: DataFrame, hist
     * selected, or does_not_fit what is left of the budget.
 
     Known units lose ``redundancy`` points, later units of one content hash
-    ``duplicate_content``. The walk is in order of priority, score and id, by a fold over a
-    query's candidates, of which search gives its top k.
+    ``duplicate_content``. The order is that of priority, score and id. Only what is kept
+    changes the walk, and the budget bounds how much that is. So a query may have any number
+    of candidates: a fold takes a block of them, then all others are held against what is
+    kept, side by side, and those that are copies of it or can no longer fit leave the walk.
     """
     own = weights_with(weights)
-    found = candidates.join(units.select("unit_id", "source_type", "content", "content_hash", "cost", "priority", "section"), "unit_id")
+    if "decided" not in candidates.columns:
+        candidates = candidates.withColumn("decided", F.lit(False))
+    found = candidates.select("query_id", "unit_id", "score", "lexical_only", "decided").join(units.select("unit_id", "source_type", "content", "content_hash", "cost", "priority", "section"), "unit_id")
     had = history.select("query_id", "unit_id", F.col("content_hash").alias("had_hash"), F.col("level").alias("had_level"))
     same = F.col("had_hash") == F.col("content_hash")
     known = found.select("query_id", "unit_id", "content_hash").join(had, ["query_id", "unit_id"]).groupBy("query_id", "unit_id")
@@ -74,7 +88,7 @@ def compile_pack(candidates: DataFrame, units: DataFrame, edges: DataFrame, hist
     matched = found.select("query_id", F.col("unit_id").alias("src_id"))
     replaced = newer.join(matched, "src_id").groupBy("query_id", F.col("dst_id").alias("unit_id")).agg(F.max("src_id").alias("superseded_by"))
     owners = newer.select(F.col("src_id").alias("unit_id")).distinct().withColumn("owner", F.lit(True))
-    plain = (F.col("source_type") == "message") & F.col("lexical_only")
+    plain = (F.col("source_type") == "message") & F.col("lexical_only") & ~F.col("decided")
     best = F.max(F.when(plain, F.col("score"))).over(W.partitionBy("query_id"))
     judged = found.join(replaced, ["query_id", "unit_id"], "left").join(owners, "unit_id", "left")
     judged = judged.withColumn("floor", F.round(F.greatest(F.lit(2.0), F.least(F.lit(30.0), 0.65 * F.coalesce(best, F.lit(0.0)))), 3))
@@ -86,21 +100,52 @@ def compile_pack(candidates: DataFrame, units: DataFrame, edges: DataFrame, hist
     )
     rank = F.array_position(F.array(*[F.lit(p) for p in PRIORITIES]), F.col("priority"))
     heading = F.create_map(*[F.lit(x) for pair in HEADING_TOKENS.items() for x in pair])[F.col("section")]
-    row = F.struct(rank.alias("rank"), (-F.col("score")).alias("by_score"), "unit_id", rule.alias("rule"), "cost", "section", heading.cast("long").alias("heading"), copy_parts(normalized(F.col("content"))).alias("parts"))
+    order = W.partitionBy("query_id").orderBy(rank, F.col("score").desc(), "unit_id")
+    place = (F.row_number().over(order) - 1).cast("long")
+    judged = stored(judged.withColumns({"rule": rule, "heading": heading.cast("long"), "place": place}), "pack-judged")
+
     # The session's unchanged units count as kept from the start, whatever their level.
     current = units.select("unit_id", "content_hash", copy_parts(normalized(F.col("content"))).alias("parts"))
-    seen = history.select("query_id", "unit_id", "content_hash").distinct().join(current, ["unit_id", "content_hash"])
-    seen = seen.groupBy("query_id").agg(F.collect_list(F.struct("unit_id", "parts")).alias("seen"))
-    walks = judged.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("walk")).join(seen, "query_id", "left")
-
-    kept_type = "array<struct<unit_id:string,parts:struct<said:string,n:int,words:array<string>,triples:array<string>>>>"
-    done_type = "array<struct<unit_id:string,status:string,duplicate_of:string,place:bigint>>"
-    start = F.struct(
-        F.lit(0).cast("long").alias("used"),
-        F.array().cast("array<string>").alias("sections"),
-        F.coalesce("seen", F.array().cast(kept_type)).cast(kept_type).alias("kept"),
-        F.array().cast(done_type).alias("done"),
-    )
+    recent = bounded_rows(history, HISTORY)
+    seen = recent.select("query_id", "unit_id", "content_hash").distinct().join(current, ["unit_id", "content_hash"])
+    seen = seen.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(F.lit(-1).cast("long").alias("at"), F.col("unit_id").cast("string").alias("unit_id"), "parts"))).alias("kept"))
+    state = judged.select("query_id").distinct().join(seen, "query_id", "left").select("query_id", F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("sections"), F.coalesce("kept", F.array().cast(_KEPT)).cast(_KEPT).alias("kept"))
+    state = stored(state, "pack-state")
+
+    parts = copy_parts(normalized(F.col("content"))).alias("parts")
+    walking = stored(judged.filter("rule is null or rule = 'referenced'").select("query_id", "unit_id", "place", "rule", "cost", "section", "heading", parts), "pack-walk")
+    pending, done = walking, None
+    while True:
+        nth = F.row_number().over(W.partitionBy("query_id").orderBy("place"))
+        numbered = pending.withColumn("nth", nth)
+        folded = stored(_walked(numbered.filter(F.col("nth") <= WALK_BLOCK), state, budget), "pack-block")
+        rows = folded.select("query_id", F.explode("done").alias("d")).select("query_id", "d.*")
+        done = rows if done is None else done.unionByName(rows)
+        moved = folded.select("query_id", "used", "sections", "kept")
+        state = stored(moved.unionByName(state.join(moved.select("query_id"), "query_id", "left_anti")), "pack-state")
+        rest = numbered.filter(F.col("nth") > WALK_BLOCK).drop("nth").join(state.select("query_id", "used", "kept"), "query_id")
+        fits = F.col("used") + F.col("cost") + F.least(F.col("heading"), F.lit(BETWEEN_TOKENS)) <= budget
+        copy = F.exists("kept", lambda k: (k["unit_id"] != F.col("unit_id")) & near_copy(k["parts"], F.col("parts")))
+        rest = stored(rest.filter((F.col("rule") == "referenced") | (fits & ~copy)).select(pending.columns), "pack-pending")
+        if rest.isEmpty():
+            break
+        pending = rest
+
+    # What left the walk is held against what was kept before its place.
+    left = walking.join(done.select("query_id", "unit_id"), ["query_id", "unit_id"], "left_anti").join(state.select("query_id", "kept"), "query_id")
+    first = F.get(F.filter("kept", lambda k: (k["at"] < F.col("place")) & (k["unit_id"] != F.col("unit_id")) & near_copy(k["parts"], F.col("parts"))), F.lit(0))["unit_id"]
+    left = left.select("query_id", F.col("unit_id").cast("string").alias("unit_id"), F.when(first.isNotNull(), "near_duplicate").otherwise("does_not_fit").alias("status"), first.alias("duplicate_of"), "place")
+    ruled = judged.filter("rule is not null and rule <> 'referenced'").select("query_id", F.col("unit_id").cast("string").alias("unit_id"), F.col("rule").alias("status"), F.lit(None).cast("string").alias("duplicate_of"), "place")
+    packed = done.unionByName(left).unionByName(ruled)
+    facts = judged.select("query_id", "unit_id", "score", "floor", "priority", "section", "cost", "known", "invalidated", "superseded_by")
+    return packed.join(facts, ["query_id", "unit_id"])
+
+
+def _walked(block: DataFrame, state: DataFrame, budget: int) -> DataFrame:
+    """One fold over a block of each query's candidates, from the state before it to the state after it."""
+    row = F.struct("place", "unit_id", "rule", "cost", "section", "heading", "parts")
+    walks = block.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("walk")).join(state, "query_id")
+    start = F.struct("used", "sections", F.col("kept").cast(_KEPT).alias("kept"), F.array().cast(_DONE).alias("done"))
 
     def step(acc: Column, x: Column) -> Column:
         alike = F.filter(acc["kept"], lambda k: (k["unit_id"] != x["unit_id"]) & near_copy(k["parts"], x["parts"]))
@@ -109,18 +154,23 @@ def compile_pack(candidates: DataFrame, units: DataFrame, edges: DataFrame, hist
         total = acc["used"] + x["cost"] + frame
         status = F.coalesce(x["rule"], F.when(copy.isNotNull(), "near_duplicate"), F.when(total <= budget, "selected").otherwise("does_not_fit"))
         taken, holds = status == "selected", status.isin("selected", "referenced")
-        one = F.struct(x["unit_id"].cast("string").alias("unit_id"), x["parts"].alias("parts"))
-        out = F.struct(x["unit_id"].cast("string").alias("unit_id"), status.alias("status"), copy.alias("duplicate_of"), F.size(acc["done"]).cast("long").alias("place"))
+        one = F.struct(x["place"].alias("at"), x["unit_id"].cast("string").alias("unit_id"), x["parts"].alias("parts"))
+        out = F.struct(x["unit_id"].cast("string").alias("unit_id"), status.alias("status"), copy.alias("duplicate_of"), x["place"].alias("place"))
         return F.struct(
             F.when(taken, total).otherwise(acc["used"]).cast("long").alias("used"),
             F.when(taken, F.array_union(acc["sections"], F.array(x["section"]))).otherwise(acc["sections"]).alias("sections"),
-            F.when(holds, F.concat(acc["kept"], F.array(one))).otherwise(acc["kept"]).cast(kept_type).alias("kept"),
-            F.concat(acc["done"], F.array(out)).cast(done_type).alias("done"),
+            F.when(holds, F.concat(acc["kept"], F.array(one))).otherwise(acc["kept"]).cast(_KEPT).alias("kept"),
+            F.concat(acc["done"], F.array(out)).cast(_DONE).alias("done"),
         )
 
-    packed = walks.select("query_id", F.explode(F.aggregate("walk", start, step, lambda acc: acc["done"])).alias("d")).select("query_id", "d.*")
-    facts = judged.select("query_id", "unit_id", "score", "floor", "priority", "section", "cost", "known", "invalidated", "superseded_by")
-    return packed.join(facts, ["query_id", "unit_id"])
+    return walks.select("query_id", F.aggregate("walk", start, step).alias("end")).select("query_id", "end.*")
+
+
+def bounded_rows(history: DataFrame, most: int) -> DataFrame:
+    """The last ``most`` rows of each query's history, by seq where there is one."""
+    order = F.col("seq").desc() if "seq" in history.columns else F.col("unit_id")
+    nth = F.row_number().over(W.partitionBy("query_id").orderBy(order, "unit_id", "content_hash", "level"))
+    return history.withColumn("nth", nth).filter(F.col("nth") <= most).drop("nth")
 
 
 def near_duplicates(candidates: DataFrame, units: DataFrame) -> DataFrame:

@@ -75,9 +75,15 @@ def holding(texts: DataFrame, key: str, text: str, phrases: DataFrame, name: str
 
 
 def search(units: DataFrame, queries: DataFrame, k: int = TOP_K, weights: Mapping[str, int] | None = None) -> DataFrame:
-    """The ``k`` best units of each query: query_id, unit_id, score, terms, rank.
+    """The ``k`` best units of each query, as ``matches`` scores them: query_id, unit_id, score, terms, rank."""
+    limited = queries.select("query_id", "query", F.lit(k).cast("long").alias("most"))
+    return matches(units, limited, weights).select("query_id", "unit_id", "score", "terms", "rank")
 
-    ``units`` has unit_id and content, ``queries`` query_id and query. A term adds
+
+def matches(units: DataFrame, queries: DataFrame, weights: Mapping[str, int] | None = None) -> DataFrame:
+    """The best units of each query, ``most`` of its own: query_id, unit_id, score, terms, phrase, rank.
+
+    ``units`` has unit_id and content, ``queries`` query_id, query and most. A term adds
     min(10, idf tf / (1 + 0.25 words / 100)) times the weight of lexical_overlap over 10,
     rounded to three places, with idf = 1 + (N - df + 0.5) / (df + 0.5). A unit that holds
     the whole query, as it stands, gets the weight of exact_phrase more, terms or not; but
@@ -85,7 +91,7 @@ def search(units: DataFrame, queries: DataFrame, k: int = TOP_K, weights: Mappin
     units are scored, and ranked once. A query without terms finds nothing.
     """
     own = weights_with(weights)
-    asked = queries.select("query_id", F.trim(F.lower("query")).alias("query"))
+    asked = queries.select("query_id", "most", F.trim(F.lower("query")).alias("query"))
     asked = asked.withColumn("terms", query_terms(F.col("query"))).filter(F.size("terms") > 0)
     asked = stored(asked.withColumn("echo", F.size(F.split("query", r"\s+")) > ECHO_WORDS), "queries")
     terms = stored(asked.select("query_id", F.explode("terms").alias("term")), "query-terms")
@@ -112,9 +118,10 @@ def search(units: DataFrame, queries: DataFrame, k: int = TOP_K, weights: Mappin
     phrases = holding(units.filter(F.col("content").rlike(WORD)).select("unit_id", F.lower("content").alias("said")), "unit_id", "said", asked.filter("not echo"), "query_id", "query")
     both = scored.join(size_checked(echoes, 16), ["query_id", "unit_id"], "left_anti").join(phrases.withColumn("phrase", F.lit(True)), ["query_id", "unit_id"], "full_outer")
     score = F.round(F.coalesce("lexical", F.lit(0.0)) + F.when(F.col("phrase"), own["exact_phrase"]).otherwise(0), 3)
-    ranked = both.select("query_id", "unit_id", score.alias("score"), F.coalesce("terms", F.lit(0)).alias("terms"))
+    ranked = both.select("query_id", "unit_id", score.alias("score"), F.coalesce("terms", F.lit(0)).alias("terms"), F.coalesce("phrase", F.lit(False)).alias("phrase"))
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "unit_id")
-    return ranked.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
+    ranked = ranked.withColumn("rank", F.row_number().over(order).cast("long"))
+    return ranked.join(size_checked(asked.select("query_id", "most"), 24), "query_id").filter("rank <= most").drop("most")
 
 
 def relevance_floor(found: DataFrame) -> DataFrame:

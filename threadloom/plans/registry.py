@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, content_hash, token_count
-from ..operators import graph, grading, metrics, packing, relations, retrieval
+from ..operators import context, graph, grading, metrics, packing, relations, retrieval
 from ..operators.working_context import DIRECTIVE, NOTICE, SECTIONS, TITLE, Wording, prioritised, rendered
 from ..shared import stored
 from ..sources import conversations, events
@@ -122,7 +122,7 @@ def _search_sql(units: str, queries: str) -> str:
       select q.query_id, u.unit_id, lexical, terms, echo, contains(lower(content), query) as phrase
       from q cross join u left join lexical l on l.query_id = q.query_id and l.unit_id = u.unit_id where len({_WORDS.format("content")}) > 0
     ), scored as (
-      select query_id, unit_id, coalesce(terms, 0) as terms, round(coalesce(lexical, 0) + case when phrase then 30 else 0 end, 3) as score
+      select query_id, unit_id, coalesce(terms, 0) as terms, phrase, round(coalesce(lexical, 0) + case when phrase then 30 else 0 end, 3) as score
       from met where not (phrase and echo) and (lexical is not null or phrase)
     ), ranked as (select *, row_number() over (partition by query_id order by score desc, unit_id) as rank from scored),
     found as (select query_id, unit_id, score, terms, rank from ranked where rank <= 30)
@@ -195,6 +195,9 @@ def _message_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     units = messages.select(
         "unit_id",
         F.lit("message").alias("source_type"),
+        F.concat(F.lit("src"), "conv_id").alias("source_id"),
+        F.concat(F.lit("logs/"), "role").alias("path"),
+        "role",
         F.col("text").alias("content"),
         content_hash(F.col("text")).alias("content_hash"),
         token_count(F.col("text")).alias("cost"),
@@ -204,7 +207,8 @@ def _message_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
         F.when(F.col("turn") % 13 == 5, "prior_work").alias("category"),
     )
     units = prioritised(units, edges.select(F.col("src_id").alias("unit_id"), "kind"), WORDING)
-    queries = messages.filter("conv_id % 50 = 0 and turn = 0").select(F.col("conv_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("query"))
+    broad = F.when(F.col("conv_id") % 100 == 0, " plan").otherwise("")
+    queries = messages.filter("conv_id % 50 = 0 and turn = 0").select(F.col("conv_id").alias("query_id"), F.concat(F.array_join(F.slice(F.split("text", " "), 1, 3), " "), broad).alias("query"))
     had = messages.filter("(turn * 31 + conv_id) % 9 = 0").select(
         (F.col("conv_id") - F.col("conv_id") % 50).alias("query_id"),
         "unit_id",
@@ -216,7 +220,7 @@ def _message_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 
 _UNIT = "'conversation:' || conv_id || '/message:' || turn"
 _NORMAL = r"array_to_string(regexp_extract_all(replace(lower(regexp_replace({0}, '(?m)^[ \t]*>[ \t]?', '', 'g')), 'ß', 'ss'), '[\p{{L}}\p{{N}}_]+'), ' ')"
-_MESSAGES = _search_sql(f"select {_UNIT} as unit_id, text as content from conversations", "select conv_id as query_id, array_to_string(string_split(text, ' ')[1:3], ' ') as query from conversations where conv_id % 50 = 0 and turn = 0")
+_MESSAGES = _search_sql(f"select {_UNIT} as unit_id, text as content from conversations", "select conv_id as query_id, array_to_string(string_split(text, ' ')[1:3], ' ') || case when conv_id % 100 = 0 then ' plan' else '' end as query from conversations where conv_id % 50 = 0 and turn = 0")
 _SECTION_CASE = "case " + " ".join(f"when section = '{x}' then {packing.HEADING_TOKENS[x]}" for x in SECTIONS) + " end"
 _PRIORITY = rf""", newer as (
       select {_UNIT} as dst_id, 'conversation:' || conv_id || '/message:' || lead(turn) over (partition by conv_id, role order by turn) as src_id, turn from conversations
@@ -238,20 +242,59 @@ _PRIORITY = rf""", newer as (
       select unit_id, text as content, sha256(text) as content_hash, cast({_TOKENS.format("text")} as bigint) as cost, priority, priority_reason, corroborated, s[1] as section, s[2] as section_rule,
         {_NORMAL.format("text")} as said from placed
     )"""
-_FLOOR = "round(greatest(2.0, least(30.0, 0.65 * coalesce(max(score) over (partition by query_id), 0))), 3)"
+_FLOOR = "round(greatest(2.0, least(30.0, 0.65 * coalesce(max(case when lexical_only and not decided then score end) over (partition by query_id), 0))), 3)"
 _ALIKE = """k.said <> '' and c.said <> '' and (contains(k.said, c.said) or contains(c.said, k.said) or (least(len(string_split(k.said, ' ')), len(string_split(c.said, ' '))) >= 8 and (
         len(list_intersect(k.w, c.w)) >= 0.7 * len(list_distinct(list_concat(k.w, c.w))) or (len(k.t) + len(c.t) > 0 and len(list_intersect(k.t, c.t)) >= 0.88 * len(list_distinct(list_concat(k.t, c.t)))))))"""
 _SETS = """list_distinct(string_split(said, ' ')) as w,
         case when len(string_split(said, ' ')) > 2 then list_distinct(list_transform(range(1, len(string_split(said, ' ')) - 1), lambda i: array_to_string(string_split(said, ' ')[i : i + 2], ' '))) else [] end as t"""
+#: Wording of decisions that the invented prose of the tables has.
+DECISIONS = context.Signals(decision="(?i) in the | la de ", state="(?i) et la ", final="(?i) of the ", compact="(?i) to the ")
+_BROAD = ", ".join(f"'{w}'" for w in context.PLANNING)
+_CANDIDATES = rf""", limits as (select query_id, query, len(list_intersect({_WORDS.format("query")}, [{_BROAD}])) > 0 as broad from asked),
+    lex as (select r.query_id, unit_id, score as words_score, terms > 0 as lexical, phrase from ranked r join limits using (query_id) where rank <= case when broad then greatest(30, (select count(*) from conversations)) else 30 end),
+    deciding as (
+      select {_UNIT} as unit_id, role, contains(lower(text), ' in the ') or contains(lower(text), ' la de ') as rules, contains(lower(text), ' et la ') as state, contains(lower(text), ' of the ') as last, contains(lower(text), ' to the ') as compact from conversations
+    ), told as (select unit_id, last or state as final, 28 + case when last or state then 55 else 0 end as gain from deciding where (rules or state) and (role = 'user' or compact)),
+    s1 as (
+      select query_id, unit_id, round(coalesce(words_score, 0) + coalesce(gain, 0), 3) as raised, words_score is not null as lexical_only, coalesce(lexical, false) as lexical, coalesce(phrase, false) as phrase, gain is not null as decision, coalesce(final, false) as final
+      from lex full join (select query_id, told.* from told cross join limits where broad) using (query_id, unit_id)
+    ), s2 as (
+      select s1.* from s1 join limits using (query_id) qualify row_number() over (partition by query_id order by raised desc, unit_id) <= case when any_value(broad) over (partition by query_id) then greatest(30, (select count(*) from conversations)) else 30 end
+    ), keys as (select {_UNIT} as unit_id, 'src' || conv_id as source_id, 'logs/' || role as path from conversations),
+    tgt as (select distinct query_id, unit_id, true as explicit from (select query_id, unnest(['src' || (query_id + 1), 'conversation:' || query_id || '/message:1', 'nowhere']) as target from asked) join keys on target in (unit_id, source_id, path)),
+    s3 as (
+      select query_id, unit_id, coalesce(raised, 0) + case when explicit then 100 else 0 end as seeded, coalesce(lexical_only, false) as lexical_only, coalesce(lexical, false) as lexical, coalesce(phrase, false) as phrase,
+        coalesce(decision, false) as decision, coalesce(final, false) as final, coalesce(explicit, false) as explicit from s2 full join tgt using (query_id, unit_id)
+    ), rel as (
+      select src_id as owner, 0 as nth, 'supersedes' as kind, src_id as source, dst_id as target from superseding
+      union all select {_UNIT}, 1, 'references', {_UNIT}, 'src' || (conv_id + 7) || '::part' from conversations where turn % 4 = 1
+      union all select {_UNIT}, 2, 'related_to', 'src' || (conv_id + 3), {_UNIT} from conversations where turn % 6 = 2
+      union all select {_UNIT}, 3, 'follows', {_UNIT}, 'conversation:' || conv_id || '/message:' || (turn + 1) from conversations
+    ), latest as (select source_id, max(unit_id) as unit from keys group by 1),
+    ends as (select distinct value, coalesce(k.unit_id, a.unit, b.unit) as unit from (select source as value from rel union select target from rel) left join keys k on k.unit_id = value left join latest a on a.source_id = value left join latest b on b.source_id = split_part(value, '::', 1)),
+    linked as (select owner, nth, kind, a.unit as x, b.unit as y from rel join ends a on a.value = source join ends b on b.value = target where kind <> 'follows' and a.unit <> b.unit),
+    ways as (select owner, nth, kind, x as seed, y as other from linked union all select owner, nth, kind, y, x from linked),
+    hop as (
+      select s3.query_id, other as unit_id, arg_min(kind, (owner, nth)) as kind from ways join s3 on s3.unit_id = seed left join s3 z on z.query_id = s3.query_id and z.unit_id = other where z.unit_id is null group by 1, 2
+    ), every as (
+      select query_id, unit_id, seeded, lexical_only, lexical, phrase, decision, final, explicit, cast(null as varchar) as kind from s3
+      union all select query_id, h.unit_id, case kind when 'supersedes' then 55 else 5 end, false, false, false, false, false, false, kind from hop h join conversations on {_UNIT} = h.unit_id where trim(text) <> ''
+    ), cand as (
+      select e.query_id, e.unit_id, round(seeded, 3) as score, lexical_only, decision or final or explicit as decided,
+        concat_ws(',', case when lexical then 'lexical_overlap' end, case when phrase then 'exact_phrase' end, case when decision then 'decision_context' end, case when final then 'final_state' end, case when explicit then 'explicit_target' end,
+          case kind when 'supersedes' then 'final_state' when 'references' then 'related_unit' when 'related_to' then 'related_unit' end) as signals
+      from every e join asked using (query_id) join conversations on {_UNIT} = e.unit_id where not (len(string_split_regex(trim(query), '\s+')) > 4 and contains(lower(text), trim(lower(query))))
+    )"""
 _COMPILE = (
     _MESSAGES
     + _PRIORITY
+    + _CANDIDATES
     + rf""", had as (
       select conv_id - conv_id % 50 as query_id, {_UNIT} as unit_id, case when turn % 2 = 0 then sha256(text) else 'old' end as content_hash, case when turn % 4 = 2 then 'map' else 'pack' end as level
       from conversations where (turn * 31 + conv_id) % 9 = 0
     ), c0 as (
-      select f.query_id, f.unit_id, f.score as raw, meta.*, h.unit_id is not null and h.content_hash = meta.content_hash and h.level = 'pack' as known, h.unit_id is not null and h.content_hash <> meta.content_hash as invalidated
-      from found f join meta using (unit_id) left join had h on h.query_id = f.query_id and h.unit_id = f.unit_id
+      select f.query_id, f.unit_id, f.score as raw, f.lexical_only, f.decided, f.signals, meta.*, h.unit_id is not null and h.content_hash = meta.content_hash and h.level = 'pack' as known, h.unit_id is not null and h.content_hash <> meta.content_hash as invalidated
+      from cand f join meta using (unit_id) left join had h on h.query_id = f.query_id and h.unit_id = f.unit_id
     ), c1 as (
       select *, round(raw - case when known then 35 else 0 end - case when row_number() over (partition by query_id, content_hash order by raw desc, unit_id) > 1 then 18 else 0 end, 3) as score from c0
     ), c2 as (
@@ -259,12 +302,12 @@ _COMPILE = (
         unit_id in (select src_id from superseding where turn <> 5) as owner from c1
     ), c as (
       select *, {_SECTION_CASE} as heading, {_SETS},
-        case when superseded_by is not null then 'superseded' when not known and score < floor and not owner then 'below_floor'
+        case when superseded_by is not null then 'superseded' when lexical_only and not decided and not known and score < floor and not owner then 'below_floor'
           when said <> '' and len(string_split(said, ' ')) <= 3 and len(list_filter(string_split(said, ' '), lambda x: x not in ('ok', 'okay', 'thanks', 'thank', 'understood', 'noted', 'confirmed', 'yes', 'sure', 'great'))) = 0 then 'low_information'
           when known then 'referenced' end as rule,
         row_number() over (partition by query_id order by list_position(['critical', 'required', 'supporting', 'informational'], priority), -score, unit_id) as pos from c2
     ), seen as (
-      select query_id, list({{'unit_id': unit_id, 'said': said, 'w': w, 't': t}}) as kept from (select distinct had.query_id, meta.unit_id, said, {_SETS} from had join meta using (unit_id, content_hash)) group by query_id
+      select query_id, list({{'unit_id': unit_id, 'said': said, 'w': w, 't': t}} order by unit_id) as kept from (select distinct had.query_id, meta.unit_id, said, {_SETS} from had join meta using (unit_id, content_hash)) group by query_id
     ), walk as (
       select c.query_id, cast(0 as bigint) as pos, '' as unit_id, cast(0 as bigint) as used, cast([] as varchar[]) as sections,
         coalesce(any_value(seen.kept), cast([] as struct(unit_id varchar, said varchar, w varchar[], t varchar[])[])) as kept, '' as status, cast(null as varchar) as duplicate_of
@@ -282,7 +325,7 @@ _COMPILE = (
         )
       )
     ), packed as (
-      select w.query_id, w.unit_id, w.status, w.duplicate_of, w.pos - 1 as place, c.score, c.floor, c.priority, c.section, c.cost, c.known, c.invalidated, c.superseded_by, c.content, c.content_hash
+      select w.query_id, w.unit_id, w.status, w.duplicate_of, w.pos - 1 as place, c.score, c.floor, c.priority, c.section, c.cost, c.known, c.invalidated, c.superseded_by, c.content, c.content_hash, c.signals
       from walk w join c using (query_id, pos)
     )
     """
@@ -300,17 +343,47 @@ def context_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _message_parts(spark, sf_dir)[0].select("unit_id", "priority", "priority_reason", "corroborated", "section", "section_rule")
 
 
-def _compiled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _relations(spark: SparkSession, sf_dir: str, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Relations of messages, their ends by unit id or by source id, and what queries ask for by name."""
+    messages = _table(spark, sf_dir, "conversations").withColumn("unit_id", conversations.message_name(F.col("conv_id"), F.col("turn")))
+    source = lambda conv: F.concat(F.lit("src"), conv)
+    null = F.lit(None).cast("string")
+    after = conversations.message_name(F.col("conv_id"), F.col("turn") + 1)
+    made = F.array(
+        F.when(F.col("turn") % 4 == 1, F.struct(F.lit(1).alias("nth"), F.lit("references").alias("kind"), null.alias("source"), F.concat(source(F.col("conv_id") + 7), F.lit("::part")).alias("target"))),
+        F.when(F.col("turn") % 6 == 2, F.struct(F.lit(2).alias("nth"), F.lit("related_to").alias("kind"), source(F.col("conv_id") + 3).alias("source"), F.col("unit_id").alias("target"))),
+        F.struct(F.lit(3).alias("nth"), F.lit("follows").alias("kind"), null.alias("source"), after.alias("target")),
+    )
+    named = messages.select(F.col("unit_id").alias("owner"), F.explode(F.array_compact(made)).alias("r")).select("owner", "r.*")
+    newer = edges.select(F.col("src_id").alias("owner"), F.lit(0).alias("nth"), "kind", null.alias("source"), F.col("dst_id").alias("target"))
+    first = messages.filter("conv_id % 50 = 0 and turn = 0")
+    targets = F.array(source(F.col("conv_id") + 1), conversations.message_name(F.col("conv_id"), F.lit(1)), F.lit("nowhere"))
+    return newer.unionByName(named), first.select(F.col("conv_id").alias("query_id"), F.explode(targets).alias("target"))
+
+
+def _found(spark: SparkSession, sf_dir: str, units: DataFrame, edges: DataFrame, queries: DataFrame) -> DataFrame:
+    named, targets = _relations(spark, sf_dir, edges)
+    return context.pack_candidates(units, queries, named, targets, signals=DECISIONS)
+
+
+def _compiled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Packs, units and candidates."""
     units, edges, queries, had = _message_parts(spark, sf_dir)
     units = stored(units, "units")
-    found = retrieval.search(units.select("unit_id", "content"), queries).withColumn("lexical_only", F.lit(True))
-    packed = packing.compile_pack(found.select("query_id", "unit_id", "score", "lexical_only"), units, edges, had, BUDGET)
-    return stored(packed, "packed"), units
+    found = stored(_found(spark, sf_dir, units, edges, queries), "found")
+    return stored(packing.compile_pack(found, units, edges, had, BUDGET), "packed"), units, found
+
+
+@registered(_MESSAGES + _PRIORITY + _CANDIDATES + "select * from cand")
+def pack_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units, edges, queries, _ = _message_parts(spark, sf_dir)
+    return _found(spark, sf_dir, stored(units, "units"), edges, queries)
 
 
 @registered(_COMPILE + "select * exclude (content, content_hash) from packed")
 def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _compiled(spark, sf_dir)[0]
+    packed, _, found = _compiled(spark, sf_dir)
+    return packed.join(found.select("query_id", "unit_id", "signals"), ["query_id", "unit_id"])
 
 
 @registered(
@@ -336,7 +409,7 @@ def pack_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(_COMPILE + "select query_id, unit_id, content_hash, 'pack' as level, cost as token_count, priority from packed where status = 'selected'")
 def pack_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.deliveries(*_compiled(spark, sf_dir))
+    return packing.deliveries(*_compiled(spark, sf_dir)[:2])
 
 
 @registered(
@@ -344,7 +417,7 @@ def pack_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     + """select query_id, unit_id, section, m.section_rule, p.priority, m.priority_reason, m.corroborated + 1 as corroboration from packed p join (select unit_id, section_rule, priority_reason, corroborated from meta) m using (unit_id) where status = 'selected'"""
 )
 def pack_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed, units = _compiled(spark, sf_dir)
+    packed, units, _ = _compiled(spark, sf_dir)
     told = units.select("unit_id", "section_rule", "priority_reason", (F.col("corroborated") + 1).alias("corroboration"))
     return packed.filter("status = 'selected'").select("query_id", "unit_id", "section", "priority").join(told, "unit_id")
 
@@ -360,7 +433,7 @@ _ORDERED = ", ".join(f"'{x}'" for x in SECTIONS)
     ) select query_id, '{TITLE}' || chr(10) || chr(10) || '{DIRECTIVE}' || chr(10) || chr(10) || string_agg(block, chr(10) || chr(10) order by nth) as context from sections group by query_id"""
 )
 def rendered_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed, units = _compiled(spark, sf_dir)
+    packed, units, _ = _compiled(spark, sf_dir)
     taken = packed.filter("status in ('selected', 'referenced')").join(units.select("unit_id", "content"), "unit_id")
     chosen = F.col("status") == "selected"
     notice = ~chosen & F.col("priority").isin("critical", "required")
