@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, context_id, in_scope, low_information
 from ..operators import lookups, packing, retrieval
+from ..shared import shared_dir
 from ..sources import conversations
-from ..streaming import jobs
+from ..streaming import ingest, jobs
 from .registry import _PAGES, _UNIT, _WORDS, _page_path, _page_tables, _table, code_graph, registered
 
 _ENDINGS = ", ".join(f"'{e}'" for e in lookups.ENDINGS)
@@ -222,3 +225,45 @@ def repository_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.split("text", " ")
     query = F.concat(F.array_join(F.slice(w, 1, 4), " "), F.when(F.col("item_id") % 100 == 0, " the of ").otherwise(""), w[0])
     return retrieval.repository_scores(files, items.select(F.col("item_id").alias("query_id"), query.alias("query")))
+
+
+MESSAGES = "conv_id long, turn long, role string, text string"
+_INGESTED = f"""
+    with old as (select conv_id, turn, {_UNIT} as unit_id, sha256(case when turn % 5 = 0 and conv_id % 2 = 0 then upper(text) else text end) as h from conversations where conv_id % 3 <> 1),
+    new as (select conv_id, turn, {_UNIT} as unit_id, sha256(text) as h from conversations where conv_id % 3 <> 2 and not (conv_id % 4 = 0 and turn = 3)),
+    convs as (
+      select coalesce(a.conv_id, b.conv_id) as conv_id, a.conv_id is null or bool_or(a.h is distinct from b.h) as changed from old a full join new b using (conv_id, turn) where coalesce(a.conv_id, b.conv_id) % 3 <> 2 group by 1, a.conv_id
+    ), by_conv as (select conv_id, bool_or(changed) as changed from convs group by 1)
+    """
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> ingest.Table:
+    """Two runs into one table: an earlier state of two thirds of the conversations, then what another two thirds say now."""
+    stream = jobs.table_stream(spark, sf_dir, "conversations.parquet", MESSAGES)
+    was = F.when((F.col("turn") % 5 == 0) & (F.col("conv_id") % 2 == 0), F.upper("text")).otherwise(F.col("text"))
+    earlier = stream.filter("conv_id % 3 <> 1").withColumn("text", was)
+    later = stream.filter("conv_id % 3 <> 2 and not (conv_id % 4 = 0 and turn = 3)")
+    schema = ingest.message_units(spark.createDataFrame([], MESSAGES))[0].schema
+    table = ingest.Table(spark, f"{shared_dir(spark)}/threadloom-units-{uuid.uuid4().hex}", schema)
+    for name, part in (("earlier", earlier), ("later", later)):
+        ingest.ingest(part, ingest.message_units, table, name)
+    return table
+
+
+@registered(
+    _INGESTED
+    + """select unit_id, h as content_hash, case when changed then 2 else 1 end as revision from new join by_conv using (conv_id)
+    union all select unit_id, h, 1 from old where conv_id % 3 = 2"""
+)
+def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ingested(spark, sf_dir).rows().select("unit_id", "content_hash", "revision")
+
+
+@registered(
+    _INGESTED
+    + """, moved as (select a.unit_id as was, b.unit_id as now, a.h as old, b.h as new from (select * from old where conv_id in (select conv_id from new)) a full join new b using (unit_id))
+    select 'earlier-0' as batch, 'added' as change, count(*) as n, 1 as revision from old
+    union all select 'later-0', case when was is null then 'added' when now is null then 'deleted' when old = new then 'unchanged' else 'changed' end, count(*), 2 from moved group by 2"""
+)
+def ingest_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ingested(spark, sf_dir).reports().select("batch", "change", "n", "revision")
