@@ -34,6 +34,41 @@ def budget_pack(candidates: DataFrame, budget: int) -> DataFrame:
     return packed.select("query_id", F.explode("done").alias("d")).select("query_id", "d.*")
 
 
+def greedy(items: DataFrame, between: int = 0) -> DataFrame:
+    """(query_id, place, fits): each item in the order of ``place`` is taken if it still fits its query's budget.
+
+    ``items`` has query_id, place, cost and budget; ``between`` is added to the cost of
+    every item but the first that is taken and those of no cost. A query may have any
+    number of items: a block of them is folded, then those that can no longer fit leave, so
+    there are as many blocks as the budget can fill.
+    """
+    pending = stored(items.select("query_id", "place", "cost", "budget"), "greedy-items")
+    state = stored(pending.select("query_id", F.lit(0).cast("long").alias("used")).distinct(), "greedy-state")
+    every, done = pending, None
+    while True:
+        numbered = pending.withColumn("nth", F.row_number().over(W.partitionBy("query_id").orderBy("place")))
+        walk = F.array_sort(F.collect_list(F.struct("place", "cost", "budget")))
+        block = numbered.filter(F.col("nth") <= WALK_BLOCK).groupBy("query_id").agg(walk.alias("walk")).join(state, "query_id")
+        start = F.struct(F.col("used").cast("long").alias("used"), F.array().cast("array<bigint>").alias("taken"))
+
+        def step(acc: Column, x: Column) -> Column:
+            total = acc["used"] + x["cost"] + F.when((acc["used"] > 0) & (x["cost"] > 0), between).otherwise(0)
+            fits = total <= x["budget"]
+            return F.struct(F.when(fits, total).otherwise(acc["used"]).cast("long").alias("used"), F.when(fits, F.concat(acc["taken"], F.array(x["place"].cast("long")))).otherwise(acc["taken"]).alias("taken"))
+
+        folded = stored(block.select("query_id", F.aggregate("walk", start, step).alias("end")).select("query_id", "end.*"), "greedy-block")
+        rows = folded.select("query_id", F.explode("taken").alias("place"))
+        done = rows if done is None else done.unionByName(rows)
+        state = stored(folded.select("query_id", "used").unionByName(state.join(folded.select("query_id"), "query_id", "left_anti")), "greedy-state")
+        rest = numbered.filter(F.col("nth") > WALK_BLOCK).drop("nth").join(state, "query_id")
+        rest = rest.filter(F.col("used") + F.col("cost") + F.when((F.col("used") > 0) & (F.col("cost") > 0), between).otherwise(0) <= F.col("budget")).select(pending.columns)
+        pending = stored(rest, "greedy-pending")
+        if pending.isEmpty():
+            break
+    taken = done.withColumn("fits", F.lit(True))
+    return every.select("query_id", "place").join(taken, ["query_id", "place"], "left").withColumn("fits", F.coalesce("fits", F.lit(False)))
+
+
 #: Tokens of the title and directive, of the mark between blocks of a section, and of each heading.
 FRAME_TOKENS, BETWEEN_TOKENS = len(re.findall(r"\w+|[^\w\s]", f"{TITLE} {DIRECTIVE}")), 3
 HEADING_TOKENS = {s: len(re.findall(r"\w+|[^\w\s]", s)) for s in SECTIONS}

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..shared import size_checked, stored
+from .packing import greedy
+
 #: Sentences and characters of the structure level.
 SENTENCES, EXCERPT = 3, 240
 
@@ -94,22 +97,15 @@ def overheads(timings: DataFrame) -> DataFrame:
 def file_pack(files: DataFrame, budget: int) -> DataFrame:
     """(query_id, path, cost, status, shown): files in order under a budget, the first cut if none fits.
 
-    ``files`` has query_id, rank, path, cost and content, a bounded number for each query.
-    A file that does not fit is skipped. Where nothing fits, the first is ``truncated`` to
-    as many words as the budget has; that is no delivery.
+    ``files`` has query_id, rank (from 1), path, cost and content, any number for each
+    query. A file that does not fit is skipped. Where nothing fits, the first is
+    ``truncated`` to as many words as the budget has; that is no delivery.
     """
-    walk = F.array_sort(F.collect_list(F.struct("rank", "path", "cost")))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<rank:bigint,path:string,cost:bigint,fits:boolean>>").alias("done"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = acc["used"] + x["cost"] <= budget
-        row = F.struct(x["rank"].cast("long").alias("rank"), x["path"].cast("string").alias("path"), x["cost"].cast("long").alias("cost"), fits.alias("fits"))
-        return F.struct((acc["used"] + F.when(fits, x["cost"]).otherwise(0)).cast("long").alias("used"), F.concat(acc["done"], F.array(row)).alias("done"))
-
-    packed = files.groupBy("query_id").agg(F.aggregate(walk, start, step, lambda acc: acc["done"]).alias("done"))
-    rows = packed.select("query_id", (~F.exists("done", lambda d: d["fits"])).alias("nothing"), F.explode("done").alias("d")).select("query_id", "nothing", "d.*")
-    status = F.when(F.col("fits"), "selected").when(F.col("nothing") & (F.col("rank") == 1), "truncated").otherwise("does_not_fit")
-    joined = rows.withColumn("status", status).join(files.select("query_id", "path", "content"), ["query_id", "path"])
+    taken = greedy(files.select("query_id", F.col("rank").alias("place"), "cost", F.lit(budget).cast("long").alias("budget")))
+    some = stored(taken.groupBy("query_id").agg(F.max("fits").alias("some")), "packs-with-files")
+    joined = files.join(taken.withColumnRenamed("place", "rank"), ["query_id", "rank"]).join(size_checked(some, 24), "query_id")
+    status = F.when(F.col("fits"), "selected").when(~F.col("some") & (F.col("rank") == 1), "truncated").otherwise("does_not_fit")
+    joined = joined.withColumn("status", status)
     prefix = F.concat(F.array_join(F.slice(F.split("content", " "), 1, budget), " "), F.lit(" [truncated]"))
     shown = F.when(F.col("status") == "selected", F.col("content")).when(F.col("status") == "truncated", prefix)
     return joined.select("query_id", "path", "cost", "status", shown.alias("shown"))

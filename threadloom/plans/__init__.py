@@ -1,5 +1,5 @@
 """Registered queries and their SQL twins."""
 
-from . import answers, found, registry, runs
+from . import answers, filed, found, registry, runs
 
-__all__ = ["answers", "found", "registry", "runs"]
+__all__ = ["answers", "filed", "found", "registry", "runs"]

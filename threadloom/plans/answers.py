@@ -233,7 +233,7 @@ _FILE_BUDGET = 250
 @registered(
     rf"""
     with recursive d as (select source as query_id, cast(doc_id as varchar) as path, cast({_TOKENS.format("text")} as bigint) as cost, text, row_number() over (partition by source order by n_chars desc, doc_id) as r from documents),
-    f as (select * from d where r <= 24),
+    f as (select * from d),
     walk as (
       select query_id, r, path, cost, text, cost <= {_FILE_BUDGET} as fits, case when cost <= {_FILE_BUDGET} then cost else 0 end as used from f where r = 1
       union all select f.query_id, f.r, f.path, f.cost, f.text, w.used + f.cost <= {_FILE_BUDGET}, w.used + case when w.used + f.cost <= {_FILE_BUDGET} then f.cost else 0 end
@@ -243,7 +243,7 @@ _FILE_BUDGET = 250
 )
 def file_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = W.partitionBy("source").orderBy(F.col("n_chars").desc(), "doc_id")
-    ranked = _table(spark, sf_dir, "documents").withColumn("rank", F.row_number().over(order).cast("long")).filter("rank <= 24")
+    ranked = _table(spark, sf_dir, "documents").withColumn("rank", F.row_number().over(order).cast("long"))
     files = ranked.select(F.col("source").alias("query_id"), "rank", F.col("doc_id").cast("string").alias("path"), token_count(F.col("text")).alias("cost"), F.col("text").alias("content"))
     return projection.file_pack(files, _FILE_BUDGET)
 
