@@ -27,6 +27,15 @@ def term_grader(answers: DataFrame, facts: DataFrame) -> DataFrame:
     return facts_met.groupBy("answer_id").agg(F.count_if("met").alias("facts_met"), F.count(F.lit(1)).alias("facts"), F.round(100.0 * F.avg(F.col("met").cast("int")), 2).alias("coverage"))
 
 
+def _lined(answers: DataFrame, headings: Sequence[str]) -> DataFrame:
+    """(fixture, answer_id, no, line, own): the lines of answers; ``own`` is the heading that a line is, or null."""
+    plain = lambda c: F.trim(F.regexp_replace(F.upper(c), "[^A-Z0-9 ]", ""))
+    bare = F.regexp_replace("line", r"^[ #>*_`:\-]+|[ #>*_`:\-]+$", "")
+    names = F.create_map(*[x for h in headings for x in (plain(F.lit(h)), F.lit(h))])
+    lines = answers.select("fixture", "answer_id", F.posexplode(F.split("text", r"\r\n|[\n\r]")).alias("no", "line"))
+    return lines.withColumn("own", F.try_element_at(names, plain(bare)))
+
+
 def headed_sections(answers: DataFrame, headings: Sequence[str]) -> DataFrame:
     """(fixture, answer_id, sections, whole): stems of each headed section, and of the whole answer where it has no heading.
 
@@ -34,11 +43,7 @@ def headed_sections(answers: DataFrame, headings: Sequence[str]) -> DataFrame:
     written in; what stands below it, down to the next one, is its section, and what stands
     above the first belongs to none. Sections under one heading are read as one.
     """
-    plain = lambda c: F.trim(F.regexp_replace(F.upper(c), "[^A-Z0-9 ]", ""))
-    bare = F.regexp_replace("line", r"^[ #>*_`:\\-]+|[ #>*_`:\\-]+$", "")
-    names = F.create_map(*[x for h in headings for x in (plain(F.lit(h)), F.lit(h))])
-    lines = answers.select("fixture", "answer_id", F.posexplode(F.split("text", r"\r\n|[\n\r]")).alias("no", "line"))
-    headed = lines.withColumn("own", F.try_element_at(names, plain(bare)))
+    headed = _lined(answers, headings)
     above = W.partitionBy("fixture", "answer_id").orderBy("no").rowsBetween(W.unboundedPreceding, 0)
     placed = headed.withColumn("section", F.last("own", ignorenulls=True).over(above)).filter("section is not null and own is null")
     listed = placed.groupBy("fixture", "answer_id", "section").agg(F.array_sort(F.collect_list(F.struct("no", "line"))).alias("lines"))
@@ -135,6 +140,119 @@ def fact_windows(answers: DataFrame, slots: DataFrame, n_slots: int, most: int =
     return best.select("answer_id", "fact_id", "best.low", "best.high")
 
 
+#: Words by which a passage tells of what was, or of what may come.
+STALE_WORDS = r"(?i)\b(?:superseded|replaced|obsolete|historical|formerly|old proposal|previous proposal|no longer current|not current)\b"
+FUTURE_WORDS = r"(?i)\b(?:may|might|could|possibly|perhaps|proposed|proposal|consider|eventually|someday|in the future|one day)\b"
+#: Words of a window at most, words around it that are read for its polarity, and words between a claim's parts.
+WINDOW, AROUND, SPAN = 32, 16, 14
+UNHEADED = "UNSPECIFIED"
+
+
+def headed_chunks(answers: DataFrame, headings: Sequence[str]) -> DataFrame:
+    """(fixture, answer_id, chunk, section, tokens): the lines of answers as stems, each with the heading above it.
+
+    Headings are no chunks, nor are blank lines; marks of lists are left out. An answer of
+    nothing but headings is one chunk.
+    """
+    lines = _lined(answers, headings)
+    above = W.partitionBy("fixture", "answer_id").orderBy("no").rowsBetween(W.unboundedPreceding, 0)
+    text = F.trim(F.regexp_replace("line", r"^\s*[-*+]\s*", ""))
+    placed = lines.withColumn("section", F.coalesce(F.last("own", ignorenulls=True).over(above), F.lit(UNHEADED))).withColumn("text", text)
+    said = placed.filter("own is null and text <> ''").select("fixture", "answer_id", F.col("no").alias("chunk"), "section", light_stems(F.col("text")).alias("tokens"))
+    bare = answers.filter(F.trim("text") != "").join(said.select("fixture", "answer_id").distinct(), ["fixture", "answer_id"], "left_anti")
+    return said.unionByName(bare.select("fixture", "answer_id", F.lit(0).alias("chunk"), F.lit(UNHEADED).alias("section"), light_stems(F.col("text")).alias("tokens")))
+
+
+def _has_phrase(text: str, phrases: str) -> Column:
+    """Whether one of the phrases, lists of stems joined by spaces, stands in a text of stems, word by word."""
+    return F.exists(phrases, lambda p: (p != "") & F.contains(F.concat(F.lit(" "), F.col(text), F.lit(" ")), F.concat(F.lit(" "), p, F.lit(" "))))
+
+
+def window_grader(answers: DataFrame, facts: DataFrame, headings: Sequence[str], ended: str, stale: str = STALE_WORDS, future: str = FUTURE_WORDS) -> DataFrame:
+    """(answer_id, fact_id, critical, status, section): facts that an answer states, near together and as they are meant.
+
+    ``facts`` has fixture, fact_id, critical, kind, slots (each a list of options), negations
+    and contradictions (phrases). In each line the narrowest window of at most WINDOW words
+    that has an option of every slot is looked for, the first of equal ones; a word more or
+    less on either side, AROUND of them, tells how it is meant. A match is ``negated`` by a
+    negation; ``stale`` where a current fact, design or next step stands under the heading
+    ``ended`` or beside a word of ``stale``; ``future`` where a current fact or design stands
+    beside a word of ``future``; ``contradicted`` by a contradiction. A fact is ``present``
+    if one line states it, else it is what its first match is, or ``absent``.
+
+    Only places of words that a fact asks for are kept. At each of them a frame of the next
+    WINDOW words tells where the first option of every slot is complete, so no window is
+    tried that starts with another word, and frames are bounded however long a line is.
+    """
+    stems = lambda option: F.array_distinct(light_stems(option))
+    slots = F.transform("slots", lambda s: F.filter(F.transform(s, stems), lambda o: F.size(o) > 0))
+    gold = facts.select("fixture", "fact_id", "critical", "kind", slots.alias("slots"), _stem_phrases("negations").alias("negations"), _stem_phrases("contradictions").alias("contradictions"))
+    gold = stored(gold, "window-facts")
+    chunks = stored(headed_chunks(answers, headings), "chunks")
+    asked = stored(gold.select("fixture", "fact_id", F.explode(F.array_distinct(F.flatten(F.flatten("slots")))).alias("token")), "window-tokens")
+    places = chunks.select("fixture", "answer_id", "chunk", F.posexplode("tokens").alias("at", "token")).join(size_checked(asked, 40, ["token"]), ["fixture", "token"])
+    ahead = W.partitionBy("fixture", "answer_id", "chunk", "fact_id").orderBy("at").rangeBetween(0, WINDOW - 1)
+    framed = places.withColumn("frame", F.collect_list(F.struct("at", "token")).over(ahead))
+    told = gold.withColumn("t", F.to_json(F.struct("slots", "negations", "contradictions")))
+    framed = framed.join(size_checked(stored(told, "told-facts"), 64, ["t"]).drop("t"), ["fixture", "fact_id"])
+
+    def first(token: Column) -> Column:
+        return F.array_min(F.transform(F.filter("frame", lambda x: x["token"] == token), lambda x: x["at"]))
+
+    def complete(option: Column) -> Column:
+        return F.when(F.forall(option, lambda t: first(t).isNotNull()), F.array_max(F.transform(option, first)))
+
+    ends = F.transform("slots", lambda options: F.array_min(F.transform(options, complete)))
+    framed = framed.withColumn("ends", ends).filter((F.size("slots") > 0) & F.forall("ends", lambda e: e.isNotNull()))
+    best = framed.groupBy("fixture", "answer_id", "chunk", "fact_id").agg(F.min(F.struct((F.array_max("ends") - F.col("at")).alias("width"), F.col("at").alias("low"))).alias("best"))
+    low, high = F.col("best.low"), F.col("best.low") + F.col("best.width") + 1
+    start = F.greatest(low - AROUND, F.lit(0))
+    local = F.array_join(F.slice("tokens", start + 1, high + AROUND - start), " ")
+    met = best.join(chunks, ["fixture", "answer_id", "chunk"]).withColumn("local", local).join(gold, ["fixture", "fact_id"])
+    lasting = F.col("kind").isin("current", "current_design", "next_step")
+    status = (
+        F.when(_has_phrase("local", "negations"), "negated")
+        .when(lasting & ((F.col("section") == ended) | F.col("local").rlike(stale)), "stale")
+        .when(F.col("kind").isin("current", "current_design") & F.col("local").rlike(future), "future")
+        .when(_has_phrase("local", "contradictions"), "contradicted")
+        .otherwise("present")
+    )
+    order = F.struct(F.col("status") != "present", F.col("chunk"))
+    judged = met.withColumn("status", status).groupBy("fixture", "answer_id", "fact_id").agg(F.min_by(F.struct("status", "section"), order).alias("j"))
+    every = answers.select("fixture", "answer_id").join(size_checked(gold.select("fixture", "fact_id", "critical"), 32), "fixture")
+    found = every.join(judged, ["fixture", "answer_id", "fact_id"], "left")
+    return found.select("answer_id", "fact_id", "critical", F.coalesce("j.status", F.lit("absent")).alias("status"), F.col("j.section").alias("section"))
+
+
+def near_claims(answers: DataFrame, rules: DataFrame, headings: Sequence[str], span: int = SPAN) -> DataFrame:
+    """(answer_id, item_id): outdated propositions that a line of an answer makes as if they held.
+
+    ``rules`` has fixture, item_id, anchors, claims and negated, all phrases. A line makes a
+    claim if an anchor and a claim stand in it within ``span`` words from the start of the
+    one to the end of the other, and none of ``negated`` stands between: the first such pair
+    counts for each anchor and claim.
+    """
+    pairs = rules.select("fixture", "item_id", _stem_phrases("negated").alias("negated"), F.explode("anchors").alias("anchor"), "claims")
+    pairs = pairs.select("fixture", "item_id", "negated", "anchor", F.explode("claims").alias("claim"))
+    pairs = pairs.select("fixture", "item_id", "negated", light_stems(F.col("anchor")).alias("anchor"), light_stems(F.col("claim")).alias("claim")).filter("size(anchor) > 0 and size(claim) > 0")
+    gold = stored(pairs.withColumn("t", F.to_json(F.struct("anchor", "claim", "negated"))), "near-rules")
+    chunks = headed_chunks(answers, headings).withColumn("said", F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" ")))
+    met = chunks.join(size_checked(gold, 48, ["t"]), "fixture")
+    holds = lambda phrase: F.contains("said", F.concat(F.lit(" "), F.array_join(phrase, " "), F.lit(" ")))
+    met = met.filter(holds("anchor") & holds("claim"))
+    at = lambda phrase: F.filter(F.sequence(F.lit(0), F.greatest(F.size("tokens") - F.size(phrase), F.lit(0))), lambda i: F.slice("tokens", i + 1, F.size(phrase)) == F.col(phrase))
+    met = met.withColumns({"left": at("anchor"), "right": at("claim")})
+
+    def near(i: Column) -> Column:
+        ends = F.transform("right", lambda j: F.struct(F.least(i, j).alias("low"), F.greatest(i + F.size("anchor"), j + F.size("claim")).alias("high")))
+        return F.filter(ends, lambda e: e["high"] - e["low"] <= span)
+
+    first = F.get(F.filter(F.transform("left", near), lambda x: F.size(x) > 0), F.lit(0))[0]
+    met = met.withColumn("first", first).filter("first is not null")
+    met = met.withColumn("between", F.array_join(F.slice("tokens", F.col("first.low") + 1, F.col("first.high") - F.col("first.low")), " "))
+    return met.filter(~_has_phrase("between", "negated")).select("answer_id", "item_id").distinct()
+
+
 def inconsistent(grades: DataFrame, reported: DataFrame) -> DataFrame:
     """(answer_id, reason): answers whose reported counts are not those of their grades.
 

@@ -100,6 +100,63 @@ def section_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grading.section_verdicts(grading.section_grader(answers, facts, HEADINGS), grading.stale_claims_made(answers, stale, HEADINGS), 20.0)
 
 
+#: Words of the tables' invented prose that stand for what was and for what may come.
+_STALE, _FUTURE = r"(?i)\b(?:ou|der|erth)\b", r"(?i)\b(?:sch|with|la)\b"
+_STEMS = "list_transform(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: " + _STEM + ")"
+_WINDOWS = (
+    _GOLD
+    + rf""", parts as (
+      select conv_id % {FIXTURES} as fixture, conv_id as answer_id, case when conv_id % 7 = 6 then 'UNSPECIFIED' when role = 'user' then 'User' when role = 'assistant' then 'Assistant' else 'System notes' end as section, turn, string_split(text, chr(10)) as ls from conversations
+    ), lines as (select fixture, answer_id, section, turn, generate_subscripts(ls, 1) as i, trim(regexp_replace(unnest(ls), '^\s*[-*+]\s*', '')) as text from parts),
+    ch as (select fixture, answer_id, section, turn * 100000 + i as chunk, {_STEMS.format("text")} as toks from lines where text <> ''),
+    fa as (
+      select fixture, item_id as fact_id, item_id % 4 = 0 as critical, ['current', 'current_design', 'next_step', 'superseded'][item_id % 4 + 1] as kind,
+        list_transform(list_slice(w, 1, 1), lambda w: {_STEM}) as a1, list_transform(list_slice(w, 3, 3), lambda w: {_STEM}) as a2, list_distinct(list_transform(list_slice(w, 2, 4), lambda w: {_STEM})) as b1, list_transform(list_slice(w, 5, 5), lambda w: {_STEM}) as b2,
+        list_transform(list_slice(w, 6, 6), lambda w: {_STEM}) as neg, list_transform(list_slice(w, 7, 8), lambda w: {_STEM}) as con from gold
+    ), c as (select ch.*, fa.* exclude (fixture), generate_subscripts(toks, 1) as s from ch join fa using (fixture)),
+    fr as (select * exclude (toks), toks[s : s + 31] as f, toks from c where list_contains(a1, toks[s]) or list_contains(a2, toks[s]) or list_contains(b1, toks[s]) or list_contains(b2, toks[s])),
+    e as (
+      select *, case when len(list_filter(b1, lambda t: not list_contains(f, t))) = 0 then list_max(list_transform(b1, lambda t: list_position(f, t))) end as eb1,
+        list_position(f, a1[1]) as ea1, list_position(f, a2[1]) as ea2, list_position(f, b2[1]) as eb2 from fr
+    ), w as (
+      select *, greatest(coalesce(least(ea1, ea2), ea1, ea2), coalesce(least(eb1, eb2), eb1, eb2)) as width, coalesce(ea1, ea2) is not null and coalesce(eb1, eb2) is not null as met from e
+    ), best as (select * from w where met qualify row_number() over (partition by answer_id, chunk, fact_id order by width, s) = 1),
+    loc as (select *, ' ' || array_to_string(toks[greatest(1, s - 16) : s + width - 1 + 16], ' ') || ' ' as local from best),
+    j as (
+      select answer_id, fact_id, chunk, section, case when contains(local, ' ' || neg[1] || ' ') then 'negated'
+        when kind <> 'superseded' and (section = 'System notes' or regexp_matches(local, '\b(ou|der|erth)\b')) then 'stale' when kind in ('current', 'current_design') and regexp_matches(local, '\b(sch|with|la)\b') then 'future'
+        when contains(local, ' ' || array_to_string(con, ' ') || ' ') then 'contradicted' else 'present' end as status from loc
+    ), one as (select * from j qualify row_number() over (partition by answer_id, fact_id order by status <> 'present', chunk) = 1),
+    graded as (select a.answer_id, fa.fact_id, critical, coalesce(status, 'absent') as status, section from (select distinct fixture, answer_id from parts) a join fa using (fixture) left join one on one.answer_id = a.answer_id and one.fact_id = fa.fact_id)
+    """
+)
+
+
+@registered(_WINDOWS + "select * from graded")
+def window_grader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers = _headed_answers(spark, sf_dir)[0]
+    gold, item = _answers(spark, sf_dir)[1], F.col("item_id")
+    phrase = lambda low, n: F.array_join(F.slice("w", low, n), " ")
+    slots = F.array(F.array(phrase(1, 1), phrase(3, 1)), F.array(phrase(2, 3), phrase(5, 1)))
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("current", "current_design", "next_step", "superseded")]), (item % 4 + 1).cast("int"))
+    facts = gold.select("fixture", item.alias("fact_id"), (item % 4 == 0).alias("critical"), kind.alias("kind"), slots.alias("slots"), F.array(phrase(6, 1)).alias("negations"), F.array(phrase(7, 2)).alias("contradictions"))
+    return grading.window_grader(answers, facts, HEADINGS, "System notes", _STALE, _FUTURE)
+
+
+@registered(
+    _WINDOWS
+    + r""", pr as (select fixture, item_id, w[1:1] as a, unnest([w[3:3], w[2:2]]) as c, w[5] as n from gold),
+    m as (select ch.answer_id, ch.chunk, toks, item_id, a, c, n, list_filter(range(1, len(toks) + 1), lambda i: toks[i] = a[1]) as l, list_filter(range(1, len(toks) + 1), lambda i: toks[i] = c[1]) as r from ch join pr using (fixture) where list_contains(toks, a[1]) and list_contains(toks, c[1])),
+    p as (select *, list_filter(flatten(list_transform(l, lambda i: list_transform(r, lambda k: [least(i, k), greatest(i, k)]))), lambda x: x[2] - x[1] + 1 <= 14)[1] as first from m)
+    select distinct answer_id, item_id from p where first is not null and not list_contains(toks[first[1] : first[2]], n)"""
+)
+def near_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers = _headed_answers(spark, sf_dir)[0]
+    word = lambda i: F.slice("w", i, 1)
+    rules = _answers(spark, sf_dir)[1].select("fixture", "item_id", word(1).alias("anchors"), F.concat(word(3), word(2)).alias("claims"), word(5).alias("negated"))
+    return grading.near_claims(answers, rules, HEADINGS)
+
+
 @registered(
     _GOLD
     + rf""", slots as (select fixture, item_id as slot_id, list_transform(list_slice(w, 1, 3), lambda w: {_STEM}) as options from gold),
