@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,27 +22,76 @@ def overview(traces: DataFrame) -> DataFrame:
     )
 
 
-def percentiles(traces: DataFrame, bins: int = 4096) -> DataFrame:
-    """Nearest-rank P50 and P95 of each operation, and how many latencies are known and missing.
+def at_ranks(rows: DataFrame, ranks: Mapping[str, Callable[[Column], Column]], bins: int = 4096) -> DataFrame:
+    """(key, n, missing, and a column for each rank): the values at these places of each key's known values in order.
 
-    Counts of equal bins tell which bin holds each rank; only the distinct values of those
-    bins are ordered, so no task sees all latencies of a frequent operation.
+    ``rows`` has key and value; a rank is a function of the number of known values. Counts
+    of equal bins tell which bin holds each rank; only the distinct values of those bins are
+    ordered, so no task sees all values of a frequent key.
     """
-    ranges = traces.groupBy("operation").agg(F.min("latency").alias("low"), F.max("latency").alias("high"), F.count("latency").alias("n"), (F.count(F.lit(1)) - F.count("latency")).alias("missing"))
+    rows = rows.select("key", F.col("value").cast("double").alias("value"))
+    ranges = rows.groupBy("key").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("value").alias("n"), (F.count(F.lit(1)) - F.count("value")).alias("missing"))
     ranges = stored(ranges, "ranges")
-    placed = traces.filter("latency is not null").join(size_checked(ranges.drop("missing"), 48, ["operation"]), "operation")
+    placed = rows.filter("value is not null").join(size_checked(ranges.drop("missing"), 48, ["key"]), "key")
     width = F.nullif(F.col("high") - F.col("low"), F.lit(0.0))
-    placed = placed.select("operation", "latency", "n", F.coalesce(F.least(F.lit(bins - 1), F.floor((F.col("latency") - F.col("low")) * bins / width)), F.lit(0)).alias("bin"))
-    counts = stored(placed.groupBy("operation", "bin", "n").agg(F.count(F.lit(1)).alias("size")), "bin-counts")
-    upto = F.sum("size").over(W.partitionBy("operation").orderBy("bin"))
-    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(p).alias("p")) for name, p in (("p50", 0.5), ("p95", 0.95))]))
-    held = counts.withColumn("upto", upto).select("*", asked.alias("q")).withColumn("rank", F.ceil(F.col("n") * F.col("q.p")))
+    placed = placed.select("key", "value", "n", F.coalesce(F.least(F.lit(bins - 1), F.floor((F.col("value") - F.col("low")) * bins / width)), F.lit(0)).alias("bin"))
+    counts = stored(placed.groupBy("key", "bin", "n").agg(F.count(F.lit(1)).alias("size")), "bin-counts")
+    upto = F.sum("size").over(W.partitionBy("key").orderBy("bin"))
+    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), rank(F.col("n")).cast("long").alias("rank")) for name, rank in ranks.items()]))
+    held = counts.withColumn("upto", upto).select("*", asked.alias("q")).withColumn("rank", F.col("q.rank"))
     held = held.filter((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("size") < F.col("rank")))
-    held = stored(held.select("operation", "bin", F.col("q.name").alias("name"), (F.col("rank") - F.col("upto") + F.col("size")).alias("rank")), "rank-bins")
-    values = placed.join(size_checked(held, 48, ["operation"]), ["operation", "bin"]).groupBy("operation", "name", "rank", "latency").agg(F.count(F.lit(1)).alias("times"))
-    within = values.withColumn("upto", F.sum("times").over(W.partitionBy("operation", "name").orderBy("latency"))).filter(F.col("upto") >= F.col("rank"))
-    found = within.groupBy("operation").agg(*[F.min(F.when(F.col("name") == name, F.col("latency"))).alias(name) for name in ("p50", "p95")])
-    return ranges.select("operation", "n", "missing").join(found, "operation", "left").select("operation", "p50", "p95", "n", "missing")
+    held = stored(held.select("key", "bin", F.col("q.name").alias("name"), (F.col("rank") - F.col("upto") + F.col("size")).alias("rank")), "rank-bins")
+    values = placed.join(size_checked(held, 48, ["key"]), ["key", "bin"]).groupBy("key", "name", "rank", "value").agg(F.count(F.lit(1)).alias("times"))
+    within = values.withColumn("upto", F.sum("times").over(W.partitionBy("key", "name").orderBy("value"))).filter(F.col("upto") >= F.col("rank"))
+    found = within.groupBy("key").agg(*[F.min(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in ranks])
+    return ranges.select("key", "n", "missing").join(found, "key", "left").select("key", "n", "missing", *ranks)
+
+
+def percentiles(traces: DataFrame, bins: int = 4096) -> DataFrame:
+    """Nearest-rank P50 and P95 of each operation, and how many latencies are known and missing."""
+    ranks = {"p50": lambda n: F.ceil(n * 0.5), "p95": lambda n: F.ceil(n * 0.95)}
+    found = at_ranks(traces.select(F.col("operation").alias("key"), F.col("latency").alias("value")), ranks, bins)
+    return found.select(F.col("key").alias("operation"), "p50", "p95", "n", "missing")
+
+
+def cohort_report(runs: DataFrame) -> DataFrame:
+    """A row for each mode, for each mode's clean and other pairs, and for each mode and task.
+
+    ``runs`` has task, mode, success, disrupted, comparable, seconds, observed_files,
+    repeated_reads and context_tokens. A task is a clean pair if two modes have one
+    comparable run each, all successful and none disrupted. Unknown seconds stay unknown:
+    the mean and the median are those of known ones. Files of unsuccessful runs are told
+    apart. The result has level (mode, pairs or task), mode, clean, task, and the figures.
+    """
+    good = F.col("success") & ~F.coalesce("disrupted", F.lit(False)) & F.coalesce("comparable", F.lit(False))
+    pairs = runs.groupBy("task").agg((F.count_distinct("mode") == 2).alias("both"), (F.count(F.lit(1)) == 2).alias("two"), F.min(F.coalesce(good, F.lit(False))).alias("good"))
+    pairs = stored(pairs.select("task", (F.col("both") & F.col("two") & F.col("good")).alias("clean")), "pairs")
+    rows = stored(runs.join(size_checked(pairs, 32), "task"), "cohort-rows")
+    level = F.expr("case grouping_id() when 3 then 'mode' when 1 then 'pairs' else 'task' end")
+    sets = [[F.col("mode")], [F.col("mode"), F.col("clean")], [F.col("mode"), F.col("task")]]
+    known = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    figures = rows.groupingSets(sets, F.col("mode"), F.col("clean"), F.col("task")).agg(
+        level.alias("level"),
+        F.count(F.lit(1)).alias("runs"),
+        F.count_if("success").alias("successes"),
+        F.count_if(F.coalesce("disrupted", F.lit(False))).alias("disrupted_runs"),
+        F.round(F.avg("seconds"), 6).alias("mean_seconds"),
+        known(F.when(F.col("success"), F.col("observed_files"))).alias("observed_files_successful"),
+        known("observed_files").alias("observed_files"),
+        known("repeated_reads").alias("repeated_reads"),
+        known("context_tokens").alias("context_tokens"),
+    )
+    none = F.lit(None)
+    named = [
+        F.struct(F.lit("mode").alias("level"), "mode", none.cast("boolean").alias("clean"), none.cast(rows.schema["task"].dataType).alias("task")),
+        F.struct(F.lit("pairs").alias("level"), "mode", "clean", none.cast(rows.schema["task"].dataType).alias("task")),
+        F.struct(F.lit("task").alias("level"), "mode", none.cast("boolean").alias("clean"), "task"),
+    ]
+    keyed = rows.select(F.explode(F.array(*[F.to_json(k) for k in named])).alias("key"), F.col("seconds").alias("value"))
+    middle = at_ranks(keyed, {"low": lambda n: F.floor((n + 1) / 2), "high": lambda n: F.ceil((n + 1) / 2)})
+    medians = middle.select("key", F.round((F.col("low") + F.col("high")) / 2, 6).alias("median_seconds"))
+    own = figures.withColumn("key", F.to_json(F.struct("level", "mode", "clean", "task")))
+    return own.join(medians, "key", "left").drop("key")
 
 
 def period_change(traces: DataFrame, end: str, days: int) -> DataFrame:

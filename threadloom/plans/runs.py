@@ -179,3 +179,33 @@ def latency_by_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("props").cast("long").alias("bytes"), F.when(F.col("event_id") % 3 == 0, "small").otherwise("large").alias("size"),
     )
     return metrics.by_condition(traces)
+
+
+@registered(
+    """
+    with first as (select * from orders where o_orderstatus in ('F', 'O') and o_custkey % 11 <> 3 qualify row_number() over (partition by o_custkey, o_orderstatus order by o_orderkey) = 1),
+    r as (
+      select o_custkey as task, o_orderstatus as mode, o_orderpriority not like '1%' as success, o_orderpriority like '5%' as disrupted, o_custkey % 13 <> 5 as comparable, case when o_orderkey % 9 <> 2 then o_totalprice end as seconds,
+        o_orderkey % 7 as observed_files, o_orderkey % 3 as repeated_reads, case when o_orderkey % 4 <> 0 then o_orderkey % 1000 end as context_tokens from first
+    ), p as (select task, count(distinct mode) = 2 and count(*) = 2 and bool_and(success and not disrupted and comparable) as clean from r group by 1)
+    select case grouping_id(mode, clean, task) when 3 then 'mode' when 1 then 'pairs' else 'task' end as level, mode, clean, task, count(*) as runs, count(*) filter (where success) as successes, count(*) filter (where disrupted) as disrupted_runs,
+      round(avg(seconds), 6) as mean_seconds, round(median(seconds), 6) as median_seconds, cast(coalesce(sum(observed_files) filter (where success), 0) as bigint) as observed_files_successful, cast(coalesce(sum(observed_files), 0) as bigint) as observed_files,
+      cast(coalesce(sum(repeated_reads), 0) as bigint) as repeated_reads, cast(coalesce(sum(context_tokens), 0) as bigint) as context_tokens
+    from r join p using (task) group by grouping sets ((mode), (mode, clean), (mode, task))"""
+)
+def cohort_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders").filter("o_orderstatus in ('F', 'O') and o_custkey % 11 <> 3")
+    keys = orders.groupBy("o_custkey", "o_orderstatus").agg(F.min("o_orderkey").alias("o_orderkey"))
+    first, key = orders.join(keys, ["o_custkey", "o_orderstatus", "o_orderkey"], "left_semi"), F.col("o_orderkey")
+    runs = first.select(
+        F.col("o_custkey").alias("task"),
+        F.col("o_orderstatus").alias("mode"),
+        (~F.col("o_orderpriority").like("1%")).alias("success"),
+        F.col("o_orderpriority").like("5%").alias("disrupted"),
+        (F.col("o_custkey") % 13 != 5).alias("comparable"),
+        F.when(key % 9 != 2, F.col("o_totalprice")).alias("seconds"),
+        (key % 7).alias("observed_files"),
+        (key % 3).alias("repeated_reads"),
+        F.when(key % 4 != 0, key % 1000).alias("context_tokens"),
+    )
+    return metrics.cohort_report(runs)
