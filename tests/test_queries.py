@@ -9,7 +9,7 @@ from .compare import rows_of, twin_rows
 FOLDER = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_query_equals_its_twin(spark, name):
     found = registry.QUERIES[name](spark, FOLDER)
     columns, expected = twin_rows(registry.SQL[name], FOLDER)
