@@ -1,5 +1,5 @@
 """Registered queries and their SQL twins."""
 
-from . import answers, filed, found, registry, runs, scanned
+from . import answers, filed, found, marked, registry, runs, scanned
 
-__all__ = ["answers", "filed", "found", "registry", "runs", "scanned"]
+__all__ = ["answers", "filed", "found", "marked", "registry", "runs", "scanned"]
