@@ -1,14 +1,15 @@
 """Passages of several lines between unlike neighbours, against windows of lines in plain Python."""
 
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from threadloom.llm import line_chunks
 
-from . import cases
-from .test_duplicates import AWKWARD, plain_removal
+from .plain_lines import plain_passages
 
 
 def plain_runs(docs, most=50):
@@ -48,32 +49,30 @@ def planted(seed):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_passages_of_few_lines_are_found(spark, seed):
     docs = planted(seed)
-    rows = line_chunks.remove_shared_runs(spark.createDataFrame(docs, "doc_id long, text string")).collect()
-    assert {r.doc_id: r.runs.text for r in rows} == plain_runs(docs)
-    cleaned = line_chunks.without_repeated(spark.createDataFrame(docs, "doc_id long, text string")).collect()
-    left = " ".join(r.text for r in cleaned).split()
+    cleaned = {r.doc_id: r.text for r in line_chunks.without_repeated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert cleaned == {key[0]: row[0] for key, row in plain_passages(docs).items()}
+    runs = plain_runs(docs)
+    assert all(set(text.split("\n")) <= set(runs[i].split("\n")) for i, text in cleaned.items())
+    left = " ".join(cleaned.values()).split()
     assert len(set(left)) == len(set(" ".join(t for _, t in docs).split()))
     # The passage is gone whole from the second document, between neighbours that stay.
-    assert {r.doc_id: r.text for r in cleaned}[1].count("\n") == 2
+    assert cleaned[1].count("\n") == 2
 
 
-def test_runs_of_real_texts(spark, small):
-    docs = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
-    rows = line_chunks.remove_shared_runs(spark.createDataFrame(docs, "doc_id long, text string")).collect()
-    assert {r.doc_id: r.runs.text for r in rows} == plain_runs(docs)
-
-
-def test_the_stage_does_both(spark, small):
+def test_every_shared_run_is_gone(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    plain = plain_runs([tuple(r) for r in docs.select("doc_id", "text").collect()])
-    expected = {int(i): t for i, t, _ in plain_removal(list(plain.items()))}
+    plain = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     found = dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, small)
-    assert {r.doc_id: r.text for r in found.collect()} == expected and found.columns == docs.columns
-
-
-def test_runs_of_awkward_rows(spark):
-    rows = line_chunks.remove_shared_runs(cases.docs(spark, AWKWARD)).collect()
-    assert len(rows) == len(AWKWARD)
-    assert [r.runs.text for r in rows if r.doc_id == 1] == [None]
-    assert [r.runs.text for r in rows if r.doc_id == 20] == ["\n\n\n"]
-    assert line_chunks.remove_shared_runs(cases.empty(spark)).collect() == []
+    text = {r.doc_id: r.text for r in found.collect()}
+    assert text == {key[0]: row[0] for key, row in plain_passages(plain).items()} and found.columns == docs.columns
+    runs = plain_runs([(i, t) for i, t in plain if t is not None])
+    assert all(not Counter((text[i] or "").split("\n")) - Counter(t.split("\n")) for i, t in runs.items())
+
+
+def test_bytes_decide(spark, monkeypatch):
+    """Places that are taken for equal by their digests stay where their bytes differ."""
+    docs = planted(3)
+    monkeypatch.setattr(line_chunks, "_identity", lambda digests: F.unhex(F.md5(F.size(digests).cast("string").cast("binary"))))
+    cleaned = {r.doc_id: r.text for r in line_chunks.without_repeated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    left = " ".join(cleaned.values()).split()
+    assert len(set(left)) == len(set(" ".join(t for _, t in docs).split()))

@@ -1,13 +1,15 @@
 """Removal of repeated passages by content-defined chunks of lines.
 
-A document's lines are cut where a hash rolled over the hashes of three neighbouring lines
-ends in certain bits, so an insertion shifts boundaries only near itself. Chunks of several
-lines that stand in the corpus more than once are removed but for the first, after their
-bytes have been compared.
-
-Boundaries seldom fall on both ends of a short passage, so ``remove_shared_runs`` finds
-passages of over fifty words whole, by windows of lines: a run of lines, or one line. The
-registered query and the pipeline's stage do both, runs first.
+Lines with words form pairs of neighbours, and pairs that stand in the corpus more than
+once link their lines to stretches. A stretch is cut where its pairs are met a different
+number of times, as a passage begins or ends there in some document, and between these
+places where a hash rolled over the hashes of the last three lines ends in certain bits,
+so that an insertion shifts boundaries only near itself. Chunks that stand at an earlier
+place too are removed where those beside each other have over fifty words in all.
+
+Passages that overlap in several ways may have ends that are no boundaries. For these an
+exact check follows: least windows of over fifty words, from each line that chunks have
+left. Bytes of chunks and of windows are compared with the earlier place's before any line goes.
 """
 
 from __future__ import annotations
@@ -19,14 +21,15 @@ from pyspark.sql import functions as F
 
 from .common import WORD, beside, let, size_checked, stored
 
-#: One boundary in so many lines, on average, and the lines that the hash is rolled over.
-LINES_PER_CHUNK, ROLLED_LINES = 4, 3
-#: Words above which a run of lines is a passage.
+#: One boundary in so many lines, on average; the lines that the hash is rolled over; the most that a chunk has.
+LINES_PER_CHUNK, ROLLED_LINES, MOST_LINES = 4, 3, 64
+#: Words above which repeated lines are a passage: shorter ones are left alone, as the task at hand asks for.
 PASSAGE_WORDS = 50
 #: What stands for a null id in the order of documents.
 LAST_ID = 2**63 - 1
 
-_BOUNDARY, _INNER = "B", "C"
+_DOC = ["order", "version"]
+_PLACE = [*_DOC, "low", "high"]
 
 
 def _rotated(value: Column, bits: int) -> Column:
@@ -34,43 +37,12 @@ def _rotated(value: Column, bits: int) -> Column:
     return F.shiftleft(value, bits).bitwiseOR(F.shiftright(value, 32 - bits)).bitwiseAND(F.lit(0xFFFFFFFF)) if bits else value
 
 
-def chunks_of(text: Column, lines_per_chunk: int) -> Column:
-    """The chunks of a text that is not null.
-
-    Joined by line feeds, chunks give the text again. Each line after the first gets a
-    mark for joining or cutting, then all are joined and split at the marks for cutting.
-    The rolled hash before a line is a cyclic polynomial over the lines that end there.
-    """
-
-    def described(line: Column) -> Column:
-        return F.struct(line.alias("line"), F.conv(F.left(F.md5(line), F.lit(8)), 16, 10).cast("long").alias("hash"))
-
-    def joined(lines: Column) -> Column:
-        def marked(x: Column, i: Column) -> Column:
-            window = [_rotated(F.coalesce(F.get(lines, i - 1 - j)["hash"], F.lit(0).cast("long")), j) for j in range(ROLLED_LINES)]
-            cut = reduce(lambda a, b: a.bitwiseXOR(b), window) % lines_per_chunk == 0
-            return F.when(i == 0, x["line"]).otherwise(F.concat(F.when(cut, _BOUNDARY).otherwise(_INNER), x["line"]))
-
-        return F.array_join(F.transform(lines, marked), "\n")
-
-    lines = F.transform(F.split(text, "\n", -1), described)
-    parts = F.split(let(lines, joined), "\n" + _BOUNDARY, -1)
-    return F.transform(parts, lambda x: F.replace(x, F.lit("\n" + _INNER), F.lit("\n")))
-
-
 def _left(parts: Column) -> Column:
     """The parts whose numbers are not in the column ``removed``, joined by line feeds."""
     numbers = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("removed"))
     return F.array_join(F.transform(numbers, lambda i: F.get(parts, i)), "\n")
 
 
-def _passages(docs: DataFrame, lines_per_chunk: int) -> DataFrame:
-    """A row (order, version, no, chunk, hash) for each chunk that may be removed."""
-    # The outer form, as the optimiser would compute the chunks again to leave out empty arrays, of which there are none.
-    rows = docs.select("order", "version", F.posexplode_outer(chunks_of(F.coalesce("text", F.lit("")), lines_per_chunk)).alias("no", "chunk"))
-    return rows.filter((F.instr("chunk", "\n") > 0) & F.col("chunk").rlike(WORD)).withColumn("hash", F.xxhash64("chunk"))
-
-
 def _named(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """row, text, and what orders documents: their id, then the MD5 of the text."""
     return docs.select(
@@ -81,46 +53,6 @@ def _named(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     )
 
 
-def remove_repeated_passages(
-    docs: DataFrame,
-    *,
-    text: str = "text",
-    doc_id: str = "doc_id",
-    lines_per_chunk: int = LINES_PER_CHUNK,
-) -> DataFrame:
-    """``docs`` with a struct ``passages``: text and removed (numbers of chunks).
-
-    The first of equal chunks stands in the document of least id, then of least MD5 of
-    its text, then at the least place. What is exchanged: a hash for each passage, and
-    the bytes of repeated ones. Lists of hashes and of removed chunks are broadcast only if
-    measured to be small.
-
-    A null or empty text stays so, with nothing removed. A null id comes after all others.
-    Rows that agree in id and text are one document, and each keeps what the first keeps.
-    An empty table gives no rows. A text may have any length and any number of lines. Other
-    columns pass through; one named ``passages`` is replaced.
-    """
-    named = _named(docs, text, doc_id)
-    passages = _passages(named, lines_per_chunk)
-
-    counted = passages.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("order").alias("first"))
-    repeated = stored(counted.filter("n > 1").select("hash", "first"), "repeated-hashes")
-    met = stored(passages.join(size_checked(repeated, 16), "hash"), "repeated-chunks")
-    at = F.struct("version", "no", "chunk")
-    firsts = met.filter(F.col("order") == F.col("first")).groupBy("hash").agg(F.min(at).alias("kept"))
-    firsts = stored(firsts.select("hash", F.col("kept.version").alias("kept_version"), F.col("kept.no").alias("kept_no"), F.col("kept.chunk").alias("kept_chunk")), "first-chunks")
-    same_place = (F.col("order") == F.col("first")) & (F.col("version") == F.col("kept_version")) & (F.col("no") == F.col("kept_no"))
-    # Bytes of chunks always meet by a shuffle, at any size: copies of frequent chunks are split by adaptive execution.
-    later = met.join(firsts.hint("merge"), "hash").filter((F.col("chunk") == F.col("kept_chunk")) & ~same_place)
-    removed = stored(later.groupBy("order", "version").agg(F.array_sort(F.collect_set("no")).alias("removed")), "removed-chunks", replaces=[repeated, met, firsts])
-
-    measured = removed.select("order", "version", "removed", F.array_join("removed", ",").alias("digits"))
-    table = size_checked(measured, 80, ["digits"]).drop("digits")
-    whole = named.join(table, ["order", "version"], "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
-    text_left = F.when(F.size("removed") > 0, let(chunks_of(F.col("text"), lines_per_chunk), _left)).otherwise(F.col("text"))
-    return whole.select(*beside(docs, "passages"), F.struct(text_left.alias("text"), F.col("removed").alias("removed")).alias("passages"))
-
-
 def _line_pairs(docs: DataFrame, passage_words: int) -> DataFrame:
     """A row (order, version, pair, lines) for each two neighbouring lines with words, and each line that is a passage by itself.
 
@@ -146,21 +78,69 @@ def _line_pairs(docs: DataFrame, passage_words: int) -> DataFrame:
         return F.struct(no.alias("no"), F.unhex(F.sha2(x, 256)).alias("digest"), F.regexp_count(x, F.lit(WORD)).alias("words"))
 
     lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), described), lambda x: x["words"] > 0)
-    # The outer form for the same reason as above.
-    rows = docs.select("order", "version", F.explode_outer(let(lines, paired)).alias("at"))
-    return rows.filter("at is not null").select("order", "version", "at.pair", "at.lines")
+    # The outer form, as the optimiser would compute the pairs again to leave out empty arrays.
+    rows = docs.select(*_DOC, F.explode_outer(let(lines, paired)).alias("at"))
+    return rows.filter("at is not null").select(*_DOC, "at.pair", "at.lines")
+
+
+def _chunked_lines(pairs: DataFrame, repeated: DataFrame, passage_words: int, lines_per_chunk: int) -> DataFrame:
+    """(order, version, stretch, chunk, k, no, digest, words): lines of repeated pairs, in stretches of over ``passage_words`` words.
+
+    ``repeated`` has pair and n. A line is linked to the one before it by their pair's n.
+    """
+
+    def linked(x: Column, i: Column) -> Column:
+        return F.struct(x["k"].alias("k"), F.when(i == 1, F.col("n")).otherwise(0).alias("link"), x["no"].alias("no"), x["digest"].alias("digest"), x["words"].alias("words"))
+
+    met = pairs.join(size_checked(repeated, 16), "pair").select(*_DOC, F.explode(F.transform("lines", linked)).alias("x"))
+    lines = met.groupBy(*_DOC, F.col("x.k").alias("k")).agg(F.max("x").alias("x")).select(*_DOC, "x.*")
+    lines = lines.withColumn("stretch", F.sum((F.col("link") == 0).cast("int")).over(Window.partitionBy(*_DOC).orderBy("k")))
+    lines = lines.withColumn("all_words", F.sum("words").over(Window.partitionBy(*_DOC, "stretch"))).filter(F.col("all_words") > passage_words)
+
+    along = Window.partitionBy(*_DOC, "stretch").orderBy("k")
+    weaker = (F.col("link") < F.lag("link", 1, 0).over(along)) | (F.col("link") < F.lead("link", 1, 0).over(along))
+    lines = lines.withColumn("weaker", weaker.cast("int")).withColumn("segment", F.sum("weaker").over(along))
+    inside = Window.partitionBy(*_DOC, "stretch", "segment").orderBy("k")
+    lines = lines.withColumn("hash", F.conv(F.left(F.hex("digest"), F.lit(8)), 16, 10).cast("long"))
+    rolled = reduce(lambda a, b: a.bitwiseXOR(b), [_rotated(F.lag("hash", j + 1, 0).over(inside), j) for j in range(ROLLED_LINES)])
+    nth = F.row_number().over(inside) - 1
+    lines = lines.withColumn("cut", ((nth % MOST_LINES == 0) | (rolled % lines_per_chunk == 0)).cast("int"))
+    return lines.withColumn("chunk", F.sum("cut").over(along)).select(*_DOC, "stretch", "chunk", "k", "no", "digest", "words")
+
+
+def _identity(digests: Column) -> Column:
+    return F.unhex(F.md5(F.array_join(F.transform(digests, F.hex), "").cast("binary")))
 
 
-def _least_windows(pairs: DataFrame, passage_words: int) -> DataFrame:
-    """(order, version, low, high, id): for each line, the shortest runs of over ``passage_words`` words that begin and that end with it.
+def _later(places: DataFrame, name: str) -> DataFrame:
+    """``places`` (order, version, low, high, id and others) that are not the first of their id, with ``first``."""
+    at = F.struct(*_PLACE)
+    ends = places.groupBy("id").agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    firsts = stored(ends.filter(F.col("first") < F.col("last")).select("id", "first"), name)
+    return places.join(size_checked(firsts, 112), "id").filter(at > F.col("first"))
 
-    Each line of a longer run lies in one of these that the run holds. Every line has a
-    word, so none has more than ``passage_words`` + 1 lines.
+
+def _repeated_chunks(lines: DataFrame, passage_words: int) -> DataFrame:
+    """(order, version, stretch, chunk, low, high, through, first): chunks to go, ``through`` the last line before the next of them."""
+    label = [*_DOC, "stretch", "chunk"]
+    in_order = F.array_sort(F.collect_list(F.struct("k", "digest")))["digest"]
+    chunks = lines.groupBy(*label).agg(F.min("no").alias("low"), F.max("no").alias("high"), F.sum("words").alias("words"), _identity(in_order).alias("id"))
+    later = _later(stored(chunks, "chunks"), "first-chunks")
+    beside_each_other = Window.partitionBy(*_DOC, "stretch", F.col("chunk") - F.col("nth"))
+    later = later.withColumn("nth", F.row_number().over(Window.partitionBy(*_DOC, "stretch").orderBy("chunk")))
+    later = later.withColumn("passage", F.sum("words").over(beside_each_other))
+    through = F.coalesce(F.lead("low").over(beside_each_other.orderBy("chunk")) - 1, "high")
+    return later.withColumn("through", through).filter(F.col("passage") > passage_words).select(*label, "low", "high", "through", "first")
+
+
+def _repeated_windows(lines: DataFrame, passage_words: int) -> DataFrame:
+    """(order, version, low, high, through, first): least windows that repeat and have an ``open`` line.
+
+    For each line these are the shortest runs of over ``passage_words`` words that begin and
+    that end with it; each line of a longer run lies in one of these that the run holds.
+    Every line has a word, so none has more than ``passage_words`` + 1 lines.
     """
-    doc = ["order", "version"]
-    lines = pairs.select(*doc, F.explode("lines").alias("x")).select(*doc, "x.*").dropDuplicates([*doc, "k"])
-    lines = lines.withColumn("run", F.col("k") - F.row_number().over(Window.partitionBy(*doc).orderBy("k")))
-    of_run = Window.partitionBy(*doc, "run")
+    of_run = Window.partitionBy(*_DOC, "stretch")
     lines = lines.withColumn("end", F.sum("words").over(of_run.orderBy("k"))).withColumn("start", F.col("end") - F.col("words"))
 
     def window(frame: Window) -> Column:
@@ -168,66 +148,110 @@ def _least_windows(pairs: DataFrame, passage_words: int) -> DataFrame:
             F.min("no").over(frame).alias("low"),
             F.max("no").over(frame).alias("high"),
             F.sum("words").over(frame).alias("words"),
+            F.max("open").over(frame).alias("open"),
             F.collect_list("digest").over(frame).alias("digests"),
         )
 
     begun, ended = window(of_run.orderBy("start").rangeBetween(0, passage_words)), window(of_run.orderBy("end").rangeBetween(-passage_words, 0))
-    both = lines.select(*doc, F.array(begun, ended).alias("both")).select(*doc, F.explode("both").alias("x")).filter(F.col("x.words") > passage_words)
-    return both.select(*doc, "x.low", "x.high", F.unhex(F.sha2(F.array_join(F.transform("x.digests", F.hex), ""), 256)).alias("id"))
+    both = lines.select(*_DOC, F.array(begun, ended).alias("both")).select(*_DOC, F.explode("both").alias("x")).filter(F.col("x.words") > passage_words)
+    windows = stored(both.select(*_DOC, "x.low", "x.high", "x.open", _identity(F.col("x.digests")).alias("id")), "windows")
+    return _later(windows, "first-windows").filter("open").select(*_PLACE, F.col("high").alias("through"), "first")
+
+
+def _with_equal_bytes(named: DataFrame, places: DataFrame) -> DataFrame:
+    """``places`` whose lines with words are, byte by byte, those of ``first``.
+
+    Bytes are read once for each place; those of first places are broadcast if measured to be small.
+    """
+    wanted = places.select(*_PLACE).union(places.select("first.*")).groupBy(*_DOC).agg(F.collect_set(F.struct("low", "high")).alias("slices"))
+    wanted = stored(wanted.withColumn("digits", F.to_json("slices")), "slices")
+    table = size_checked(wanted, 80, ["digits"]).drop("digits")
+
+    def cut(lines: Column) -> Column:
+        def bytes_of(s: Column) -> Column:
+            kept = F.filter(F.slice(lines, s["low"] + 1, s["high"] - s["low"] + 1), lambda x: x.rlike(WORD))
+            return F.struct(s["low"].alias("low"), s["high"].alias("high"), F.array_join(kept, "\n").alias("bytes"))
 
+        return F.transform("slices", bytes_of)
+
+    met = named.join(table, _DOC).select(*_DOC, F.explode_outer(let(F.split("text", "\n", -1), cut)).alias("x"))
+    # Rows that agree in id and text are one document.
+    read = stored(met.select(*_DOC, "x.*").groupBy(*_PLACE).agg(F.min("bytes").alias("bytes")), "slice-bytes", replaces=[wanted])
+    firsts = stored(read.join(places.select("first.*").distinct(), _PLACE).select(F.struct(*_PLACE).alias("first"), F.col("bytes").alias("first_bytes")), "first-bytes")
+    found = places.join(read, _PLACE).join(size_checked(firsts, 112, ["first_bytes"]), "first").filter(F.col("bytes") == F.col("first_bytes"))
+    return found.select(places.columns)
+
+
+def remove_repeated_passages(
+    docs: DataFrame,
+    *,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    passage_words: int = PASSAGE_WORDS,
+    lines_per_chunk: int = LINES_PER_CHUNK,
+) -> DataFrame:
+    """``docs`` with a struct ``passages``: text, removed (numbers of lines), n_chunks and n_checked.
 
-def remove_shared_runs(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", passage_words: int = PASSAGE_WORDS) -> DataFrame:
-    """``docs`` with a struct ``runs``: text and removed (numbers of lines).
+    ``n_chunks`` is the number of chunks that are gone, ``n_checked`` that of lines that only the
+    check by windows found. The first of equal places stands in the document of least id, then
+    of least MD5 of its text, then at the least line. Lines without words count neither way;
+    those inside a passage go with it. Every run of lines with over ``passage_words`` words that stands
+    at an earlier place too is gone, whatever stands around it.
 
-    Every run of neighbouring lines with over ``passage_words`` words in all that stands at
-    an earlier place too is removed, whatever stands around it. Places are ordered as by
-    ``remove_repeated_passages``. Lines are the same if their bytes have one SHA-256, and
-    lines without words count neither way; those inside a run go with it.
+    What is exchanged: a hash for each pair of lines, digests of the lines of repeated
+    pairs, and the bytes of repeated passages. Lists are broadcast only if measured to be small.
 
-    What is exchanged: a hash for each pair of lines, and digests of the lines of pairs
-    that stand in the corpus more than once. Nulls, repeated rows, long texts and empty
-    tables are taken as by ``remove_repeated_passages``; a column named ``runs`` is replaced.
+    A null or empty text stays so, with nothing removed. A null id comes after all others.
+    Rows that agree in id and text are one document, and each keeps what the first keeps.
+    An empty table gives no rows. A text may have any length and any number of lines. Other
+    columns pass through; one named ``passages`` is replaced.
     """
     named = _named(docs, text, doc_id)
     pairs = _line_pairs(named, passage_words)
-    repeated = stored(pairs.groupBy("pair").count().filter("count > 1").select("pair"), "repeated-pairs")
-    met = pairs.join(size_checked(repeated, 8), "pair")
-    windows = stored(_least_windows(met, passage_words), "windows")
-    at = F.struct("order", "version", "low")
-    firsts = windows.groupBy("id").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter(F.col("first") < F.col("last"))
-    firsts = stored(firsts.select("id", "first"), "first-windows")
-    later = windows.join(size_checked(firsts, 112), "id").filter(at > F.col("first"))
-    gone = later.select("order", "version", F.explode(F.sequence("low", "high")).alias("no"))
-    removed = stored(gone.groupBy("order", "version").agg(F.array_sort(F.collect_set("no")).alias("removed")), "removed-lines", replaces=[repeated, windows, firsts])
-
-    measured = removed.select("order", "version", "removed", F.array_join("removed", ",").alias("digits"))
-    table = size_checked(measured, 80, ["digits"]).drop("digits")
-    whole = named.join(table, ["order", "version"], "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    repeated = stored(pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeated-pairs")
+    lines = stored(_chunked_lines(pairs, repeated, passage_words, lines_per_chunk), "repeated-lines", replaces=[repeated])
+
+    chunks = stored(_repeated_chunks(lines, passage_words), "repeated-chunks")
+    label = [*_DOC, "stretch", "chunk"]
+    still = lines.join(chunks.select(*label, F.lit(False).alias("open")), label, "left").withColumn("open", F.coalesce("open", F.lit(True)))
+    windows = _repeated_windows(still, passage_words)
+    columns = [*_PLACE, "through", "first"]
+    places = stored(chunks.select(*columns, F.lit(True).alias("chunk")).union(windows.select(*columns, F.lit(False).alias("chunk"))), "places", replaces=[lines, chunks])
+
+    equal = _with_equal_bytes(named, places)
+    spans = equal.groupBy(*_DOC).agg(F.collect_set(F.struct("chunk", "low", "through")).alias("spans"))
+
+    def lines_of(spans: Column) -> Column:
+        return F.array_sort(F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["low"], s["through"])))))
+
+    by_chunk = F.filter("spans", lambda s: s["chunk"])
+    of_doc = spans.select(*_DOC, lines_of(F.col("spans")).alias("removed"), F.size(by_chunk).alias("n_chunks"), lines_of(by_chunk).alias("by_chunk"))
+    of_doc = of_doc.select(*_DOC, "removed", "n_chunks", (F.size("removed") - F.size("by_chunk")).alias("n_checked"), F.array_join("removed", ",").alias("digits"))
+    removed = stored(of_doc, "removed-lines", replaces=[places])
 
+    table = size_checked(removed, 88, ["digits"]).drop("digits")
+    whole = named.join(table, _DOC, "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
     text_left = F.when(F.size("removed") > 0, let(F.split("text", "\n", -1), _left)).otherwise(F.col("text"))
-    return whole.select(*beside(docs, "runs"), F.struct(text_left.alias("text"), F.col("removed").alias("removed")).alias("runs"))
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_chunks", "n_checked")]
+    return whole.select(*beside(docs, "passages"), F.struct(text_left.alias("text"), F.col("removed").alias("removed"), *counts).alias("passages"))
 
 
 def without_repeated(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", length: str | None = "n_chars") -> DataFrame:
     """The columns of ``docs``, with repeated passages gone from the text.
 
-    First go the shared runs of lines, then what chunks still repeat. Where there is a
-    column of the text's length, it follows. Odd rows are taken as by
+    Where there is a column of the text's length, it follows. Odd rows are taken as by
     ``remove_repeated_passages``; columns of any name stay as they are.
     """
     spare = docs.select(F.struct("*").alias("all"), F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"))
-    runs = remove_shared_runs(spare).select("all", F.col("runs.text").alias("text"), "doc_id")
-    found = remove_repeated_passages(stored(runs, "without-runs"))
+    found = remove_repeated_passages(spare)
     new = {text: F.col("passages.text"), **({length: F.length("passages.text").cast(docs.schema[length].dataType)} if length in docs.columns else {})}
     return found.select(*[new[c].alias(c) if c in new else F.col("all").getField(c).alias(c) for c in docs.columns])
 
 
 def passages_digest(docs: DataFrame) -> DataFrame:
-    """What is left of each document, and how many lines of runs and chunks are gone."""
-    runs = remove_shared_runs(docs.select("doc_id", "text"))
-    fewer = stored(runs.select("doc_id", F.col("runs.text").alias("text"), F.size("runs.removed").alias("n_removed_lines")), "without-runs")
-    found = remove_repeated_passages(fewer)
-    return found.select("doc_id", "passages.text", F.size("passages.removed").alias("n_removed"), "n_removed_lines")
+    """What is left of each document, how many chunks and lines are gone, and how many lines only the check found."""
+    found = remove_repeated_passages(docs.select("doc_id", "text"))
+    return found.select("doc_id", "passages.text", F.col("passages.n_chunks").alias("n_removed"), F.size("passages.removed").alias("n_removed_lines"), F.col("passages.n_checked").alias("n_checked_lines"))
 
 
 DIGEST_SQL = r"""
@@ -240,45 +264,59 @@ with given as (
 ), worded as (
   select *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as words from every
 ), placed as (
-  select *, sum(words) over (partition by r order by i) as last, sum(words) over (partition by r order by i) - words as first from worded where words > 0
-), windows as (
-  select ord, version, min(i) over w as low, max(i) over w as high, sum(words) over w as n, list(md5(line)) over w as id
-  from placed window w as (partition by r order by first range between current row and 50 following)
-  union all
-  select ord, version, min(i) over w, max(i) over w, sum(words) over w, list(md5(line)) over w
-  from placed window w as (partition by r order by last range between 50 preceding and current row)
-), firsts as (
-  select id, min((ord, version, low)) as place from windows where n > 50 group by id
-), gone_lines as (
-  select distinct ord, version, unnest(generate_series(low, high)) as i from windows join firsts using (id) where n > 50 and (ord, version, low) > place
-), fewer as (
-  select g.r, g.ord, g.doc_id, count(x.i) as n_removed_lines,
-    case when g.text is not null then coalesce(string_agg(e.line, chr(10) order by e.i) filter (where x.i is null), '') end as text
-  from given g join every e using (r) left join gone_lines x on x.ord = g.ord and x.version = g.version and x.i = e.i group by g.r, g.ord, g.doc_id, g.text
-), lines as (
-  select *, md5(coalesce(text, '')) as version, string_split(coalesce(text, ''), chr(10)) as lines from fewer
-), each as (
-  select r, ord, version, unnest(lines) as line, generate_subscripts(lines, 1) as i from lines
-), hashed as (
-  select *, cast('0x' || left(md5(line), 8) as bigint) as h from each
+  select *, row_number() over (partition by r order by i) as k, lag(line) over (partition by r order by i) as before from worded where words > 0
+), counted as (
+  select *, case when before is null then 0 else count(*) over (partition by before, line) end as n, count(*) over (partition by line) as alike from placed
+), tied as (
+  select *, case when n > 1 then n else 0 end as link from counted
+), kept as (
+  select * from tied qualify link > 0 or coalesce(lead(link) over (partition by r order by k), 0) > 0 or (words > 50 and alike > 1)
+), stretches as (
+  select *, sum(case when link = 0 then 1 else 0 end) over (partition by r order by k) as stretch from kept
+), long as (
+  select *, cast('0x' || left(sha256(line), 8) as bigint) as h from stretches qualify sum(words) over (partition by r, stretch) > 50
+), turns as (
+  select *, case when link < lag(link, 1, 0) over w or link < lead(link, 1, 0) over w then 1 else 0 end as weaker from long window w as (partition by r, stretch order by k)
+), segments as (
+  select *, sum(weaker) over (partition by r, stretch order by k) as segment from turns
 ), rolled as (
-  select *, lag(h, 1, 0) over w as a, lag(h, 2, 0) over w as b, lag(h, 3, 0) over w as c from hashed window w as (partition by r order by i)
+  select *, row_number() over w - 1 as nth, lag(h, 1, 0) over w as a, lag(h, 2, 0) over w as b, lag(h, 3, 0) over w as c
+  from segments window w as (partition by r, stretch, segment order by k)
 ), edges as (
-  select *, case when i > 1 and xor(xor(a, ((b << 1) | (b >> 31)) & 4294967295), ((c << 2) | (c >> 30)) & 4294967295) % 4 = 0 then 1 else 0 end as cut from rolled
+  select *, case when nth % 64 = 0 or xor(xor(a, ((b << 1) | (b >> 31)) & 4294967295), ((c << 2) | (c >> 30)) & 4294967295) % 4 = 0 then 1 else 0 end as cut from rolled
 ), numbered as (
-  select *, sum(cut) over (partition by r order by i) as no from edges
+  select *, sum(cut) over (partition by r, stretch order by k) as chunk from edges
 ), chunks as (
-  select r, any_value(ord) as ord, any_value(version) as version, no, string_agg(line, chr(10) order by i) as chunk, count(*) as n_lines
-  from numbered group by r, no
-), passages as (
-  select *, n_lines > 1 and length(trim(translate(chunk, chr(10) || chr(9) || chr(13) || chr(11) || chr(12), ''))) > 0 as eligible from chunks
-), ranked as (
-  select *, eligible and dense_rank() over (partition by eligible, chunk order by ord, version, no) > 1 as gone from passages
-), rebuilt as (
-  select r, string_agg(chunk, chr(10) order by no) filter (where not gone) as kept, count(*) filter (where gone) as n_removed
-  from ranked group by r
+  select r, any_value(ord) as ord, any_value(version) as version, stretch, chunk, min(i) as low, max(i) as high, sum(words) as words, string_agg(line, chr(10) order by k) as bytes
+  from numbered group by r, stretch, chunk
+), later as (
+  select * from chunks qualify (ord, version, low) > min((ord, version, low)) over (partition by bytes)
+), islands as (
+  select *, chunk - row_number() over (partition by r, stretch order by chunk) as island from later
+), gone_chunks as (
+  select *, coalesce(lead(low) over (partition by r, stretch, island order by chunk) - 1, high) as through
+  from islands qualify sum(words) over (partition by r, stretch, island) > 50
+), open as (
+  select n.*, g.r is null as open, sum(n.words) over (partition by n.r, n.stretch order by n.k) as last from numbered n left join gone_chunks g using (r, stretch, chunk)
+), starts as (
+  select *, last - words as first from open
+), windows as (
+  select r, ord, version, min(i) over w as low, max(i) over w as high, sum(words) over w as n, max(open) over w as open, list(line) over w as id
+  from starts window w as (partition by r, stretch order by first range between current row and 50 following)
+  union all
+  select r, ord, version, min(i) over w, max(i) over w, sum(words) over w, max(open) over w, list(line) over w
+  from starts window w as (partition by r, stretch order by last range between 50 preceding and current row)
+), firsts as (
+  select id, min((ord, version, low)) as place from windows where n > 50 group by id
+), gone as (
+  select r, unnest(generate_series(low, through)) as i, true as by_chunk from gone_chunks
+  union all
+  select r, unnest(generate_series(low, high)), false from windows join firsts using (id) where n > 50 and open and (ord, version, low) > place
+), lines_gone as (
+  select r, i, max(by_chunk) as by_chunk from gone group by r, i
 )
-select l.doc_id, case when l.text is null then null when b.n_removed = 0 then l.text else coalesce(b.kept, '') end as text,
-  cast(b.n_removed as integer) as n_removed, cast(l.n_removed_lines as integer) as n_removed_lines
-from lines l join rebuilt b using (r)
+select g.doc_id, case when any_value(g.text) is not null then coalesce(string_agg(e.line, chr(10) order by e.i) filter (where x.i is null), '') end as text,
+  cast((select count(*) from gone_chunks c where c.r = g.r) as integer) as n_removed,
+  cast(count(x.i) as integer) as n_removed_lines, cast(count(x.i) filter (where not x.by_chunk) as integer) as n_checked_lines
+from given g join every e using (r) left join lines_gone x on x.r = g.r and x.i = e.i group by g.r, g.doc_id
 """
