@@ -159,27 +159,32 @@ def _repeated_windows(lines: DataFrame, passage_words: int) -> DataFrame:
 
 
 def _with_equal_bytes(named: DataFrame, places: DataFrame) -> DataFrame:
-    """``places`` whose lines with words are, byte by byte, those of ``first``.
+    """(order, version, chunk, low, through) of ``places`` whose lines with words are, byte by byte, those of ``first``.
 
-    Bytes are read once for each place; those of first places are broadcast if measured to be small.
+    A place's bytes are read where its document is; only those of first places move, by
+    broadcast if measured to be small.
     """
-    wanted = places.select(*_PLACE).union(places.select("first.*")).groupBy(*_DOC).agg(F.collect_set(F.struct("low", "high")).alias("slices"))
+    key = F.xxhash64("first").alias("key")
+    later = places.select(*_DOC, F.struct("low", "high", "through", "chunk", key).alias("x"))
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("through", "int"), ("chunk", "boolean"))]
+    firsts = places.select("first.order", "first.version", F.struct("first.low", "first.high", *nothing, key).alias("x")).distinct()
+    wanted = later.union(firsts).groupBy(*_DOC).agg(F.collect_list("x").alias("slices"))
     wanted = stored(wanted.withColumn("digits", F.to_json("slices")), "slices")
     table = size_checked(wanted, 80, ["digits"]).drop("digits")
 
     def cut(lines: Column) -> Column:
         def bytes_of(s: Column) -> Column:
             kept = F.filter(F.slice(lines, s["low"] + 1, s["high"] - s["low"] + 1), lambda x: x.rlike(WORD))
-            return F.struct(s["low"].alias("low"), s["high"].alias("high"), F.array_join(kept, "\n").alias("bytes"))
+            return F.struct(*[s[c].alias(c) for c in ("low", "through", "chunk", "key")], F.array_join(kept, "\n").alias("bytes"))
 
         return F.transform("slices", bytes_of)
 
     met = named.join(table, _DOC).select(*_DOC, F.explode_outer(let(F.split("text", "\n", -1), cut)).alias("x"))
-    # Rows that agree in id and text are one document.
-    read = stored(met.select(*_DOC, "x.*").groupBy(*_PLACE).agg(F.min("bytes").alias("bytes")), "slice-bytes", replaces=[wanted])
-    firsts = stored(read.join(places.select("first.*").distinct(), _PLACE).select(F.struct(*_PLACE).alias("first"), F.col("bytes").alias("first_bytes")), "first-bytes")
-    found = places.join(read, _PLACE).join(size_checked(firsts, 112, ["first_bytes"]), "first").filter(F.col("bytes") == F.col("first_bytes"))
-    return found.select(places.columns)
+    read = stored(met.select(*_DOC, "x.*"), "slice-bytes", replaces=[wanted])
+    # Rows that agree in id and text are one document, so a first place may have been read several times.
+    firsts = stored(read.filter("chunk is null").select("key", F.col("bytes").alias("first_bytes")).distinct(), "first-bytes")
+    found = read.filter("chunk is not null").join(size_checked(firsts, 32, ["first_bytes"]), "key").filter(F.col("bytes") == F.col("first_bytes"))
+    return found.select(*_DOC, "chunk", "low", "through")
 
 
 def remove_repeated_passages(
