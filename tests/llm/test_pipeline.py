@@ -4,13 +4,12 @@ import corpus_pipeline
 from threadloom.llm import fertility
 
 from . import cases
+from .plain_lines import plain_passages
 from .test_bands import brute
-from .test_duplicates import plain_removal
 from .test_latent import words
 from .test_packing import check_pieces
 from .test_packing import exact  # noqa: F401
 from .test_near_copies import plain_kept as near_kept
-from .test_shared_runs import plain_runs
 
 
 def test_stages_against_brute_force(spark, small, exact):  # noqa: F811
@@ -25,7 +24,7 @@ def test_stages_against_brute_force(spark, small, exact):  # noqa: F811
     assert {r.doc_id: r.text for r in docs.collect()} == kept and docs.columns == columns
 
     docs = stages["line_dedup"](spark, docs, small)
-    kept = {int(i): t for i, t, _ in plain_removal(list(plain_runs(list(kept.items())).items()))}
+    kept = {key[0]: row[0] for key, row in plain_passages(list(kept.items())).items()}
     assert {r.doc_id: r.text for r in docs.collect()} == kept and docs.columns == columns
 
     docs = stages["near_dedup"](spark, docs, small)
