@@ -145,10 +145,10 @@ def window_grader(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     _WINDOWS
-    + r""", pr as (select fixture, item_id, w[1:1] as a, unnest([w[3:3], w[2:2]]) as c, w[5] as n from gold),
+    + rf""", st as (select fixture, item_id, list_transform(w, lambda w: {_STEM}) as w from gold), pr as (select fixture, item_id, w[1:1] as a, unnest([w[3:3], w[2:2]]) as c, w[5] as n from st),
     m as (select ch.answer_id, ch.chunk, toks, item_id, a, c, n, list_filter(range(1, len(toks) + 1), lambda i: toks[i] = a[1]) as l, list_filter(range(1, len(toks) + 1), lambda i: toks[i] = c[1]) as r from ch join pr using (fixture) where list_contains(toks, a[1]) and list_contains(toks, c[1])),
     p as (select *, list_filter(flatten(list_transform(l, lambda i: list_transform(r, lambda k: [least(i, k), greatest(i, k)]))), lambda x: x[2] - x[1] + 1 <= 14)[1] as first from m)
-    select distinct answer_id, item_id from p where first is not null and not list_contains(toks[first[1] : first[2]], n)"""
+    select distinct answer_id, item_id from p where first is not null and not coalesce(list_contains(toks[first[1] : first[2]], n), false)"""
 )
 def near_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = _headed_answers(spark, sf_dir)[0]
