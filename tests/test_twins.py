@@ -37,3 +37,12 @@ def test_gold_in_the_plural_and_gold_without_a_fifth_word(spark, tmp_path):
     messages = spark.createDataFrame([(1, 0, "user", "the cats hold plans and dogs"), (11, 0, "user", "cat w houses z plan"), (21, 0, "user", "some bird is x fly")], found.MESSAGES)
     items = spark.createDataFrame([(1, "cats y plans x houses"), (11, "bird v fly")], "item_id long, text string")
     assert alike(spark, "near_claims", folder_with(spark, tmp_path, conversations=messages, benchmark=items)) == [("1", "1"), ("21", "11")]
+
+
+def test_a_stream_of_changes_writes_no_row_for_each_context(spark, monkeypatch):
+    seen = []
+    run = found.jobs.run_once
+    monkeypatch.setattr(found.jobs, "run_once", lambda stream, *rest: seen.append(stream.columns) or run(stream, *rest))
+    rows = found.invalidation_stream(spark, "/root/testdata/sf0.001")
+    assert rows.columns == ["change_id", "context", "path"]
+    assert seen == [["change_id", "path"]]
