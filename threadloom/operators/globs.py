@@ -72,10 +72,18 @@ def exploration(commands: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataF
     segments = done.select("run", "step", F.posexplode(F.regexp_extract_all("command", F.lit(READS), F.lit(1))).alias("nth", "segment"))
     tokens = stored(segments.select("run", "step", "nth", F.explode_outer(F.regexp_extract_all("segment", F.lit(PATHS), F.lit(0))).alias("pattern")), "read-tokens")
     met = matching_paths(tokens.filter("pattern is not null"), paths)
-    # One row for each read command and path, however many of its patterns match.
-    reads = stored(tokens.join(met, "pattern").select("run", "step", "nth", "path").distinct(), "reads")
-    unknown = tokens.select("run", "step", "nth").distinct().join(reads.select("run", "step", "nth").distinct(), ["run", "step", "nth"], "left_anti").groupBy("run").agg(F.count(F.lit(1)).alias("unresolved"))
-    seen = reads.groupBy("run").agg(F.count(F.lit(1)).alias("reads"), F.count_distinct("path").alias("files"))
+    # Paths that the same patterns match are told as one, by the first of them, with how many they are.
+    held = stored(met.groupBy("path").agg(F.array_sort(F.collect_set("pattern")).alias("patterns")), "matched-paths")
+    alike = stored(held.groupBy("patterns").agg(F.min("path").alias("first"), F.count(F.lit(1)).alias("n")), "alike-paths")
+    by_pattern = stored(alike.select("first", "n", F.explode("patterns").alias("pattern")), "paths-by-pattern")
+    members = stored(held.join(alike, "patterns").select("first", "path"), "path-members")
+    # One row for each read command and group of paths, however many of its patterns match.
+    groups = tokens.join(size_checked(by_pattern, 40, ["first", "pattern"]), "pattern").select("run", "step", "nth", "first", "n").distinct()
+    groups = stored(groups, "reads")
+    reads = groups.join(size_checked(members, 32, ["first", "path"]), "first")
+    unknown = tokens.select("run", "step", "nth").distinct().join(groups.select("run", "step", "nth").distinct(), ["run", "step", "nth"], "left_anti").groupBy("run").agg(F.count(F.lit(1)).alias("unresolved"))
+    seen = groups.groupBy("run", "first").agg((F.count(F.lit(1)) * F.first("n")).alias("reads"), F.first("n").alias("files"))
+    seen = seen.groupBy("run").agg(F.sum("reads").alias("reads"), F.sum("files").alias("files"))
     times = lambda pattern: F.sum(F.when(F.col("exit_code") == 0, F.regexp_count("command", F.lit(pattern))).otherwise(0))
     failed = F.count_if((F.col("exit_code") != 0) & F.col("command").rlike(TESTS))
     counted = said.groupBy("run").agg(times(SEARCHES).alias("searches"), times(GREPS).alias("greps"), times(LISTINGS).alias("listings"), failed.alias("failed_tests"))
