@@ -54,10 +54,17 @@ def text_signals(texts: DataFrame, key: str, patterns: Mapping[str, str]) -> Dat
 
 
 def claims(texts: DataFrame, key: str, claim: str, negation: str, reach: int = 48) -> DataFrame:
-    """(key, stated, negated): claims of each text by whether a negation stands up to ``reach`` characters before."""
-    found = F.regexp_extract_all("text", F.lit(rf"[^\n]{{0,{reach}}}?(?:{claim})"), F.lit(0))
-    negated = F.size(F.filter(found, lambda x: x.rlike(negation)))
-    return texts.select(key, F.size(found).alias("all"), negated.cast("long").alias("negated")).select(key, (F.col("all") - F.col("negated")).alias("stated"), "negated").filter("stated > 0 or negated > 0")
+    """(key, stated, negated): claims of each text by whether a negation stands up to ``reach`` characters before.
+
+    What stands before a claim begins after the claim before it, on the same line. The text
+    is cut at its claims, once, so its length counts once and not ``reach`` times.
+    """
+    own = texts.filter(F.col("text").rlike(claim))
+    before = F.transform(F.split("text", claim, -1), lambda x: F.substring_index(F.right(x, F.lit(reach)), "\n", -1))
+    said = F.zip_with(F.regexp_extract_all("text", F.lit(claim), F.lit(0)), before, lambda c, b: F.when(c.isNotNull(), F.concat(b, c)))
+    judged = own.select(key, F.transform(F.filter(said, lambda x: x.isNotNull()), lambda x: x.rlike(negation).cast("int")).alias("no"))
+    negated = F.aggregate("no", F.lit(0).cast("long"), lambda acc, x: acc + x)
+    return judged.select(key, (F.size("no") - negated).alias("stated"), negated.alias("negated"))
 
 
 def phrases_near(texts: DataFrame, key: str, first: str, second: str, span: int = 14) -> DataFrame:
