@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from threadloom.operators import retrieval
+from threadloom.operators import context, retrieval
 
 
 def test_phrases_of_words_are_not_held_against_every_text(spark, monkeypatch):
@@ -40,3 +40,28 @@ def test_pairs_of_a_query_and_a_unit_are_not_shuffled(spark):
     best = retrieval.matches(units, queries)
     assert best.count() == 120 and {r.unit_id for r in best.collect()} == {"0", "1", "10"}
     assert "WindowGroupLimit" in best._jdf.queryExecution().executedPlan().toString()
+
+
+def test_candidates_of_planning_queries_are_told_once(spark, monkeypatch):
+    written = {}
+    kept = context.stored
+    monkeypatch.setattr(context, "stored", lambda df, name, **more: written.setdefault(name, kept(df, name, **more)))
+    texts = [(f"u{i:03}", "message", f"s{i}", "p", "user", f"alpha must stay w{i}" if i % 2 else f"w{i} else") for i in range(60)]
+    units = spark.createDataFrame(texts, "unit_id string, source_type string, source_id string, path string, role string, content string")
+    # The first echoes one of its units; a target makes it a seed all the same, for that query alone.
+    asked = [(0, "alpha must stay w1 plan"), *[(i, "alpha plan") for i in range(1, 40)], (40, "alpha")]
+    units = units.unionByName(spark.createDataFrame([("echo", "message", "se", "p", "tool", "so Alpha must stay w1 PLAN it")], units.schema))
+    edges = spark.createDataFrame([("u002", 0, "references", None, "u001"), ("u004", 1, "supersedes", "echo", "u004"), ("u006", 0, "references", None, "u004")], "owner string, nth int, kind string, source string, target string")
+    targets = spark.createDataFrame([(5, "echo"), (0, "u000")], "query_id long, target string")
+    found = context.pack_candidates(units, spark.createDataFrame(asked, "query_id long, query string"), edges, targets).collect()
+    rows = {(r.query_id, r.unit_id): r for r in found}
+    assert len(rows) == len(found)
+    odd = {f"u{i:03}" for i in range(1, 60, 2)}
+    assert {u for q, u in rows if q == 0} == odd | {"u000", "u002"}
+    assert {u for q, u in rows if q == 1} == odd | {"echo", "u002", "u004"} == {u for q, u in rows if q == 5}
+    assert {u for q, u in rows if q == 40} == odd | {"u002"}
+    assert rows[1, "u004"].signals == "final_state" and rows[1, "u004"].score == 55.0 and not rows[1, "u004"].decided
+    assert rows[5, "echo"].signals == "lexical_overlap,explicit_target" and rows[1, "echo"].signals == "lexical_overlap"
+    assert rows[1, "u001"].signals == "lexical_overlap,decision_context" and rows[0, "u000"].signals == "explicit_target"
+    # Signs, not pairs: of 60 units and 41 queries, less than a fifth of the candidates.
+    assert written["pack-every"].count() < len(rows) / 5
