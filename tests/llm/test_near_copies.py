@@ -110,3 +110,14 @@ def test_shingles_of_short_texts():
     assert len(near_copies.shingles([b"a", b"b"], 5)) == 1
     assert len(near_copies.shingles([b"a"] * 9, 5)) == 1
     assert isinstance(near_copies.shingles([b"a"] * 9, 5), np.ndarray)
+
+
+@pytest.mark.parametrize("hot", [100, 1])
+def test_no_pair_is_lost(spark, hot):
+    pick = random.Random(9)
+    line = " ".join(f"common{i}" for i in range(12))
+    docs = [(i, f"{text} {line}" if pick.random() < 0.5 else text) for i, text in planted(5, 80, 0.045)]
+    p = NearCopies(**({"hot": hot} if hot != 100 else {}))
+    kept = {r.doc_id for r in near_copies.keep_one(spark.createDataFrame(docs, "doc_id long, text string"), p=p).collect()}
+    expected = plain_kept(docs)
+    assert kept == expected and 20 < len(docs) - len(expected) < len(docs) - 80
